@@ -120,7 +120,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    ranges = docs.select("doc_id", "text").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +137,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
         size = 0
         for batch in batches:
             id_kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
                 docs_in.append(doc)
-                parts.append(encode(text.as_py() or "") + end)
+                parts.append(ids + end)
                 size += len(parts[-1]) // 4
                 if size >= segment_ids:
                     size = 0

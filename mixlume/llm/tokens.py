@@ -7,47 +7,82 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from mixlume.llm.common import SpanHasher, in_slices
+
 #: Words that split into runs of Latin letters and runs of other characters without a change of result: no contraction, no special token, no combining mark.
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]*")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
-_BLANKS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
+_SPLIT = bytes(0 if b == 32 or 9 <= b <= 13 else 1 for b in range(256))
 
 
 class WordEncoder:
     """For tokenizers whose pre-tokens never hold white space and that drop it (word_bpe_49k.json): a text's ids are those of its words in order.
 
-    ids(text) are little-endian unsigned 32-bit integers as bytes. The caches are emptied at ``most`` words.
+    Ids are little-endian unsigned 32-bit integers as bytes. The caches are emptied at ``most`` words.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.hashers = SpanHasher(0), SpanHasher(1)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        parts = {w: _RUNS.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in words}
-        new = list({p for x in parts.values() for p in x} - self.pieces.keys())
-        for piece, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+        parts = {w: [w.lower()] if w.isascii() and w.isalpha() else _RUNS.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in words}
+        new = [p for p in {p for x in parts.values() for p in x} if p not in self.pieces]
+        runs = [p for p in new if _LETTERS.fullmatch(p)]
+        for at in range(0, len(runs), 10_000):  # a run of letters is one pre-token, so word numbers part the ids of many runs in one call
+            code = self.tokenizer.encode(" ".join(runs[at : at + 10_000]), add_special_tokens=False)
+            ids = np.array(code.ids, "<u4").tobytes()
+            ends = np.flatnonzero(np.diff(np.array([*code.word_ids, -1], np.int64))) + 1
+            cuts = [0, *(4 * ends).tolist()]
+            for piece, a, b in zip(runs[at : at + 10_000], cuts, cuts[1:]):
+                self.pieces[piece] = ids[a:b]
+        rest = [p for p in new if p not in self.pieces]
+        for piece, code in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.pieces[piece] = np.array(code.ids, "<u4").tobytes()
         for w, x in parts.items():
             self.words[w] = self.pieces[x[0]] if len(x) == 1 else b"".join([self.pieces[p] for p in x])
 
-    def ids(self, text: str) -> bytes:
-        words = _BLANKS.findall(text) if any(c in text for c in _SEPARATORS) else text.split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            new = set(words) - self.words.keys()
-            if len(self.words) + len(new) > self.most:
-                new = set(words)
-                self.words.clear()
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text; null is empty."""
+        out: list[bytes] = []
+        for a, b in in_slices(texts):
+            out += self._slice([x or b"" for x in texts[a:b]])
+        return out
+
+    def _slice(self, texts: list[bytes]) -> list[bytes]:
+        """Spans of equal words are found by two 64-bit hashes, so that Python looks up each distinct word of the slice once."""
+        data = b" ".join(texts)
+        inside = np.frombuffer(data.translate(_SPLIT), np.int8)
+        edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
+        starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(starts):
+            return [b""] * len(texts)
+        first, second = self.hashers[0](data, starts, ends), self.hashers[1](data, starts, ends)
+        _, at, number = np.unique(first, return_index=True, return_inverse=True)
+        if not (second[at][number] == second).all():  # two words of one hash
+            at = number = np.arange(len(starts))
+        words = [data[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        known = self.words
+        new = {w for w in words if w not in known}
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = set(words)
+        if new:
             self._learn(new)
-            return b"".join([self.words[w] for w in words])
+        codes = [known[w] for w in words]
+        sizes = np.array([len(c) // 4 for c in codes])
+        flat = np.frombuffer(b"".join(codes), "<u4")
+        n = sizes[number]
+        ahead = np.cumsum(n) - n
+        flat = flat[np.repeat((np.cumsum(sizes) - sizes)[number] - ahead, n) + np.arange(n.sum())].tobytes()
+        cuts = np.cumsum([0] + [len(x) + 1 for x in texts])
+        cuts = 4 * np.append(ahead, n.sum())[np.searchsorted(starts, cuts)]
+        return [flat[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 _encoders: dict[str, WordEncoder] = {}
