@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +22,7 @@ BANDS, ROWS = 24, 5
 #: Signature bytes compared between two looks at the posterior, and the chance at each look to prune a pair that is at the threshold.
 BATCH, MISS = 24, 1e-8
 #: Rows of one bucket that are compared with as many others in one task.
-BLOCK = 256
-#: Rounds that compare a bucket with one member before the rest is compared in blocks.
-PIVOTS = 3
+BLOCK = 512
 #: Words hashed at once, so that memory doesn't follow the longest text.
 CHUNK = 100_000
 WORDS = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
@@ -150,52 +147,120 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, label: for each node of the edges the smallest node that it reaches. Large-star and small-star rounds, each written, until nothing changes."""
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: for each node of the edges (a, b) the smallest node that it reaches. Large-star and small-star rounds, each written, until nothing changes."""
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "lows")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u <> v"), "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "small")
+        now = materialize(small.where("u <> v").distinct(), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
         seen = state
 
 
-class _Job:
-    """The tables of one run."""
-
-    def __init__(self, docs: DataFrame) -> None:
-        own = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
-        self.docs = docs
-        self.signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, _signatures).drop("text"), "signatures")
-        classes = self.signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
-        self.nodes = materialize(classes.select("cls", "rep.doc_id", "rep.h", "x.bands", "x.sig"), "classes")
-        self.sigs = self.nodes.select("cls", "sig")
-        keyed = self.nodes.select("cls", F.explode("bands").alias("key"))
-        full = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("first")).where("n > 1"), "buckets")
-        self.members = materialize(keyed.join(full, "key"), "members")
-        self.edges: DataFrame | None = None
-        self.texts: DataFrame | None = None
-
-    def test(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links, by signatures and then by their full sets; written."""
-        s = self.sigs
-        signed = pairs.join(s.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b").join(s.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a")
-        alive = materialize(signed.select("a", "b", "sa", "sb").mapInArrow(_prune, "a binary, b binary"), "alive")
-        needed = alive.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.nodes.select("cls", "doc_id", "h"), "cls")
-        texts = self.docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(needed, ["doc_id", "h"]).select("cls", "text")
-        texts = materialize(texts.dropDuplicates(["cls"]), "texts")
-        joined = alive.join(texts.select(F.col("cls").alias("b"), F.col("text").cast("binary").alias("tb")), "b")
-        joined = joined.join(texts.select(F.col("cls").alias("a"), F.col("text").cast("binary").alias("ta")), "a").select("a", "b", "ta", "tb")
-        return materialize(joined.mapInArrow(_verify, "a binary, b binary"), "links")
-
-    def add(self, links: DataFrame) -> DataFrame:
-        self.edges = links if self.edges is None else self.edges.unionByName(links)
-        return materialize(components(self.edges), "components")
+def _spanning(group: pa.Table) -> pa.Table:
+    """Links between rows of different labels in one bucket (or of two blocks of it), as few as connect what they connect.
+
+    Signatures of all pairs are compared batch by batch; the full sets of the rows of surviving pairs decide.
+    """
+    classes, labels, block = group.column("cls").to_pylist(), group.column("label").to_pylist(), np.array(group.column("block"))
+    sigs = _matrix(group.column("sig").combine_chunks())
+    own = np.unique(np.array([hash(x) for x in labels]), return_inverse=True)[1]
+    i, j = np.nonzero((own[:, None] != own) & np.triu(np.ones((len(own), len(own)), bool), 1) & ((block[:, None] != block) | (len(np.unique(block)) == 1)))
+    alive = [at + _survive(sigs[i[at : at + 65536]], sigs[j[at : at + 65536]]) for at in range(0, len(i), 65536)]
+    alive = np.concatenate(alive) if alive else np.zeros(0, np.int64)
+    i, j = i[alive], j[alive]
+    rows = np.unique(np.concatenate([i, j]))
+    sets = dict(zip(rows.tolist(), shingle_sets([group.column("text")[int(r)].as_py() for r in rows])))
+    parent = list(range(len(classes)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    first: dict[bytes, int] = {}
+    for k, label in enumerate(labels):
+        parent[k] = first.setdefault(label, k)
+    links = []
+    for x, y in zip(i.tolist(), j.tolist()):
+        if (p := root(x)) != (q := root(y)):
+            n, m = len(sets[x]), len(sets[y])
+            if 100 * min(n, m) >= PERCENT * max(n, m):
+                both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
+                if 100 * both >= PERCENT * (n + m - both):
+                    parent[max(p, q)] = min(p, q)
+                    links.append((classes[x], classes[y]))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+
+def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of equal sets that connect all that is linked; written."""
+
+    def texts_of(classes: DataFrame, name: str) -> DataFrame:
+        needed = classes.distinct().join(nodes.select("cls", "doc_id", "h"), "cls")
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(needed, ["doc_id", "h"])
+        return materialize(texts.select("cls", F.col("text").cast("binary").alias("text")).dropDuplicates(["cls"]), name)
+
+    keyed = nodes.select("cls", F.explode("bands").alias("key"))
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("head")).where("n > 1"), "buckets")
+    members = materialize(keyed.join(buckets, "key"), "members")
+
+    # Each bucket's members against its head.
+    pairs = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+    sigs = nodes.select("cls", "sig")
+    signed = pairs.join(sigs.toDF("b", "sb"), "b").join(sigs.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+    alive = materialize(signed.mapInArrow(_prune, "a binary, b binary"), "alive")
+    texts = texts_of(alive.select(F.explode(F.array("a", "b")).alias("cls")), "texts")
+    joined = alive.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    links = materialize(joined.mapInArrow(_verify, "a binary, b binary"), "links")
+
+    # What the heads leave apart, in blocks: buckets of three or more whose members aren't yet all of one label. A label's members are linked.
+    up = links.groupBy("b").agg(F.min("a").alias("m"))
+    label = up.join(up.toDF("m", "mm"), "m", "left").select(F.col("b").alias("cls"), F.coalesce("mm", "m").alias("label"))
+    rest = members.where("n > 2").select("key", "cls", "n").join(materialize(label, "labels"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    rest = materialize(rest, "rest")
+    split = materialize(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "split")
+    rest = materialize(rest.join(split, "key", "left_semi"), "apart")
+    texts = texts_of(rest.select("cls"), "texts")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.select("key", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = rest.join(sigs, "cls").join(texts, "cls")
+    return links.unionByName(materialize(rest.groupBy("key", "i", "j").applyInArrow(_spanning, "a binary, b binary"), "links"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs.
+
+    A document's set: the distinct 5-word shingles of its whole text, lower case in A-Z, words split at ASCII white space; with fewer words, all of them are one
+    shingle; null text or text without words has none and is linked with nothing. Documents are linked at PERCENT % of Jaccard similarity, confirmed on
+    full sets; component_id is the smallest doc_id that is reached. Texts of equal sets are one class throughout, so copies make no pairs. Rows that repeat
+    a doc_id are separate texts of one id, so that they all stay or all go; rows without doc_id are left out; an empty table gives no row.
+    """
+    own = docs.select("doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, _signatures).drop("text"), "signatures")
+    classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
+    nodes = materialize(classes.select("cls", "rep.doc_id", "rep.h", "x.bands", "x.sig"), "classes")
+    labels = components(_links(docs, nodes)).withColumnRenamed("node", "cls")
+    labelled = labels.join(nodes.select("cls", "doc_id"), "cls")
+    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    merged = labelled.join(smallest, "label").select("cls", "component_id")
+    ids = materialize(nodes.select("cls", "doc_id").join(merged, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs without the documents that near_duplicates() doesn't keep; columns as in docs."""
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
