@@ -77,13 +77,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class SpanHasher:
     """64-bit hashes of many spans of one byte buffer from prefix sums: time per span doesn't depend on its length."""
 
+    up, down = _powers(1 << 16)
+
     def __init__(self, seed: int = 0) -> None:
-        self.up, self.down = _powers(1 << 16)
         self.letter = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(1000 * seed))
 
     def __call__(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(data) + 1 > len(self.up):
-            self.up, self.down = _powers(2 * len(data) + 2)
+            SpanHasher.up, SpanHasher.down = _powers(len(data) + (1 << 16))
         buffer = np.frombuffer(data, np.uint8)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.letter[buffer] * self.up[: len(data)], out=sums[1:])

@@ -48,7 +48,7 @@ def mark(docs: DataFrame, host: str = "source", text: str = "text", ratio: float
     return out.select(
         *[f"`{c}`" for c in docs.columns if c not in ("line_text", "line_total", "line_dropped")],
         F.expr("if(_lines is null, null, array_join(_kept, '\\n'))").alias("line_text"),
-        F.coalesce(F.size("_lines").cast("long"), F.lit(0).cast("long")).alias("line_total") if False else F.expr("if(_lines is null, 0L, cast(size(_lines) as bigint))").alias("line_total"),
+        F.expr("if(_lines is null, 0L, cast(size(_lines) as bigint))").alias("line_total"),
         F.expr("if(_lines is null, 0L, cast(size(_lines) - size(_kept) as bigint))").alias("line_dropped"),
     )
 

@@ -17,36 +17,58 @@ from mixlume.llm.common import shared_folder
 from mixlume.llm.tokens import encoder
 
 BLOCK = 128
-#: Share of a block's values that its width must hold; the others go to the exception list.
-PERCENTILE = 90
 END_ID = 1
 #: Ids after which a segment ends (a document stays whole).
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 MAGIC = b"PFR1"
 _HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("exceptions", "u1"), ("used", "<u2")])
 
 
+_SHORT = np.ceil(np.log2(np.arange(1 << 16) + 1.0)).astype(np.uint8)
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Bits that each value needs."""
+    high = x >> 16
+    return np.where(high > 0, 16 + _SHORT[high], _SHORT[x & 0xFFFF]).astype(np.uint8) if high.any() else _SHORT[x]
+
+
 def _packed(x: np.ndarray, width: int) -> np.ndarray:
-    """The low ``width`` bits of each row of BLOCK values, most significant first."""
-    if not width:
-        return np.zeros((len(x), 0), np.uint8)
-    bits = np.unpackbits(x.astype(">u4").view(np.uint8).reshape(len(x), BLOCK, 4), axis=2)[:, :, 32 - width :]
-    return np.packbits(bits.reshape(len(x), BLOCK * width), axis=1)
+    """Rows of BLOCK values below 2**width as bits, lowest first, in little-endian 64-bit words."""
+    values = np.ascontiguousarray(x.T).astype(np.uint64)
+    words = np.zeros((BLOCK * width // 64, len(x)), "<u8")
+    for k in range(BLOCK if width else 0):
+        word, shift = divmod(k * width, 64)
+        words[word] |= values[k] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= values[k] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).view(np.uint8)
 
 
 def _unpacked(x: np.ndarray, width: int) -> np.ndarray:
-    if not width:
-        return np.zeros((len(x), BLOCK), np.uint32)
-    bits = np.zeros((len(x), BLOCK, 32), np.uint8)
-    bits[:, :, 32 - width :] = np.unpackbits(x, axis=1).reshape(len(x), BLOCK, width)
-    return np.packbits(bits, axis=2).view(">u4")[:, :, 0].astype(np.uint32)
+    words = np.ascontiguousarray(np.ascontiguousarray(x).view("<u8").T) if width else x.T
+    values, mask = np.zeros((BLOCK, len(x)), np.uint32), np.uint64((1 << width) - 1)
+    for k in range(BLOCK if width else 0):
+        word, shift = divmod(k * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | words[word + 1] << np.uint64(64 - shift)
+        values[k] = value & mask
+    return values.T
+
+
+def _widths(need: np.ndarray) -> np.ndarray:
+    """For each block the width that makes it shortest: one of the percentiles of its values' bits, so that the longer ones are exceptions."""
+    rows = len(need)
+    count = np.bincount((need + np.arange(rows, dtype=np.int64)[:, None] * 33).ravel(), minlength=33 * rows).reshape(rows, 33)
+    return (BLOCK // 8 * np.arange(33) - 5 * np.cumsum(count, axis=1)).argmin(axis=1).astype(np.uint8)
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
     """Magic, number of ids, number of blocks, block starts (bytes from the first block), blocks.
 
     A block: minimum (u32), width, number of exceptions, values used; BLOCK differences from the minimum packed at that width; positions (u8), then
-    differences (u32) of the exceptions, which are those that need more bits than the PERCENTILE of the block's differences.
+    differences (u32) of the exceptions, which are those that need more bits than the chosen percentile of the block's differences.
     """
     n = len(ids)
     rows = -(-n // BLOCK)
@@ -55,8 +77,8 @@ def encode_segment(ids: np.ndarray) -> bytes:
     x = padded.reshape(rows, BLOCK)
     low = x.min(axis=1) if rows else np.zeros(0, np.uint32)
     x = x - low[:, None]
-    need = np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
-    width = np.sort(need, axis=1)[:, (BLOCK - 1) * PERCENTILE // 100] if rows else np.zeros(0, np.uint8)
+    need = _bits(x)
+    width = _widths(need)
     over = need > width[:, None]
     n_over = over.sum(axis=1)
     sizes = _HEAD.itemsize + BLOCK // 8 * width.astype(np.int64) + 5 * n_over
@@ -70,7 +92,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         size = BLOCK // 8 * int(w)
-        out[(starts[at] + _HEAD.itemsize)[:, None] + np.arange(size)] = _packed(x[at], int(w))
+        out[(starts[at] + _HEAD.itemsize)[:, None] + np.arange(size)] = _packed(x[at] & np.uint32((1 << int(w)) - 1), int(w))
     r, c = np.nonzero(over)
     rank = np.arange(len(r)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
     base = starts[r] + _HEAD.itemsize + BLOCK // 8 * width[r].astype(np.int64)
