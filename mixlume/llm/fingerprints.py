@@ -12,6 +12,8 @@ SCALE = 16
 WIDTH = 1024
 #: Distinct keys that one task may order.
 ALONE = 4096
+#: Groups whose top documents are broadcast; more are joined by a shuffle of the texts.
+BROADCAST = 200_000
 _MASK = 0x7FFFFFFFFFFFFFFF
 
 
@@ -81,6 +83,7 @@ def report(docs: DataFrame, scale: int = SCALE, width: int = WIDTH) -> DataFrame
     tops = groups.join(lower, "group", "left").select("top", F.when(F.col("group") == highest, F.lit(lowest)).otherwise(F.col("to")).alias("to"))
     numbered = with_sketch(own, "text", "sketch", scale).withColumn("group", group)
     tops = tops.select(F.col("top").alias("_top"), F.col("to").alias("_to"))
+    tops = F.broadcast(tops) if n <= BROADCAST else tops  # n rows of two integers
     dealt = numbered.join(tops, F.col("doc_id") == F.col("_top"), "left").withColumn("copies", F.expr("if(_top is null, array(named_struct('to', group, 'last', false)), array(named_struct('to', group, 'last', false), named_struct('to', _to, 'last', true)))"))
     dealt = dealt.select("doc_id", "text", "sketch", F.inline("copies"))
     order = Window.partitionBy("to").orderBy("last", F.desc("doc_id"), "text")
