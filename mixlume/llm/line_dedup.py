@@ -67,19 +67,20 @@ def report(docs: DataFrame) -> DataFrame:
     return marked.select("doc_id", F.col("line_total").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2(F.coalesce("line_text", F.lit("")), 256).alias("text_sha256"))
 
 
+_TRIMMED = "trim(x, ' ' || chr(9) || chr(13))"
 ORACLE_SQL = f"""
 WITH lines AS (
-    SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+    SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), pages AS (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY source),
 seen AS (
     SELECT source, line, count(*) AS n FROM (
-        SELECT source, unnest(list_distinct(list_filter(list_transform(ls, x -> trim(x, ' ' || chr(9) || chr(13))), x -> x <> ''))) AS line FROM lines WHERE source IS NOT NULL
+        SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: {_TRIMMED}), lambda x: x <> ''))) AS line FROM lines WHERE source IS NOT NULL
     ) GROUP BY source, line HAVING count(*) >= {LEAST_PAGES}
 ), sites AS (
     SELECT source, list(line) AS bad FROM seen JOIN pages USING (source) WHERE n > {RATIO} * pages GROUP BY source
 ), kept AS (
-    SELECT doc_id, text, ls, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, x -> NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) END AS ks
-    FROM lines JOIN documents USING (doc_id, source) LEFT JOIN sites USING (source)
+    SELECT doc_id, text, ls, CASE WHEN bad IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(bad, {_TRIMMED})) END AS ks
+    FROM lines LEFT JOIN sites USING (source)
 )
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END AS n_lines, CASE WHEN text IS NULL THEN 0 ELSE len(ls) - len(ks) END AS n_dropped,
     sha256(CASE WHEN text IS NULL THEN '' ELSE coalesce(array_to_string(ks, chr(10)), '') END) AS text_sha256
