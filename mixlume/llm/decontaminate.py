@@ -151,3 +151,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def digest(items: list[str]) -> str:
     """What report() makes of a list of items (for tests)."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, unnest(CASE WHEN len(ws) >= {WINDOW} THEN list_transform(range(1, len(ws) - {WINDOW} + 2), lambda i: array_to_string(ws[i:i + {WINDOW - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g,
+    least(len(ws), {WINDOW}) AS k FROM items),
+docs AS (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
+grams AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM win))),
+hits AS (SELECT doc_id, i, grams.k AS k, item FROM grams JOIN win ON grams.g = win.g AND grams.k = win.k),
+n_hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+owners AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN n_hits USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""

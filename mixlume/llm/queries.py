@@ -55,4 +55,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_decontamination, op2_token_counts, op3_pii, op4_near_duplicates, op5_line_dedup, op6_token_files, op7_language, op8_fingerprints, op9_packing, op10_toxicity)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op4_near_duplicates": near_dup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
