@@ -28,13 +28,17 @@ def average_ranks(df: DataFrame, by: list[str], value: str, rank: str = "rank")
     return df.join(ranked, [*by, value], "left")
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation; NULL for a constant side (the built-in one fails there under ANSI rules)."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """by, n, rho over rows where both are present; NULL for fewer than 2 distinct values on a side."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
     ranked = average_ranks(average_ranks(pairs, by, "_a", "_ra"), by, "_b", "_rb")
-    stats = [F.count("*").alias("n"), F.corr("_ra", "_rb").alias("_rho"), F.stddev_pop("_ra").alias("_sa"), F.stddev_pop("_rb").alias("_sb")]
-    out = ranked.groupBy(*by).agg(*stats) if by else ranked.agg(*stats)
-    return out.select(*by, "n", F.when((F.col("_sa") > 0) & (F.col("_sb") > 0), F.col("_rho")).alias("rho"))
+    stats = [F.count("*").alias("n"), correlation("_ra", "_rb").alias("rho")]
+    return ranked.groupBy(*by).agg(*stats) if by else ranked.agg(*stats)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q") -> DataFrame:
@@ -63,7 +67,7 @@ def error_metrics(actual: Column, predicted: Column) -> list[Column]:
     e = p - y
     return [
         F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
-        F.avg(F.when(y != 0, F.abs(e / y))).alias("mape"), (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"), F.corr(y, p).alias("pearson"),
+        F.avg(F.when(y != 0, F.abs(e / y))).alias("mape"), (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"), correlation(y, p).alias("pearson"),
     ]
 
 
