@@ -21,9 +21,9 @@ SAMPLE = 2000
 #: Words in a window. A window is compressed twice over: the second copy is one match, so that a lone match in the first one already shortens the block.
 WINDOW = 6
 #: A segment (the first bytes of a word, with the blank before it) is typical of a class if this many of its documents hold it, at this z score, up to this length.
-LEAST, Z, LONGEST = 6, 5.0, 13
+LEAST, Z, LONGEST = 8, 6.0, 13
 #: Bytes of a dictionary.
-BYTES = 8192
+BYTES = 2048
 WORDS = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 FEATURES = 10
 
@@ -160,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     dictionaries = _content(toxic), _content(_tails(toxic)[: len(toxic)]) + _content(ordinary)
     described = _described(rows, *dictionaries).select("toxic", "tox_features").collect()
     weights = _logistic(np.array([r["tox_features"] for r in described]), np.array([r["toxic"] for r in described], np.float64))
-    return Model(*dictionaries, weights)
+    # The sample holds up to as many documents of each class; the intercept moves to the share of toxic ones among all labels.
+    among = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    return Model(*dictionaries, (weights[0] + math.log(among[1] / among[0] * n0 / n1), *weights[1:]))
 
 
 def _described(docs: DataFrame, toxic: bytes, ordinary: bytes) -> DataFrame:
