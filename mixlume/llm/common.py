@@ -98,7 +98,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def in_slices(texts: list[bytes | None], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def in_slices(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes each; a longer text is a range of its own."""
     start = size = 0
     for i, x in enumerate(texts):
