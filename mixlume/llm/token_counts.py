@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlume.llm.common import with_columns_in_arrow
+from mixlume.llm.common import in_slices, with_columns_in_arrow
 from mixlume.llm.tokens import WordEncoder, encoder
 
 #: Words of a leaf; a leaf with four times as many is split.
-LEAF = 16
+LEAF = 32
 _SPACE = frozenset(" \t\n\v\f\r")
 ADDED = [
     T.StructField("n_tokens", T.LongType()),
@@ -38,21 +38,17 @@ def _leaves(text: str, size: int) -> list[str]:
 class TokenTree:
     """Sums of characters and tokens over a document's leaves, as implicit binary trees (node k has children 2k and 2k + 1)."""
 
-    def __init__(self, text: str, encode: WordEncoder) -> None:
-        self.encode, self.encoded = encode, 0
-        self._build(_leaves(text, LEAF))
+    def __init__(self, text: str, encode: WordEncoder, leaves: list[str] | None = None, counts: list[int] | None = None) -> None:
+        self.encode, self.encoded, self.dirty = encode, len(text), set()
+        leaves = _leaves(text, LEAF) if leaves is None else leaves
+        self._build(leaves, count(leaves, encode) if counts is None else counts)
 
-    def _count(self, leaves: list[str]) -> list[int]:
-        self.encoded += sum(map(len, leaves))
-        return [len(x) // 4 for x in self.encode.ids([s.encode("utf-8", "replace") for s in leaves])]
-
-    def _build(self, leaves: list[str], counts: list[int] | None = None) -> None:
+    def _build(self, leaves: list[str], counts: list[int]) -> None:
         self.leaves = leaves or [""]
-        counts = self._count(self.leaves) if counts is None else counts
         self.size = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens, self.words = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64), LEAF * len(self.leaves)
+        self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
         self.chars[self.size : self.size + len(self.leaves)] = [len(x) for x in self.leaves]
-        self.tokens[self.size : self.size + len(self.leaves)] = counts
+        self.tokens[self.size : self.size + len(counts)] = counts
         for sums in (self.chars, self.tokens):
             k = self.size
             while k > 1:
@@ -77,17 +73,22 @@ class TokenTree:
                 k += 1
         return k - self.size, before
 
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.leaves[leaf] = text
+    def _add(self, leaf: int, chars: int, tokens: int) -> None:
         k = self.size + leaf
-        chars, tokens = len(text) - int(self.chars[k]), tokens - int(self.tokens[k])
         while k:
             self.chars[k] += chars
             self.tokens[k] += tokens
             k //= 2
 
-    def edit(self, start: int, length: int, replacement: str) -> int:
-        """Replaces characters (clipped to the text), re-encodes the touched leaves and those whose boundary the edit has opened, and returns the new total."""
+    def _set(self, leaf: int, text: str) -> None:
+        """A leaf's new text; its tokens count 0 until settle()."""
+        chars, tokens = len(text) - len(self.leaves[leaf]), int(self.tokens[self.size + leaf])
+        self.leaves[leaf] = text
+        self._add(leaf, chars, -tokens)
+        self.dirty.add(leaf)
+
+    def change(self, start: int, length: int, replacement: str) -> None:
+        """Replaces characters (clipped to the text); the touched leaves, and those whose boundary the edit has opened, wait for their counts."""
         start = max(0, min(start, int(self.chars[1])))
         end = min(start + max(0, length), int(self.chars[1]))
         first, before = self._find(start)
@@ -99,15 +100,41 @@ class TokenTree:
             region += self.leaves[last]
         parts = _leaves(region, LEAF)
         if len(parts) > 4 * (last - first + 1):
-            counts = self.tokens[self.size : self.size + len(self.leaves)].tolist()
-            self._build(self.leaves[:first] + parts + self.leaves[last + 1 :], counts[:first] + self._count(parts) + counts[last + 1 :])
-            return self.total
-        self._set(first, region, self._count([region])[0])
+            counts, more = self.tokens[self.size : self.size + len(self.leaves)].tolist(), len(parts) - (last - first + 1)
+            self.dirty = {k if k < first else k + more for k in self.dirty if not first <= k <= last} | set(range(first, first + len(parts)))
+            self._build(self.leaves[:first] + parts + self.leaves[last + 1 :], counts[:first] + [0] * len(parts) + counts[last + 1 :])
+            return
+        self._set(first, region)
         for leaf in range(first + 1, last + 1):
-            self._set(leaf, "", 0)
+            self._set(leaf, "")
+
+    def waiting(self) -> list[str]:
+        """Texts of the leaves that wait for their counts."""
+        return [self.leaves[k] for k in sorted(self.dirty)]
+
+    def settle(self, counts: list[int]) -> None:
+        """Takes the counts of waiting() and updates the sums above those leaves."""
+        for leaf, n in zip(sorted(self.dirty), counts):
+            self.encoded += len(self.leaves[leaf])
+            self._add(leaf, 0, n)
+        self.dirty = set()
+
+    def edit(self, start: int, length: int, replacement: str) -> int:
+        """One change, settled at once; the new total."""
+        self.change(start, length, replacement)
+        self.settle(count(self.waiting(), self.encode))
         return self.total
 
 
+def count(leaves: list[str], encode: WordEncoder) -> list[int]:
+    return [len(x) // 4 for x in encode.ids([s.encode("utf-8", "replace") for s in leaves])]
+
+
+def _parted(flat: list[int], sizes: list[int]) -> list[list[int]]:
+    ends = np.cumsum(sizes).tolist()
+    return [flat[e - n : e] for e, n in zip(ends, sizes)]
+
+
 def with_counts(df: DataFrame, tokenizer: str, edits: str = "edits") -> DataFrame:
     """df with counts of its whole text before and after its edits, applied in order.
 
@@ -117,15 +144,23 @@ def with_counts(df: DataFrame, tokenizer: str, edits: str = "edits") -> DataFram
     """
 
     def make(texts: pa.Array, lists: pa.Array) -> dict[str, list]:
-        encode, rows = encoder(tokenizer), []
-        for text, todo in zip(texts, lists):
-            tree = TokenTree((text.as_py() or b"").decode("utf-8", "replace"), encode)
-            before = tree.total
-            todo = [e for e in todo.as_py() or [] if e]
-            for e in todo:
-                tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
-            now = tree.text()
-            rows.append((before, tree.total, len(todo), len(now), tree.encoded, hashlib.sha256(now.encode("utf-8", "replace")).hexdigest()))
+        encode, rows, whole, todo = encoder(tokenizer), [], texts.to_pylist(), lists.to_pylist()
+        for a, b in in_slices(whole):  # leaves of many texts are encoded in one call, and so are the leaves that all their edits touch
+            part = [(x or b"").decode("utf-8", "replace") for x in whole[a:b]]
+            leaves = [_leaves(x, LEAF) for x in part]
+            counts = _parted(count([x for own in leaves for x in own], encode), [len(x) for x in leaves])
+            trees = [TokenTree(x, encode, own, n) for x, own, n in zip(part, leaves, counts)]
+            before = [t.total for t in trees]
+            edits = [[e for e in own or [] if e] for own in todo[a:b]]
+            for tree, own in zip(trees, edits):
+                for e in own:
+                    tree.change(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
+            waiting = [t.waiting() for t in trees]
+            for tree, n in zip(trees, _parted(count([x for own in waiting for x in own], encode), [len(x) for x in waiting])):
+                tree.settle(n)
+            for tree, first, own in zip(trees, before, edits):
+                now = tree.text()
+                rows.append((first, tree.total, len(own), len(now), tree.encoded, hashlib.sha256(now.encode("utf-8", "replace")).hexdigest()))
         return dict(zip([f.name for f in ADDED], map(list, zip(*rows))))
 
     return with_columns_in_arrow(df, ["text", edits], ADDED, make)
