@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixlume.llm import near_dup
 from mixlume.llm.common import materialize
 
 #: A line is boilerplate where more than this share of its host's pages holds it, and at least this many pages.
@@ -22,26 +23,39 @@ def _key(line: str) -> str:
     return f"nullif(xxhash64(trim(BOTH ' \\t\\r' FROM {line})), xxhash64(''))"
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, groups: DataFrame | None = None) -> DataFrame:
     """host, keys: for each host the sorted hashes of its boilerplate lines.
 
     A page counts once for a line it repeats. Pages and lines are counted with partial sums before the shuffle, so neither a hot host nor a hot line is
     gathered in one task. A host has at most (distinct lines per page) / ratio such lines, however many pages it has. Pages without host form no site.
+
+    With ``groups`` (h, component_id: xxhash64 of a text and its group) the pages of a host that have equal text or are of one group count once, both as pages
+    and for the lines that any of them holds: the body of many copies is then no more frequent than that of one page.
     """
-    pages = docs.select(F.col(f"`{host}`").alias("host"), F.expr(f"array_compact(array_distinct(transform(split(coalesce(`{text}`, ''), '\\n'), x -> {_key('x')})))").alias("keys")).where("host is not null")
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    h = [] if groups is None else [F.xxhash64(f"`{text}`").alias("h")]
+    pages = docs.select(F.col(f"`{host}`").alias("host"), *h, F.expr(f"array_compact(array_distinct(transform(split(coalesce(`{text}`, ''), '\\n'), x -> {_key('x')})))").alias("keys")).where("host is not null")
+    units, lines = pages, pages.select("host", *["h" for _ in h], F.explode("keys").alias("key"))
+    if groups is not None:
+
+        def once(rows: DataFrame) -> DataFrame:  # copies are one row before the join
+            columns = [c for c in rows.columns if c != "h"]
+            named = rows.distinct().join(groups, "h", "left").withColumn("h", F.when(F.col("component_id").isNull(), F.col("h")))
+            return named.select(*columns, "component_id", "h").distinct()
+
+        units, lines = once(pages.select("host", "h")), once(lines)
+    totals = units.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = lines.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     common = materialize(counts, "lines").join(totals, "host").where(F.col("n") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("keys"))
 
 
-def mark(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def mark(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, groups: DataFrame | None = None) -> DataFrame:
     """docs with line_text (the text without its host's boilerplate lines), line_total and line_dropped (lines, and those dropped).
 
     Lines end at a newline. Lines that stay keep their bytes and order; blank lines stay. Null text stays null with 0 lines; a null host drops nothing; repeated
-    rows count as pages of their own; columns of the added names are replaced; an empty table gives no row.
+    rows count as pages of their own without ``groups`` (see boilerplate()); columns of the added names are replaced; an empty table gives no row.
     """
-    sites = materialize(boilerplate(docs, host, text, ratio, least).withColumnRenamed("host", "_host"), "boilerplate")
+    sites = materialize(boilerplate(docs, host, text, ratio, least, groups).withColumnRenamed("host", "_host"), "boilerplate")
     out = docs.drop("line_text", "line_total", "line_dropped")
     out = out.join(sites.withColumnRenamed("keys", "_keys"), F.col(f"`{host}`") == F.col("_host"), "left").withColumn("_lines", F.expr(f"split(`{text}`, '\\n')"))
     out = out.withColumn("_kept", F.expr(f"if(_keys is null, _lines, filter(_lines, x -> not coalesce(array_contains(_keys, {_key('x')}), false)))"))
@@ -54,8 +68,12 @@ def mark(docs: DataFrame, host: str = "source", text: str = "text", ratio: float
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with boilerplate lines dropped from text, and n_chars set to the new length if there is such a column; columns as in docs."""
-    marked = mark(docs).withColumn("text", F.col("line_text"))
+    """docs with boilerplate lines dropped from text, and n_chars set to the new length if there is such a column; columns as in docs.
+
+    Near-duplicates count as one page of their host, so that a large group of copies doesn't lose its body as boilerplate. report() and its SQL count each page.
+    """
+    groups = materialize(near_dup.text_groups(docs), "groups")
+    marked = mark(docs, groups=groups).withColumn("text", F.col("line_text"))
     if "n_chars" in docs.columns:
         marked = marked.withColumn("n_chars", F.when(F.col("line_dropped") > 0, F.char_length("line_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return marked.select(*[f"`{c}`" for c in docs.columns])

@@ -238,14 +238,8 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.unionByName(materialize(rest.groupBy("key", "i", "j").applyInArrow(_spanning, "a binary, b binary"), "links"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
-
-    A document's set: the distinct 5-word shingles of its whole text, lower case in A-Z, words split at ASCII white space; with fewer words, all of them are one
-    shingle; null text or text without words has none and is linked with nothing. Documents are linked at PERCENT % of Jaccard similarity, confirmed on
-    full sets; component_id is the smallest doc_id that is reached. Texts of equal sets are one class throughout, so copies make no pairs. Rows that repeat
-    a doc_id are separate texts of one id, so that they all stay or all go; rows without doc_id are left out; an empty table gives no row.
-    """
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signed rows of docs (doc_id, h, n_shingles, cls, bands, sig), and cls, component_id of each class; both written."""
     own = docs.select("doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("text"))
     signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, _signatures).drop("text"), "signatures")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
@@ -254,12 +248,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = labels.join(nodes.select("cls", "doc_id"), "cls")
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     merged = labelled.join(smallest, "label").select("cls", "component_id")
-    ids = materialize(nodes.select("cls", "doc_id").join(merged, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    ids = nodes.select("cls", "doc_id").join(merged, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed, materialize(ids, "components")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs.
+
+    A document's set: the distinct 5-word shingles of its whole text, lower case in A-Z, words split at ASCII white space; with fewer words, all of them are one
+    shingle; null text or text without words has none and is linked with nothing. Documents are linked at PERCENT % of Jaccard similarity, confirmed on
+    full sets; component_id is the smallest doc_id that is reached. Texts of equal sets are one class throughout, so copies make no pairs. Rows that repeat
+    a doc_id are separate texts of one id, so that they all stay or all go; rows without doc_id are left out; an empty table gives no row.
+    """
+    signed, ids = _grouped(docs)
     out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
+def text_groups(docs: DataFrame) -> DataFrame:
+    """h, component_id: for the hash of each distinct text that has words, the component that near_duplicates() gives it; rows without doc_id are left out."""
+    signed, ids = _grouped(docs)
+    return signed.where("cls is not null").select("h", "cls").distinct().join(ids, "cls").select("h", "component_id")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without the documents that near_duplicates() doesn't keep; columns as in docs."""
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))

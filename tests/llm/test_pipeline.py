@@ -34,3 +34,17 @@ def test_stages_and_registration(spark, tmp_path):
     assert not [r for r in spark.read.parquet(f"{folder}/out-line_dedup").collect() if r["doc_id"] < 60 and "rights" in r["text"]]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == kept["packing"]
     assert sorted(queries.QUERIES) == sorted(f.__name__ for f in queries._ALL) and len(queries._ALL) == 10
+
+
+def test_copies_that_make_up_most_of_a_source_keep_their_text(spark):
+    line = lambda k, i: " ".join(f"{'abcdefgh'[(k + i) % 8]}{k}x{i}x{j}" for j in range(12))
+    body = lambda k: [line(k, i) for i in range(8)]
+    note = "All rights kept here"
+    rows = [(k, "\n".join([*body(k), note])) for k in range(60)]
+    rows += [(100 + k, "\n".join([*body(500), note])) for k in range(50)]
+    near = {200 + k: [*body(600)[:7], line(600, 7).rsplit(" ", 1)[0] + f" end{k}"] for k in range(50)}
+    rows += [(k, "\n".join([*lines, note])) for k, lines in near.items()]
+    docs = spark.createDataFrame([(k, t, "en", "s0", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.line_dedup_stage(spark, docs, "")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup_stage(spark, cut, "").collect()}
+    assert kept == {k: "\n".join(near[k] if k in near else body(500 if k == 100 else k)) for k in [*range(60), 100, 200]}
