@@ -10,17 +10,20 @@ from mixlume.llm import decontaminate, line_dedup, near_dup, packing, toxicity
 from mixlume.llm.common import shared_folder, table
 from mixlume.llm.queries import TOKENIZER
 
+#: Similarity from which documents are near-duplicates in the stages; op4's own contract is another.
+NEAR_PERCENT = 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(docs)
+    return line_dedup.deduplicate(docs, NEAR_PERCENT)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dup.deduplicate(docs)
+    return near_dup.deduplicate(docs, NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

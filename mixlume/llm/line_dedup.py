@@ -67,12 +67,12 @@ def mark(docs: DataFrame, host: str = "source", text: str = "text", ratio: float
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = near_dup.PERCENT) -> DataFrame:
     """docs with boilerplate lines dropped from text, and n_chars set to the new length if there is such a column; columns as in docs.
 
-    Near-duplicates count as one page of their host, so that a large group of copies doesn't lose its body as boilerplate. report() and its SQL count each page.
+    Near-duplicates (of ``percent`` % similarity) count as one page of their host, so that a large group of copies doesn't lose its body as boilerplate. report() and its SQL count each page.
     """
-    groups = materialize(near_dup.text_groups(docs), "groups")
+    groups = materialize(near_dup.text_groups(docs, percent), "groups")
     marked = mark(docs, groups=groups).withColumn("text", F.col("line_text"))
     if "n_chars" in docs.columns:
         marked = marked.withColumn("n_chars", F.when(F.col("line_dropped") > 0, F.char_length("line_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

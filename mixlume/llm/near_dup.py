@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 from mixlume.llm.common import SpanHasher, byte_table, in_slices, materialize, mix, with_columns_in_arrow
 
 SHINGLE = 5
-#: Documents are linked at 100 * intersection >= PERCENT * union.
+#: Documents are linked at 100 * intersection >= percent * union; PERCENT is the default, op4's contract.
 PERCENT = 85
-#: A pair at the threshold misses all bands with probability (1 - 0.85 ** 5) ** 24 = 8e-7.
+#: A pair at the threshold of PERCENT misses all bands with probability (1 - 0.85 ** 5) ** 24 = 8e-7; other thresholds get as many bands as keep it below BAND_MISS.
 BANDS, ROWS = 24, 5
+BAND_MISS = 1e-6
 #: Signature bytes compared between two looks at the posterior, and the chance at each look to prune a pair that is at the threshold.
 BATCH, MISS = 24, 1e-8
 #: Rows of one bucket that are compared with as many others in one task.
@@ -26,7 +27,22 @@ BLOCK = 512
 #: Words hashed at once, so that memory doesn't follow the longest text.
 CHUNK = 100_000
 WORDS = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
-_SEEDS = np.random.default_rng(20240229).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint64)
+
+
+@cache
+def band_count(percent: int = PERCENT) -> int:
+    """Bands of ROWS hashes that a pair at the threshold misses with probability below BAND_MISS: 24 at 85 %, 35 at 80 %."""
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    return 1 if percent == 100 else math.ceil(math.log(BAND_MISS) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+@cache
+def _seeds(n: int) -> np.ndarray:
+    """The seeds of the first n hashes; those of fewer hashes are the beginning of those of more."""
+    width = BANDS * ROWS
+    parts = [np.random.default_rng(20240229 + k).integers(0, 2**63, (2, width), dtype=np.int64).astype(np.uint64) for k in range(-(-n // width))]
+    return np.concatenate(parts, axis=1)[:, :n]
 
 
 @cache
@@ -67,7 +83,9 @@ def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
 ADDED = [T.StructField("n_shingles", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
 
 
-def _signatures(texts: pa.Array) -> dict[str, list]:
+def _signatures(texts: pa.Array, percent: int = PERCENT) -> dict[str, list]:
+    n_bands = band_count(percent)
+    seeds = _seeds(n_bands * ROWS)
     texts = texts.to_pylist()
     counts, classes, bands, sigs = [], [], [], []
     for a, b in in_slices(texts):
@@ -79,11 +97,11 @@ def _signatures(texts: pa.Array) -> dict[str, list]:
         if len(full):
             u = np.concatenate([sets[i] for i in full])
             at = np.concatenate([[0], np.cumsum(n[full])[:-1]])
-            low = np.empty((BANDS * ROWS, len(full)), np.uint64)
-            for k in range(BANDS * ROWS):
-                low[k] = np.minimum.reduceat((u ^ _SEEDS[0, k]) * (_SEEDS[1, k] | np.uint64(1)), at)
+            low = np.empty((n_bands * ROWS, len(full)), np.uint64)
+            for k in range(n_bands * ROWS):
+                low[k] = np.minimum.reduceat((u ^ seeds[0, k]) * (seeds[1, k] | np.uint64(1)), at)
             name = np.stack([np.add.reduceat(mix(u), at), np.add.reduceat(mix(~u), at) ^ n[full].astype(np.uint64)], 1)
-            key = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            key = np.zeros((len(full), n_bands), np.uint64) + np.arange(n_bands, dtype=np.uint64)
             for r in range(ROWS):
                 key = mix(key ^ low[r::ROWS].T)
             sig = (mix(low) >> np.uint64(56)).astype(np.uint8).T
@@ -101,7 +119,7 @@ def least_matches(miss: float = MISS, percent: int = PERCENT) -> tuple[int, ...]
     """For each number of compared signature bytes that is a multiple of BATCH: matches below which P(similarity >= threshold | matches) < miss, uniform prior."""
     s = percent / 100 + (1 - percent / 100) / 256
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, band_count(percent) * ROWS + 1, BATCH):
         tail, m = 0.0, -1
         while tail < miss:  # P(Beta(m + 1, n - m + 1) > s) = P(Binomial(n + 1, s) <= m)
             m += 1
@@ -110,10 +128,10 @@ def least_matches(miss: float = MISS, percent: int = PERCENT) -> tuple[int, ...]
     return tuple(out)
 
 
-def _survive(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _survive(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which rows of two signature matrices aren't pruned, batch by batch."""
     alive, matches = np.arange(len(a)), np.zeros(len(a), np.int64)
-    for k, least in enumerate(least_matches()):
+    for k, least in enumerate(least_matches(MISS, percent)):
         cols = slice(k * BATCH, (k + 1) * BATCH)
         matches = matches + (a[alive, cols] == b[alive, cols]).sum(axis=1)
         kept = matches >= least
@@ -121,17 +139,17 @@ def _survive(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return alive
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
+def _matrix(column: pa.Array, percent: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), band_count(percent) * ROWS)
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prune(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield batch.take(pa.array(_survive(_matrix(batch.column(2)), _matrix(batch.column(3))))).select(["a", "b"])
+            yield batch.take(pa.array(_survive(_matrix(batch.column(2), percent), _matrix(batch.column(3), percent), percent))).select(["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose full shingle sets reach the threshold; rows of the same a follow each other."""
     last, mine = None, None
     for batch in batches:
@@ -142,7 +160,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key != last:
                     last, mine = key, shingle_sets([texts_a[i].as_py()])[0]
                 both = len(np.intersect1d(mine, theirs, assume_unique=True))
-                if 100 * both >= PERCENT * (len(mine) + len(theirs) - both):
+                if 100 * both >= percent * (len(mine) + len(theirs) - both):
                     kept.append(i)
         yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
 
@@ -165,16 +183,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def _spanning(group: pa.Table) -> pa.Table:
+def _spanning(group: pa.Table, percent: int) -> pa.Table:
     """Links between rows of different labels in one bucket (or of two blocks of it), as few as connect what they connect.
 
     Signatures of all pairs are compared batch by batch; the full sets of the rows of surviving pairs decide.
     """
     classes, labels, block = group.column("cls").to_pylist(), group.column("label").to_pylist(), np.array(group.column("block"))
-    sigs = _matrix(group.column("sig").combine_chunks())
+    sigs = _matrix(group.column("sig").combine_chunks(), percent)
     own = np.unique(np.array([hash(x) for x in labels]), return_inverse=True)[1]
     i, j = np.nonzero((own[:, None] != own) & np.triu(np.ones((len(own), len(own)), bool), 1) & ((block[:, None] != block) | (len(np.unique(block)) == 1)))
-    alive = [at + _survive(sigs[i[at : at + 65536]], sigs[j[at : at + 65536]]) for at in range(0, len(i), 65536)]
+    alive = [at + _survive(sigs[i[at : at + 65536]], sigs[j[at : at + 65536]], percent) for at in range(0, len(i), 65536)]
     alive = np.concatenate(alive) if alive else np.zeros(0, np.int64)
     i, j = i[alive], j[alive]
     rows = np.unique(np.concatenate([i, j]))
@@ -194,15 +212,15 @@ def _spanning(group: pa.Table) -> pa.Table:
     for x, y in zip(i.tolist(), j.tolist()):
         if (p := root(x)) != (q := root(y)):
             n, m = len(sets[x]), len(sets[y])
-            if 100 * min(n, m) >= PERCENT * max(n, m):
+            if 100 * min(n, m) >= percent * max(n, m):
                 both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
-                if 100 * both >= PERCENT * (n + m - both):
+                if 100 * both >= percent * (n + m - both):
                     parent[max(p, q)] = min(p, q)
                     links.append((classes[x], classes[y]))
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 
-def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of equal sets that connect all that is linked; written."""
 
     def texts_of(classes: DataFrame, name: str) -> DataFrame:
@@ -218,10 +236,10 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
     sigs = nodes.select("cls", "sig")
     signed = pairs.join(sigs.toDF("b", "sb"), "b").join(sigs.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    alive = materialize(signed.mapInArrow(_prune, "a binary, b binary"), "alive")
+    alive = materialize(signed.mapInArrow(lambda batches: _prune(batches, percent), "a binary, b binary"), "alive")
     texts = texts_of(alive.select(F.explode(F.array("a", "b")).alias("cls")), "texts")
     joined = alive.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    links = materialize(joined.mapInArrow(_verify, "a binary, b binary"), "links")
+    links = materialize(joined.mapInArrow(lambda batches: _verify(batches, percent), "a binary, b binary"), "links")
 
     # What the heads leave apart, in blocks: buckets of three or more whose members aren't yet all of one label. A label's members are linked.
     up = links.groupBy("b").agg(F.min("a").alias("m"))
@@ -235,16 +253,16 @@ def _links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rest = rest.join(sigs, "cls").join(texts, "cls")
-    return links.unionByName(materialize(rest.groupBy("key", "i", "j").applyInArrow(_spanning, "a binary, b binary"), "links"))
+    return links.unionByName(materialize(rest.groupBy("key", "i", "j").applyInArrow(lambda group: _spanning(group, percent), "a binary, b binary"), "links"))
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows of docs (doc_id, h, n_shingles, cls, bands, sig), and cls, component_id of each class; both written."""
     own = docs.select("doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("text"))
-    signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, _signatures).drop("text"), "signatures")
+    signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, lambda texts: _signatures(texts, percent)).drop("text"), "signatures")
     classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
     nodes = materialize(classes.select("cls", "rep.doc_id", "rep.h", "x.bands", "x.sig"), "classes")
-    labels = components(_links(docs, nodes)).withColumnRenamed("node", "cls")
+    labels = components(_links(docs, nodes, percent)).withColumnRenamed("node", "cls")
     labelled = labels.join(nodes.select("cls", "doc_id"), "cls")
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     merged = labelled.join(smallest, "label").select("cls", "component_id")
@@ -252,29 +270,29 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed, materialize(ids, "components")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
     A document's set: the distinct 5-word shingles of its whole text, lower case in A-Z, words split at ASCII white space; with fewer words, all of them are one
-    shingle; null text or text without words has none and is linked with nothing. Documents are linked at PERCENT % of Jaccard similarity, confirmed on
+    shingle; null text or text without words has none and is linked with nothing. Documents are linked at ``percent`` % of Jaccard similarity, confirmed on
     full sets; component_id is the smallest doc_id that is reached. Texts of equal sets are one class throughout, so copies make no pairs. Rows that repeat
     a doc_id are separate texts of one id, so that they all stay or all go; rows without doc_id are left out; an empty table gives no row.
     """
-    signed, ids = _grouped(docs)
+    signed, ids = _grouped(docs, percent)
     out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
-def text_groups(docs: DataFrame) -> DataFrame:
+def text_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """h, component_id: for the hash of each distinct text that has words, the component that near_duplicates() gives it; rows without doc_id are left out."""
-    signed, ids = _grouped(docs)
+    signed, ids = _grouped(docs, percent)
     return signed.where("cls is not null").select("h", "cls").distinct().join(ids, "cls").select("h", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that near_duplicates() doesn't keep; columns as in docs."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

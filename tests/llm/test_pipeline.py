@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from mixlume.llm import queries
+from mixlume.llm import near_dup, queries
 
 
 def test_stages_and_registration(spark, tmp_path):
@@ -48,3 +48,12 @@ def test_copies_that_make_up_most_of_a_source_keep_their_text(spark):
     cut = corpus_pipeline.line_dedup_stage(spark, docs, "")
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup_stage(spark, cut, "").collect()}
     assert kept == {k: "\n".join(near[k] if k in near else body(500 if k == 100 else k)) for k in [*range(60), 100, 200]}
+
+
+def test_near_dedup_stage_links_from_eighty_percent(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; each changed word far from the others changes five of each side: 90 / 110 and 85 / 115
+    texts = [words, [*words[:20], "x", *words[21:60], "y", *words[61:]], [*words[:20], "p", *words[21:50], "q", *words[51:80], "r", *words[81:]]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2]
+    assert near_dup.deduplicate(docs).count() == 3
+    assert [near_dup.band_count(p) for p in (85, 80)] == [near_dup.BANDS, 35] and len(near_dup.least_matches(percent=80)) == 35 * near_dup.ROWS // near_dup.BATCH
