@@ -201,7 +201,7 @@ def _(spark, d):
 
 @query("m24_equal_loss_root", None, "target n")
 def _(spark, d):
-    r = runs(spark, d).where("n > 45").select("n", "d", (budget.classic(F.col("n"), F.col("d"), *_LAW) + 0.01).alias("target"))
+    r = runs(spark, d).select("n", "d", (budget.classic(F.col("n"), F.col("d"), *_LAW) + 0.01).alias("target"))
     return r.select("d", "target", budget.size_for_loss(F.col("target"), F.col("d"), _LAW).alias("n"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from mixlume.functions import expr
 from mixlume.operators import budget, conflict, frontier, mixture, moments, quality, resample, stats, validate
+from mixlume.plans import registry
+from mixlume.plans.entities import runs
 from mixlume.sources import io
 from mixlume.streaming import scoring
 
@@ -206,3 +208,8 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "q" / "quantiles")).count() == 2
+
+
+def test_equal_loss_roots_of_all_runs(spark):
+    folder = "/root/testdata/sf0.001"
+    assert registry.QUERIES["m24_equal_loss_root"](spark, folder).count() == runs(spark, folder).count()
