@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlume.functions.expr import quality_cost
@@ -69,7 +69,7 @@ def joint(recipes: DataFrame, scenarios: DataFrame, law: tuple[float, ...], size
 
 def crossings(rows: DataFrame, steps: int) -> DataFrame:
     """idx, family, q: first quality on a grid of [0, 2] at which a family's cost passes the row's base cost."""
-    x = rows.withColumn("family", F.explode(F.array(F.lit("exp"), F.lit("power"), F.lit("log")))).withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: 2.0 * k / (steps - 1))))
-    over = (quality_cost(F.col("q"), F.col("family")) > F.col("base")).cast("int")
-    w = Window.partitionBy("idx", "family").orderBy("q")
-    return x.withColumn("o", over).withColumn("b", F.lag("o").over(w)).where("o = 1 and b = 0").groupBy("idx", "family").agg(F.min("q").alias("q"))
+    x = rows.withColumn("family", F.explode(F.array(F.lit("exp"), F.lit("power"), F.lit("log"))))
+    at = lambda k: quality_cost(2.0 * k / (steps - 1), F.col("family"))
+    passed = F.filter(F.sequence(F.lit(1), F.lit(steps - 1)), lambda k: (at(k) > F.col("base")) & (at(k - 1) <= F.col("base")))
+    return x.withColumn("q", 2.0 * F.get(passed, F.lit(0)) / (steps - 1)).where("q is not null").select("idx", "family", "q")

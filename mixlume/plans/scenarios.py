@@ -131,7 +131,7 @@ def _(spark, d):
 @query("g3_critical_points", None, "q")
 def _(spark, d):
     """Where each recipe's quality cost crosses the base cost, per family, on a grid of qualities."""
-    return allocation.crossings(recipe_table(spark, d).where("idx % 10 = 0").select("idx", (1 + F.col("loss_d")).alias("base")), 41)
+    return allocation.crossings(recipe_table(spark, d).select("idx", (1 + F.col("loss_d")).alias("base")), 41)
 
 
 @query("m11_log_linear", "WITH " + RUNS_SQL + " SELECT count(*) AS n, regr_slope(ln(loss), ln(n)) AS slope, regr_intercept(ln(loss), ln(n)) AS intercept FROM run", "slope intercept")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import lzma
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from mixlume.functions import expr
 from mixlume.operators import budget, conflict, frontier, mixture, moments, quality, resample, stats, validate
 from mixlume.plans import registry
-from mixlume.plans.entities import runs
+from mixlume.plans.entities import recipes, runs
 from mixlume.sources import io
 from mixlume.streaming import scoring
 
@@ -213,3 +214,16 @@ def test_streams(spark, tmp_path):
 def test_equal_loss_roots_of_all_runs(spark):
     folder = "/root/testdata/sf0.001"
     assert registry.QUERIES["m24_equal_loss_root"](spark, folder).count() == runs(spark, folder).count()
+
+
+def test_crossings_of_all_recipes(spark):
+    folder = "/root/testdata/sf0.001"
+    cost = {"exp": lambda q: math.exp(q) - 1, "power": lambda q: q * q, "log": lambda q: math.log(1 + q)}
+    expected = {}
+    for r in recipes(spark, folder).collect():
+        for family, f in cost.items():
+            q = next((k / 20 for k in range(1, 41) if f(k / 20) > 1 + r["loss_d"] >= f((k - 1) / 20)), None)
+            if q is not None:
+                expected[r["idx"], family] = q
+    got = {(r["idx"], r["family"]): r["q"] for r in registry.QUERIES["g3_critical_points"](spark, folder).collect()}
+    assert got == pytest.approx(expected) and any(idx % 10 for idx, _ in got)
