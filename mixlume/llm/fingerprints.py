@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 #: A shingle hash below 2**63 / SCALE is retained.
-SCALE = 16
+SCALE = 2
 #: doc_ids that one window of neighbours spans.
 WIDTH = 1024
 #: Distinct keys that one task may order.
@@ -81,11 +81,12 @@ def report(docs: DataFrame, scale: int = SCALE, width: int = WIDTH) -> DataFrame
         lowest = highest = 0
     lower = _next_lower(groups.select(F.col("group").alias("key")), n, width).where("lower is not null").select(F.col("key").alias("to"), F.col("lower").alias("group"))
     tops = groups.join(lower, "group", "left").select("top", F.when(F.col("group") == highest, F.lit(lowest)).otherwise(F.col("to")).alias("to"))
-    numbered = with_sketch(own, "text", "sketch", scale).withColumn("group", group)
+    numbered = own.withColumn("group", group)
     tops = tops.select(F.col("top").alias("_top"), F.col("to").alias("_to"))
     tops = F.broadcast(tops) if n <= BROADCAST else tops  # n rows of two integers
     dealt = numbered.join(tops, F.col("doc_id") == F.col("_top"), "left").withColumn("copies", F.expr("if(_top is null, array(named_struct('to', group, 'last', false)), array(named_struct('to', group, 'last', false), named_struct('to', _to, 'last', true)))"))
-    dealt = dealt.select("doc_id", "text", "sketch", F.inline("copies"))
+    dealt = dealt.select("doc_id", "text", F.inline("copies"))
+    dealt = with_sketch(dealt.repartition("to"), "text", "sketch", scale)  # after the shuffle, which carries texts alone
     order = Window.partitionBy("to").orderBy("last", F.desc("doc_id"), "text")
     both = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).where("not last")
     both = both.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -11,6 +11,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from mixlume.llm import decontaminate, fingerprints, lang_id, line_dedup, near_dup, packing, pii, token_counts, token_files, toxicity
 from mixlume.llm.tokens import WordEncoder
 
@@ -267,6 +269,16 @@ def test_fingerprints(spark, docs, empty):
     assert sorted((r["key"], r["lower"]) for r in found.collect()) == list(zip(keys, [None, *keys[:-1]]))
 
 
+def test_fingerprints_of_short_texts_that_share_half(spark):
+    words = lambda k, part: " ".join(f"{part}{k}q{i}" for i in range(25))
+    rows = [(k, f"{words(k, 'a')} {words(k, 'b')}", f"{words(k, 'a')} {words(k, 'c')}") for k in range(60)]
+    pairs = spark.createDataFrame(rows, "k long, a string, b string")
+    for name in "ab":
+        pairs = fingerprints.with_sketch(pairs, name, f"s{name}")
+    got = [r["x"] for r in pairs.select(fingerprints.likeness(F.col("sa"), F.col("sb")).alias("x")).collect()]
+    assert min(got) > 0 and abs(sum(got) / len(got) - 21 / 71) < 0.05
+
+
 def test_packing(spark, docs, empty):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     got = packing.pack(docs, TOKENIZER).toPandas()
