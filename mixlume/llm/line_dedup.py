@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlume.llm import near_dup
-from mixlume.llm.common import materialize
+from mixlume.llm.common import materialize, quoted, unused
 
-#: A line is boilerplate where more than this share of its host's pages holds it, and at least this many pages.
+#: A line is boilerplate where more than this share of its host's pages holds it.
 RATIO = 0.02
-LEAST_PAGES = 5
+#: Pages that must hold a line, whatever the ratio: 1 leaves the ratio alone. On a host of fewer than 1 / RATIO pages each line exceeds the ratio.
+LEAST_PAGES = 1
 
 
 def host_of(url: Column) -> Column:
@@ -32,8 +33,8 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
     With ``groups`` (h, component_id: xxhash64 of a text and its group) the pages of a host that have equal text or are of one group count once, both as pages
     and for the lines that any of them holds: the body of many copies is then no more frequent than that of one page.
     """
-    h = [] if groups is None else [F.xxhash64(f"`{text}`").alias("h")]
-    pages = docs.select(F.col(f"`{host}`").alias("host"), *h, F.expr(f"array_compact(array_distinct(transform(split(coalesce(`{text}`, ''), '\\n'), x -> {_key('x')})))").alias("keys")).where("host is not null")
+    h = [] if groups is None else [F.xxhash64(quoted(text)).alias("h")]
+    pages = docs.select(F.col(quoted(host)).alias("host"), *h, F.expr(f"array_compact(array_distinct(transform(split(coalesce({quoted(text)}, ''), '\\n'), x -> {_key('x')})))").alias("keys")).where("host is not null")
     units, lines = pages, pages.select("host", *["h" for _ in h], F.explode("keys").alias("key"))
     if groups is not None:
 
@@ -55,28 +56,35 @@ def mark(docs: DataFrame, host: str = "source", text: str = "text", ratio: float
     Lines end at a newline. Lines that stay keep their bytes and order; blank lines stay. Null text stays null with 0 lines; a null host drops nothing; repeated
     rows count as pages of their own without ``groups`` (see boilerplate()); columns of the added names are replaced; an empty table gives no row.
     """
-    sites = materialize(boilerplate(docs, host, text, ratio, least, groups).withColumnRenamed("host", "_host"), "boilerplate")
-    out = docs.drop("line_text", "line_total", "line_dropped")
-    out = out.join(sites.withColumnRenamed("keys", "_keys"), F.col(f"`{host}`") == F.col("_host"), "left").withColumn("_lines", F.expr(f"split(`{text}`, '\\n')"))
-    out = out.withColumn("_kept", F.expr(f"if(_keys is null, _lines, filter(_lines, x -> not coalesce(array_contains(_keys, {_key('x')}), false)))"))
+    added = ("line_text", "line_total", "line_dropped")
+    others = [c for c in docs.columns if c.lower() not in added]
+    site, keys, lines, kept = (unused(x, docs.columns) for x in ("_site", "_keys", "_lines", "_kept"))
+    sites = materialize(boilerplate(docs, host, text, ratio, least, groups).toDF(site, keys), "boilerplate")
+    out = docs.join(sites, F.col(quoted(host)) == F.col(site), "left").withColumn(lines, F.expr(f"split({quoted(text)}, '\\n')"))
+    out = out.withColumn(kept, F.expr(f"if({keys} is null, {lines}, filter({lines}, x -> not coalesce(array_contains({keys}, {_key('x')}), false)))"))
     return out.select(
-        *[f"`{c}`" for c in docs.columns if c not in ("line_text", "line_total", "line_dropped")],
-        F.expr("if(_lines is null, null, array_join(_kept, '\\n'))").alias("line_text"),
-        F.expr("if(_lines is null, 0L, cast(size(_lines) as bigint))").alias("line_total"),
-        F.expr("if(_lines is null, 0L, cast(size(_lines) - size(_kept) as bigint))").alias("line_dropped"),
+        *[F.col(quoted(c)) for c in others],
+        F.expr(f"if({lines} is null, null, array_join({kept}, '\\n'))").alias("line_text"),
+        F.expr(f"if({lines} is null, 0L, cast(size({lines}) as bigint))").alias("line_total"),
+        F.expr(f"if({lines} is null, 0L, cast(size({lines}) - size({kept}) as bigint))").alias("line_dropped"),
     )
 
 
-def deduplicate(docs: DataFrame, percent: int = near_dup.PERCENT) -> DataFrame:
-    """docs with boilerplate lines dropped from text, and n_chars set to the new length if there is such a column; columns as in docs.
+def deduplicate(docs: DataFrame, percent: int = near_dup.PERCENT, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+    """docs with boilerplate lines dropped from text, and n_chars set to the new length if there is such a column; columns as in docs, whatever their names.
 
     Near-duplicates (of ``percent`` % similarity) count as one page of their host, so that a large group of copies doesn't lose its body as boilerplate. report() and its SQL count each page.
     """
     groups = materialize(near_dup.text_groups(docs, percent), "groups")
-    marked = mark(docs, groups=groups).withColumn("text", F.col("line_text"))
-    if "n_chars" in docs.columns:
-        marked = marked.withColumn("n_chars", F.when(F.col("line_dropped") > 0, F.char_length("line_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return marked.select(*[f"`{c}`" for c in docs.columns])
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    named = dict(zip(docs.columns, columns))
+    plain = docs.select(*[F.col(quoted(c)).alias(k) for c, k in named.items()])
+    marked = mark(plain, named["source"], named["text"], ratio, least, groups)
+    now = {"text": F.col("line_text")}
+    if "n_chars" in named:
+        own = F.col(named["n_chars"])
+        now["n_chars"] = F.when(F.col("line_dropped") > 0, F.char_length("line_text").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+    return marked.select(*[now.get(c, F.col(k)).alias(c) for c, k in named.items()])
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -93,7 +101,7 @@ WITH lines AS (
 seen AS (
     SELECT source, line, count(*) AS n FROM (
         SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: {_TRIMMED}), lambda x: x <> ''))) AS line FROM lines WHERE source IS NOT NULL
-    ) GROUP BY source, line HAVING count(*) >= {LEAST_PAGES}
+    ) GROUP BY source, line 
 ), sites AS (
     SELECT source, list(line) AS bad FROM seen JOIN pages USING (source) WHERE n > {RATIO} * pages GROUP BY source
 ), kept AS (
