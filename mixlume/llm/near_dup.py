@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import cache
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlume.llm.common import SpanHasher, byte_table, in_slices, materialize, mix, with_columns_in_arrow
+from mixlume.llm.common import SpanHasher, byte_table, in_slices, materialize, mix, quoted, unused, with_columns_in_arrow
 
 SHINGLE = 5
 #: Documents are linked at 100 * intersection >= percent * union; PERCENT is the default, op4's contract.
@@ -100,13 +101,12 @@ def _signatures(texts: pa.Array, percent: int = PERCENT) -> dict[str, list]:
             low = np.empty((n_bands * ROWS, len(full)), np.uint64)
             for k in range(n_bands * ROWS):
                 low[k] = np.minimum.reduceat((u ^ seeds[0, k]) * (seeds[1, k] | np.uint64(1)), at)
-            name = np.stack([np.add.reduceat(mix(u), at), np.add.reduceat(mix(~u), at) ^ n[full].astype(np.uint64)], 1)
             key = np.zeros((len(full), n_bands), np.uint64) + np.arange(n_bands, dtype=np.uint64)
             for r in range(ROWS):
                 key = mix(key ^ low[r::ROWS].T)
             sig = (mix(low) >> np.uint64(56)).astype(np.uint8).T
             for j, i in enumerate(full):
-                rows[i] = (name[j].tobytes(), key[j].view(np.int64), sig[j].tobytes())
+                rows[i] = (hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), key[j].view(np.int64), sig[j].tobytes())
         for c, k, s in rows:
             classes.append(c)
             bands.append(k)
@@ -258,9 +258,9 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows of docs (doc_id, h, n_shingles, cls, bands, sig), and cls, component_id of each class; both written."""
-    own = docs.select("doc_id", "text").where("doc_id is not null").withColumn("h", F.xxhash64("text"))
+    own = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
     signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, lambda texts: _signatures(texts, percent)).drop("text"), "signatures")
-    classes = signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
+    classes = signed.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
     nodes = materialize(classes.select("cls", "rep.doc_id", "rep.h", "x.bands", "x.sig"), "classes")
     labels = components(_links(docs, nodes, percent)).withColumnRenamed("node", "cls")
     labelled = labels.join(nodes.select("cls", "doc_id"), "cls")
@@ -276,24 +276,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A document's set: the distinct 5-word shingles of its whole text, lower case in A-Z, words split at ASCII white space; with fewer words, all of them are one
     shingle; null text or text without words has none and is linked with nothing. Documents are linked at ``percent`` % of Jaccard similarity, confirmed on
     full sets; component_id is the smallest doc_id that is reached. Texts of equal sets are one class throughout, so copies make no pairs. Rows that repeat
-    a doc_id are separate texts of one id, so that they all stay or all go; rows without doc_id are left out; an empty table gives no row.
+    a doc_id are separate texts of one id, so that they all stay or all go; rows without doc_id are linked with nothing and kept, their component_id is null;
+    an empty table gives no row; columns other than doc_id and text aren't read.
     """
     signed, ids = _grouped(docs, percent)
-    out = signed.select("doc_id", "n_shingles", "cls").join(ids, "cls", "left")
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(ids, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def text_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """h, component_id: for the hash of each distinct text that has words, the component that near_duplicates() gives it; rows without doc_id are left out."""
     signed, ids = _grouped(docs, percent)
-    return signed.where("cls is not null").select("h", "cls").distinct().join(ids, "cls").select("h", "component_id")
+    return signed.where("cls is not null and doc_id is not null").select("h", "cls").distinct().join(ids, "cls").select("h", "component_id")
 
 
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the documents that near_duplicates() doesn't keep; columns as in docs."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = unused("_gone", docs.columns)
+    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col(quoted("doc_id")) == F.col(name), "left_anti")
 
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
