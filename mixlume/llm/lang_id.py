@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlume.llm.common import with_columns_in_arrow
+from mixlume.llm.common import materialize, with_columns_in_arrow
 
 DIM = 1024
 N = 3
-#: Languages that a model may have (a bound on what is broadcast: DIM numbers each).
-MOST_LANGUAGES = 2000
+#: Languages in one part of a model (a bound on what is collected and broadcast at once: DIM numbers each); more are compared part by part.
+PART = 2000
+#: Letters whose vectors a worker keeps (DIM numbers each); they are made from the code point, so the store can be emptied at any time.
+MOST_LETTERS = 8192
 #: Cells of one matrix of trigram counts.
 CELLS = 1 << 22
 _BLANK = ord(" ")
@@ -40,6 +42,8 @@ class Letters:
         self.dim, self.known = dim, {}
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
+        if len(self.known) + len(codes) > MOST_LETTERS:
+            self.known.clear()
         for c in codes.tolist():
             if c not in self.known:
                 self.known[c] = (2 * np.random.default_rng([7, c]).integers(0, 2, self.dim, dtype=np.int8) - 1).astype(np.float32)
@@ -139,48 +143,62 @@ def prototypes(labelled: DataFrame, dim: int = DIM) -> DataFrame:
     return bundles.groupBy("lang", "dim").agg(F.sum("value").alias("value"))
 
 
-def fit(labelled: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
-    """(languages in order, unit prototypes)."""
-    found = prototypes(labelled, dim).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).limit(MOST_LANGUAGES + 1)
-    rows = sorted((r["lang"], [x["value"] for x in r["v"]]) for r in found.collect())
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    vectors = np.array([v for _, v in rows]).reshape(len(rows), dim)
-    return [k for k, _ in rows], vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+Model = list[tuple[list[str], np.ndarray]]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score: the prototype nearest to the whole text by cosine, and that cosine (0 if negative).
+def fit(labelled: DataFrame, dim: int = DIM, part: int = PART) -> Model:
+    """Parts of at most ``part`` languages in order, each (languages, unit prototypes)."""
+    bundles = materialize(prototypes(labelled, dim), "prototypes")
+    names = sorted(r["lang"] for r in bundles.select("lang").distinct().collect())
+    out = []
+    for a in range(0, len(names), part):
+        mine = names[a : a + part]
+        rows = bundles.where(F.col("lang").between(mine[0], mine[-1])).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).collect()
+        found = {r["lang"]: [x["value"] for x in r["v"]] for r in rows}
+        vectors = np.array([found[x] for x in mine]).reshape(len(mine), dim)
+        out.append((mine, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)))
+    return out
+
+
+def nearest(texts: list[bytes | None], names: list[str], vectors: np.ndarray) -> Iterator[tuple[str | None, float]]:
+    """The language and cosine of each text's nearest prototype, the first of equal ones; (None, 0) for a text without a letter."""
+    for a, b in _slices(texts):
+        part = texts[a:b]
+        bundle = _bundles(part, np.arange(len(part)), len(part), vectors.shape[1])
+        norm = np.linalg.norm(bundle, axis=1)
+        cosine = (bundle / np.maximum(norm, 1e-12)[:, None]) @ vectors.T
+        for k, best in enumerate(cosine.argmax(axis=1)):
+            yield (names[best], float(cosine[k, best])) if norm[k] > 0 else (None, 0.0)
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred and lang_score: the prototype nearest to the whole text by cosine, and that cosine (0 if negative, 1 at most).
 
     Null text, text without a letter, and an empty model give ``und`` and 0. Ties go to the first language in order. Repeated rows stay; columns of the added
-    names are replaced; an empty table gives no row.
+    names are replaced; an empty table gives no row. Parts of a large model are compared one after the other, with a written table between them.
     """
-    names, vectors = model
-    shared = docs.sparkSession.sparkContext.broadcast((names, vectors.astype(np.float32)))
-
-    def make(column: pa.Array) -> dict[str, list]:
-        (names, vectors), texts = shared.value, column.to_pylist()
-        preds, scores = [], []
-        for a, b in _slices(texts):
-            part = texts[a:b]
-            bundle = _bundles(part, np.arange(len(part)), len(part), vectors.shape[1])
-            norm = np.linalg.norm(bundle, axis=1)
-            if not names:
-                norm[:] = 0
-                preds += ["und"] * len(part)
-                scores += [0.0] * len(part)
-                continue
-            cosine = (bundle / np.maximum(norm, 1e-12)[:, None]) @ vectors.T
-            best = cosine.argmax(axis=1)
-            preds += [names[k] if n > 0 else "und" for k, n in zip(best, norm)]
-            scores += [float(min(1.0, max(0.0, c))) if n > 0 else 0.0 for c, n in zip(cosine[np.arange(len(part)), best], norm)]
-        return {"lang_pred": preds, "lang_score": scores}
-
-    return with_columns_in_arrow(docs, [text], [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())], make)
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    if not model:
+        return with_columns_in_arrow(docs, [text], added, lambda column: {"lang_pred": ["und"] * len(column), "lang_score": [0.0] * len(column)})
+    out = docs
+    for k, (names, vectors) in enumerate(model):
+        shared = docs.sparkSession.sparkContext.broadcast((names, vectors.astype(np.float32)))
+
+        def make(column: pa.Array, *before: pa.Array, shared=shared) -> dict[str, list]:
+            found = list(nearest(column.to_pylist(), *shared.value))
+            old = list(zip(*[x.to_pylist() for x in before])) if before else [("und", 0.0)] * len(found)
+            # An earlier part's language keeps its place among equal ones; the first part's counts even at a cosine below 0.
+            kept = [(x.decode() if isinstance(x, bytes) else x, s) if n is None or (before and s >= c) else (n, min(1.0, max(0.0, c))) for (n, c), (x, s) in zip(found, old)]
+            return {"lang_pred": [n for n, _ in kept], "lang_score": [s for _, s in kept]}
+
+        out = with_columns_in_arrow(out, [text, *(("lang_pred", "lang_score") if k else ())], added, make)
+        if k + 1 < len(model):
+            out = materialize(out, "languages")
+    return out
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row for each document, predicted by a model of the documents with crc32(doc_id) modulo 4 other than 2."""
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    """One row for each document, predicted by a model of the documents with crc32(doc_id) modulo 4 other than 2; a null doc_id isn't held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held_out).select("lang", "text"))
     return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

@@ -105,14 +105,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     """Packs the documents' pieces of at most ``capacity`` ids into few sequences.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, a row for each piece. The driver gets only the histogram of lengths (at most
-    ``capacity`` rows) and broadcasts the plan made from it. Pieces get their rank within a length in slices, so a length that many copies share isn't
-    ranked in one task. Null text is a document of the end id alone; repeated doc_ids are packed each; an empty table gives no row.
+    ``capacity`` rows) and broadcasts the plan made from it. Pieces get their rank within a length in slices, as many as the length's pieces need, so a length
+    that many copies share isn't ranked in one task. Columns other than doc_id and text aren't read. Null text is a document of the end id alone; repeated doc_ids are packed each; an empty table gives no row.
     """
     made = materialize(pieces(docs, tokenizer, capacity, end_id), "pieces")
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = made.sparkSession.sparkContext.broadcast(slots(patterns(histogram, capacity)))
-    n_slices = max(1, sum(histogram.values()) // SLICE_ROWS)
-    sliced = made.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_slices)))
+    dealt = made.sparkSession.createDataFrame([(k, 1 + n // SLICE_ROWS) for k, n in histogram.items()], "length long, slices long")  # at most ``capacity`` rows
+    sliced = made.join(F.broadcast(dealt), "length").withColumn("slice", F.expr("pmod(xxhash64(doc_id, piece), slices)"))
     by_slice = sliced.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_slice.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mixlume.llm.common import quoted
+
 # Patterns are possessive where the next part can't match what the part holds, and start at the head of a run or where the last match ended:
 # the same leftmost matches in linear time, without recursion on long runs.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -18,11 +20,11 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 NEAR = 40
 #: kind: pattern, what a text must hold to have a match, check of a match, prior score, context words. The first four kinds are the base ones.
 KINDS: dict[str, tuple[str, str, str, float, str]] = {
-    "email": (EMAIL, "contains(t, '@')", "true", 0.9, "mail|contact|write|e-mail|correo|courriel"),
-    "ip": (IP, "contains(t, '.')", f"v rlike '^(?:{_OCTET})(?:[.]{_OCTET}){{3}}$'", 0.6, "ip|host|server|address|ping|login|adresse"),
-    "card": (CARD, "t rlike '[0-9]'", "luhn", 0.8, "card|visa|credit|debit|payment|amex|karte|carte|tarjeta"),
-    "phone": (PHONE, "contains(t, '+')", "length(regexp_replace(v, '[^0-9]', '')) between 9 and 15", 0.6, "phone|call|tel|mobile|fax|whatsapp|anruf"),
-    "iban": (IBAN, "t rlike '[A-Z]{2}[0-9]{2}'", "mod97", 0.9, "iban|account|bank|konto|compte|cuenta|transfer"),
+    "email": (EMAIL, "contains(t, '@')", "true", 0.9, "e-?mails?|contact|write|correo|courriel"),
+    "ip": (IP, "contains(t, '.')", f"v rlike '^(?:{_OCTET})(?:[.]{_OCTET}){{3}}$'", 0.6, "ip|hosts?|servers?|address(?:es)?|ping|login|adresse"),
+    "card": (CARD, "t rlike '[0-9]'", "luhn", 0.8, "cards?|visa|credit|debit|payments?|amex|karte|carte|tarjeta"),
+    "phone": (PHONE, "contains(t, '+')", "length(regexp_replace(v, '[^0-9]', '')) between 9 and 15", 0.6, "phones?|call|tel|mobile|fax|whatsapp|anruf"),
+    "iban": (IBAN, "t rlike '[A-Z]{2}[0-9]{2}'", "mod97", 0.9, "iban|accounts?|bank|konto|compte|cuenta|transfers?"),
 }
 BASE = ("email", "ip", "card", "phone")
 
@@ -60,9 +62,11 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
     start and end count code points, end is exclusive. Matches are the leftmost non-overlapping ones of each kind; those that fail their check (octets,
     Luhn, number of digits, mod 97) are dropped without another try. score is the kind's prior, raised by 0.1 with a context word nearby and lowered by 0.1
-    without. Null or empty text has no span. Rows stay as they are, repeated ones too; a column named pii_spans or starting with _pii_ is replaced.
+    without; a context word is a whole word. Null or empty text has no span. Rows stay as they are, repeated ones too; a column named pii_spans is replaced,
+    other columns keep their names and values, whatever the names.
     """
-    out = docs.drop("pii_spans").withColumn("_pii_t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    kept = [c for c in docs.columns if c.lower() != "pii_spans"]
+    out = docs.select(F.struct(F.lit(0), *[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(kept)]).alias("_row"), F.coalesce(F.col(quoted(text)), F.lit("")).alias("_pii_t"))
     for kind, (pattern, guard, _, _, _) in KINDS.items():
         has, t = F.expr(guard.replace("(t,", "(_pii_t,").replace("t rlike", "_pii_t rlike")), F.col("_pii_t")
         none = F.array().cast("array<string>")
@@ -73,11 +77,11 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         out = out.withColumn(f"_pii_o_{kind}", F.expr(_before(f"transform({m}, (v, i) -> cast(char_length({p}[i]) + char_length(v) as bigint))")))
     for kind, (_, _, _, prior, words) in KINDS.items():
         m, p, o = f"_pii_m_{kind}", f"_pii_p_{kind}", f"_pii_o_{kind}"
-        near = f"(right({p}[i], {NEAR}) rlike '(?i)(?<![a-z])(?:{words})' or left({p}[i + 1], {NEAR}) rlike '(?i)(?<![a-z])(?:{words})')"
+        near = f"(right({p}[i], {NEAR}) rlike '(?i)(?<![a-z])(?:{words})(?![a-z])' or left({p}[i + 1], {NEAR}) rlike '(?i)(?<![a-z])(?:{words})(?![a-z])')"
         span = f"named_struct('kind', '{kind}', 'start', {o}[i] + char_length({p}[i]), 'end', {o}[i] + char_length({p}[i]) + char_length(v), 'value', v, 'score', cast(if({near}, {prior} + 0.1, {prior} - 0.1) as double))"
         ok = f"array_compact(transform({m}, (v, i) -> if({_check(kind)}, {span}, null)))"
         out = out.withColumn(f"_pii_s_{kind}", F.expr(ok))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "pii_spans" and not c.startswith("_pii_")], F.concat(*[f"_pii_s_{k}" for k in KINDS]).alias("pii_spans"))
+    return out.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(kept)], F.concat(*[f"_pii_s_{k}" for k in KINDS]).alias("pii_spans"))
 
 
 def _joined(spans: Column) -> Column:

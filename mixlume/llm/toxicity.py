@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlume.llm.common import byte_table, materialize, with_columns_in_arrow
+from mixlume.llm.common import byte_table, materialize, quoted, with_columns_in_arrow
 
 #: Labelled documents of each class that a model is fitted on, the first by hash; at most this many are ever read for it.
 SAMPLE = 2000
@@ -260,4 +260,4 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those scored toxic; columns as in docs."""
     model = fit(docs, labels.where(~held_out()))
-    return predict(docs, model).where("tox_score < 0.5").select(*[f"`{c}`" for c in docs.columns])
+    return predict(docs, model).where("tox_score < 0.5").select(*[F.col(quoted(c)) for c in docs.columns])
