@@ -37,24 +37,41 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(column: str) -> str:
+    """The column's name as an expression, whatever characters it holds."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def unused(stem: str, columns: list[str]) -> str:
+    """A name that starts with ``stem`` and clashes with none of the columns, in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def with_columns_in_arrow(df: DataFrame, inputs: list[str], added: list[T.StructField], make: Callable[..., dict[str, pa.Array]]) -> DataFrame:
-    """Adds columns that ``make(*input_arrays)`` returns for each Arrow batch; input strings arrive as binary (UTF-8). A column of df with an added name is replaced."""
+    """Adds columns that ``make(*input_arrays)`` returns for each Arrow batch; input strings arrive as binary (UTF-8). A column of df with an added name is replaced.
+
+    Other columns keep their names and values, whatever their names are.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = {f.name for f in added}
-    keep = [c for c in df.columns if c not in names]
+    names = {f.name.lower() for f in added}
+    keep = [f for f in df.schema if f.name.lower() not in names]
+    types = {f.name: f.dataType for f in df.schema}
     kinds = {f.name: to_arrow_type(f.dataType) for f in added}
-    hidden = [f"_in{i}" for i in range(len(inputs))]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").cast("binary").alias(h) if dict(df.dtypes)[c] == "string" else F.col(f"`{c}`").alias(h) for c, h in zip(inputs, hidden)])
-    schema = T.StructType([df.schema[c] for c in keep] + added)
+    given = [F.col(quoted(c)).cast("binary") if isinstance(types[c], T.StringType) else F.col(quoted(c)) for c in inputs]
+    source = df.select(*[F.col(quoted(f.name)).alias(f"k{i}") for i, f in enumerate(keep)], *[c.alias(f"i{i}") for i, c in enumerate(given)])
+    schema = T.StructType([T.StructField(f"k{i}", f.dataType, f.nullable) for i, f in enumerate(keep)] + [T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                new = make(*[batch.column(len(keep) + i) for i in range(len(hidden))])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(new[k], type=t) for k, t in kinds.items()]], names=[*keep, *kinds])
+                new = make(*[batch.column(len(keep) + i) for i in range(len(inputs))])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(new[k], type=t) for k, t in kinds.items()]], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*[f.name for f in keep], *kinds)
 
 
 def byte_table(kept: Callable[[int], bool]) -> bytes:
@@ -62,29 +79,25 @@ def byte_table(kept: Callable[[int], bool]) -> bytes:
     return bytes((b + 32 if 65 <= b <= 90 else b) if kept(b + 32 if 65 <= b <= 90 else b) else 32 for b in range(256))
 
 
-_B = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
-    inverse = np.uint64(pow(int(_B), -1, 2**64))
-    up, down = np.full(n, _B), np.full(n, inverse)
+    up, down = np.full(n, np.uint64(base)), np.full(n, np.uint64(pow(base, -1, 2**64)))
     up[0] = down[0] = 1
     with np.errstate(over="ignore"):
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 class SpanHasher:
-    """64-bit hashes of many spans of one byte buffer from prefix sums: time per span doesn't depend on its length."""
-
-    up, down = _powers(1 << 16)
+    """64-bit hashes of many spans of one byte buffer from prefix sums: time per span doesn't depend on its length. Hashers of two seeds have bases of their own."""
 
     def __init__(self, seed: int = 0) -> None:
         self.letter = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(1000 * seed))
+        self.base = int(mix(np.array([seed + 1], np.uint64))[0]) | 5
+        self.up, self.down = _powers(self.base, 1 << 16)
 
     def __call__(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(data) + 1 > len(self.up):
-            SpanHasher.up, SpanHasher.down = _powers(len(data) + (1 << 16))
+            self.up, self.down = _powers(self.base, len(data) + (1 << 16))
         buffer = np.frombuffer(data, np.uint8)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.letter[buffer] * self.up[: len(data)], out=sums[1:])

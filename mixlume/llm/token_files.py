@@ -138,7 +138,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, segm
     """Writes each text's ids and end_id in ascending doc_id order, as segments in a Parquet container that Spark commits.
 
     A row is a segment: shard (range of doc_ids), segment, n_ids, base (ids of the shard before it), doc_ids, n_tokens, data. Null text: the end id alone.
-    Null doc_ids come first; of equal doc_ids each is written. An empty table gives no segment.
+    Null doc_ids come first; of equal doc_ids each is written. An empty table gives no segment. Columns other than doc_id and text aren't read.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]

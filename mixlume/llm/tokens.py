@@ -33,7 +33,10 @@ class WordEncoder:
             code = self.tokenizer.encode(b" ".join(runs).decode(), add_special_tokens=False)
             ids = np.array(code.ids, "<u4").tobytes()
             cuts = [0, *(4 * (np.flatnonzero(np.diff(np.array([*code.word_ids, -1], np.int64))) + 1)).tolist()]
-            self.known.update(zip(runs, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+            if len(cuts) - 1 == len(runs):
+                self.known.update(zip(runs, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:  # a run without ids: each on its own
+                others = [*runs, *others]
         for span, code in zip(others, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in others], add_special_tokens=False)):
             self.known[span] = np.array(code.ids, "<u4").tobytes()
 

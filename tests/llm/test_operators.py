@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from pyspark.sql import functions as F
@@ -64,10 +65,10 @@ def test_decontamination(spark, docs, empty):
                     found |= owners
         expected.append((doc, len(w), len(hit), len(found), decontaminate.digest(list(found)), bool(hit)))
     assert sorted(map(tuple, decontaminate.report(docs, bench).collect())) == sorted(expected)
-    # The same in many blocks, with clashing column names.
+    # The same in many parts, with clashing column names.
     clash = docs.withColumnRenamed("source", "decon_items")
     one = decontaminate.scan(docs, bench).select("doc_id", "decon_ranges", "decon_items", "decon_spans").collect()
-    many = decontaminate.scan(clash, bench, block_bytes=200).select("doc_id", "decon_ranges", "decon_items", "decon_spans").collect()
+    many = decontaminate.scan(clash, bench, most_bytes=60).select("doc_id", "decon_ranges", "decon_items", "decon_spans").collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
     for row in decontaminate.scan(docs, bench).where("doc_id = 7").collect():
         assert row["decon_spans"] == [0, 7]
@@ -113,7 +114,7 @@ def test_pii(spark, empty):
         (2, "pay by card 4111 1111 1111 1111 or 4111-1111-1111-1112, IBAN GB82 WEST 1234 5698 7654 32 or DE89370400440532013001, call +49 (0)30 1234-567. +1 2 "),
         (3, None), (4, ""), (5, "1" * 20000 + " " + "a.b" * 9000 + "@x.y " + "p@q.r " * 3000 + "+1 " + "2 " * 9000), (1, "repeated a@b.cd"),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
 
     def luhn(m: str) -> bool:
         ds = [int(c) for c in m if c.isdigit()]
@@ -137,6 +138,8 @@ def test_pii(spark, empty):
     assert [round(s["score"], 2) for s in two] == [0.9, 0.7, 1.0]
     assert pii.report(docs.where("doc_id = 5")).first()["n_email"] == 3001
     assert pii.report(empty.drop("source")).count() == 0
+    near = spark.createDataFrame([("lorem ipsum at 10.0.0.1",), ("the ip is 10.0.0.1",), ("they tell +4930123456789",), ("tel. +4930123456789",)], "text string")
+    assert [round(pii.find(near).collect()[k]["pii_spans"][0]["score"], 2) for k in range(4)] == [0.5, 0.7, 0.5, 0.7]
 
 
 def brute_components(rows):
@@ -199,9 +202,19 @@ def test_long_text_hashes_by_chunks():
 def test_line_dedup(spark, empty):
     rows = [(i, f"Menu\nstory {i}\n\n  Menu \nend {i % 2}", "h1") for i in range(30)] + [(40, "Menu\nalone", "h2"), (41, None, "h1"), (42, "", "h1"), (43, "Menu", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in line_dedup.mark(docs).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.mark(docs, least=5).collect()}
     assert got[3]["line_text"] == "story 3\n" and (got[3]["line_total"], got[3]["line_dropped"]) == (5, 3)
     assert got[40]["line_text"] == "Menu\nalone" and got[41]["line_text"] is None and got[42]["line_text"] == "" and got[43]["line_text"] == "Menu"
+    # The ratio alone, against plain Python.
+    for ratio in (0.02, 0.4, 0.6):
+        pages, holding = {}, {}
+        for _, text, host in rows:
+            if host:
+                pages[host] = pages.get(host, 0) + 1
+                for line in {x.strip(" \t\r") for x in (text or "").split("\n")} - {""}:
+                    holding[host, line] = holding.get((host, line), 0) + 1
+        left = {d: None if t is None else "\n".join(x for x in t.split("\n") if not holding.get((h, x.strip(" \t\r")), 0) > ratio * pages.get(h, 1)) for d, t, h in rows}
+        assert {r["doc_id"]: r["line_text"] for r in line_dedup.mark(docs, ratio=ratio).collect()} == left
     assert line_dedup.deduplicate(docs).columns == docs.columns
     assert line_dedup.report(empty).count() == 0
     url = spark.createDataFrame([("HTTP://u@Ex.com:80/a?b",), ("x",), (None,)], "u string").select(line_dedup.host_of("u").alias("h"))
@@ -241,6 +254,17 @@ def test_lang_id(spark, empty):
     assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (90, 91, 92))
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert lang_id.report(empty.withColumnRenamed("source", "lang")).count() == 0
+    # Parts of a model give what the whole gives; predictions and scores are those of plain cosines.
+    labelled = docs.where("lang is not null").select("lang", "text")
+    whole = lang_id.fit(labelled)
+    parted = lang_id.fit(labelled.unionByName(docs.limit(1).select(F.lit("xx").alias("lang"), F.lit("zzz qqq").alias("text"))), part=1)
+    one, many = (sorted(map(tuple, lang_id.predict(docs, m).select("doc_id", "lang_pred", F.round("lang_score", 5)).collect())) for m in (whole, parted))
+    assert len(parted) == 3 and one == many
+    sums = {x: lang_id._bundles([t.encode() for _, t, y in rows if y == x and t], np.zeros(sum(1 for _, t, y in rows if y == x and t), int), 1, lang_id.DIM)[0] for x in ("en", "de")}
+    for k, (name, score) in {k: (r["lang_pred"], r["lang_score"]) for k, r in ((r["doc_id"], r) for r in lang_id.predict(docs.where("doc_id < 4"), whole).collect())}.items():
+        b = lang_id._bundles([rows[k][1].encode()], np.zeros(1, int), 1, lang_id.DIM)[0]
+        cosine = {x: float(b @ v / np.linalg.norm(b) / np.linalg.norm(v)) for x, v in sums.items()}
+        assert name == max(cosine, key=cosine.get) and abs(score - cosine[name]) < 1e-5
     # A bundle is the sum of its trigrams' bound vectors.
     codes, owner, index = lang_id.trigrams([b"Abc"])
     vectors = lang_id._letters(64)
@@ -250,8 +274,22 @@ def test_lang_id(spark, empty):
     assert len(codes) == 3 and np.allclose(total, brute)
 
 
+_KEPT: dict = {}
+
+
+def kept(spark, text: str) -> set[int]:
+    """The shingle hashes of a text that the fixed fraction keeps, shingle by shingle."""
+    if text not in _KEPT:
+        w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if x]
+        shingles = list(dict.fromkeys(tuple(w[i : i + 5]) for i in range(len(w) - 4))) if len(w) >= 5 else [(" ".join(w),)] if w else []
+        rows = spark.createDataFrame([list(x) for x in shingles], ",".join(f"w{k} string" for k in range(len(shingles[0])))) if shingles else None
+        hashes = [r["h"] & 0x7FFFFFFFFFFFFFFF for r in rows.select(F.xxhash64(*rows.columns).alias("h")).collect()] if shingles else []
+        _KEPT[text] = {h for h in hashes if h < 2**63 // fingerprints.SCALE}
+    return _KEPT[text]
+
+
 def test_fingerprints(spark, docs, empty):
-    rows = [(d, t) for d, t, _ in AWKWARD if d != 7] + [(7, "one two"), (5000, "far away " * 9), (90000, None)]
+    rows = [(d, t) for d, t, _ in AWKWARD if d != 7] + [(7, "one two"), (5000, "far away " * 9), (90000, None), (90001, ""), *[(200 + k, f"tiny {k}") for k in range(12)]]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     texts = {d: t or "" for d, t in rows}
     order = sorted(texts, reverse=True)
@@ -262,7 +300,11 @@ def test_fingerprints(spark, docs, empty):
             text, following = texts[doc], texts[order[(i + 1) % len(order)]]
             edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
             assert got[doc]["n_chars"] == len(text) and got[doc]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert got[1]["fingerprint"] == got[2]["fingerprint"] != "" and got[2]["near_next"] == 1.0 and got[4]["fingerprint"] == ""
+            mine, other, after = (kept(spark, x) for x in (text, edited, following))
+            assert got[doc]["fingerprint"] == "".join(f"{h:016x}" for h in sorted(mine)) and got[doc]["edited_fingerprint"] == "".join(f"{h:016x}" for h in sorted(other))
+            alike = lambda a, b, same: len(a & b) / len(a | b) if a | b else float(same)
+            assert got[doc]["near_edited"] == alike(mine, other, text == edited) and got[doc]["near_next"] == alike(mine, after, text == following)
+        assert got[1]["fingerprint"] == got[2]["fingerprint"] != "" and got[2]["near_next"] == 1.0 and got[4]["fingerprint"] == "" and len({got[200 + k]["fingerprint"] for k in range(12)}) > 4
     assert fingerprints.report(empty).count() == 0
     keys = [1, 2, 3, 700, 701, 9000, 123456, 10**9]
     found = fingerprints._next_lower(spark.createDataFrame([(k,) for k in keys], "key long"), 10**7, 10)
@@ -275,10 +317,18 @@ def test_fingerprints_of_short_texts_that_share_half(spark):
     pairs = spark.createDataFrame(rows, "k long, a string, b string")
     for name in "ab":
         pairs = fingerprints.with_sketch(pairs, name, f"s{name}")
-    got = [r["x"] for r in pairs.select(fingerprints.likeness(F.col("sa"), F.col("sb")).alias("x")).collect()]
+    got = [r["x"] for r in pairs.select(fingerprints.likeness(F.col("sa"), F.col("sb"), F.col("a") == F.col("b")).alias("x")).collect()]
     assert min(got) > 0 and abs(sum(got) / len(got) - 21 / 71) < 0.05
 
 
+def test_sketches_of_parts_lie_within_the_whole(spark):
+    rows = [(f"a{k} b{k} c{k} d{k} e{k} f{k} g{k}", f"h{k} i{k} j{k} k{k} l{k}") for k in range(200)]
+    parts = spark.createDataFrame(rows, "a string, b string").withColumn("ab", F.concat_ws(" ", "a", "b"))
+    for name in ("a", "b", "ab"):
+        parts = fingerprints.with_sketch(parts, name, f"s_{name}")
+    assert parts.where("size(array_except(array_union(s_a, s_b), s_ab)) > 0").count() == 0
+
+
 def test_packing(spark, docs, empty):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     got = packing.pack(docs, TOKENIZER).toPandas()
@@ -329,6 +379,20 @@ def test_toxicity(spark, empty):
     assert all(got[k]["held_out"] for k in held)
     assert np.mean([got[k]["predicted"] == labels[k][1] for k in held]) > 0.95
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[902]["predicted"] == 1 and got[900]["predicted"] == got[901]["predicted"] == 0
+    # Scores by plain calls of the compressor on each window.
+    model = toxicity.fit(docs, marks.where(~toxicity.held_out()))
+
+    def length(content: bytes, window: bytes) -> int:
+        params = zstandard.ZstdCompressionParameters(window_log=15, hash_log=13, chain_log=13, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content.rjust(64), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(window))
+
+    for k in (0, 1, 4, 900):
+        words, over, n = (dict(map(lambda r: (r[0], r[1]), rows))[k] or "").split(), 0, 0
+        for i in range(0, len(words), toxicity.WINDOW):
+            w = (" " + " ".join(words[i : i + toxicity.WINDOW]) + " ").encode() * 2
+            over, n = over + max(0, length(model.ordinary, w) - length(model.toxic, w) - model.gain + 1), n + 1
+        d = over / (n + toxicity.SMOOTH)
+        assert abs(got[k]["score"] - (d / (d + model.threshold) if d else 0)) < 1e-12
     assert toxicity.report(docs, marks.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.report(empty, marks).count() == 0
     assert toxicity.reject(docs.withColumn("tox", docs.doc_id), marks).columns == ["doc_id", "text", "tox"]
