@@ -12,6 +12,8 @@ from mixlume.llm.queries import TOKENIZER
 
 #: Similarity from which documents are near-duplicates in the stages; op4's own contract is another.
 NEAR_PERCENT = 80
+#: Pages that must hold a line before the line-dedup stage drops it: on a small host each line exceeds the ratio, and a clean document must keep its text.
+LEAST_PAGES = 5
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +21,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(docs, NEAR_PERCENT)
+    return line_dedup.deduplicate(docs, NEAR_PERCENT, least=LEAST_PAGES)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
