@@ -50,25 +50,28 @@ def unused(stem: str, columns: list[str]) -> str:
     return stem
 
 
-def with_columns_in_arrow(df: DataFrame, inputs: list[str], added: list[T.StructField], make: Callable[..., dict[str, pa.Array]]) -> DataFrame:
+def with_columns_in_arrow(df: DataFrame, inputs: list[str], added: list[T.StructField], make: Callable[..., dict[str, pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns that ``make(*input_arrays)`` returns for each Arrow batch; input strings arrive as binary (UTF-8). A column of df with an added name is replaced.
 
-    Other columns keep their names and values, whatever their names are.
+    Other columns keep their names and values, whatever their names are; those in ``drop`` (a text that isn't needed any more) aren't sent back.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = {f.name.lower() for f in added}
-    keep = [f for f in df.schema if f.name.lower() not in names]
-    types = {f.name: f.dataType for f in df.schema}
+    gone = {f.name.lower() for f in added} | {c.lower() for c in drop}
+    keep = [f for f in df.schema if f.name.lower() not in gone]
     kinds = {f.name: to_arrow_type(f.dataType) for f in added}
-    given = [F.col(quoted(c)).cast("binary") if isinstance(types[c], T.StringType) else F.col(quoted(c)) for c in inputs]
-    source = df.select(*[F.col(quoted(f.name)).alias(f"k{i}") for i, f in enumerate(keep)], *[c.alias(f"i{i}") for i, c in enumerate(given)])
+    sent = [f.name for f in keep] + [c for c in dict.fromkeys(inputs) if c not in {f.name for f in keep}]  # a kept input is sent once
+    places = [sent.index(c) for c in inputs]
+    source = df.select(*[F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(sent)])
     schema = T.StructType([T.StructField(f"k{i}", f.dataType, f.nullable) for i, f in enumerate(keep)] + [T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added)])
 
+    def given(column: pa.Array) -> pa.Array:
+        return column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                new = make(*[batch.column(len(keep) + i) for i in range(len(inputs))])
+                new = make(*[given(batch.column(i)) for i in places])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(new[k], type=t) for k, t in kinds.items()]], names=schema.names)
 
     return source.mapInArrow(run, schema).toDF(*[f.name for f in keep], *kinds)

@@ -164,7 +164,7 @@ def _scan(text: bytes | None, matcher: Matcher, ranges: list[int] | None, items:
     return len(words), merged.tolist(), sorted(found), spans.tolist()
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes: int = MOST_BYTES, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with what the benchmark's windows hit in each whole text.
 
     Adds decon_words (words), decon_ranges (flat, disjoint, sorted [first, end) word ranges that are hit), decon_items (sorted item ids as strings)
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes: int
             found = [_scan(x, matcher, *old) for x, old in zip(text.to_pylist(), before)]
             return dict(zip([f.name for f in STATE], map(list, zip(*found))))
 
-        out = with_columns_in_arrow(out, ["text"] + (["decon_ranges", "decon_items"] if part else []), STATE, make)
+        out = with_columns_in_arrow(out, ["text"] + (["decon_ranges", "decon_items"] if part else []), STATE, make, drop if part + 1 == parts else ())
         if part + 1 < parts:
             out = materialize(out, "scanned")
     return out
@@ -196,7 +196,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, most_bytes: int
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document: counts, a digest of the items and the hit spans."""
-    found = scan(docs.select("doc_id", "text"), benchmark)
+    found = scan(docs.select("doc_id", "text"), benchmark, drop=("text",))
     pairs = F.expr("transform(sequence(0, size(decon_ranges) div 2), i -> if(2 * i < size(decon_ranges), decon_ranges[2 * i + 1] - decon_ranges[2 * i], 0))")
     return found.select(
         "doc_id",

@@ -171,7 +171,7 @@ def nearest(texts: list[bytes | None], names: list[str], vectors: np.ndarray) ->
             yield (names[best], float(cosine[k, best])) if norm[k] > 0 else (None, 0.0)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with lang_pred and lang_score: the prototype nearest to the whole text by cosine, and that cosine (0 if negative, 1 at most).
 
     Null text, text without a letter, and an empty model give ``und`` and 0. Ties go to the first language in order. Repeated rows stay; columns of the added
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
     if not model:
-        return with_columns_in_arrow(docs, [text], added, lambda column: {"lang_pred": ["und"] * len(column), "lang_score": [0.0] * len(column)})
+        return with_columns_in_arrow(docs, [text], added, lambda column: {"lang_pred": ["und"] * len(column), "lang_score": [0.0] * len(column)}, drop)
     out = docs
     for k, (names, vectors) in enumerate(model):
         shared = docs.sparkSession.sparkContext.broadcast((names, vectors.astype(np.float32)))
@@ -191,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             kept = [(x.decode() if isinstance(x, bytes) else x, s) if n is None or (before and s >= c) else (n, min(1.0, max(0.0, c))) for (n, c), (x, s) in zip(found, old)]
             return {"lang_pred": [n for n, _ in kept], "lang_score": [s for _, s in kept]}
 
-        out = with_columns_in_arrow(out, [text, *(("lang_pred", "lang_score") if k else ())], added, make)
+        out = with_columns_in_arrow(out, [text, *(("lang_pred", "lang_score") if k else ())], added, make, drop if k + 1 == len(model) else ())
         if k + 1 < len(model):
             out = materialize(out, "languages")
     return out
@@ -201,4 +201,4 @@ def report(docs: DataFrame) -> DataFrame:
     """One row for each document, predicted by a model of the documents with crc32(doc_id) modulo 4 other than 2; a null doc_id isn't held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held_out).select("lang", "text"))
-    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, drop=("text",)).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

@@ -259,7 +259,7 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The signed rows of docs (doc_id, h, n_shingles, cls, bands, sig), and cls, component_id of each class; both written."""
     own = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
-    signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, lambda texts: _signatures(texts, percent)).drop("text"), "signatures")
+    signed = materialize(with_columns_in_arrow(own, ["text"], ADDED, lambda texts: _signatures(texts, percent), ("text",)), "signatures")
     classes = signed.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first(F.struct("bands", "sig")).alias("x"))
     nodes = materialize(classes.select("cls", "rep.doc_id", "rep.h", "x.bands", "x.sig"), "classes")
     labels = components(_links(docs, nodes, percent)).withColumnRenamed("node", "cls")

@@ -135,7 +135,7 @@ def _parted(flat: list[int], sizes: list[int]) -> list[list[int]]:
     return [flat[e - n : e] for e, n in zip(ends, sizes)]
 
 
-def with_counts(df: DataFrame, tokenizer: str, edits: str = "edits") -> DataFrame:
+def with_counts(df: DataFrame, tokenizer: str, edits: str = "edits", drop: tuple[str, ...] = ()) -> DataFrame:
     """df with counts of its whole text before and after its edits, applied in order.
 
     df has text and an array of struct(start, length, replacement) in code points; positions are clipped to the text as it then is. Adds n_tokens,
@@ -163,14 +163,14 @@ def with_counts(df: DataFrame, tokenizer: str, edits: str = "edits") -> DataFram
                 rows.append((first, tree.total, len(own), len(now), tree.encoded, hashlib.sha256(now.encode("utf-8", "replace")).hexdigest()))
         return dict(zip([f.name for f in ADDED], map(list, zip(*rows))))
 
-    return with_columns_in_arrow(df, ["text", edits], ADDED, make)
+    return with_columns_in_arrow(df, ["text", edits], ADDED, make, drop)
 
 
 def count_edits(docs: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and counts for docs under a table of edits (doc_id, seq, start, length, replacement), applied by seq. Edits of unknown documents do nothing."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "start", "length", "replacement")))
     lists = edits.groupBy("doc_id").agg(F.transform(ordered, lambda e: F.struct(e["start"].alias("start"), e["length"].alias("length"), e["replacement"].alias("replacement"))).alias("edits"))
-    return with_counts(docs.select("doc_id", "text").join(lists, "doc_id", "left"), tokenizer).drop("text", "edits")
+    return with_counts(docs.select("doc_id", "text").join(lists, "doc_id", "left"), tokenizer, drop=("text", "edits"))
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:
@@ -183,4 +183,4 @@ def sample_edits(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row for each document with its counts under sample_edits()."""
-    return with_counts(sample_edits(docs), tokenizer).drop("text", "edits")
+    return with_counts(sample_edits(docs), tokenizer, drop=("text", "edits"))

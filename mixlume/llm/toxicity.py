@@ -33,6 +33,8 @@ GAINS, SMOOTH = tuple(range(1, 11)), 20
 #: Share of ordinary documents that the calibrated threshold may put among the toxic ones.
 FALSE_ALARMS = 0.01
 WORDS = byte_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
+#: Beginnings of words that a task counts before it passes the counts on.
+HELD = 50_000
 _FOLDS = 3
 
 
@@ -126,13 +128,19 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 def _counted(rows: DataFrame) -> DataFrame:
     """s, k (array: toxic documents of each fold that hold s), m (ordinary ones)."""
 
+    def counted(counts: Counter[tuple[bytes, int, int]]) -> pa.RecordBatch:
+        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*([x[i] for x in counts] for i in range(3)), list(counts.values())), kinds)], names=["s", "toxic", "fold", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[bytes, int, int]] = Counter()
         for batch in batches:
             for text, toxic, fold in zip(*[c.to_pylist() for c in batch.columns]):
                 counts.update((s, toxic, fold) for s in {s for w in set(words_of(text)) for s in beginnings(w)})
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*([x[i] for x in counts] for i in range(3)), list(counts.values())), kinds)], names=["s", "toxic", "fold", "n"])
+                if len(counts) > HELD:
+                    yield counted(counts)
+                    counts.clear()
+        yield counted(counts)
 
     held = rows.mapInArrow(run, "s binary, toxic int, fold int, n bigint")
     one = lambda toxic, fold: F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") == fold), F.col("n")).otherwise(0))
@@ -226,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     return Model(*made[best[2]], best[3], best[1])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with tox_score: distance / (distance + threshold), so 0.5 at the calibrated threshold and 0 for a text none of whose windows counts.
 
     The whole text is compressed, window by window. Null and empty texts have distance 0. Repeated rows stay; a column named tox_score is replaced; an empty
@@ -242,7 +250,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out.append(d / (d + model.threshold) if d else 0.0)
         return {"tox_score": out}
 
-    return with_columns_in_arrow(docs, ["text"], [T.StructField("tox_score", T.DoubleType())], make)
+    return with_columns_in_arrow(docs, ["text"], [T.StructField("tox_score", T.DoubleType())], make, drop)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -253,7 +261,7 @@ def held_out(doc_id: str = "doc_id"):
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document, scored by a model of labelled documents with crc32(doc_id) modulo 5 other than 0."""
     model = fit(docs, labels.where(~held_out()))
-    scored = predict(docs.select("doc_id", "text", held_out().alias("held_out")), model)
+    scored = predict(docs.select("doc_id", "text", held_out().alias("held_out")), model, ("text",))
     return scored.select("doc_id", "held_out", F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
