@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlume.functions.expr import quality_cost
+from mixlume.sources.io import cut
 
-#: Starting grid of the law's exponents and its floor, as shares of the smallest loss.
+#: Starting grid of the law's exponents.
 EXPONENTS = (0.2, 0.4, 0.6, 0.8, 1.0, 1.2)
-FLOORS = (0.5, 0.7, 0.8, 0.9, 0.95, 0.99)
 
 
 def classic(n: Column, d: Column, e: float, a: float, alpha: float, b: float, beta: float) -> Column:
@@ -17,32 +17,49 @@ def classic(n: Column, d: Column, e: float, a: float, alpha: float, b: float, be
     return F.lit(e) + F.lit(a) * F.pow(n, F.lit(-alpha)) + F.lit(b) * F.pow(d, F.lit(-beta))
 
 
-def fit_classic(points: DataFrame, group: str = "group", passes: int = 3) -> DataFrame:
-    """e, a, alpha, b, beta, loss: amplitudes by least squares for each candidate of exponents, groups weighted equally, on grids that zoom in.
+def fit_classic(points: DataFrame, group: str = "group", passes: int = 12, delta: float = 0.05, reweights: int = 3) -> DataFrame:
+    """e, a, alpha, b, beta, loss: the law with the least Huber loss of the residual of ln(loss), groups weighted equally; exponents on grids that zoom in below 1e-4.
 
-    Each pass is one aggregate over points x candidates with map-side sums; the driver sees one row for each candidate.
+    Each pass is one aggregate over points x candidates with map-side sums; the driver sees a row for each candidate. Amplitudes follow from weighted least
+    squares: a residual r / loss is that of the logarithm to first order, and the weights of the pass before, min(1, delta / |ln residual|) / loss^2, are
+    Huber's. ``loss`` is the weighted mean of Huber's function at the result.
     """
     spark = points.sparkSession
     weights = points.groupBy(group).agg((1.0 / F.count("*")).alias("_w"))
-    data = points.join(F.broadcast(weights), group).select("n", "d", "loss", "_w").persist()
-    alphas, betas = list(EXPONENTS), list(EXPONENTS)
+    data = cut(points.join(F.broadcast(weights), group).select("n", "d", "loss", "_w"), "points")
+    y = F.col("loss")
     best = None
-    for _ in range(passes):
-        grid = spark.createDataFrame([(float(x), float(y)) for x in alphas for y in betas], "alpha double, beta double")
-        rows = data.crossJoin(F.broadcast(grid))
-        u, v, w = F.pow("n", -F.col("alpha")), F.pow("d", -F.col("beta")), F.col("_w")
-        x = [F.lit(1.0), u, v, F.col("loss")]
-        sums = rows.groupBy("alpha", "beta").agg(F.array(*[F.sum(w * x[i] * x[j]) for i in range(4) for j in range(i, 4)]).alias("g"))
-        for r in sums.collect():  # one row of ten sums for each candidate
-            found = _amplitudes(r["g"])
-            if found and (best is None or found[3] < best[5]):
-                best = (found[0], found[1], r["alpha"], found[2], r["beta"], found[3])
-        step = (alphas[1] - alphas[0]) / 2
-        centre = best or (0, 0, 0.6, 0, 0.6, 0)
-        alphas = [max(0.02, centre[2] + step * k) for k in (-1, -0.5, 0, 0.5, 1)]
-        betas = [max(0.02, centre[4] + step * k) for k in (-1, -0.5, 0, 0.5, 1)]
-    data.unpersist()
-    return spark.createDataFrame([best] if best else [], "e double, a double, alpha double, b double, beta double, loss double")
+    for reweight in range(reweights):
+        if best is None:
+            w = F.col("_w") / (y * y)
+        else:
+            r = F.abs(F.ln(y) - F.ln(F.greatest(classic(F.col("n"), F.col("d"), *best[:5]), F.lit(1e-9))))
+            w = F.col("_w") / (y * y) * F.least(F.lit(1.0), F.lit(delta) / F.greatest(r, F.lit(1e-12)))
+        alphas, betas, step, found_here = list(EXPONENTS), list(EXPONENTS), EXPONENTS[1] - EXPONENTS[0], None
+        if best is not None:
+            step = 0.1
+            alphas, betas = ([max(0.02, c + step * k) for k in (-1, -0.5, 0, 0.5, 1)] for c in (best[2], best[4]))
+        for _ in range(passes if reweight else passes // 2):
+            grid = spark.createDataFrame([(float(x), float(z)) for x in sorted(set(alphas)) for z in sorted(set(betas))], "alpha double, beta double")
+            rows = data.crossJoin(F.broadcast(grid))
+            x = [F.lit(1.0), F.pow("n", -F.col("alpha")), F.pow("d", -F.col("beta")), y]
+            sums = rows.groupBy("alpha", "beta").agg(F.array(*[F.sum(w * x[i] * x[j]) for i in range(4) for j in range(i, 4)]).alias("g"))
+            for row in sums.collect():  # ten sums for each candidate
+                found = _amplitudes(row["g"])
+                if found and (found_here is None or found[3] < found_here[5]):
+                    found_here = (found[0], found[1], row["alpha"], found[2], row["beta"], found[3])
+            if found_here is None:
+                break
+            step /= 2
+            alphas, betas = ([max(0.02, c + step * k) for k in (-1, -0.5, 0, 0.5, 1)] for c in (found_here[2], found_here[4]))
+            if step < 1e-4:
+                break
+        best = found_here
+        if best is None:
+            return spark.createDataFrame([], "e double, a double, alpha double, b double, beta double, loss double")
+    r = F.abs(F.ln(y) - F.ln(F.greatest(classic(F.col("n"), F.col("d"), *best[:5]), F.lit(1e-9))))
+    huber = F.when(r <= delta, r * r / 2).otherwise(delta * (r - delta / 2))
+    return data.agg(*[F.lit(float(v)).alias(k) for k, v in zip(("e", "a", "alpha", "b", "beta"), best)], (F.sum(F.col("_w") * huber) / F.sum("_w")).alias("loss"))
 
 
 def _amplitudes(g: list[float]) -> tuple[float, float, float, float] | None:

@@ -20,10 +20,38 @@ def metric_pairs(wide: DataFrame, ids: list[str], metrics: list[str]) -> DataFra
     return wide.select(*ids, F.explode(F.array(*pairs)).alias("p")).select(*ids, "p.*")
 
 
-def pair_correlations(wide: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
-    """[by,] metric_a, metric_b, n, rho over pairwise complete rows, re-ranked for each pair; NULL for fewer than LEAST_ROWS rows or a constant side."""
+def missing_classes(wide: DataFrame, metrics: list[str]) -> dict[str, str]:
+    """For each metric the first metric that is present in exactly the same rows (itself, if there is none before it)."""
+    pairs = [(x, y) for i, x in enumerate(metrics) for y in metrics[:i]]
+    row = wide.agg(*[F.coalesce(F.bool_and(F.col(x).isNull() == F.col(y).isNull()), F.lit(True)) for x, y in pairs]).first()  # one row of few hundred flags
+    out = {m: m for m in metrics}
+    for (x, y), same in zip(pairs, row):
+        if same and metrics.index(y) < metrics.index(out[x]):
+            out[x] = y
+    return out
+
+
+def pair_correlations(wide: DataFrame, metrics: list[str], by: list[str] | None = None, key: str = "id") -> DataFrame:
+    """[by,] metric_a, metric_b, n, rho (Spearman) over pairwise complete rows; NULL for fewer than LEAST_ROWS rows or a constant side.
+
+    A metric's ranks among the rows that another one shares with it depend on that one's missing rows alone. So each metric is ranked once for each class of
+    metrics that are missing together, not once for each pair; the ranks of a row (key: its unique name) come together again, and its pairs are summed up
+    before the shuffle.
+    """
     by = by or []
-    out = stats.spearman(cut(metric_pairs(wide, by, metrics), "pairs"), [*by, "metric_a", "metric_b"], "a", "b")
+    names = sorted(metrics)
+    classes = missing_classes(wide, names)
+    heads = sorted(set(classes.values()))
+    cells = [F.when(F.col(m).isNotNull() & F.col(h).isNotNull(), F.struct(F.lit(i * len(heads) + j).alias("_cell"), F.col(m).cast("double").alias("_v"))) for i, m in enumerate(names) for j, h in enumerate(heads)]
+    long_form = cut(wide.select(key, *by, F.inline(F.array_compact(F.array(*cells)))), "cells")
+    ranked = stats.average_ranks(long_form, [*by, "_cell"], "_v", "_r")
+    rows = ranked.groupBy(key, *by).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_r"))).alias("_m"))
+    place = lambda m, other: names.index(m) * len(heads) + heads.index(classes[other])
+    pairs = wide.sparkSession.createDataFrame([(x, y, place(x, y), place(y, x)) for i, x in enumerate(names) for y in names[i + 1 :]], "metric_a string, metric_b string, _a int, _b int")
+    each = rows.crossJoin(F.broadcast(pairs)).select(*by, "metric_a", "metric_b", F.element_at("_m", F.col("_a")).alias("a"), F.element_at("_m", F.col("_b")).alias("b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    a, b = F.when(both, F.col("a")), F.when(both, F.col("b"))
+    out = each.groupBy(*by, "metric_a", "metric_b").agg(F.count(a).alias("n"), stats.correlation(a, b).alias("rho")).where("n > 0")
     return out.withColumn("rho", F.when(F.col("n") >= LEAST_ROWS, F.col("rho")))
 
 
@@ -62,6 +90,11 @@ def domain_strength(per_domain: DataFrame) -> DataFrame:
     )
 
 
+def replicated_edges(strength: DataFrame) -> DataFrame:
+    """metric_a, metric_b, weight of the pairs that are negative in each domain of domain_strength()."""
+    return strength.where("negative_domains = domains").select("metric_a", "metric_b", F.col("strength").alias("weight"))
+
+
 def conflict_degree(wide: DataFrame, edges: list[tuple[str, str, float]]) -> Column:
     """Mean gap |a - b| over the edges whose metrics are both present, weighted by the edge; NULL without such an edge. The edge list is a frozen parameter."""
     usable = [(F.col(a).isNotNull() & F.col(b).isNotNull(), F.abs(F.col(a) - F.col(b)), w) for a, b, w in edges]

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mixlume.functions.expr import hash_uniform, total
@@ -66,11 +66,14 @@ def composition_key(domains: list[str], digits: int = 6) -> Column:
 
 
 def nearest(queries: DataFrame, reference: DataFrame, key: str, domains: list[str]) -> DataFrame:
-    """key, nearest, distance (L2) of each query to the reference rows; ties go to the smaller key. The set of queries is broadcast if it is small, the reference is scanned once."""
+    """key, nearest, distance (L2) of each query to the reference rows but itself; ties go to the smaller key.
+
+    A search of a stated query set against all rows: each task keeps the best of its rows for each query, and only those meet.
+    """
     q = queries.select(F.col(key), *[F.col(m).alias(f"_{m}") for m in domains])
     r = reference.select(F.col(key).alias("_k"), *domains)
     distance = F.sqrt(total([F.pow(F.col(m) - F.col(f"_{m}"), 2) for m in domains]))
-    pairs = r.crossJoin(q).select(key, "_k", distance.alias("_d"))
+    pairs = r.join(q, F.col("_k") != F.col(key)).select(key, "_k", distance.alias("_d"))
     return pairs.groupBy(key).agg(F.min_by("_k", F.struct(F.round("_d", 9), F.col("_k"))).alias("nearest"), F.min("_d").alias("distance"))
 
 
@@ -122,10 +125,17 @@ def decide(predicted: DataFrame, key: str, a: str, b: str, weights: list[float],
     return f.groupBy("w").agg(F.min_by(key, F.struct(weighted, F.col(key))).alias("weighted_pick"), F.min_by(key, F.struct(worst, F.col(key))).alias("minimax_pick"), F.min_by(F.when(feasible, F.col(key)), F.when(feasible, F.struct(weighted, F.col(key)))).alias("capped_pick"))
 
 
-def heldout_choice(predicted: DataFrame, key: str, actual: str, prediction: str) -> DataFrame:
-    """pick, realised_rank, regret of the row with the lowest prediction."""
-    pick = predicted.agg(F.min_by(F.struct(F.col(key).alias("pick"), F.col(actual).alias("y")), F.struct(F.round(prediction, 9), F.col(key))).alias("c"), F.min(actual).alias("least"))
-    return predicted.crossJoin(F.broadcast(pick)).groupBy(F.col("c.pick").alias("pick"), (F.col("c.y") - F.col("least")).alias("regret")).agg((F.count_if(F.col(actual) < F.col("c.y")) + 1).alias("realised_rank"))
+def heldout_choices(recipes: DataFrame, key: str, x: list[str], y: str, k: int, alpha: float) -> DataFrame:
+    """fold, pick, realised_rank, regret: in each fold the row with the lowest prediction of a ridge fit on the other folds, and how it does among the fold's rows.
+
+    Moments of the folds give all fits; each row is read once more, with its fold's few coefficients.
+    """
+    rows = resample.contiguous_folds(recipes, key, k).select(key, "fold", y, *x)
+    train = moments.subtract_folds(moments.gram(rows, ["fold"], x, [y]).withColumn("one", F.lit(1)), ["one"])
+    beta = moments.fit(train, ["fold"], x, [y], (alpha,)).groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct("term", "beta"))).alias("_b"))
+    scored = rows.join(F.broadcast(beta), "fold").withColumn("_p", F.col("_b")["intercept"] + total([F.col(c) * F.col("_b")[c] for c in x]))
+    best = scored.groupBy("fold").agg(F.min_by(F.struct(F.col(key).alias("pick"), F.col(y).alias("y")), F.struct(F.round("_p", 9), F.col(key))).alias("_c"), F.min(y).alias("least"))
+    return scored.join(F.broadcast(best), "fold").groupBy("fold", F.col("_c.pick").alias("pick"), (F.col("_c.y") - F.col("least")).alias("regret")).agg((F.count_if(F.col(y) < F.col("_c.y")) + 1).alias("realised_rank"))
 
 
 def panel(rows: DataFrame, key: str, targets: list[str]) -> DataFrame:
@@ -140,15 +150,14 @@ def panel(rows: DataFrame, key: str, targets: list[str]) -> DataFrame:
 def subsample_picks(rows: DataFrame, key: str, loss: str, reps: int, seed: str) -> DataFrame:
     """pick, reps: how often each row is the best of a repeated 80 % subsample (by hash)."""
     r = rows.select(key, loss).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy("rep")
-    ranked = r.withColumn("_r", F.row_number().over(w.orderBy(hash_uniform(seed, F.col("rep"), F.col(key)), key))).withColumn("_n", F.count("*").over(w))
-    picks = ranked.where(F.col("_r") <= F.floor(F.col("_n") * 8 / 10)).groupBy("rep").agg(F.min_by(key, F.struct(F.round(loss, 9), F.col(key))).alias("pick"))
+    placed = resample.places(r.withColumn("_u", hash_uniform(seed, F.col("rep"), F.col(key))), ["rep"], "_u")
+    picks = placed.where(F.col("_place") <= F.floor(F.col("_of") * 8 / 10)).groupBy("rep").agg(F.min_by(key, F.struct(F.round(loss, 9), F.col(key))).alias("pick"))
     return picks.groupBy("pick").agg(F.count("*").alias("reps"))
 
 
 def cross_validate(recipes: DataFrame, key: str, x: list[str], y: list[str], alphas: tuple[float, ...], k: int) -> DataFrame:
     """alpha, target, rmse: ridge by k folds. One pass gives the moments of each fold; training moments and test errors both follow from them."""
-    folds = moments.gram(resample.contiguous_folds(recipes, [key], k), ["fold"], x, y).withColumn("one", F.lit(1))
+    folds = moments.gram(resample.contiguous_folds(recipes, key, k), ["fold"], x, y).withColumn("one", F.lit(1))
     train = moments.subtract_folds(folds, ["one"]).select("fold", F.col("g").alias("train"))
     both = folds.select("fold", "n", F.col("g").alias("test")).join(train, "fold")
 

@@ -87,7 +87,7 @@ def subset_families(families: dict[str, list[str]], included: list[str]) -> tupl
 
 def domain_summary(scored: DataFrame, by: str = "domain", value: str = "quality", other: str = "equal_mean") -> DataFrame:
     """Rows, medians and 10 % trimmed mean of each domain."""
-    base = scored.groupBy(by).agg(F.count(value).alias("n"), F.percentile(value, 0.5).alias("median_quality"), F.percentile(other, 0.5).alias("median_equal"))
+    base = scored.groupBy(by).agg(F.count(value).alias("n")).join(stats.quantiles(scored, [by], {"median_quality": (value, 0.5), "median_equal": (other, 0.5)}), by)
     return base.join(stats.trimmed_mean(scored, [by], value), by, "left")
 
 
@@ -121,5 +121,5 @@ def family_weight_grid(scored: DataFrame, families: list[str], by: str = "domain
     grid = [F.struct(F.lit(k).alias("grid_id"), *[F.lit(w).alias(f"w{i}") for i, w in enumerate(ws)]) for k, ws in enumerate(weight_grid(step_count))]
     value = expr.total([F.col(f"g.w{i}") * F.col(f"score_{f}") for i, f in enumerate(families)])
     rows = scored.dropna(subset=[f"score_{f}" for f in families]).select(by, *[f"score_{f}" for f in families], F.explode(F.array(*grid)).alias("g"))
-    medians = rows.select(by, F.col("g.grid_id").alias("grid_id"), value.alias("v")).groupBy("grid_id", by).agg(F.percentile("v", 0.5).alias("median"))
+    medians = stats.quantiles(rows.select(by, F.col("g.grid_id").alias("grid_id"), value.alias("v")), ["grid_id", by], {"median": ("v", 0.5)})
     return medians.withColumn("rank", F.rank().over(Window.partitionBy("grid_id").orderBy(F.desc("median"))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixlume.functions.expr import hash_uniform, poisson_one
+from mixlume.operators import stats
 
 
 def poisson_rows(df: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
@@ -16,20 +17,32 @@ def poisson_rows(df: DataFrame, key: str, reps: int, seed: str) -> DataFrame:
 
 
 def bootstrap_median(df: DataFrame, by: list[str], value: str, key: str, reps: int, seed: str) -> DataFrame:
-    """by, low, high: 95 % percentile interval of the median; each row's count enters as a frequency, so rows aren't copied."""
-    rows = df.select(*by, value, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    rows = rows.withColumn("_w", poisson_one(hash_uniform(seed, F.col("rep"), F.col(key))).cast("long")).where("_w > 0")
-    medians = rows.groupBy(*by, "rep").agg(F.percentile(value, F.lit(0.5), F.col("_w")).alias("_m"))
-    return medians.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
+    """by, low, high: 95 % percentile interval of the median over replicates; a row is in a replicate as often as its count, once on average."""
+    rows = poisson_rows(df.select(*by, value, key), key, reps, seed)
+    medians = stats.quantiles(rows, [*by, "rep"], {"_m": (value, 0.5)})
+    return medians.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))  # a value for each replicate
 
 
-def stratified_split(df: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
-    """df with part: ``fit`` for the first floor(share * n) rows of each stratum by hash, else ``check``."""
-    w = Window.partitionBy(stratum)
-    r = F.row_number().over(w.orderBy(hash_uniform(seed, F.col(key)), key))
-    return df.withColumn("part", F.when(r <= F.floor(F.lit(share) * F.count("*").over(w)), "fit").otherwise("check"))
+def places(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """df with _place (from 1, the last one of equal orders) and _of (rows) within by, parted by ranges of the order, so that a hot group isn't ordered in one task."""
+    counts = df.groupBy(*by, order).agg(F.count("*").alias("_c"))
+    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_of"))
+    placed = stats.running(counts, by, order, "_c", "_place").drop("_c")
+    placed = placed.join(F.broadcast(sizes), by) if by else placed.crossJoin(F.broadcast(sizes))
+    return df.join(placed, [*by, order])
 
 
-def contiguous_folds(df: DataFrame, order: list[str], k: int, by: list[str] | None = None) -> DataFrame:
-    """df with fold 0..k-1: contiguous, the first n % k folds one larger."""
-    return df.withColumn("fold", F.ntile(k).over(Window.partitionBy(*(by or [])).orderBy(*order)) - 1)
+def stratified_split(df: DataFrame, stratum: str, key: str, share: float, seed: str) -> DataFrame:
+    """df with part: ``fit`` for the first floor(share * n) rows of each stratum by hash, else ``check``."""
+    placed = places(df.withColumn("_u", hash_uniform(seed, F.col(key))), [stratum], "_u")
+    return placed.withColumn("part", F.when(F.col("_place") <= F.floor(F.lit(share) * F.col("_of")), "fit").otherwise("check")).drop("_u", "_place", "_of")
+
+
+def contiguous_folds(df: DataFrame, order: str | list[str], k: int, by: list[str] | None = None) -> DataFrame:
+    """df with fold 0..k-1: contiguous in the order (a unique number), the first n % k folds one larger."""
+    order = order if isinstance(order, str) else order[0]
+    placed = places(df, by or [], order)
+    size, larger = F.floor(F.col("_of") / k), F.col("_of") % k
+    before = F.col("_place") - 1
+    fold = F.when(before < larger * (size + 1), F.floor(before / (size + 1))).otherwise(larger + F.floor((before - larger * (size + 1)) / F.greatest(size, F.lit(1))))
+    return placed.withColumn("fold", fold.cast("int")).drop("_place", "_of")

@@ -5,27 +5,112 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixlume.sources.io import cut
+
 
 def unpivot(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     """ids, metric, value; missing values stay as rows."""
     return df.unpivot(ids, columns, "metric", "value")
 
 
+#: Ranges that ranks are counted in, and the accuracy of the approximate quantiles that part them (it only evens out the ranges).
+RANGES, EVENNESS = 64, 500
+#: Share of the rows on either side of a quantile that its exact search keeps: ten times the error 1 / ACCURACY of the approximate ones. Groups of fewer than
+#: WHOLE rows, in which that is less than a few rows, are kept whole.
+BAND, ACCURACY, WHOLE = 0.005, 2000, 1000
+
+
+def _keyed(by: list[str]) -> tuple[list[str], str]:
+    """(by, or one constant column; its expression)."""
+    return by or ["_all"], "_all"
+
+
+def _null_safe(a: DataFrame, b: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """a joined with the small table b on the same group columns, NULL groups too; b's group columns go."""
+    named = b.withColumnsRenamed({c: f"_j{i}" for i, c in enumerate(by)})
+    cond = F.lit(True)
+    for i, c in enumerate(by):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_j{i}"))
+    return a.join(F.broadcast(named), cond, how).drop(*[f"_j{i}" for i in range(len(by))])
+
+
+def quantiles(df: DataFrame, by: list[str], values: dict[str, tuple[str, float]]) -> DataFrame:
+    """by and, for each name: (column, q) of values, the exact q-quantile (between neighbours, linearly) of the column's present values.
+
+    Approximate quantiles around q, from one pass of partial aggregates, leave a narrow band of rows for each group; counts below the band place the exact one
+    among the band's distinct values. So no task holds a group's rows, hot or not. Rows of NULL groups are a group. A group without present values has NULL.
+    """
+    keys, constant = _keyed(by)
+    names = list(values)
+    entries = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, (c, _) in enumerate(values.values())])
+    wide = df if by else df.withColumn(constant, F.lit(0))
+    long_form = wide.select(*keys, F.inline(entries))
+    rows = long_form.where("_v is not null")
+    q = F.element_at(F.array(*[F.lit(float(x)) for _, x in values.values()]), F.col("_i") + 1)
+    low = [F.expr(f"percentile_approx(case when _i = {i} then _v end, {max(0.0, x - BAND)}D, {ACCURACY})") for i, (_, x) in enumerate(values.values())]
+    high = [F.expr(f"percentile_approx(case when _i = {i} then _v end, {min(1.0, x + BAND)}D, {ACCURACY})") for i, (_, x) in enumerate(values.values())]
+    size = [F.count_if(F.col("_i") == i) for i in range(len(values))]
+    bounds = rows.groupBy(*keys).agg(F.array(*low).alias("_lo"), F.array(*high).alias("_hi"), F.array(*size).alias("_size"))
+    near = _null_safe(rows, bounds, keys)
+    few = F.element_at("_size", F.col("_i") + 1) < WHOLE
+    lo = F.when(few, F.lit(float("-inf"))).otherwise(F.element_at("_lo", F.col("_i") + 1))
+    hi = F.when(few, F.lit(float("inf"))).otherwise(F.element_at("_hi", F.col("_i") + 1))
+    counted = near.select(*keys, "_i", F.when(F.col("_v") < lo, F.lit(None)).when(F.col("_v") <= hi, F.col("_v")).alias("_x"), (F.col("_v") < lo).alias("_below"))
+    # One row for all below the band, one for all above, one for each distinct value inside.
+    cells = counted.groupBy(*keys, "_i", "_x", "_below").agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*keys, "_i")
+    place = F.when(F.col("_below"), 0).when(F.col("_x").isNotNull(), 1).otherwise(2)
+    up = group.orderBy("_p", "_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = cells.withColumn("_p", place).withColumn("_last", F.sum("_c").over(up) - 1).withColumn("_n", F.sum("_c").over(group)).where("_p = 1")
+    inside = inside.withColumn("_first", F.col("_last") - F.col("_c") + 1).withColumn("_at", q * (F.col("_n") - 1))
+    at = lambda k: F.max(F.when((F.col("_first") <= k) & (k <= F.col("_last")), F.col("_x")))
+    found = inside.groupBy(*keys, "_i").agg(at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"), F.first("_at").alias("_at"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at"))
+    out = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, value)).alias(n) for i, n in enumerate(names)])
+    every = long_form.select(*keys).distinct() if by else None
+    if every is not None:  # groups of missing values only
+        out = _null_safe(every, out, keys, "left")
+    return out.select(*by, *names) if by else df.sparkSession.range(1).join(out, how="left").select(*names)
+
+
 def robust_params(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Center (median) and scale of each metric: 1.4826 times the median absolute deviation; if that is 0, the population standard deviation; if that is 0, 1."""
     by = by or ["metric"]
-    first = long.where("value is not null").groupBy(*by).agg(F.percentile("value", 0.5).alias("center"), F.stddev_pop("value").alias("sd"), F.count("*").alias("n"))
-    spread = long.join(F.broadcast(first), by).where("value is not null").groupBy(*by).agg(F.percentile(F.abs(F.col("value") - F.col("center")), 0.5).alias("mad"))
+    rows = long.where("value is not null")
+    first = cut(rows.groupBy(*by).agg(F.stddev_pop("value").alias("sd"), F.count("*").alias("n")).join(quantiles(rows, by, {"center": ("value", 0.5)}), by), "centers")
+    off = _null_safe(rows, first, by).withColumn("off", F.abs(F.col("value") - F.col("center")))
     scale = F.when(F.col("mad") > 1e-12, 1.4826 * F.col("mad")).when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0)
-    return first.join(spread, by).select(*by, "center", scale.alias("scale"), "n")
+    return first.join(quantiles(off, by, {"mad": ("off", 0.5)}), by).select(*by, "center", scale.alias("scale"), "n")
+
+
+def running(counts: DataFrame, by: list[str], value: str, weight: str, out: str) -> DataFrame:
+    """counts (a row for each distinct by, value) with the running sum of weight up to and with the row, in the order of value within by.
+
+    Values are dealt to RANGES ranges of about equal weight in each group, so a hot group's order is spread over tasks: sums of ranges are the bases of the
+    sums within ranges.
+    """
+    keys, constant = _keyed(by)
+    rows = counts if by else counts.withColumn(constant, F.lit(0))
+    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
+    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({cuts}), {EVENNESS})").alias("_cuts"))
+    dealt = _null_safe(rows, bounds, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum(weight).alias("_s"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*keys, F.col("_range").alias("_at"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    summed = _null_safe(dealt.withColumn(out, F.sum(weight).over(inside)), bases, keys).where("_at = _range")
+    return summed.withColumn(out, F.col(out) + F.col("_base")).drop("_range", "_at", "_base", *([] if by else [constant]))
+
+
+def ranks_of_values(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
+    """by, value, rank of each distinct present value: from 1, ties averaged. A hot value is one row, and a hot group is parted by ranges."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    return running(counts, by, value, "_c", rank).withColumn(rank, F.col(rank) - (F.col("_c") - 1) / 2).drop("_c")
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, rank: str = "rank") -> DataFrame:
-    """df with ranks from 1, ties averaged, NULL for NULL. Ranks are those of the distinct values, counted first, so a hot value is one row of the window."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    ranked = counts.withColumn(rank, F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("_c") - 1) / 2).drop("_c")
-    return df.join(ranked, [*by, value], "left")
+    """df with ranks of value within by, NULL for NULL."""
+    return df.join(ranks_of_values(df, by, value, rank), [*by, value], "left")
 
 
 def correlation(a: Column | str, b: Column | str) -> Column:
@@ -36,28 +121,46 @@ def correlation(a: Column | str, b: Column | str) -> Column:
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """by, n, rho over rows where both are present; NULL for fewer than 2 distinct values on a side."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = average_ranks(average_ranks(pairs, by, "_a", "_ra"), by, "_b", "_rb")
+    ranked = pairs.join(ranks_of_values(pairs, by, "_a", "_ra"), [*by, "_a"]).join(ranks_of_values(pairs, by, "_b", "_rb"), [*by, "_b"])
     stats = [F.count("*").alias("n"), correlation("_ra", "_rb").alias("rho")]
     return ranked.groupBy(*by).agg(*stats) if by else ranked.agg(*stats)
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q") -> DataFrame:
-    """df with adjusted p values; NULL stays NULL and isn't counted."""
+    """df with adjusted p values; NULL stays NULL and isn't counted. Equal p values share the last one's place, as the step-up rule gives them one q anyway."""
     by = by or []
-    part = Window.partitionBy(*[F.col(c) for c in by], F.col(p).isNull())
-    m, k = F.count("*").over(part), F.row_number().over(part.orderBy(p))
-    down = part.orderBy(F.desc(p), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    stepped = df.withColumn("_m", m).withColumn("_k", k).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_k"))
-    return stepped.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_m", "_k", "_raw")
+    keys, constant = _keyed(by)
+    rows = df if by else df.withColumn(constant, F.lit(0))
+    counts = rows.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    placed = running(counts, keys, p, "_c", "_k")
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    raw = _null_safe(placed, sizes, keys).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_k"))
+    stepped = lowest_above(raw, keys, p, "_raw").withColumn(out, F.least(F.lit(1.0), "_low")).select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate(keys)], F.col(p).alias("_p"), out)
+    cond = F.col(p) == F.col("_p")
+    for i, c in enumerate(keys):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_q{i}"))
+    return rows.join(stepped, cond, "left").select(*df.columns, out)
+
+
+def lowest_above(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """rows with _low: the least value at or above the row's place in the order, by ranges as in running()."""
+    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
+    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{order}`, array({cuts}), {EVENNESS})").alias("_cuts"))
+    dealt = _null_safe(rows, bounds, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts")
+    lows = dealt.groupBy(*keys, "_range").agg(F.min(value).alias("_l"))
+    after = Window.partitionBy(*keys).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    bases = lows.select(*keys, F.col("_range").alias("_at"), F.min("_l").over(after).alias("_base"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    return _null_safe(dealt.withColumn("_low", F.min(value).over(inside)), bases, keys).where("_at = _range").withColumn("_low", F.least("_low", "_base")).drop("_range", "_at", "_base")
 
 
 def trimmed_mean(df: DataFrame, by: list[str], value: str, share: float = 0.1) -> DataFrame:
-    """by, trimmed_mean: floor(share * n) values dropped at each end."""
-    part = Window.partitionBy(*by)
-    r, n = F.row_number().over(part.orderBy(value)), F.count("*").over(part)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", r).withColumn("_n", n)
+    """by, trimmed_mean: floor(share * n) values dropped at each end. Each distinct value enters as often as its places lie inside."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    placed = _null_safe(running(counts, by, value, "_c", "_k"), counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
     cut = F.floor(F.col("_n") * share)
-    return ranked.where((F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)).groupBy(*by).agg(F.avg(value).alias("trimmed_mean"))
+    kept = F.greatest(F.lit(0), F.least("_k", F.col("_n") - cut) - F.greatest(F.col("_k") - F.col("_c"), cut))
+    return placed.groupBy(*by).agg((F.sum(kept * F.col(value)) / F.nullif(F.sum(kept), F.lit(0))).alias("trimmed_mean"))
 
 
 def error_metrics(actual: Column, predicted: Column) -> list[Column]:

@@ -31,7 +31,7 @@ def raw_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
     lists = [F.slice("v", start, n).alias(name) for name, (start, n) in LISTS.items()]
     scores = [F.element_at("v", 34 + k).alias(name) for k, name in enumerate(DSIR)]
-    return text_signals(docs).join(docs.select("doc_id", "source", "lang"), "doc_id").join(vectors, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("source").alias("domain"), "lang", *RPS, *scores, *lists)
+    return text_signals(docs, others=["source", "lang"]).join(vectors, "doc_id", "left").select(F.col("doc_id").alias("id"), F.col("source").alias("domain"), "lang", *RPS, *scores, *lists)
 
 
 def compressed(raw: DataFrame, mode: str = "expectation") -> DataFrame:
@@ -42,11 +42,25 @@ def compressed(raw: DataFrame, mode: str = "expectation") -> DataFrame:
 
 
 _kept: dict[tuple, DataFrame] = {}
+_STATED = ("documents", "embeddings", "lineitem", "part", "orders")
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and time of change of the tables that kept stages are made from, as their file system tells."""
+    jvm = spark.sparkContext._jvm
+    out = []
+    for name in _STATED:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            summary = fs.getContentSummary(path)
+            out.append((name, summary.getLength(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
 
 
 def keep(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """What make() gives, written once for each session and folder: stages of the scoring pipeline are tables that many queries read."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """What make() gives, written once for each session and state of the input's files: stages of the scoring pipeline are tables that many queries read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _kept:
         _kept[key] = cut(make(), name)
     return _kept[key]

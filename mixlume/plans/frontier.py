@@ -42,12 +42,19 @@ def _(spark, d):
     return frontier.running_record(submissions(spark, d), ["kind"])
 
 
-@query("p31_g22_record_boundary", _W7 + ", r AS (SELECT month_end, kind, max(score) AS record FROM ends JOIN sub ON day <= month_end GROUP BY 1, 2) SELECT month_end, kind, least(100.0, greatest(record, q90 + greatest(0.0, top - q90))) AS boundary FROM q JOIN r USING (month_end, kind)", "boundary", "month_end")
+@query("p31_g22_record_boundary", _W7 + """, m AS (SELECT kind, day, max(score) AS s FROM sub GROUP BY 1, 2), rec AS (SELECT kind, day, max(s) OVER (PARTITION BY kind ORDER BY day) AS record FROM m),
+ r AS (SELECT month_end, kind, arg_max(record, day) AS record FROM ends JOIN rec ON day <= month_end GROUP BY 1, 2), g AS (SELECT month_end, kind, max(score) - quantile_cont(score, 0.9) AS gap FROM ends JOIN sub ON day <= month_end AND day > month_end - INTERVAL 6 MONTH GROUP BY 1, 2),
+ b AS (SELECT month_end, kind, record, least(100.0, greatest(record, q90 + greatest(0.0, gap))) AS boundary FROM q JOIN r USING (month_end, kind) JOIN g USING (month_end, kind)), n AS (SELECT month_end, kind, max(score) AS next_top FROM ends JOIN sub ON day > month_end AND day <= last_day(month_end + INTERVAL 1 MONTH) GROUP BY 1, 2)
+ SELECT month_end, kind, boundary, boundary > record AS above_record, next_top, next_top <= boundary AS held FROM b LEFT JOIN n USING (month_end, kind)""", "boundary next_top", "month_end")
 def _(spark, d):
-    sub = submissions(spark, d)
-    q = frontier.window_quantiles(sub, month_ends(spark), ["kind"], 2)
-    r = sub.join(F.broadcast(month_ends(spark)), F.col("day") <= F.col("month_end")).groupBy("month_end", "kind").agg(F.max("score").alias("record"))
-    return q.join(r, ["month_end", "kind"]).select("month_end", "kind", frontier.record_boundary(F.col("q90"), F.col("record"), F.col("top") - F.col("q90")).alias("boundary"))
+    """The boundary of each month from the two-month quantile, the record and the six-month gap, tested on the next month's top."""
+    sub, ends = submissions(spark, d), month_ends(spark)
+    q = frontier.window_quantiles(sub, ends, ["kind"], 2).select("month_end", "kind", "q90")
+    g = frontier.window_quantiles(sub, ends, ["kind"], 6).select("month_end", "kind", (F.col("top") - F.col("q90")).alias("gap"))
+    r = frontier.running_record(sub, ["kind"]).join(F.broadcast(ends), F.col("day") <= F.col("month_end")).groupBy("month_end", "kind").agg(F.max_by("record", "day").alias("record"))
+    n = sub.join(F.broadcast(ends), (F.col("day") > F.col("month_end")) & (F.col("day") <= F.last_day(F.add_months("month_end", 1)))).groupBy("month_end", "kind").agg(F.max("score").alias("next_top"))
+    b = q.join(r, ["month_end", "kind"]).join(g, ["month_end", "kind"]).withColumn("boundary", frontier.record_boundary(F.col("q90"), F.col("record"), F.col("gap")))
+    return b.join(n, ["month_end", "kind"], "left").select("month_end", "kind", "boundary", (F.col("boundary") > F.col("record")).alias("above_record"), "next_top", (F.col("next_top") <= F.col("boundary")).alias("held"))
 
 
 _ORIGINS = "o AS (SELECT CAST(x AS DATE) AS origin FROM (SELECT unnest([DATE '1997-01-01', DATE '1998-01-01', DATE '1999-01-01', DATE '2000-01-01']) AS x))"
@@ -178,15 +185,15 @@ def _(spark, d):
     return frontier.leave_one_group_out(submissions(spark, d), "kind", "score", "t")
 
 
-@query("j11_ag38_dominance", "WITH " + RUNS_SQL + ", p AS (SELECT CAST(n AS BIGINT) % 5 AS fam, n, d, loss FROM run WHERE n > 40) SELECT a.fam, count(*) AS pairs, count(*) FILTER (round(b.loss - a.loss, 9) < 0) AS agree FROM p a JOIN p b ON a.fam = b.fam AND b.n > a.n AND b.d >= a.d + 25 GROUP BY a.fam")
+@query("j11_ag38_dominance", "WITH " + RUNS_SQL + ", p AS (SELECT CAST(n AS BIGINT) % 5 AS fam, n, d, loss FROM run) SELECT a.fam, count(*) AS pairs, count(*) FILTER (round(b.loss - a.loss, 9) < 0) AS agree FROM p a JOIN p b ON a.fam = b.fam AND b.n > a.n AND b.d >= a.d + 25 GROUP BY a.fam")
 def _(spark, d):
-    p = runs(spark, d).where("n > 40").withColumn("fam", F.col("n").cast("long") % 5)
+    p = runs(spark, d).withColumn("fam", F.col("n").cast("long") % 5)
     return frontier.dominance_pairs(p, "fam", 25.0)
 
 
-@query("ag37_order_concordance", "WITH " + RUNS_SQL + ", p AS (SELECT n, d, loss, 1 + 3 / n - d / 1000 AS fit FROM run WHERE n > 45) SELECT a.n, count(*) AS pairs, avg(CAST((b.loss - a.loss < -1e-9) = (b.fit - a.fit < 0) AS INT)) AS concordance FROM p a JOIN p b ON a.n = b.n AND a.d < b.d GROUP BY a.n", "concordance")
+@query("ag37_order_concordance", "WITH " + RUNS_SQL + ", p AS (SELECT n, d, loss, 1 + 3 / n - d / 1000 AS fit FROM run) SELECT a.n, count(*) AS pairs, avg(CAST((b.loss - a.loss < -1e-9) = (b.fit - a.fit < 0) AS INT)) AS concordance FROM p a JOIN p b ON a.n = b.n AND a.d < b.d GROUP BY a.n", "concordance")
 def _(spark, d):
-    p = runs(spark, d).where("n > 45").withColumn("fit", 1 + 3 / F.col("n") - F.col("d") / 1000)
+    p = runs(spark, d).withColumn("fit", 1 + 3 / F.col("n") - F.col("d") / 1000)
     return frontier.order_concordance(p, "n", "d", "loss", "fit")
 
 

@@ -55,10 +55,10 @@ def _(spark, d):
 _DIST = " + ".join(f"power(a.{m} - b.{m}, 2)" for m in MIX)
 
 
-@query("j9_nearest_recipe", REC + f" SELECT a.idx, arg_min(b.idx, (round(sqrt({_DIST}), 9), b.idx)) AS nearest, min(sqrt({_DIST})) AS distance FROM (SELECT * FROM rec WHERE idx % 50 = 0) a, (SELECT * FROM rec WHERE idx % 50 <> 0) b GROUP BY a.idx", "distance")
+@query("j9_nearest_recipe", REC + f" SELECT a.idx, arg_min(b.idx, (round(sqrt({_DIST}), 9), b.idx)) AS nearest, min(sqrt({_DIST})) AS distance FROM (SELECT * FROM rec WHERE idx % 50 = 0) a JOIN rec b ON a.idx <> b.idx GROUP BY a.idx", "distance")
 def _(spark, d):
     r = recipe_table(spark, d)
-    return mixture.nearest(r.where("idx % 50 = 0"), r.where("idx % 50 <> 0"), "idx", MIX)
+    return mixture.nearest(r.where("idx % 50 = 0"), r, "idx", MIX)
 
 
 @query("t3_top_shares", REC + ", l AS (" + " UNION ALL ".join(f"SELECT idx, '{m}' AS domain, {m} AS share FROM rec" for m in MIX) + ") SELECT idx, string_agg(domain, ';' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY round(share, 9) DESC, domain) AS r FROM l) WHERE r <= 3 GROUP BY idx")
@@ -100,14 +100,16 @@ def _(spark, d):
 
 @query("r10_cross_validation", None, "rmse")
 def _(spark, d):
-    return mixture.cross_validate(recipe_table(spark, d), "idx", MIX[:5], LOSSES[:2], (0.01, 0.1, 1.0, 10.0), 5)
+    return mixture.cross_validate(recipe_table(spark, d), "idx", MIX[:5], LOSSES, (0.01, 0.1, 1.0, 10.0), 5)
 
 
 @query("m3_interaction_model", None, "beta")
 def _(spark, d):
-    r = mixture.with_interactions(recipe_table(spark, d), MIX[:4])
-    x = [*MIX[:5], *mixture.interaction_names(MIX[:4])]
-    return moments.fit(moments.gram(r, [], x, LOSSES[:2]), [], x, LOSSES[:2], (0.1,))
+    rec = recipe_table(spark, d)
+    varied = [r["domain"] for r in mixture.most_variable(rec, MIX, 5).collect()]  # five names
+    r = mixture.with_interactions(rec, varied)
+    x = [*MIX[:5], *mixture.interaction_names(varied)]
+    return moments.fit(moments.gram(r, [], x, LOSSES), [], x, LOSSES, (0.1,))
 
 
 _COEF = {"loss_a": [0.05, 0.01, -0.02, 0.03, 0.0, 0.02, -0.01], "loss_b": [0.04, -0.01, 0.02, 0.01, -0.03, 0.0, 0.01]}
@@ -131,10 +133,10 @@ def _(spark, d):
     return ok.agg(F.min_by("idx", F.struct(F.round("loss_a", 9), F.col("idx"))).alias("pick"), F.min("loss_a").alias("loss_a"), F.count("*").alias("feasible"))
 
 
-@query("g17_heldout_choice", REC + f", p AS (SELECT idx, loss_a, {_PRED['loss_a']} AS pred FROM rec WHERE idx % 3 = 0), c AS (SELECT arg_min(idx, (round(pred, 9), idx)) AS pick FROM p) SELECT pick, (SELECT count(*) + 1 FROM p q WHERE q.loss_a < p.loss_a) AS realised_rank, loss_a - (SELECT min(loss_a) FROM p) AS regret FROM p JOIN c ON idx = pick", "regret")
+@query("g17_heldout_choice", None, "regret")
 def _(spark, d):
-    p = mixture.predict(recipe_table(spark, d).where("idx % 3 = 0").select("idx", F.col("loss_a").alias("actual"), *MIX), MIX, _COEF)
-    return mixture.heldout_choice(p, "idx", "actual", "loss_a")
+    """Each fold's choice by a fit on the other folds."""
+    return mixture.heldout_choices(recipe_table(spark, d), "idx", MIX[:5], "loss_a", 5, 0.1)
 
 
 @query("g18_rank_correlation", REC + f", p AS (SELECT idx, loss_a AS y, {_PRED['loss_a']} AS x FROM rec), r AS (SELECT rank() OVER (ORDER BY round(x, 9)) + (count(*) OVER (PARTITION BY round(x, 9)) - 1) / 2.0 AS a, rank() OVER (ORDER BY round(y, 9)) + (count(*) OVER (PARTITION BY round(y, 9)) - 1) / 2.0 AS b FROM p) SELECT count(*) AS n, corr(a, b) AS rho FROM r", "rho")
@@ -158,7 +160,7 @@ def _(spark, d):
 
 @query("m9_classic_law", None, "e a alpha b beta loss")
 def _(spark, d):
-    return budget.fit_classic(runs(spark, d).withColumn("group", F.floor(F.col("n") / 10)), passes=2)
+    return budget.fit_classic(runs(spark, d).withColumn("group", F.floor(F.col("n") / 10)))
 
 
 _LAW = (1.05, 2.5, 0.9, 0.1, 0.3)
@@ -205,9 +207,16 @@ def _(spark, d):
     return r.select("d", "target", budget.size_for_loss(F.col("target"), F.col("d"), _LAW).alias("n"))
 
 
-@query("r6_paired_bootstrap", REC + ", w AS (SELECT rep, idx, power(loss_a - 0.05, 2) - power(loss_a - 0.045, 2) AS g, " + _U.format("'pair|' || rep || '|' || idx") + " AS u FROM rec, range(30) r(rep)), c AS (SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) AS k FROM w), m AS (SELECT rep, sum(k * g) / sum(k) * 1000 AS m FROM c GROUP BY rep) SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m", "low high")
+_FITTED = "f AS (SELECT regr_intercept(loss_a, mix_economy) AS a1, regr_slope(loss_a, mix_economy) AS b1, regr_intercept(loss_a, mix_standard) AS a2, regr_slope(loss_a, mix_standard) AS b2 FROM rec)"
+
+
+@query("r6_paired_bootstrap", REC + ", " + _FITTED + ", w AS (SELECT rep, idx, power(loss_a - a1 - b1 * mix_economy, 2) - power(loss_a - a2 - b2 * mix_standard, 2) AS g, " + _U.format("'pair|' || rep || '|' || idx") + " AS u FROM rec, f, range(30) r(rep)), c AS (SELECT *, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) AS k FROM w), m AS (SELECT rep, sum(k * g) / sum(k) * 1000000 AS m FROM c GROUP BY rep) SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m", "low high")
 def _(spark, d):
-    r = recipe_table(spark, d).select("idx", (F.pow(F.col("loss_a") - 0.05, 2) - F.pow(F.col("loss_a") - 0.045, 2)).alias("g"))
+    """Difference of the mean squared errors of two fitted models, drawn over the same recipes."""
+    rec = recipe_table(spark, d)
+    f = rec.agg(F.regr_intercept("loss_a", "mix_economy").alias("a1"), F.regr_slope("loss_a", "mix_economy").alias("b1"), F.regr_intercept("loss_a", "mix_standard").alias("a2"), F.regr_slope("loss_a", "mix_standard").alias("b2"))
+    error = lambda a, b, x: F.pow(F.col("loss_a") - F.col(a) - F.col(b) * F.col(x), 2)
+    r = rec.crossJoin(F.broadcast(f)).select("idx", (error("a1", "b1", "mix_economy") - error("a2", "b2", "mix_standard")).alias("g"))
     w = r.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("k", expr.poisson_one(expr.hash_uniform("pair", F.col("rep"), F.col("idx"))))
-    m = w.groupBy("rep").agg((F.sum(F.col("k") * F.col("g")) / F.sum("k") * 1000).alias("m"))
+    m = w.groupBy("rep").agg((F.sum(F.col("k") * F.col("g")) / F.sum("k") * 1000000).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))

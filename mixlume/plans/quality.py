@@ -6,14 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import conflict, quality, stats
+from mixlume.operators import conflict, quality, resample, stats
 from mixlume.plans.entities import DSIR, FAMILIES, LISTS, METRICS, RATIOS, RPS, keep, long_sql, raw_signals, signals, signals_sql, table
 from mixlume.plans.registry import query
 from mixlume.sources.io import cut
 
-#: Metrics of the pairwise queries (the text and importance signals; list signals are missing for most documents).
-PAIRED = ["rps_doc_word_count", "rps_doc_unigram_entropy", "rps_doc_frac_unique_words", "rps_doc_mean_word_length", "rps_lines_uppercase_letter_fraction", "rps_doc_num_sentences"]
-
 SIG = "WITH " + signals_sql()
 LONG = f", long AS ({long_sql(ids='id, domain, lang')})"
 PARAMS = LONG + """,
@@ -184,14 +181,16 @@ def _(spark, d):
     return flips.select("metric", "rho", F.when(F.col("rho") < 0, -1).otherwise(1).alias("sign"), F.when(F.col("flips"), "sign_only").otherwise("stable_loo").alias("policy"))
 
 
-def _pairs_sql(source: str, by: str) -> str:
-    names = sorted(PAIRED)
-    return ",\npr AS (" + " UNION ALL ".join(f"SELECT {by + ', ' if by else ''}'{x}' AS metric_a, '{y}' AS metric_b, {x} AS a, {y} AS b FROM {source}" for i, x in enumerate(names) for y in names[i + 1 :]) + "),\n" + _ranked("pr", (by + ", " if by else "") + "metric_a, metric_b", "a", "b", "pc")
+def _pairs_sql(source: str, by: str, key: str = "id") -> str:
+    """SQL: pr (each unordered pair of metrics of each row of source) and pc (their correlations within by); rows are told apart by key."""
+    ids = f"{key}, {by}" if by and by not in key else key
+    on = f"JOIN lo y USING ({ids}) WHERE x.metric < y.metric"
+    return f",\nlo AS ({long_sql(source, ids=ids)}),\npr AS (SELECT {ids}, x.metric AS metric_a, y.metric AS metric_b, x.value AS a, y.value AS b FROM lo x {on}),\n" + _ranked("pr", (by + ", " if by else "") + "metric_a, metric_b", "a", "b", "pc")
 
 
-@query("j13_metric_pairs", SIG + ORIENTED + _pairs_sql("ori", "id") + " SELECT metric_a, metric_b, count(*) AS rows, count(a) AS n_a, count(b) AS n_b, count(*) FILTER (a < b) AS a_below FROM pr GROUP BY metric_a, metric_b")
+@query("j13_metric_pairs", SIG + ORIENTED + _pairs_sql("ori", "") + " SELECT metric_a, metric_b, count(*) AS rows, count(a) AS n_a, count(b) AS n_b, count(*) FILTER (a < b) AS a_below FROM pr GROUP BY metric_a, metric_b")
 def _(spark, d):
-    p = conflict.metric_pairs(oriented(spark, d), ["id"], PAIRED)
+    p = conflict.metric_pairs(oriented(spark, d), ["id"], METRICS)
     return p.groupBy("metric_a", "metric_b").agg(F.count("*").alias("rows"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count_if(F.col("a") < F.col("b")).alias("a_below"))
 
 
@@ -202,17 +201,17 @@ _AG10_DOUBLES = "mean_rho min_rho max_rho strength"
 
 @query("ag10_conflict_pairs", _AG10, _AG10_DOUBLES)
 def _(spark, d):
-    return conflict.domain_strength(conflict.pair_correlations(oriented(spark, d), PAIRED, ["lang"]))
+    return conflict.domain_strength(conflict.pair_correlations(oriented(spark, d), METRICS, ["lang"]))
 
 
-@query("t2_most_negative_edges", f"SELECT * FROM ({_AG10}) ORDER BY round(mean_rho, 6), metric_a, metric_b LIMIT 5", _AG10_DOUBLES)
+@query("t2_most_negative_edges", f"SELECT * FROM ({_AG10}) ORDER BY round(mean_rho, 6), metric_a, metric_b LIMIT 10", _AG10_DOUBLES)
 def _(spark, d):
-    return conflict.domain_strength(conflict.pair_correlations(oriented(spark, d), PAIRED, ["lang"])).orderBy(F.round("mean_rho", 6), "metric_a", "metric_b").limit(5)
+    return conflict.domain_strength(conflict.pair_correlations(oriented(spark, d), METRICS, ["lang"])).orderBy(F.round("mean_rho", 6), "metric_a", "metric_b").limit(10)
 
 
 @query("ag11_tested_pairs", None, "rho p q")
 def _(spark, d):
-    return conflict.tested_pairs(conflict.pair_correlations(oriented(spark, d), PAIRED, ["lang"]), ["lang"])
+    return conflict.tested_pairs(conflict.pair_correlations(oriented(spark, d), METRICS, ["lang"]), ["lang"])
 
 
 _P = "o_totalprice / (SELECT max(o_totalprice) FROM orders)"
@@ -226,28 +225,36 @@ def _(spark, d):
     return stats.benjamini_hochberg(p, "p", ["o_orderstatus"]).select("o_orderkey", "q")
 
 
-_EDGES = [("rps_doc_frac_unique_words", "rps_doc_word_count", 0.8), ("rps_doc_mean_word_length", "rps_doc_num_sentences", 0.5), ("dsir_books", "qurater", 0.3)]
-_CD = "(" + " + ".join(f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN abs({a} - {b}) * {w} ELSE 0.0 END" for a, b, w in _EDGES) + ") / nullif(" + " + ".join(f"CASE WHEN {a} IS NOT NULL AND {b} IS NOT NULL THEN {w} ELSE 0.0 END" for a, b, w in _EDGES) + ", 0.0)"
+# The conflict graph: pairs of metrics that are negative in each language, weighted by their mean strength.
+_CD = _pairs_sql("ori", "lang") + """,
+edges AS (SELECT metric_a, metric_b, greatest(0.0, -avg(rho)) AS w FROM pc WHERE rho IS NOT NULL AND n >= 30 GROUP BY 1, 2 HAVING count(*) = count(*) FILTER (rho < 0)),
+cd AS (SELECT id, sum(abs(a - b) * w) / nullif(sum(w), 0) AS degree FROM pr JOIN edges USING (metric_a, metric_b) WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY id)"""
+
 
+def edges(spark: SparkSession, d: str) -> list[tuple[str, str, float]]:
+    """The edges of the conflict graph (at most a few hundred: pairs of metrics), as a frozen parameter."""
+    g = keep(spark, d, "edges", lambda: conflict.replicated_edges(conflict.domain_strength(conflict.pair_correlations(oriented(spark, d), METRICS, ["lang"]))))
+    return sorted(tuple(r) for r in g.collect())
 
-@query("ag14_conflict_degree", SIG + ORIENTED + f" SELECT id, {_CD} AS degree FROM ori", "degree")
+
+@query("ag14_conflict_degree", SIG + ORIENTED + _CD + " SELECT id, degree FROM ori LEFT JOIN cd USING (id)", "degree")
 def _(spark, d):
     o = oriented(spark, d)
-    return o.select("id", conflict.conflict_degree(o, _EDGES).alias("degree"))
+    return o.select("id", conflict.conflict_degree(o, edges(spark, d)).alias("degree"))
 
 
-_QD = SIG + SCORED + f",\nqd AS (SELECT id, domain, lang, quality, {_CD} AS degree FROM scored),\ncuts AS (SELECT median(quality) AS q_cut, quantile_cont(degree, 0.75) AS d_cut FROM qd)"
+_QD = SIG + SCORED + _CD + ",\nqd AS (SELECT id, domain, lang, quality, degree FROM scored LEFT JOIN cd USING (id)),\ncuts AS (SELECT median(quality) AS q_cut, quantile_cont(degree, 0.75) AS d_cut FROM qd)"
 _DECIDE = "CASE WHEN quality IS NULL AND degree IS NULL THEN 'REVIEW_MISSING_Q_AND_D' WHEN quality IS NULL THEN 'REVIEW_MISSING_Q' WHEN degree IS NULL THEN 'REVIEW_MISSING_D' WHEN quality >= q_cut AND degree < d_cut THEN 'RETAIN' WHEN quality >= q_cut THEN 'RETAIN_FLAG_REVIEW' WHEN degree < d_cut THEN 'LOW_PRIORITY' ELSE 'LOW_PRIORITY_REVIEW' END"
 
 
 def _with_degree(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d)
-    return s.select("id", "domain", "lang", "quality", conflict.conflict_degree(s, _EDGES).alias("degree"))
+    return s.select("id", "domain", "lang", "quality", conflict.conflict_degree(s, edges(spark, d)).alias("degree"))
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:
-    s = _with_degree(spark, d)
-    cuts = s.agg(F.percentile("quality", 0.5).alias("q_cut"), F.percentile("degree", 0.75).alias("d_cut"))
+    s = cut(_with_degree(spark, d), "degrees")
+    cuts = stats.quantiles(s, [], {"q_cut": ("quality", 0.5), "d_cut": ("degree", 0.75)})
     return s.crossJoin(F.broadcast(cuts)).withColumn("decision", quality.decide(F.col("quality"), F.col("degree"), F.col("q_cut"), F.col("d_cut")))
 
 
@@ -265,7 +272,9 @@ def _(spark, d):
 
 @query("ag21_missing_review", _QD + " SELECT domain, count(*) AS rows, count(*) FILTER (degree IS NULL) AS missing_degree, median(quality) AS median_quality FROM qd GROUP BY domain", "median_quality")
 def _(spark, d):
-    return _with_degree(spark, d).groupBy("domain").agg(F.count("*").alias("rows"), F.count_if(F.col("degree").isNull()).alias("missing_degree"), F.percentile("quality", 0.5).alias("median_quality"))
+    s = _with_degree(spark, d)
+    counts = s.groupBy("domain").agg(F.count("*").alias("rows"), F.count_if(F.col("degree").isNull()).alias("missing_degree"))
+    return counts.join(stats.quantiles(s, ["domain"], {"median_quality": ("quality", 0.5)}), "domain")
 
 
 @query("ag16_domain_balanced", SIG + SCORED + " SELECT avg(m) AS mean, sqrt(avg(s) - avg(m) * avg(m)) AS sd, count(*) AS domains FROM (SELECT avg(quality) AS m, avg(quality * quality) AS s FROM scored WHERE quality IS NOT NULL GROUP BY domain)", "mean sd")
@@ -288,32 +297,37 @@ def _(spark, d):
 def _(spark, d):
     s = scored(spark, d)
     variants = F.explode(F.array(*[F.struct(F.lit(f).alias("dropped"), expr.mean_present([F.col(f"score_{g}") for g in FAMILIES if g != f]).alias("v")) for f in FAMILIES]))
-    return s.select("domain", variants.alias("x")).groupBy("x.dropped", "domain").agg(F.percentile("x.v", 0.5).alias("median"))
+    return stats.quantiles(s.select("domain", variants.alias("x")).select("domain", "x.*"), ["dropped", "domain"], {"median": ("v", 0.5)})
 
 
-# The sample is a hash share of all documents, the extension all of one source.
+# Two scopes cover all documents: those with a label (the sample) and all others (the extension).
 _U = lambda key, seed: f"(CAST('0x' || substr(sha256('{seed}|' || {key}), 1, 12) AS BIGINT) / 281474976710656.0)"
-_SPLIT = f", parts AS (SELECT 'sample' AS scope, * FROM scored WHERE {_U('id', 'sample')} < 0.3 UNION ALL SELECT 'extension' AS scope, * FROM scored WHERE domain = 'src0')"
+_SPLIT = ", parts AS (SELECT CASE WHEN id IN (SELECT doc_id FROM labels) THEN 'sample' ELSE 'extension' END AS scope, * FROM scored)"
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct().withColumn("_labelled", F.lit(True))
 
 
-def _sample(df: DataFrame) -> DataFrame:
-    return df.where(expr.hash_uniform("sample", F.col("id")) < 0.3)
+def with_scope(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+    """df (id) with scope: sample or extension."""
+    return df.join(_labelled(spark, d), "id", "left").withColumn("scope", F.when(F.col("_labelled"), "sample").otherwise("extension")).drop("_labelled")
 
 
 @query("ag20_scope_drift", SIG + SCORED + _SPLIT + ", m AS (SELECT lang, median(quality) FILTER (scope = 'sample') AS sample, median(quality) FILTER (scope = 'extension') AS extension FROM parts GROUP BY lang) SELECT *, extension - sample AS drift FROM m", "sample extension drift")
 def _(spark, d):
-    s = scored(spark, d)
-    both = _sample(s).withColumn("scope", F.lit("sample")).unionByName(s.where("domain = 'src0'").withColumn("scope", F.lit("extension")))
-    m = both.groupBy("lang").agg(F.percentile(F.when(F.col("scope") == "sample", F.col("quality")), 0.5).alias("sample"), F.percentile(F.when(F.col("scope") == "extension", F.col("quality")), 0.5).alias("extension"))
-    return m.withColumn("drift", F.col("extension") - F.col("sample"))
+    m = stats.quantiles(with_scope(spark, d, scored(spark, d)), ["lang", "scope"], {"m": ("quality", 0.5)})
+    of = lambda name: F.max(F.when(F.col("scope") == name, F.col("m"))).alias(name)
+    return m.groupBy("lang").agg(of("sample"), of("extension")).withColumn("drift", F.col("extension") - F.col("sample"))
 
 
-_DOCS = f"WITH s AS (SELECT doc_id AS id, source, lang FROM documents WHERE {_U('doc_id', 'sample')} < 0.3), e AS (SELECT doc_id AS id, source, lang FROM documents WHERE source = 'src0')"
+_DOCS = "WITH s AS (SELECT doc_id AS id, source, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), e AS (SELECT doc_id AS id, source, lang FROM documents)"
 
 
 def _scopes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with a label, all documents)."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
-    return _sample(docs), docs.where("source = 'src0'")
+    return docs.join(_labelled(spark, d), "id", "left_semi"), docs
 
 
 @query("j4_remainder", _DOCS + " SELECT id, source, lang FROM e WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.id = e.id AND s.source = e.source)")
@@ -348,13 +362,17 @@ def _(spark, d):
     return flagged.agg(F.count("*").alias("base_rows"), F.count("hit").alias("contained"))
 
 
-@query("j17_sign_replication", SIG + SCORED + _SPLIT + ",\n" + "pr AS (" + " UNION ALL ".join(f"SELECT scope, '{x}' AS metric_a, '{y}' AS metric_b, {x} AS a, {y} AS b FROM parts" for i, x in enumerate(sorted(PAIRED)) for y in sorted(PAIRED)[i + 1 :]) + "),\n" + _ranked("pr", "scope, metric_a, metric_b", "a", "b", "pc") + """
- SELECT count(*) AS pairs, count(*) FILTER (s.rho < 0) AS negative, count(*) FILTER (s.rho < 0 AND e.rho < 0) AS replicated FROM (SELECT * FROM pc WHERE scope = 'sample' AND n >= 30) s JOIN (SELECT * FROM pc WHERE scope = 'extension' AND n >= 30) e USING (metric_a, metric_b)""")
+@query("j17_sign_replication", SIG + SCORED + _SPLIT + ", three AS (SELECT * FROM parts UNION ALL SELECT * REPLACE ('all' AS scope) FROM parts)" + _pairs_sql("three", "scope") + """,
+ w AS (SELECT metric_a, metric_b, max(rho) FILTER (scope = 'sample') AS s, max(rho) FILTER (scope = 'extension') AS e, max(rho) FILTER (scope = 'all') AS a FROM pc WHERE n >= 30 GROUP BY 1, 2)
+ SELECT count(*) AS pairs, count(*) FILTER (s < 0) AS negative, count(*) FILTER (s < 0 AND e < 0) AS replicated, count(*) FILTER (s < 0 AND e < 0 AND a < 0) AS in_all FROM w WHERE s IS NOT NULL AND e IS NOT NULL""")
 def _(spark, d):
-    o = oriented(spark, d)
-    pairs = lambda x, name: conflict.pair_correlations(x, PAIRED).where(f"n >= {conflict.LEAST_ROWS}").select("metric_a", "metric_b", F.col("rho").alias(name))
-    both = pairs(_sample(o), "s").join(pairs(o.where("domain = 'src0'"), "e"), ["metric_a", "metric_b"])
-    return both.agg(F.count("*").alias("pairs"), F.count_if(F.col("s") < 0).alias("negative"), F.count_if((F.col("s") < 0) & (F.col("e") < 0)).alias("replicated"))
+    """Signs of all pairs' correlations in the sample, replicated in the extension and in all documents."""
+    o = with_scope(spark, d, oriented(spark, d)).withColumn("scope", F.explode(F.array("scope", F.lit("all"))))
+    pairs = conflict.pair_correlations(o, METRICS, ["scope"])
+    of = lambda name: F.max(F.when(F.col("scope") == name, F.col("rho"))).alias(name)
+    w = pairs.groupBy("metric_a", "metric_b").agg(of("sample"), of("extension"), of("all")).where("sample is not null and extension is not null")
+    s, e, a = (F.col(x) < 0 for x in ("sample", "extension", "all"))
+    return w.agg(F.count("*").alias("pairs"), F.count_if(s).alias("negative"), F.count_if(s & e).alias("replicated"), F.count_if(s & e & a).alias("in_all"))
 
 
 @query("ag15_central_box", SIG + ORIENTED + """, b AS (SELECT quantile_cont(rps_doc_word_count, 0.01) AS a0, quantile_cont(rps_doc_word_count, 0.99) AS a1, quantile_cont(rps_doc_unigram_entropy, 0.01) AS b0, quantile_cont(rps_doc_unigram_entropy, 0.99) AS b1 FROM ori),
@@ -362,8 +380,8 @@ box AS (SELECT 1 AS one, rps_doc_word_count AS a, rps_doc_unigram_entropy AS b F
 """ + _ranked("box", "one", "a", "b", "pc") + " SELECT n, rho FROM pc", "rho")
 def _(spark, d):
     o = oriented(spark, d).select(F.col("rps_doc_word_count").alias("a"), F.col("rps_doc_unigram_entropy").alias("b"))
-    bounds = o.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"q{c}") for c in "ab"])
-    box = o.crossJoin(F.broadcast(bounds)).where("a between qa[0] and qa[1] and b between qb[0] and qb[1]")
+    bounds = stats.quantiles(o, [], {"a0": ("a", 0.01), "a1": ("a", 0.99), "b0": ("b", 0.01), "b1": ("b", 0.99)})
+    box = o.crossJoin(F.broadcast(bounds)).where("a between a0 and a1 and b between b0 and b1")
     return stats.spearman(box, [], "a", "b")
 
 
@@ -380,31 +398,25 @@ def _(spark, d):
     return table(spark, d, "documents").join(chosen, "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("long").alias("chars"))
 
 
-_BOOT = f""", b AS (SELECT lang, quality, rep, {_U("rep || '|' || id", 'boot')} AS u FROM scored, range(20) r(rep) WHERE quality IS NOT NULL),
+_BOOT = f""", b AS (SELECT lang, quality, rep, {_U("rep || '|' || id", 'boot')} AS u FROM scored, range(50) r(rep) WHERE quality IS NOT NULL),
 w AS (SELECT lang, rep, quality, CAST(u >= 0.36787944117144233 AS INT) + CAST(u >= 0.7357588823428847 AS INT) + CAST(u >= 0.9196986029286058 AS INT) + CAST(u >= 0.9810118431238462 AS INT) + CAST(u >= 0.9963401531726563 AS INT) + CAST(u >= 0.9994058151824183 AS INT) AS k FROM b),
 e AS (SELECT lang, rep, unnest(list_resize([quality], k, quality)) AS q FROM w WHERE k > 0), m AS (SELECT lang, rep, median(q) AS med FROM e GROUP BY 1, 2)"""
 
 
 @query("r1_bootstrap_median", SIG + SCORED + _BOOT + " SELECT lang, quantile_cont(med, 0.025) AS low, quantile_cont(med, 0.975) AS high FROM m GROUP BY lang", "low high")
 def _(spark, d):
-    from mixlume.operators import resample
-
-    return resample.bootstrap_median(scored(spark, d).where("quality is not null"), ["lang"], "quality", "id", 20, "boot")
+    return resample.bootstrap_median(scored(spark, d).where("quality is not null"), ["lang"], "quality", "id", 50, "boot")
 
 
 @query("r2_stratified_split", f"WITH u AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_U('doc_id', 'split')}, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, CASE WHEN r <= floor(0.7 * n) THEN 'fit' ELSE 'check' END AS part FROM u")
 def _(spark, d):
-    from mixlume.operators import resample
-
     return resample.stratified_split(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 0.7, "split").select("doc_id", "part")
 
 
 @query("r3_bootstrap_directions", None, "flip_rate")
 def _(spark, d):
-    from mixlume.operators import resample
-
-    z = z_frame(spark, d).select("id", "lang", *PAIRED)
-    counts = resample.poisson_rows(z, "id", 5, "dir").drop("weight")
-    reps = quality.anchor_correlations(counts, PAIRED, ["rep"])
-    whole = quality.anchor_correlations(z, PAIRED).select("metric", F.col("rho").alias("all"))
+    z = z_frame(spark, d).select("id", "lang", *METRICS)
+    counts = resample.poisson_rows(z, "id", 20, "dir").drop("weight")
+    reps = quality.anchor_correlations(counts, METRICS, ["rep"])
+    whole = quality.anchor_correlations(z, METRICS).select("metric", F.col("rho").alias("all"))
     return reps.join(whole, "metric").groupBy("metric").agg(F.avg(F.coalesce((F.col("rho") < 0) != (F.col("all") < 0), F.lit(False)).cast("int")).alias("flip_rate"))

@@ -17,7 +17,7 @@ REC = "WITH " + RECIPES_SQL
 @query("ag13_conflict_graph", q1.SIG + q1.ORIENTED + q1._pairs_sql("ori", "lang") + """, g AS (SELECT metric_a, metric_b, avg(rho) AS mean_rho, count(*) FILTER (rho < 0) AS negative, count(*) AS domains FROM pc WHERE rho IS NOT NULL AND n >= 30 GROUP BY 1, 2)
  SELECT metric_a, metric_b, mean_rho, negative, domains, CASE WHEN negative = domains THEN 'replicated' WHEN mean_rho < 0 THEN 'mixed' ELSE 'none' END AS label FROM g""", "mean_rho")
 def _(spark, d):
-    g = conflict.domain_strength(conflict.pair_correlations(q1.oriented(spark, d), q1.PAIRED, ["lang"]))
+    g = conflict.domain_strength(conflict.pair_correlations(q1.oriented(spark, d), METRICS, ["lang"]))
     label = F.when(F.col("negative_domains") == F.col("domains"), "replicated").when(F.col("mean_rho") < 0, "mixed").otherwise("none")
     return g.select("metric_a", "metric_b", "mean_rho", F.col("negative_domains").alias("negative"), "domains", label.alias("label"))
 
@@ -30,28 +30,28 @@ def _(spark, d):
 
 @query("ag18_rank_sensitivity", q1.SIG + q1.SCORED + ", m AS (SELECT domain, round(median(quality), 9) AS a, round(median(equal_mean), 9) AS b FROM scored GROUP BY domain), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM m) SELECT count(*) AS n, corr(ra, rb) AS rho FROM r", "rho")
 def _(spark, d):
-    m = q1.scored(spark, d).groupBy("domain").agg(F.round(F.percentile("quality", 0.5), 9).alias("a"), F.round(F.percentile("equal_mean", 0.5), 9).alias("b"))
+    m = stats.quantiles(q1.scored(spark, d), ["domain"], {"a": ("quality", 0.5), "b": ("equal_mean", 0.5)}).select("domain", F.round("a", 9).alias("a"), F.round("b", 9).alias("b"))
     return stats.spearman(m, [], "a", "b")
 
 
-@query("p29_frozen_pipeline", q1._QD + f" SELECT id, quality, degree, {q1._DECIDE} AS decision FROM qd, cuts WHERE domain = 'src1'", "quality degree")
+@query("p29_frozen_pipeline", q1._QD + f" SELECT id, quality, degree, {q1._DECIDE} AS decision FROM qd, cuts", "quality degree")
 def _(spark, d):
-    """Rows of one source scored and decided by parameters frozen on all."""
+    """All rows scored and decided again by frozen parameters alone, as arriving rows would be."""
     sig = q1.signals(spark, d)
     z = q1.z_frame(spark, d)
     signs = quality.directions(quality.anchor_correlations(z, METRICS))
     frozen = q1._decided(spark, d).select("q_cut", "d_cut").limit(1)
     score = quality.score_params(quality.family_scores(q1.oriented(spark, d), q1.FAMILIES))
-    new = q1.cut(quality.orient(quality.apply_scale(sig.where("domain = 'src1'"), quality.fit_scale(sig, METRICS), METRICS), signs, METRICS), "arrived")
+    new = q1.cut(quality.orient(quality.apply_scale(sig, quality.fit_scale(sig, METRICS), METRICS), signs, METRICS), "arrived")
     scored = q1.cut(quality.freeze_scores(quality.family_scores(new, q1.FAMILIES), score), "arrived")
-    rows = scored.crossJoin(F.broadcast(frozen)).withColumn("degree", conflict.conflict_degree(scored, q1._EDGES))
+    rows = scored.crossJoin(F.broadcast(frozen)).withColumn("degree", conflict.conflict_degree(scored, q1.edges(spark, d)))
     return rows.select("id", "quality", "degree", quality.decide(F.col("quality"), F.col("degree"), F.col("q_cut"), F.col("d_cut")).alias("decision"))
 
 
 @query("j2_parameter_join", "WITH l AS (SELECT l_returnflag AS metric, l_extendedprice AS v FROM lineitem), p AS (SELECT metric, median(v) AS c FROM l GROUP BY metric) SELECT metric, count(*) FILTER (v > c) AS above, count(*) AS rows FROM l JOIN p USING (metric) GROUP BY metric")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("metric"), F.col("l_extendedprice").alias("v"))
-    p = rows.groupBy("metric").agg(F.percentile("v", 0.5).alias("c"))
+    p = stats.quantiles(rows, ["metric"], {"c": ("v", 0.5)})
     return rows.join(F.broadcast(p), "metric").groupBy("metric").agg(F.count_if(F.col("v") > F.col("c")).alias("above"), F.count("*").alias("rows"))
 
 
@@ -72,8 +72,8 @@ def _(spark, d):
 @query("m4_m5_zero_mean_stability", None, "intercept low high")
 def _(spark, d):
     """Ridge coefficients of each fold in zero-mean form (the same predictions for shares that sum to 1), and their range over folds."""
-    folds = moments.gram(resample.contiguous_folds(recipe_table(spark, d), ["idx"], 5), ["fold"], MIX, LOSSES[:2])
-    beta = moments.fit(folds, ["fold"], MIX, LOSSES[:2], (0.1,))
+    folds = moments.gram(resample.contiguous_folds(recipe_table(spark, d), "idx", 5), ["fold"], MIX, LOSSES)
+    beta = moments.fit(folds, ["fold"], MIX, LOSSES, (0.1,))
     wide = beta.groupBy("fold", "target").agg(F.max(F.when(F.col("term") == "intercept", F.col("beta"))).alias("intercept"), *[F.max(F.when(F.col("term") == m, F.col("beta"))).alias(m) for m in MIX])
     shifted = allocation.zero_mean(wide.select("fold", "target", "intercept", F.array(*MIX).alias("beta")))
     each = shifted.select("target", "intercept", F.posexplode("beta").alias("k", "b"))
@@ -110,14 +110,6 @@ def _(spark, d):
     return o.select(F.col("o_orderkey").alias("request"), status.alias("status"), F.when(status == "OK", F.sqrt(F.col("o_totalprice") / 6)).alias("n"))
 
 
-@query("g4_regimes", REC + ", b AS (SELECT idx, n_lines * 1000.0 AS budget, loss_c AS ctx FROM rec) SELECT CASE WHEN budget < 20000 THEN 'support_corner' WHEN sqrt(budget / 6) > 100 THEN 'D_max_bound' WHEN ctx > 0.5 THEN 'attention' ELSE 'interior' END AS regime, count(*) AS scenarios, avg(sqrt(budget / 6)) AS mean_size FROM b GROUP BY 1", "mean_size")
-def _(spark, d):
-    b = recipe_table(spark, d).select((F.col("n_lines") * 1000.0).alias("budget"), F.col("loss_c").alias("ctx"))
-    size = F.sqrt(F.col("budget") / 6)
-    regime = F.when(F.col("budget") < 20000, "support_corner").when(size > 100, "D_max_bound").when(F.col("ctx") > 0.5, "attention").otherwise("interior")
-    return b.groupBy(regime.alias("regime")).agg(F.count("*").alias("scenarios"), F.avg(size).alias("mean_size"))
-
-
 @query("g6_g7_joint_allocation", None, "budget d loss")
 def _(spark, d):
     """The best size, tokens and recipe for each budget and context: one row for each scenario, with a status where nothing fits."""
@@ -176,11 +168,18 @@ def _(spark, d):
     return f.crossJoin(F.broadcast(allocation.grid(spark, h=[6.0, 12.0, 24.0], s=[0.5, 1.0]))).select("kind", "h", "s", F.least(F.lit(100.0), F.greatest(F.lit(0.0), value)).alias("forecast"))
 
 
-@query("g24_feature_ablation", REC + " SELECT count(*) AS n, sqrt(avg(power(loss_a - (0.05 + 0.01 * mix_economy), 2))) AS with_mix, sqrt(avg(power(loss_a - (SELECT avg(loss_a) FROM rec), 2))) AS mean_only FROM rec", "with_mix mean_only")
+_ABLATED = {"economy": "mix_economy", "standard": "mix_standard", "promo": "mix_promo"}
+
+
+@query("g24_feature_ablation", REC + ", t AS (SELECT *, idx % 5 = 0 AS held FROM rec), f AS (SELECT avg(loss_a) FILTER (NOT held) AS m, " + ", ".join(f"regr_slope(loss_a, {c}) FILTER (NOT held) AS b_{k}, regr_intercept(loss_a, {c}) FILTER (NOT held) AS a_{k}" for k, c in _ABLATED.items()) + " FROM t) SELECT count(*) AS n, sqrt(avg(power(loss_a - m, 2))) AS mean_only, " + ", ".join(f"sqrt(avg(power(loss_a - a_{k} - b_{k} * {c}, 2))) AS with_{k}" for k, c in _ABLATED.items()) + " FROM t, f WHERE held", "mean_only " + " ".join(f"with_{k}" for k in _ABLATED))
 def _(spark, d):
-    r = recipe_table(spark, d)
-    e = F.col("loss_a") - (0.05 + 0.01 * F.col("mix_economy"))
-    return r.agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("with_mix"), F.stddev_pop("loss_a").alias("mean_only"))
+    """Error on a held-out fifth of models fitted on the rest: the mean alone, and with one share at a time."""
+    t = recipe_table(spark, d).withColumn("held", F.col("idx") % 5 == 0)
+    y = F.when(~F.col("held"), F.col("loss_a"))
+    f = t.agg(F.avg(y).alias("m"), *[x for k, c in _ABLATED.items() for x in (F.regr_slope(y, F.col(c)).alias(f"b_{k}"), F.regr_intercept(y, F.col(c)).alias(f"a_{k}"))])
+    rows = t.where("held").crossJoin(F.broadcast(f))
+    rmse = lambda p: F.sqrt(F.avg(F.pow(F.col("loss_a") - p, 2)))
+    return rows.agg(F.count("*").alias("n"), rmse(F.col("m")).alias("mean_only"), *[rmse(F.col(f"a_{k}") + F.col(f"b_{k}") * F.col(c)).alias(f"with_{k}") for k, c in _ABLATED.items()])
 
 
 @query("g25_observed_policy", REC + ", r AS (SELECT idx, round(loss_a + loss_b, 9) AS s, dense_rank() OVER (ORDER BY round(loss_a + loss_b, 9)) AS k FROM rec) SELECT min(idx) FILTER (k = 1) AS pick, max(s) FILTER (k = 2) - max(s) FILTER (k = 1) AS next_gap FROM r WHERE k <= 2", "next_gap")

@@ -6,25 +6,27 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import stats, validate
+from mixlume.operators import resample, stats, validate
 from mixlume.plans.entities import RUNS_SQL, SUBMISSIONS_SQL, runs, submissions, table
 from mixlume.plans.registry import query
 from mixlume.sources import io
 
 
-@query("s4_newest_parseable", """WITH f AS (SELECT user_id % 50 AS dir, event_id AS name, CASE WHEN event_id % 7 = 0 THEN left(props, 5) ELSE props END AS body FROM events),
+@query("s4_newest_parseable", """WITH f AS (SELECT user_id % 50 AS dir, event_id AS name, props AS body FROM events),
 g AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY name DESC) AS r FROM f WHERE json_valid(body)) SELECT dir, name, CAST(json_extract(body, '$.k') AS BIGINT) AS k FROM g WHERE r = 1""")
 def _(spark, d):
-    files = table(spark, d, "events").select((F.col("user_id") % 50).alias("dir"), F.col("event_id").alias("name"), F.when(F.col("event_id") % 7 == 0, F.left("props", F.lit(5))).otherwise(F.col("props")).alias("body"))
+    files = table(spark, d, "events").select((F.col("user_id") % 50).alias("dir"), F.col("event_id").alias("name"), F.col("props").alias("body"))
     wrapped = files.withColumn("body", F.when(F.expr("try_parse_json(body) is not null"), F.concat(F.lit('{"results":{"t":'), "body", F.lit("}}"))).otherwise(F.col("body")))
     newest, _ = io.newest_parseable(wrapped, "dir", "name", "body")
     return newest.select("dir", "name", F.col("results")["t"]["k"].try_cast("long").alias("k"))
 
 
-@query("s5_dead_letters", "SELECT event_id, CASE WHEN trim(left(props, 5)) = '' THEN 'empty' ELSE 'not JSON' END AS reason FROM events WHERE event_id % 7 = 0 AND NOT json_valid(left(props, 5))")
+@query("s5_dead_letters", "WITH f AS (SELECT 'event' AS dir, CAST(event_id AS VARCHAR) AS name, props AS body FROM events UNION ALL SELECT 'turn', conv_id || ':' || turn, text FROM conversations) SELECT dir, name, CASE WHEN trim(coalesce(body, '')) = '' THEN 'empty' ELSE 'not JSON' END AS reason FROM f WHERE NOT coalesce(json_valid(body), false)")
 def _(spark, d):
-    files = table(spark, d, "events").where("event_id % 7 = 0").select(F.lit(0).alias("dir"), "event_id", F.left("props", F.lit(5)).alias("body"))
-    return io.newest_parseable(files, "dir", "event_id", "body")[1].select("event_id", "reason")
+    """Bodies of events and turns of conversations as files of one folder: those that aren't JSON, with a reason."""
+    events = table(spark, d, "events").select(F.lit("event").alias("dir"), F.col("event_id").cast("string").alias("name"), F.col("props").alias("body"))
+    turns = table(spark, d, "conversations").select(F.lit("turn").alias("dir"), F.concat_ws(":", "conv_id", "turn").alias("name"), F.col("text").alias("body"))
+    return io.newest_parseable(events.unionByName(turns), "dir", "name", "body")[1].select("dir", "name", "reason")
 
 
 @query("f6_json_values", "SELECT event_type, count(*) AS rows, sum(CAST(json_extract(props, '$.k') AS DOUBLE)) AS k FROM events GROUP BY event_type", "k")
@@ -193,8 +195,10 @@ def _(spark, d):
 
 @query("w2_ranks", "SELECT o_orderkey, rank() OVER w AS r, percent_rank() OVER w AS pr FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC)", "pr")
 def _(spark, d):
-    w = Window.partitionBy("o_orderstatus").orderBy(F.desc("o_totalprice"))
-    return table(spark, d, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("r"), F.percent_rank().over(w).alias("pr"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    placed = resample.places(o, ["o_orderstatus"], "o_totalprice")  # places from below; the rank from above is one more than the rows above
+    r = F.col("_of") - F.col("_place") + 1
+    return placed.select("o_orderkey", r.alias("r"), ((r - 1) / F.nullif(F.col("_of") - 1, F.lit(0))).alias("pr"))
 
 
 @query("w3_finite_differences", "WITH " + RUNS_SQL + ", x AS (SELECT n, d, round(loss - lag(loss) OVER (PARTITION BY n ORDER BY d), 9) AS dl FROM run) SELECT n, count(dl) AS steps, count(*) FILTER (dl < 0) AS down, count(*) FILTER (dl > 0) AS up FROM x GROUP BY n")
@@ -252,9 +256,7 @@ def _(spark, d):
 
 @query("w14_contiguous_folds", "SELECT c_custkey, ntile(5) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS fold FROM customer")
 def _(spark, d):
-    from mixlume.operators import resample
-
-    return resample.contiguous_folds(table(spark, d, "customer"), ["c_custkey"], 5, ["c_mktsegment"]).select("c_custkey", F.col("fold").cast("long").alias("fold"))
+    return resample.contiguous_folds(table(spark, d, "customer"), "c_custkey", 5, ["c_mktsegment"]).select("c_custkey", F.col("fold").cast("long").alias("fold"))
 
 
 @query("w15_runner_up_gap", "WITH r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) SELECT o_custkey, max(o_totalprice) FILTER (r = 1) - max(o_totalprice) FILTER (r = 2) AS gap FROM r WHERE r <= 2 GROUP BY 1", "gap")

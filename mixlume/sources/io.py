@@ -62,13 +62,36 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def newest_parseable(files: DataFrame, by: str, name: str, body: str) -> tuple[DataFrame, DataFrame]:
     """(the newest file of each directory that parses as {results: {task: {metric: text}}} with a task, as columns by, name and results; files that don't parse, with a reason)."""
     kind = "results map<string, map<string, string>>"
-    parsed = files.withColumn("_j", F.from_json(body, kind)).withColumn("_ok", F.expr(f"try_parse_json({body}) is not null"))
+    parsed = files.withColumn("_j", F.from_json(body, kind)).withColumn("_ok", F.expr(f"coalesce(try_parse_json({body}) is not null, false)"))
     dead = parsed.where("not _ok").select(by, name, F.when(F.trim(F.coalesce(F.col(body), F.lit(""))) == "", "empty").otherwise("not JSON").alias("reason"))
     good = parsed.where(F.col("_ok") & (F.size(F.col("_j.results")) > 0))
     last = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(name)))
     return good.withColumn("_r", last).where("_r = 1").select(by, name, F.col("_j.results").alias("results")), dead
 
 
+def scan_files(spark: SparkSession, pattern: str, fmt: str, name: str = r"([^/]+)$", **options: str) -> DataFrame:
+    """All files that a path pattern names, as one table with ``file``: what the first group of ``name`` finds in the row's path. Schemas are merged."""
+    rows = spark.read.format(fmt).options(**({"mergeSchema": "true"} | options)).load(pattern)
+    return rows.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), name, 1))
+
+
+def paired(scopes: dict[str, tuple[DataFrame, DataFrame]], key: str) -> DataFrame:
+    """One table of the scopes' pairs of tables, each pair joined by key, with the scope as a column; columns that a scope lacks are NULL."""
+    out = None
+    for name, (a, b) in scopes.items():
+        one = a.join(b, key).withColumn("scope", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def single_result(files: DataFrame, body: str, tag: str) -> DataFrame:
+    """files with value and status: the value of the one element of the body's results whose val_data contains the tag; none or several are a status, not an error."""
+    parsed = F.from_json(body, "results array<struct<val_data: string, value: double>>")["results"]
+    hits = files.withColumn("_r", F.filter(F.coalesce(parsed, F.array()), lambda r: F.contains(r["val_data"], F.lit(tag))))
+    status = F.when(F.size("_r") == 1, "one").when(F.size("_r") == 0, "none").otherwise("several")
+    return hits.withColumn("status", status).withColumn("value", F.when(F.size("_r") == 1, F.col("_r")[0]["value"])).drop("_r")
+
+
 def file_identity(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     """name, status of each file against a manifest (name, bytes, sha256): ok, changed, missing or unexpected."""
     found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("_bytes"), F.sha2("content", 256).alias("_sha"))

@@ -6,12 +6,13 @@ import json
 import lzma
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixlume.functions import expr
-from mixlume.operators import budget, conflict, frontier, mixture, moments, quality, resample, stats, validate
+from mixlume.operators import budget, conflict, extensions, frontier, mixture, moments, quality, resample, stats, validate
 from mixlume.plans import registry
 from mixlume.plans.entities import recipes, runs
 from mixlume.sources import io
@@ -227,3 +228,72 @@ def test_crossings_of_all_recipes(spark):
                 expected[r["idx"], family] = q
     got = {(r["idx"], r["family"]): r["q"] for r in registry.QUERIES["g3_critical_points"](spark, folder).collect()}
     assert got == pytest.approx(expected) and any(idx % 10 for idx, _ in got)
+
+
+def _ridge(x, y, alpha):
+    m, mu = x.mean(0), y.mean()
+    beta = np.linalg.solve((x - m).T @ (x - m) + alpha * np.eye(x.shape[1]), (x - m).T @ (y - mu))
+    return lambda z: mu + (z - m) @ beta
+
+
+def test_heldout_choices_and_nested_validation(spark):
+    rng = np.random.default_rng(4)
+    x = rng.random((60, 3))
+    y = 1 + x @ [0.5, -0.3, 0.1] + 0.8 * x[:, 0] * x[:, 1] + 0.05 * rng.normal(size=60)
+    rows = spark.createDataFrame([(k, *map(float, x[k]), float(y[k]), float(x[k, 0] * x[k, 1])) for k in range(60)], "k long, a double, b double, c double, y double, ab double").repartition(3)
+    got = {r["fold"]: r for r in mixture.heldout_choices(rows, "k", ["a", "b", "c"], "y", 5, 0.1).collect()}
+    for f in range(5):
+        held = np.arange(60) // 12 == f
+        p = _ridge(x[~held], y[~held], 0.1)(x[held])
+        pick = np.flatnonzero(held)[p.argmin()]
+        assert got[f]["pick"] == pick and got[f]["realised_rank"] == 1 + (y[held] < y[pick]).sum() and abs(got[f]["regret"] - (y[pick] - y[held].min())) < 1e-9
+    out = {r["outer"]: r for r in extensions.nested_validation(rows, "k", {"plain": ["a", "b", "c"], "more": ["a", "b", "c", "ab"]}, "y", (0.001, 1.0)).collect()}
+    inner = {r["k"]: r["i"] for r in rows.select("k", F.floor(expr.hash_uniform("inner", F.col("k")) * 5).alias("i")).collect()}
+    inner = np.array([inner[k] for k in range(60)])
+    more = np.column_stack([x, x[:, 0] * x[:, 1]])
+    for f in range(5):
+        held, best = np.arange(60) // 12 == f, None
+        for name, m in (("plain", x), ("more", more)):
+            for alpha in (0.001, 1.0):
+                error = 0.0
+                for i in range(5):
+                    test, train = ~held & (inner == i), ~held & (inner != i)
+                    error += ((_ridge(m[train], y[train], alpha)(m[test]) - y[test]) ** 2).sum() if test.any() else 0
+                if best is None or error < best[0] - 1e-12:
+                    best = error, name, alpha, np.sqrt(((_ridge(m[~held], y[~held], alpha)(m[held]) - y[held]) ** 2).mean())
+        assert (out[f]["model"], out[f]["alpha"]) == best[1:3] and abs(out[f]["rmse"] - best[3]) < 1e-9
+
+
+def test_quality_extensions_recover_their_parameters(spark):
+    rows = [(float(n), float(d), q, 1.2 + 2 * n**-0.5 + 1.5 * d**-0.5 * np.exp(-0.5 * q)) for n in (1, 2, 4, 8) for d in (1, 3, 9, 27) for q in (0.0, 0.3, 0.6, 1.0)]
+    points = spark.createDataFrame([tuple(map(float, r)) for r in rows], "n double, d double, q double, loss double")
+    r = {r["family"]: r for r in extensions.quality_families(points, ("exp", "power"), (0.2, 0.5, 0.8), (0.2, 0.5, 0.8), (0.25, 0.5, 1.0)).collect()}
+    assert (r["exp"]["alpha"], r["exp"]["beta"], r["exp"]["gamma"]) == (0.5, 0.5, 0.5) and r["exp"]["rmse"] < 1e-6 < r["power"]["rmse"]
+    assert abs(r["exp"]["e"] - 1.2) < 1e-6 and abs(r["exp"]["a"] - 2) < 1e-6 and abs(r["exp"]["b"] - 1.5) < 1e-6
+    lack = points.withColumn("loss", 1.0 + (1 - F.col("q")) * (0.1 + 0.2 * F.pow("n", F.lit(-0.5)) + 0.3 * F.pow("d", F.lit(-0.5))))
+    g = extensions.quality_increment(lack, F.lit(1.0)).first()
+    assert np.allclose([g["g0"], g["g1"], g["g2"]], [0.1, 0.2, 0.3], atol=1e-6) and g["positive"]
+
+
+def test_brackets_and_first_match(spark):
+    rows = spark.createDataFrame([(1, 0.0, 10.0, 3.3), (2, 0.0, 10.0, 20.0)], "k int, a double, b double, c double")
+    out = {r["k"]: r for r in extensions.refined(rows, "a", "b", lambda x: x >= F.col("c"), 1e-4).collect()}
+    assert out[1]["lo"] <= 3.3 <= out[1]["hi"] and out[1]["hi"] - out[1]["lo"] <= 1e-4 and out[2]["lo"] is None
+    names = spark.createDataFrame([("Red RING",), ("x",), (None,)], "s string").select(extensions.first_match(F.col("s"), {"b": ["gear"], "j": ["ring"]}).alias("f"))
+    assert [r["f"] for r in names.collect()] == ["j", "other", "other"]
+
+
+def test_exact_quantiles_and_ranks_of_hot_groups(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=5000), np.full(3000, 0.25)])
+    rows = spark.createDataFrame([("hot" if k % 3 else None, float(v)) for k, v in enumerate(values)] + [("empty", None), ("one", 2.0)], "g string, v double")
+    got = {r["g"]: r for r in stats.quantiles(rows, ["g"], {"m": ("v", 0.5), "t": ("v", 0.97)}).collect()}
+    for g, keep in (("hot", True), (None, False)):
+        mine = values[(np.arange(len(values)) % 3 > 0) == keep]
+        assert abs(got[g]["m"] - np.quantile(mine, 0.5)) < 1e-12 and abs(got[g]["t"] - np.quantile(mine, 0.97)) < 1e-12
+    assert got["empty"]["m"] is None and got["one"]["t"] == 2.0
+    ranked = stats.average_ranks(rows.where("g = 'hot'"), ["g"], "v").select("v", "rank").distinct().collect()
+    mine = np.sort(values[np.arange(len(values)) % 3 > 0])
+    for r in ranked[::200]:
+        lo, hi = np.searchsorted(mine, r["v"], "left"), np.searchsorted(mine, r["v"], "right")
+        assert r["rank"] == (lo + 1 + hi) / 2
