@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mixlume.functions.expr import hash_uniform, poisson_one
 from mixlume.operators import moments
 from mixlume.sources.io import cut
 
@@ -82,6 +83,21 @@ def decompose(rows: DataFrame, widths: list[float], minimum: int = 2) -> DataFra
     return shared.groupBy("width").agg(F.sum((s1 - s0) * (m0 + m1) / 2).alias("mix"), F.sum((m1 - m0) * (s0 + s1) / 2).alias("within_cells"), (F.sum(s1 * m1) - F.sum(s0 * m0)).alias("change"), F.count("*").alias("cells"))
 
 
+def decompose_replicates(rows: DataFrame, block: str, width: float, reps: int, seed: str, minimum: int = 2) -> DataFrame:
+    """rep, mix, within_cells of the decomposition when whole blocks are drawn: replicates weigh each block's counts and sums, not its rows."""
+    era = lambda name, c: F.when(F.col("era") == name, c)
+    sums = rows.withColumn("bin", F.floor(F.col("log_n") / width)).groupBy(F.col(block).alias("_block"), "bin").agg(
+        *[F.count(era(e, F.lit(1))).alias(f"n{i}") for i, e in enumerate(("early", "late"))], *[F.coalesce(F.sum(era(e, F.col("score"))), F.lit(0.0)).alias(f"t{i}") for i, e in enumerate(("early", "late"))]
+    )
+    drawn = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson_one(hash_uniform(seed, F.col("rep"), F.col("_block"))))
+    cells = drawn.groupBy("rep", "bin").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n0", "n1", "t0", "t1")]).where((F.col("n0") >= minimum) & (F.col("n1") >= minimum))
+    each = Window.partitionBy("rep")
+    s0, s1 = F.col("n0") / F.sum("n0").over(each), F.col("n1") / F.sum("n1").over(each)
+    x = cells.select("rep", s0.alias("s0"), s1.alias("s1"), (F.col("t0") / F.col("n0")).alias("m0"), (F.col("t1") / F.col("n1")).alias("m1"))
+    s0, s1, m0, m1 = (F.col(c) for c in ("s0", "s1", "m0", "m1"))
+    return x.groupBy("rep").agg(F.sum((s1 - s0) * (m0 + m1) / 2).alias("mix"), F.sum((m1 - m0) * (s0 + s1) / 2).alias("within_cells"))
+
+
 def shapley(z: Column, a: Column, b: Column) -> tuple[Column, Column]:
     """The change of 100 * sigmoid(z) by two shifts of z, split between them by the mean over both orders."""
     s = lambda x: 100 / (1 + F.exp(-x))

@@ -164,12 +164,12 @@ def trimmed_mean(df: DataFrame, by: list[str], value: str, share: float = 0.1) -
 
 
 def error_metrics(actual: Column, predicted: Column) -> list[Column]:
-    """Aggregates rmse, mae, bias, mape, r2, pearson and n over rows where both are present."""
+    """Aggregates rmse, log_rmse (positive pairs), mae, bias, mape, r2, pearson and n over rows where both are present."""
     ok = actual.isNotNull() & predicted.isNotNull()
     y, p = F.when(ok, actual), F.when(ok, predicted)
     e = p - y
     return [
-        F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
+        F.count(e).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(F.when((y > 0) & (p > 0), F.pow(F.ln(p) - F.ln(y), 2)))).alias("log_rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"),
         F.avg(F.when(y != 0, F.abs(e / y))).alias("mape"), (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).alias("r2"), correlation(y, p).alias("pearson"),
     ]
 

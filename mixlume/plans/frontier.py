@@ -211,13 +211,22 @@ def _(spark, d):
     return v.agg(F.min("v").alias("low"), F.percentile("v", 0.5).alias("mid"), F.max("v").alias("high"), F.count("*").alias("sizes"))
 
 
-@query("r4_block_bootstrap", None, "low high")
+_R4 = LATEST + """, e AS (SELECT CASE WHEN day < DATE '2001-01-01' THEN 'early' ELSE 'late' END AS era, floor(log_n / 0.5) AS bin, developer, score FROM late),
+ b AS (SELECT developer, bin, count(*) FILTER (era = 'early') AS n0, count(*) FILTER (era = 'late') AS n1, coalesce(sum(score) FILTER (era = 'early'), 0) AS t0, coalesce(sum(score) FILTER (era = 'late'), 0) AS t1 FROM e GROUP BY 1, 2),
+ u AS (SELECT rep, b.*, (CAST('0x' || substr(sha256('block|' || rep || '|' || developer), 1, 12) AS BIGINT) / 281474976710656.0) AS u FROM b, range(40) r(rep)),
+ w AS (SELECT *, """ + " + ".join(f"CAST(u >= {c} AS INT)" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)) + """ AS k FROM u),
+ c AS (SELECT rep, bin, sum(k * n0) AS n0, sum(k * n1) AS n1, sum(k * t0) AS t0, sum(k * t1) AS t1 FROM w GROUP BY 1, 2), x AS (SELECT rep, n0 / sum(n0) OVER (PARTITION BY rep) AS s0, n1 / sum(n1) OVER (PARTITION BY rep) AS s1, t0 / n0 AS m0, t1 / n1 AS m1 FROM c WHERE n0 >= 2 AND n1 >= 2),
+ r AS (SELECT rep, sum((s1 - s0) * (m0 + m1) / 2) AS mix, sum((m1 - m0) * (s0 + s1) / 2) AS within_cells FROM x GROUP BY rep)
+ SELECT quantile_cont(mix, 0.025) AS mix_low, quantile_cont(mix, 0.975) AS mix_high, quantile_cont(within_cells, 0.025) AS within_low, quantile_cont(within_cells, 0.975) AS within_high FROM r"""
+
+
+@query("r4_block_bootstrap", _R4, "mix_low mix_high within_low within_high")
 def _(spark, d):
-    """Bootstrap of a mean by whole developers: replicates weight each developer's sums, not its rows."""
-    blocks = submissions(spark, d).groupBy("developer").agg(F.sum("score").alias("s"), F.count("*").alias("n"))
-    reps = blocks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("w", expr.poisson_one(expr.hash_uniform("block", F.col("rep"), F.col("developer"))))
-    means = reps.groupBy("rep").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
-    return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    """Intervals of the decomposition when whole developers are drawn."""
+    sub = latest(submissions(spark, d)).withColumn("era", F.when(F.col("day") < "2001-01-01", "early").otherwise("late"))
+    r = frontier.decompose_replicates(sub, "developer", 0.5, 40, "block")
+    ends = lambda c, n: [F.percentile(c, 0.025).alias(f"{n}_low"), F.percentile(c, 0.975).alias(f"{n}_high")]
+    return r.agg(*ends("mix", "mix"), *ends("within_cells", "within"))
 
 
 @query("m17_quantile_regression", None, "slope intercept below")

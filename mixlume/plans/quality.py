@@ -159,14 +159,18 @@ def _(spark, d):
     return stats.id_integrity(table(spark, d, "documents").withColumnRenamed("source", "domain"), "domain", "doc_id")
 
 
-_LANGS = ["de", "en", "es", "fr"]
-_AG8 = ",\nho AS (SELECT h AS held_out, a.* FROM anc a, (SELECT unnest(['de', 'en', 'es', 'fr']) AS h) WHERE h <> lang),\n" + _ranked("ho", "held_out, metric", "value", "anchor", "lo") + ",\n" + _ranked("anc", "metric", "value", "anchor", "ac")
+def languages(z: DataFrame) -> list[str]:
+    """The languages that occur, in order: few names."""
+    return sorted(r["lang"] for r in z.select("lang").where("lang is not null").distinct().collect())
+
+
+_AG8 = ",\nho AS (SELECT h AS held_out, a.* FROM anc a, (SELECT DISTINCT lang AS h FROM documents) WHERE h <> lang),\n" + _ranked("ho", "held_out, metric", "value", "anchor", "lo") + ",\n" + _ranked("anc", "metric", "value", "anchor", "ac")
 
 
 @query("ag8_leave_one_domain_out", SIG + ANCHORED + _AG8 + " SELECT held_out, metric, lo.n, lo.rho AS rho, coalesce((lo.rho < 0) <> (ac.rho < 0), false) AS flipped FROM lo JOIN ac USING (metric)", "rho")
 def _(spark, d):
     z = z_frame(spark, d)
-    left = quality.leave_one_domain_out(z.drop("domain").withColumnRenamed("lang", "domain"), METRICS, _LANGS)
+    left = quality.leave_one_domain_out(z.drop("domain").withColumnRenamed("lang", "domain"), METRICS, languages(z))
     whole = quality.anchor_correlations(z, METRICS).select("metric", F.col("rho").alias("all"))
     return left.join(whole, "metric").select("held_out", "metric", "n", "rho", F.coalesce((F.col("rho") < 0) != (F.col("all") < 0), F.lit(False)).alias("flipped"))
 
@@ -175,7 +179,7 @@ def _(spark, d):
   CASE WHEN bool_or(coalesce((lo.rho < 0) <> (ac.rho < 0), false)) THEN 'sign_only' ELSE 'stable_loo' END AS policy FROM lo JOIN ac USING (metric) GROUP BY metric""", "rho")
 def _(spark, d):
     z = z_frame(spark, d)
-    left = quality.leave_one_domain_out(z.drop("domain").withColumnRenamed("lang", "domain"), METRICS, _LANGS).select("metric", F.col("rho").alias("one"))
+    left = quality.leave_one_domain_out(z.drop("domain").withColumnRenamed("lang", "domain"), METRICS, languages(z)).select("metric", F.col("rho").alias("one"))
     whole = quality.anchor_correlations(z, METRICS)
     flips = left.join(whole, "metric").groupBy("metric").agg(F.first("rho").alias("rho"), F.bool_or(F.coalesce((F.col("one") < 0) != (F.col("rho") < 0), F.lit(False))).alias("flips"))
     return flips.select("metric", "rho", F.when(F.col("rho") < 0, -1).otherwise(1).alias("sign"), F.when(F.col("flips"), "sign_only").otherwise("stable_loo").alias("policy"))
@@ -286,11 +290,12 @@ _GRID = SIG + SCORED + """, gr AS (SELECT row_number() OVER (ORDER BY i, j) - 1
 gm AS (SELECT grid_id, domain, median(w0 * score_rps + w1 * score_dsir + w2 * score_model) AS median FROM scored, gr WHERE score_rps IS NOT NULL AND score_dsir IS NOT NULL AND score_model IS NOT NULL GROUP BY 1, 2)"""
 
 
-@query("ag17_family_weight_grid", _GRID + ", rk AS (SELECT *, rank() OVER (PARTITION BY grid_id ORDER BY round(median, 9) DESC) AS r FROM gm) SELECT domain, avg(CAST(r <= 2 AS INT)) AS top2, min(r) AS best, max(r) AS worst FROM rk GROUP BY domain", "top2")
+@query("ag17_family_weight_grid", _GRID + ", rk AS (SELECT *, rank() OVER (PARTITION BY grid_id ORDER BY round(median, 9) DESC) AS r, rank() OVER (PARTITION BY grid_id ORDER BY round(median, 9)) AS u FROM gm) SELECT domain, avg(CAST(r <= 2 AS INT)) AS top2, avg(CAST(u <= 2 AS INT)) AS bottom2, min(r) AS best, max(r) AS worst FROM rk GROUP BY domain", "top2 bottom2")
 def _(spark, d):
     g = quality.family_weight_grid(scored(spark, d).repartition(8), list(FAMILIES)).withColumn("median", F.round("median", 9))
-    g = g.withColumn("rank", F.rank().over(Window.partitionBy("grid_id").orderBy(F.desc("median"))))
-    return g.groupBy("domain").agg(F.avg((F.col("rank") <= 2).cast("int")).alias("top2"), F.min("rank").cast("long").alias("best"), F.max("rank").cast("long").alias("worst"))
+    w = Window.partitionBy("grid_id")  # a row for each domain
+    g = g.withColumn("rank", F.rank().over(w.orderBy(F.desc("median")))).withColumn("up", F.rank().over(w.orderBy("median")))
+    return g.groupBy("domain").agg(F.avg((F.col("rank") <= 2).cast("int")).alias("top2"), F.avg((F.col("up") <= 2).cast("int")).alias("bottom2"), F.min("rank").cast("long").alias("best"), F.max("rank").cast("long").alias("worst"))
 
 
 @query("ag19_drop_one_family", SIG + SCORED + ", v AS (" + " UNION ALL ".join(f"SELECT domain, '{f}' AS dropped, {_present([f'score_{g}' for g in FAMILIES if g != f])} AS v FROM scored" for f in FAMILIES) + ") SELECT dropped, domain, median(v) AS median FROM v GROUP BY 1, 2", "median")

@@ -279,10 +279,11 @@ def _(spark, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("ag30_error_metrics", "WITH x AS (SELECT l_returnflag AS g, l_extendedprice AS y, l_quantity * 1450 AS p FROM lineitem) SELECT g, count(*) AS n, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y)) AS mae, avg(p - y) AS bias, avg(abs((p - y) / y)) AS mape, 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) AS r2, corr(y, p) AS pearson FROM x GROUP BY g", "rmse mae bias mape r2 pearson")
+@query("ag30_error_metrics", "WITH x AS (SELECT l_returnflag AS g, l_extendedprice AS y, l_quantity * 1450 AS p FROM lineitem), r AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY g ORDER BY p) + (count(*) OVER (PARTITION BY g, p) - 1) / 2.0 AS rp FROM x), s AS (SELECT g, corr(ry, rp) AS spearman FROM r GROUP BY g) SELECT g, count(*) AS n, any_value(spearman) AS spearman, sqrt(avg((p - y) * (p - y))) AS rmse, sqrt(avg(power(ln(p) - ln(y), 2))) AS log_rmse, avg(abs(p - y)) AS mae, avg(p - y) AS bias, avg(abs((p - y) / y)) AS mape, 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) AS r2, corr(y, p) AS pearson FROM x JOIN s USING (g) GROUP BY g", "spearman log_rmse rmse mae bias mape r2 pearson")
 def _(spark, d):
     x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1450).alias("p"))
-    return x.groupBy("g").agg(*stats.error_metrics(F.col("y"), F.col("p")))
+    ranked = stats.spearman(x, ["g"], "y", "p").select("g", F.col("rho").alias("spearman"))
+    return x.groupBy("g").agg(*stats.error_metrics(F.col("y"), F.col("p"))).join(F.broadcast(ranked), "g")
 
 
 @query("f3_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CAST(o_orderdate - INTERVAL 2 MONTH AS DATE) AS two_back, (epoch(o_orderdate) - epoch(TIMESTAMP '1995-01-01')) / 2629800 AS months FROM orders", "months", "two_back")
