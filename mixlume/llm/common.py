@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,14 +71,34 @@ def with_columns_in_arrow(df: DataFrame, inputs: list[str], added: list[T.Struct
         return column.cast(pa.binary()) if pa.types.is_string(column.type) else column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in _parts(whole, places[0]):
                 new = make(*[given(batch.column(i)) for i in places])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(new[k], type=t) for k, t in kinds.items()]], names=schema.names)
+            release()
 
     return source.mapInArrow(run, schema).toDF(*[f.name for f in keep], *kinds)
 
 
+def _parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of a text column each, so that few texts are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the system: Spark reuses workers, which would otherwise hold the peak of each stage before."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def byte_table(kept: Callable[[int], bool]) -> bytes:
     """For bytes.translate: A-Z to lower case, bytes that aren't kept to a space."""
     return bytes((b + 32 if 65 <= b <= 90 else b) if kept(b + 32 if 65 <= b <= 90 else b) else 32 for b in range(256))

@@ -37,7 +37,7 @@ def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> Data
             f"when size({words}) > 0 then array(xxhash64(concat_ws(' ', {words})) & {_MASK}L) else cast(array() as array<bigint>) end"
         ),
     )
-    return df.withColumn(name, F.expr(f"array_sort(array_distinct(filter({hashes}, h -> h < {(_MASK + 1) // scale}L)))")).drop(words, hashes)
+    return df.withColumn(name, F.expr(f"array_sort(array_distinct(filter({hashes}, h -> h <= {(_MASK + 1) // scale - 1}L)))")).drop(words, hashes)
 
 
 def text_of(sketch: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlume.llm.common import SpanHasher, byte_table, in_slices, materialize, mix, quoted, unused, with_columns_in_arrow
+from mixlume.llm.common import SpanHasher, byte_table, in_slices, materialize, mix, quoted, release, unused, with_columns_in_arrow
 
 SHINGLE = 5
 #: Documents are linked at 100 * intersection >= percent * union; PERCENT is the default, op4's contract.
@@ -163,6 +163,8 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 if 100 * both >= percent * (len(mine) + len(theirs) - both):
                     kept.append(i)
         yield batch.take(pa.array(kept, pa.int64())).select(["a", "b"])
+        del texts_a, texts_b
+        release()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,6 +219,8 @@ def _spanning(group: pa.Table, percent: int) -> pa.Table:
                 if 100 * both >= percent * (n + m - both):
                     parent[max(p, q)] = min(p, q)
                     links.append((classes[x], classes[y]))
+    del sets, sigs, group
+    release()
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 

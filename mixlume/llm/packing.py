@@ -28,7 +28,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encode = encoder(tokenizer).ids
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            texts = batch.column(1).to_pylist()
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts)):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

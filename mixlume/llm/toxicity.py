@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlume.llm.common import byte_table, materialize, quoted, with_columns_in_arrow
+from mixlume.llm.common import byte_table, materialize, quoted, release, with_columns_in_arrow
 
 #: Labelled documents of each class that a model is fitted on, the first by hash; at most this many are ever read for it.
 SAMPLE = 2000
@@ -141,6 +141,8 @@ def _counted(rows: DataFrame) -> DataFrame:
                     yield counted(counts)
                     counts.clear()
         yield counted(counts)
+        counts.clear()
+        release()
 
     held = rows.mapInArrow(run, "s binary, toxic int, fold int, n bigint")
     one = lambda toxic, fold: F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") == fold), F.col("n")).otherwise(0))
@@ -186,6 +188,8 @@ def dictionaries(rows: DataFrame, n: dict[tuple[int, int], int]) -> dict[tuple[i
                 out += [(p, z, size, _trained(own[z], min(BYTES, max(512, sum(map(len, own[z])) // 4))) + base, base) for z in ZS]
         kinds = (pa.int32(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["part", "z", "size", "toxic", "ordinary"])
+        del texts, ordinary, own
+        release()
 
     made = rows.coalesce(1).mapInArrow(run, "part int, z double, size int, toxic binary, ordinary binary").collect()
     return {(r["part"], r["z"], r["size"]): (bytes(r["toxic"]), bytes(r["ordinary"])) for r in made}
@@ -222,6 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
                 found = [_gains_of(*made[fold, z, s])(text) for z, s in keys]
                 out.append([distance(g, gain) for g in found for gain in GAINS])
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.float64()))], names=["toxic", "fold", "x"])
+        _gains.clear()
+        release()
 
     described = rows.mapInArrow(run, "toxic int, fold int, x array<double>").collect()  # at most 2 * size rows
     y, fold, x = (np.array([r[c] for r in described]) for c in ("toxic", "fold", "x"))
