@@ -44,7 +44,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Compression lengths and tokenizers are beyond SQL; tests compare run() with a brute-force version.
+#: Compression lengths and tokenizers are beyond SQL; tests/llm/test_pipeline.py compares run() with plain Python.
 ORACLE_SQL = None
 
 
