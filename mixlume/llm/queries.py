@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mixlume.llm import decontaminate, fingerprints, lang_id, line_dedup, near_dup, packing, pii, token_counts, token_files, toxicity
+from mixlume.llm import decontaminate, exact_dup, fingerprints, lang_id, line_dedup, near_dup, packing, pii, prefix_trie, token_counts, token_files, toxicity
 from mixlume.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_decontamination, op2_token_counts, op3_pii, op4_near_duplicates, op5_line_dedup, op6_token_files, op7_language, op8_fingerprints, op9_packing, op10_toxicity)
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_decontamination, op2_token_counts, op3_pii, op4_near_duplicates, op5_line_dedup, op6_token_files, op7_language, op8_fingerprints, op9_packing, op10_toxicity, op11_exact_dedup, op12_prefix_trie)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.ORACLE_SQL, "op4_near_duplicates": near_dup.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.ORACLE_SQL,
+    "op4_near_duplicates": near_dup.ORACLE_SQL,
+    "op5_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_exact_dedup": exact_dup.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+}
