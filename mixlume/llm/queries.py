@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mixlume.llm import decontaminate, exact_dup, fingerprints, lang_id, line_dedup, near_dup, packing, pii, prefix_trie, token_counts, token_files, toxicity
+from mixlume.llm import decontaminate, exact_dup, fingerprints, lang_id, line_dedup, near_dup, packing, phrases, pii, prefix_trie, token_counts, token_files, toxicity
 from mixlume.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -61,7 +61,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
-_ALL = (op1_decontamination, op2_token_counts, op3_pii, op4_near_duplicates, op5_line_dedup, op6_token_files, op7_language, op8_fingerprints, op9_packing, op10_toxicity, op11_exact_dedup, op12_prefix_trie)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_decontamination, op2_token_counts, op3_pii, op4_near_duplicates, op5_line_dedup, op6_token_files, op7_language, op8_fingerprints, op9_packing, op10_toxicity, op11_exact_dedup, op12_prefix_trie, op13_collocations)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE_SQL,
@@ -69,4 +73,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": line_dedup.ORACLE_SQL,
     "op11_exact_dedup": exact_dup.ORACLE_SQL,
     "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_collocations": phrases.ORACLE_SQL,
 }
