@@ -57,16 +57,17 @@ def _slot(depth: int) -> Column:
 def directory(entries: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST_BITS) -> tuple[int, pa.Table]:
     """The directory's depth, and (slot, bucket) for each of its slots. ``entries``: (h, size).
 
-    It begins with as many slots as full buckets would fill, and doubles as long as a bucket of several hashes holds more than ``capacity`` bytes; only those split, others are met by several
-    slots. What reaches the driver are sizes of slots, at most 2 ** most_bits.
+    It begins with as many slots as full buckets would fill, and doubles as long as a bucket holds more than ``capacity`` bytes besides its longest text, which no split could part; only such
+    buckets split, others are met by several slots. A bucket's load are its distinct hashes: copies are chained into one entry. What reaches the driver are sizes of slots, at most 2 ** most_bits.
     """
-    total = entries.agg(F.sum("size")).first()[0] or 0
+    loads = materialize(entries.groupBy("h").agg(F.max("size").alias("size")), "loads")
+    total = loads.agg(F.sum("size")).first()[0] or 0
     depth = min(most_bits, max(0, math.ceil(math.log2(max(1, total) / capacity))))
     closed: list[tuple[int, int]] = []  # (first bits, depth) of buckets that don't split any more
     while True:
-        found = entries.groupBy(_slot(depth).alias("slot")).agg(F.sum("size").alias("size"), (F.min("h") != F.max("h")).alias("several")).toArrow()
-        slots, sizes, several = (np.array(found.column(k)) for k in range(3))
-        full = slots[(sizes > capacity) & several.astype(bool)] if depth < most_bits else slots[:0]
+        found = loads.groupBy(_slot(depth).alias("slot")).agg(F.sum("size").alias("size"), F.max("size").alias("longest")).toArrow()
+        slots, sizes, longest = (np.array(found.column(k)) for k in range(3))
+        full = slots[sizes - longest > capacity] if depth < most_bits else slots[:0]
         if not len(full):
             break
         met = np.zeros(1 << depth, bool)
