@@ -57,11 +57,11 @@ def _slot(depth: int) -> Column:
 def directory(entries: DataFrame, capacity: int = CAPACITY, most_bits: int = MOST_BITS) -> tuple[int, pa.Table]:
     """The directory's depth, and (slot, bucket) for each of its slots. ``entries``: (h, size).
 
-    It begins with as many slots as full buckets would fill, and doubles as long as a bucket holds more than ``capacity`` bytes besides its longest text, which no split could part; only such
+    It begins with as many slots as full buckets would fill (a longer text fills one), and doubles as long as a bucket holds more than ``capacity`` bytes besides its longest text, which no split could part; only such
     buckets split, others are met by several slots. A bucket's load are its distinct hashes: copies are chained into one entry. What reaches the driver are sizes of slots, at most 2 ** most_bits.
     """
     loads = materialize(entries.groupBy("h").agg(F.max("size").alias("size")), "loads")
-    total = loads.agg(F.sum("size")).first()[0] or 0
+    total = loads.agg(F.sum(F.least("size", F.lit(capacity)))).first()[0] or 0
     depth = min(most_bits, max(0, math.ceil(math.log2(max(1, total) / capacity))))
     closed: list[tuple[int, int]] = []  # (first bits, depth) of buckets that don't split any more
     while True:
