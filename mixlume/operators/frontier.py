@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,57 +127,6 @@ def leave_one_group_out(rows: DataFrame, group: str, y: str, x: str) -> DataFram
     return rows.join(F.broadcast(fit), F.col(group) == F.col("held_out")).groupBy("held_out").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def dominance_pairs(points: DataFrame, family: str, least: float) -> DataFrame:
-    """family, pairs (one point larger in n and by ``least`` in d), agree (its loss is lower by more than 1e-9).
-
-    Curves (points of one family and n) meet two by two, each pair of curves in a task of its own, and are swept in the order of d: counts come from a sorted
-    list of the losses passed, so pairs of points are counted but never made.
-    """
-    curves = points.select(F.col(family).alias("family"), F.col("n").cast("double").alias("n"), F.col("d").cast("double").alias("d"), F.round("loss", 9).alias("loss"))
-    sizes = curves.select("family", "n").distinct()
-    lower = sizes.join(sizes.withColumnRenamed("n", "n1"), "family").where("n < n1").select("family", F.col("n").alias("n0"), "n1")  # pairs of sizes, not of points
-    sides = lower.select("family", "n0", "n1", F.explode(F.array("n0", "n1")).alias("n")).join(curves, ["family", "n"])
-
-    def sweep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        small, large = (rows[rows.n == x].sort_values("d") for x in key[1:])
-        passed: list[float] = []
-        pairs = agree = at = 0
-        d0, l0 = small.d.tolist(), small.loss.tolist()
-        for d, loss in zip(large.d.tolist(), large.loss.tolist()):
-            while at < len(d0) and d >= d0[at] + least:
-                insort(passed, l0[at])
-                at += 1
-            pairs += at
-            agree += at - bisect_right(passed, loss + 5e-10)
-        return pd.DataFrame([(key[0], pairs, agree)], columns=["family", "pairs", "agree"])
-
-    kind = dict(points.dtypes)[family]
-    counted = sides.groupBy("family", "n0", "n1").applyInPandas(sweep, f"family {kind}, pairs long, agree long")
-    return counted.groupBy(F.col("family").alias(family)).agg(F.sum("pairs").alias("pairs"), F.sum("agree").alias("agree"))
-
-
-def order_concordance(points: DataFrame, curve: str, x: str, actual: str, predicted: str) -> DataFrame:
-    """curve, pairs, concordance: share of point pairs of a curve that the prediction orders alike (falling by more than 1e-9, or not).
-
-    A curve is one task; its pairs are compared in blocks of numpy rows and only counted.
-    """
-
-    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("x")
-        v, y, p = (rows[c].to_numpy() for c in ("x", "y", "p"))
-        pairs = same = 0
-        for at in range(0, len(v), 512):
-            part = slice(at, at + 512)
-            later = v[None, :] > v[part, None]
-            pairs += int(later.sum())
-            same += int((later & ((y[None, :] - y[part, None] < -1e-9) == (p[None, :] - p[part, None] < 0))).sum())
-        return pd.DataFrame([(key[0], pairs, same / pairs if pairs else None)], columns=["curve", "pairs", "concordance"])
-
-    kind = dict(points.dtypes)[curve]
-    rows = points.select(F.col(curve).alias("curve"), F.col(x).cast("double").alias("x"), F.col(actual).cast("double").alias("y"), F.col(predicted).cast("double").alias("p"))
-    return rows.groupBy("curve").applyInPandas(count, f"curve {kind}, pairs long, concordance double").where("pairs > 0").withColumnRenamed("curve", curve)
-
-
 def quantile_fit(rows: DataFrame, y: str, x: str, q: float = 0.9, passes: int = 25) -> DataFrame:
     """slope, intercept, below: check-loss regression by iterated weighted least squares; each pass is one aggregate that gives two numbers."""
     data = cut(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna(), "points")

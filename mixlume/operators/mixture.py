@@ -65,47 +65,6 @@ def composition_key(domains: list[str], digits: int = 6) -> Column:
     return F.concat_ws("|", *[(F.round(F.col(m), digits) * 10**digits).cast("long").cast("string") for m in domains])
 
 
-def nearest(queries: DataFrame, reference: DataFrame, key: str, domains: list[str]) -> DataFrame:
-    """key, nearest, distance (L2) of each query to the reference rows but itself; ties go to the smaller key.
-
-    A search of a stated query set against all rows: each task keeps the best of its rows for each query, and only those meet.
-    """
-    q = queries.select(F.col(key), *[F.col(m).alias(f"_{m}") for m in domains])
-    r = reference.select(F.col(key).alias("_k"), *domains)
-    distance = F.sqrt(total([F.pow(F.col(m) - F.col(f"_{m}"), 2) for m in domains]))
-    pairs = r.join(q, F.col("_k") != F.col(key)).select(key, "_k", distance.alias("_d"))
-    return pairs.groupBy(key).agg(F.min_by("_k", F.struct(F.round("_d", 9), F.col("_k"))).alias("nearest"), F.min("_d").alias("distance"))
-
-
-def pareto_front(rows: DataFrame, key: str, targets: list[str]) -> DataFrame:
-    """Rows that no other row dominates (all targets at most as large, one smaller).
-
-    Only rows that no row of their own partition dominates meet in the join, so its input is the union of the partitions' fronts.
-    """
-
-    def local(batches):
-        kept = None
-        for batch in batches:
-            kept = batch if kept is None else pd.concat([kept, batch])
-            v = kept[targets].to_numpy()
-            good = np.array([not ((v <= x).all(axis=1) & (v < x).any(axis=1)).any() for x in v], bool)
-            kept = kept[good]
-        if kept is not None:
-            yield kept
-
-    slim = rows.select(key, *targets)
-    fronts = slim.mapInPandas(local, slim.schema)
-    other = fronts.select(*[F.col(t).alias(f"_{t}") for t in targets])
-    at_most = [F.col(f"_{t}") <= F.col(t) for t in targets]
-    below = [F.col(f"_{t}") < F.col(t) for t in targets]
-    cond, some = at_most[0], below[0]
-    for c in at_most[1:]:
-        cond = cond & c
-    for c in below[1:]:
-        some = some | c
-    return fronts.join(other, cond & some, "left_anti")
-
-
 def best_per_target(rows: DataFrame, key: str, targets: list[str]) -> DataFrame:
     long_form = rows.select(key, *targets).unpivot([key], targets, "target", "loss")
     return long_form.groupBy("target").agg(F.min_by(key, F.struct(F.round("loss", 9), F.col(key))).alias("best"), F.min("loss").alias("loss"))

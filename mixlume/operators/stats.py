@@ -102,6 +102,25 @@ def running(counts: DataFrame, by: list[str], value: str, weight: str, out: str)
     return summed.withColumn(out, F.col(out) + F.col("_base")).drop("_range", "_at", "_base", *([] if by else [constant]))
 
 
+def with_neighbour(rows: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """rows with <value>_before of the row before in the order within by (NULL for the first); order is unique within by and present.
+
+    Each group is parted into ranges as in running(); a range's first row gets the last row of the range before, so that no task sorts a whole hot group.
+    """
+    keys, constant = _keyed(by)
+    named = rows if by else rows.withColumn(constant, F.lit(0))
+    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
+    bounds = named.groupBy(*keys).agg(F.expr(f"percentile_approx(`{order}`, array({cuts}), {EVENNESS})").alias("_cuts"))
+    dealt = _null_safe(named, bounds, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts")
+    ends = dealt.groupBy(*keys, "_range").agg(F.max_by(F.struct(*[F.col(v) for v in values]), order).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_range")
+    borders = ends.select(*keys, F.col("_range").alias("_at"), F.lag("_end").over(before).alias("_border"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    out = _null_safe(dealt.withColumn("_place", F.row_number().over(inside)).withColumns({f"{v}_before": F.lag(v).over(inside) for v in values}), borders, keys).where("_at = _range")
+    out = out.withColumns({f"{v}_before": F.when(F.col("_place") == 1, F.col(f"_border.{v}")).otherwise(F.col(f"{v}_before")) for v in values})
+    return out.drop("_range", "_at", "_border", "_place", *([] if by else [constant]))
+
+
 def ranks_of_values(df: DataFrame, by: list[str], value: str, rank: str) -> DataFrame:
     """by, value, rank of each distinct present value: from 1, ties averaged. A hot value is one row, and a hot group is parted by ranges."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))

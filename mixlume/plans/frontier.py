@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import frontier, moments
+from mixlume.operators import frontier, moments, pairs
 from mixlume.plans.entities import RUNS_SQL, SUBMISSIONS_SQL, latest, runs, submissions, table
 from mixlume.plans.registry import query
 
@@ -188,13 +188,26 @@ def _(spark, d):
 @query("j11_ag38_dominance", "WITH " + RUNS_SQL + ", p AS (SELECT CAST(n AS BIGINT) % 5 AS fam, n, d, loss FROM run) SELECT a.fam, count(*) AS pairs, count(*) FILTER (round(b.loss - a.loss, 9) < 0) AS agree FROM p a JOIN p b ON a.fam = b.fam AND b.n > a.n AND b.d >= a.d + 25 GROUP BY a.fam")
 def _(spark, d):
     p = runs(spark, d).withColumn("fam", F.col("n").cast("long") % 5)
-    return frontier.dominance_pairs(p, "fam", 25.0)
+    return pairs.dominance_pairs(p, "fam", 25.0)
 
 
 @query("ag37_order_concordance", "WITH " + RUNS_SQL + ", p AS (SELECT n, d, loss, 1 + 3 / n - d / 1000 AS fit FROM run) SELECT a.n, count(*) AS pairs, avg(CAST((b.loss - a.loss < -1e-9) = (b.fit - a.fit < 0) AS INT)) AS concordance FROM p a JOIN p b ON a.n = b.n AND a.d < b.d GROUP BY a.n", "concordance")
 def _(spark, d):
     p = runs(spark, d).withColumn("fit", 1 + 3 / F.col("n") - F.col("d") / 1000)
-    return frontier.order_concordance(p, "n", "d", "loss", "fit")
+    return pairs.order_concordance(p, "n", "d", "loss", "fit").select("n", "pairs", "concordance")
+
+
+_ORDER = "WITH " + RUNS_SQL + ", p AS (SELECT n, d, loss, 1 + 3 / n + sin(d) AS fit FROM run), s AS (SELECT n, loss - lag(loss) OVER w AS da, fit - lag(fit) OVER w AS dp FROM p WINDOW w AS (PARTITION BY n ORDER BY d))"
+_ORDER += ", t AS (SELECT n, count(*) AS slopes, avg(CAST(sign(da) = sign(dp) AS INT)) AS slope_accuracy FROM s WHERE abs(da) > 1e-9 GROUP BY n)"
+_ORDER += ", o AS (SELECT a.n, count(*) AS scored, avg(CAST((b.loss < a.loss) = (b.fit < a.fit) AS INT)) AS order_share FROM p a JOIN p b ON a.n = b.n AND a.d < b.d AND abs(a.loss - b.loss) > 5e-10 AND abs(a.fit - b.fit) > 5e-10 GROUP BY a.n)"
+
+
+@query("ag37_direction_of_curves", _ORDER + " SELECT n, scored, order_share, slopes, slope_accuracy FROM o JOIN t USING (n)", "order_share slope_accuracy")
+def _(spark, d):
+    """How often a prediction moves as the curve does: between neighbouring points, and over all pairs of points that differ in both."""
+    p = runs(spark, d).withColumn("fit", 1 + 3 / F.col("n") + F.sin("d"))
+    order = pairs.order_concordance(p, "n", "d", "loss", "fit").select("n", "scored", "order_share")
+    return order.join(pairs.slope_signs(p, "n", "d", "loss", "fit").withColumnRenamed("accuracy", "slope_accuracy"), "n")
 
 
 @query("j10_nearest_size", "WITH " + RUNS_SQL + ", m AS (SELECT n, arg_max(loss, d) AS last FROM run GROUP BY n), t AS (SELECT unnest([3.4, 7.7, 21.2, 90.0]) AS n1) SELECT n1, arg_min(n, (abs(ln(n / n1)), n)) AS n, arg_min(last, (abs(ln(n / n1)), n)) AS last FROM t, m GROUP BY n1", "n1 n last")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import budget, mixture, moments, resample, stats
+from mixlume.operators import budget, mixture, moments, nearest, pairs, resample, stats
 from mixlume.plans.entities import LOSSES, MIX, RECIPES_SQL, RUNS_SQL, keep, recipes, runs
 from mixlume.plans.registry import query
 
@@ -58,7 +58,14 @@ _DIST = " + ".join(f"power(a.{m} - b.{m}, 2)" for m in MIX)
 @query("j9_nearest_recipe", REC + f" SELECT a.idx, arg_min(b.idx, (round(sqrt({_DIST}), 9), b.idx)) AS nearest, min(sqrt({_DIST})) AS distance FROM (SELECT * FROM rec WHERE idx % 50 = 0) a JOIN rec b ON a.idx <> b.idx GROUP BY a.idx", "distance")
 def _(spark, d):
     r = recipe_table(spark, d)
-    return mixture.nearest(r.where("idx % 50 = 0"), r, "idx", MIX)
+    return nearest.nearest(r.where("idx % 50 = 0"), r, "idx", MIX)
+
+
+@query("j9_nearest_of_all", REC + f" SELECT a.idx, arg_min(b.idx, (round(sqrt({_DIST}), 9), b.idx)) AS nearest, min(sqrt({_DIST})) AS distance FROM rec a JOIN rec b ON a.idx <> b.idx GROUP BY a.idx", "distance")
+def _(spark, d):
+    """Each recipe's nearest other recipe, all rows against all rows."""
+    r = recipe_table(spark, d)
+    return nearest.nearest(r, r, "idx", MIX)
 
 
 @query("t3_top_shares", REC + ", l AS (" + " UNION ALL ".join(f"SELECT idx, '{m}' AS domain, {m} AS share FROM rec" for m in MIX) + ") SELECT idx, string_agg(domain, ';' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY round(share, 9) DESC, domain) AS r FROM l) WHERE r <= 3 GROUP BY idx")
@@ -69,7 +76,7 @@ def _(spark, d):
 
 @query("j12_pareto_front", REC + " SELECT idx FROM rec a WHERE NOT EXISTS (SELECT 1 FROM rec b WHERE b.loss_a <= a.loss_a AND b.loss_b <= a.loss_b AND b.loss_c <= a.loss_c AND (b.loss_a < a.loss_a OR b.loss_b < a.loss_b OR b.loss_c < a.loss_c))")
 def _(spark, d):
-    return mixture.pareto_front(recipe_table(spark, d), "idx", LOSSES[:3]).select("idx")
+    return pairs.front(recipe_table(spark, d), LOSSES[:3]).select("idx")
 
 
 @query("t6_best_per_target", REC + ", l AS (" + " UNION ALL ".join(f"SELECT '{t}' AS target, idx, {t} AS loss FROM rec" for t in LOSSES) + ") SELECT target, arg_min(idx, (round(loss, 9), idx)) AS best, min(loss) AS loss FROM l GROUP BY target", "loss")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mixlume.functions import expr
-from mixlume.operators import budget, conflict, extensions, frontier, mixture, moments, quality, resample, stats, validate
+from mixlume.operators import budget, conflict, extensions, frontier, mixture, moments, pairs, quality, resample, stats, validate
 from mixlume.plans import registry
 from mixlume.plans.entities import recipes, runs
 from mixlume.sources import io
@@ -164,7 +164,7 @@ def test_scaling_law(spark):
 
 def test_pareto_front(spark):
     rows = spark.createDataFrame([(1, 1.0, 5.0), (2, 2.0, 2.0), (3, 3.0, 3.0), (4, 5.0, 1.0), (5, 2.0, 2.0)], "id int, a double, b double").repartition(3)
-    assert sorted(one(mixture.pareto_front(rows, "id", ["a", "b"]), "id")) == [1, 2, 4, 5]
+    assert sorted(one(pairs.front(rows, ["a", "b"]), "id")) == [1, 2, 4, 5]
 
 
 def test_resampling_is_independent_of_partitions(spark):
