@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,22 +75,18 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(batches: Iterator[pa.RecordBatch], hot: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-    """(edge, n, deal): the distinct edges of each chunk as "word word<tab>language<tab>word" with counts. ``deal`` says where an edge goes: it depends on the pair alone, and is odd and depends on the third word, too, if the pair is hot."""
+    """(edge, n): the distinct edges of each chunk as "word word<tab>language<tab>word", with twice their counts, and one more if the pair is hot."""
     for batch in batches:
         for lang, chunk in _by_lang(batch):
             words, first, second, third, counts = _graph(chunk)
-            crc = np.array([zlib.crc32(w) for w in words], np.uint64)
             numbers = {w: i for i, w in enumerate(words)}
             known = [numbers[a] * len(words) + numbers[b] for a, b in hot if a in numbers and b in numbers]
-            is_hot = np.isin(first * len(words) + second, known)
-            with np.errstate(over="ignore"):
-                deal = crc[first] * np.uint64(0x9E3779B97F4A7C15) + crc[second] * np.uint64(0xC2B2AE3D27D4EB4F) + np.where(is_hot, crc[third], np.uint64(0)) * np.uint64(0x165667B19E3779F9)
-            deal = (deal >> np.uint64(33) << np.uint64(1)).astype(np.int64) + is_hot
+            marked = 2 * counts + np.isin(first * len(words) + second, known)
             texts = pa.array(words, pa.binary()).cast(pa.string())
             node = pc.binary_join_element_wise(texts.take(pa.array(first)), texts.take(pa.array(second)), " ")
             edge = pc.binary_join_element_wise(node, pa.scalar(lang), texts.take(pa.array(third)), "\t")
             for at in range(0, len(edge), 65536):
-                yield pa.RecordBatch.from_arrays([edge.slice(at, 65536), pa.array(counts[at : at + 65536]), pa.array(deal[at : at + 65536])], names=["edge", "n", "deal"])
+                yield pa.RecordBatch.from_arrays([edge.slice(at, 65536), pa.array(marked[at : at + 65536])], names=["edge", "n"])
         release()
 
 
@@ -127,11 +122,11 @@ def _flow(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
 
     def reduced(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
         nonlocal pending, held
-        edge, n, deal = (table.column(k).combine_chunks() for k in range(3))
+        edge, marked = table.column(0).combine_chunks(), np.array(table.column(1))
         at = _runs(edge)
-        n, hot, edge = np.add.reduceat(np.array(n), at), np.array(deal)[at] % 2 == 1, edge.take(pa.array(at))
+        n, hot, edge = np.add.reduceat(marked // 2, at), marked[at] % 2 == 1, edge.take(pa.array(at))
         if not final:  # the last edge may go on
-            held = [pa.RecordBatch.from_arrays([edge.slice(len(edge) - 1), pa.array(n[-1:]), pa.array(hot[-1:].astype(np.int64))], names=["edge", "n", "deal"])]
+            held = [pa.RecordBatch.from_arrays([edge.slice(len(edge) - 1), pa.array(2 * n[-1:] + hot[-1:])], names=["edge", "n"])]
             edge, n, hot = edge.slice(0, len(edge) - 1), n[:-1], hot[:-1]
         if len(edge):
             key, w3 = _split(edge, "\t", reverse=True)
@@ -168,8 +163,9 @@ def _flows(docs: DataFrame, least: int) -> DataFrame:
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     sampled = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_frequent, "node string, n long")
     hot = [tuple(r["node"].encode().split(b" ", 1)) for r in sampled.groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(MOST_HOT).collect()]
-    edges = texts.mapInArrow(lambda batches: _edges(batches, hot), "edge string, n long, deal long")
-    dealt = edges.repartition("deal").sortWithinPartitions("edge")
+    edges = texts.mapInArrow(lambda batches: _edges(batches, hot), "edge string, n long")
+    # An edge goes where its pair does, that of a hot pair where its three words say; the number isn't shuffled with it.
+    dealt = edges.repartition(F.when(F.col("n") % 2 == 1, F.xxhash64("edge")).otherwise(F.xxhash64(F.substring_index("edge", "\t", 1)))).sortWithinPartitions("edge")
     return materialize(dealt.mapInArrow(lambda batches: _flow(batches, least), "size int, lang string, w1 string, w2 string, w3 string, n long"), "flows")
 
 
