@@ -62,6 +62,24 @@ def fit_classic(points: DataFrame, group: str = "group", passes: int = 12, delta
     return data.agg(*[F.lit(float(v)).alias(k) for k, v in zip(("e", "a", "alpha", "b", "beta"), best)], (F.sum(F.col("_w") * huber) / F.sum("_w")).alias("loss"))
 
 
+def validate_classic(points: DataFrame, tail: float = 0.3) -> DataFrame:
+    """axis, level, status, the law's parameters, train_rows, test_rows, rmse: the law with each size held out ("size"), with the last ``tail`` of each size's points in the order of d held out
+    ("tail", at least one point stays and one goes), and of all points ("full").
+
+    Least squares of residuals relative to the loss, sizes weighted equally; all folds come from the same passes. Sizes must be few (at most laws.LEVELS).
+    """
+    from mixlume.operators import laws, stats
+
+    counted = points.groupBy("n", "d").agg(F.count("*").alias("_c"))
+    placed = stats.running(counted, ["n"], "d", "_c", "_k").join(counted.groupBy("n").agg(F.sum("_c").alias("_n")), "n")
+    kept = F.least(F.greatest(F.floor((1 - tail) * F.col("_n") + 1e-9), F.lit(1)), F.col("_n") - 1)
+    marked = points.join(placed.select("n", "d", (F.col("_k") > kept).alias("_late"), "_n"), ["n", "d"])
+    rows = marked.select("n", "d", F.col("loss").alias("y"), (1.0 / (F.col("loss") * F.col("loss") * F.col("_n"))).alias("_w"), "_late")
+    axes = {"size": F.col("n"), "tail": F.when(F.col("_late"), "tail")}
+    fits = laws.fit_folds(rows, ["none"], axes, F.col("_w"))
+    return laws.as_table(points.sparkSession, fits).drop("family", "g")
+
+
 def _amplitudes(g: list[float]) -> tuple[float, float, float, float] | None:
     import numpy as np
 

@@ -13,70 +13,6 @@ from mixlume.functions.expr import hash_uniform, poisson_one
 from mixlume.operators import moments, resample, stats
 
 
-def quality_terms(d: Column, q: Column, beta: float, gamma: float, family: str) -> Column:
-    """The data term of a family at quality q in [0, 1]: exp d^-beta e^(-gamma q), power d^-beta (1 + q)^-gamma, scaled (d (gamma + q))^-beta."""
-    if family == "exp":
-        return F.pow(d, F.lit(-beta)) * F.exp(-gamma * q)
-    if family == "power":
-        return F.pow(d, F.lit(-beta)) * F.pow(1 + q, F.lit(-gamma))
-    return F.pow(d * (gamma + q), F.lit(-beta))
-
-
-def quality_families(points: DataFrame, families: tuple[str, ...], alphas: tuple[float, ...], betas: tuple[float, ...], gammas: tuple[float, ...]) -> DataFrame:
-    """family, alpha, beta, gamma, e, a, b, rmse: for each family the exponents with the least error, amplitudes by least squares, none negative.
-
-    One aggregate gives the sums of products of (1, n^-alpha, data term, loss) of each candidate; candidates are a fixed grid, and each is solved from its sums.
-    """
-    grid = [(f, x, y, g) for f in families for x in alphas for y in betas for g in gammas]
-    terms = [F.struct(F.lit(k).alias("k"), F.pow("n", F.lit(-x)).alias("u"), quality_terms(F.col("d"), F.col("q"), y, g, f).alias("v")) for k, (f, x, y, g) in enumerate(grid)]
-    rows = points.select("loss", F.inline(F.array(*terms)))
-    sums = moments.gram(rows, ["k"], ["u", "v"], ["loss"])
-
-    def solve(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                m = moments.matrix(list(r.g), 4)
-                tried = []
-                for used in ([0, 1, 2], [0, 1], [0, 2], [0]):  # a term whose amplitude would be negative is left out
-                    beta = np.zeros(3)
-                    beta[used] = np.linalg.lstsq(m[np.ix_(used, used)], m[used, 3], rcond=None)[0]
-                    v = np.append(beta, -1.0)
-                    if (beta >= 0).all():
-                        tried.append((float(np.sqrt(max(0.0, v @ m @ v) / m[0, 0])), tuple(map(float, beta))))
-                if tried:
-                    error, beta = min(tried)
-                    out.append((*grid[r.k], *beta, error))
-            yield pd.DataFrame(out, columns=["family", "alpha", "beta", "gamma", "e", "a", "b", "rmse"])
-
-    solved = sums.select("k", "g").mapInPandas(solve, "family string, alpha double, beta double, gamma double, e double, a double, b double, rmse double")
-    best = F.min_by(F.struct(*[c for c in solved.columns if c != "family"]), F.struct(F.round("rmse", 12), "alpha", "beta", "gamma"))
-    return solved.groupBy("family").agg(best.alias("x")).select("family", "x.*")
-
-
-def quality_increment(points: DataFrame, backbone: Column, ridge: float = 0.0) -> DataFrame:
-    """g0, g1, g2, positive: residual of a fixed backbone = (1 - q) (g0 + g1 n^-0.5 + g2 d^-0.5), ridge least squares; positive where the increment is at no corner of the data negative."""
-    lack = 1 - F.col("q")
-    rows = points.select((F.col("loss") - backbone).alias("y"), lack.alias("x0"), (lack * F.pow("n", F.lit(-0.5))).alias("x1"), (lack * F.pow("d", F.lit(-0.5))).alias("x2"))
-    x = [F.col(c) for c in ("x0", "x1", "x2")]
-    s = rows.agg(*[F.sum(x[i] * x[j]).alias(f"s{i}{j}") for i in range(3) for j in range(i, 3)], *[F.sum(x[i] * F.col("y")).alias(f"t{i}") for i in range(3)])
-    corners = points.agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("d").alias("d0"), F.max("d").alias("d1"))
-
-    def solve(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                a = np.array([[r.s00, r.s01, r.s02], [r.s01, r.s11, r.s12], [r.s02, r.s12, r.s22]]) + ridge * np.eye(3)
-                g = np.linalg.lstsq(a, np.array([r.t0, r.t1, r.t2]), rcond=None)[0]
-                low = min(g[0] + g[1] * n**-0.5 + g[2] * d**-0.5 for n in (r.n0, r.n1) for d in (r.d0, r.d1))
-                if low < 0:  # refit without the constant that makes a corner negative
-                    g = np.append(0.0, np.maximum(0.0, np.linalg.lstsq(a[1:, 1:], np.array([r.t1, r.t2]), rcond=None)[0]))
-                out.append((*map(float, g), bool(low >= 0)))
-            yield pd.DataFrame(out, columns=["g0", "g1", "g2", "positive"])
-
-    return s.crossJoin(F.broadcast(corners)).mapInPandas(solve, "g0 double, g1 double, g2 double, positive boolean")
-
-
 def cluster_bootstrap_slope(points: DataFrame, cluster: list[str], y: str, x: str, reps: int, seed: str) -> DataFrame:
     """low, high: 95 % interval of a slope when whole clusters are drawn; replicates weigh each cluster's sums of products, not its rows."""
     name = F.concat_ws("/", *[F.col(c).cast("string") for c in cluster]).alias("_cluster")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import allocation, budget, extensions, mixture, stats
+from mixlume.operators import allocation, budget, extensions, laws, mixture, stats
 from mixlume.plans.entities import LOSSES, MIX, RECIPES_SQL, RUNS_SQL, SUBMISSIONS_SQL, recipes, runs, submissions, table
 from mixlume.plans.mixture import recipe_table
 from mixlume.plans.registry import query
@@ -198,16 +198,39 @@ def _(spark, d):
     return extensions.cluster_bootstrap_slope(x, ["n", "d"], "y", "q", _REPS, "cluster")
 
 
-@query("m12_quality_families", None, "e a b rmse")
+def _law_points(spark: SparkSession, d: str) -> DataFrame:
+    """ndq() with y, q in (0, 1] and coarse levels of size, tokens and quality."""
+    p = ndq(spark, d).withColumn("q", 0.05 + 0.95 * F.col("q")).withColumnRenamed("loss", "y")
+    return p.withColumns({"n_level": F.floor("n").cast("int"), "d_level": F.floor(F.col("d") / 5).cast("int"), "q_level": F.floor(F.col("q") * 4).cast("int")})
+
+
+_AXES = ("n_level", "d_level", "q_level")
+
+
+@query("m12_quality_families", None, "e a alpha b beta g rmse selection_score")
+def _(spark, d):
+    """Three families of quality terms fitted on all points and with each level of size, tokens and quality held out; the family with the least mean error is selected."""
+    fits, scores = laws.family_panel(_law_points(spark, d), {k: F.col(k) for k in _AXES})
+    return fits.join(scores, "family")
+
+
+@query("r8_family_bootstrap", None, "e a alpha b beta g")
 def _(spark, d):
-    """Three families of quality terms on a grid of exponents, no negative amplitudes."""
-    return extensions.quality_families(ndq(spark, d), ("exp", "power", "scaled"), (0.2, 0.5, 0.8), (0.2, 0.5, 0.8), (0.25, 0.5, 1.0))
+    """Refits of the linear family when whole (size, tokens) cells are drawn, all qualities of a cell together; draws without a positive fit are rows, too."""
+    p = _law_points(spark, d)
+    fits = laws.fit_folds(p, ["linear"], {}, reps=20, cluster=F.concat_ws("/", F.col("n_level"), F.col("d_level")))
+    return laws.as_table(spark, fits).where("axis = 'replicate'").select("level", "status", "e", "a", "alpha", "b", "beta", "g")
 
 
-@query("m13_quality_increment", None, "g0 g1 g2")
+@query("m13_quality_increment", None, "ridge g0 g1 g2 rmse")
 def _(spark, d):
-    """The quality increment on a backbone whose parameters are fixed."""
-    return extensions.quality_increment(ndq(spark, d), budget.classic(F.col("n"), F.col("d"), 1.0, 0.05, 0.5, 0.05, 0.5), 1e-6)
+    """What lacking quality adds to a backbone that is fixed at the fitted law without quality, not negative at the corners of the data; the ridge is chosen inside each fold."""
+    p = _law_points(spark, d)
+    full = next((f for f in laws.fit_folds(p, ["none"], {}) if f["status"] != "NO_POSITIVE_FIT"), None)
+    backbone = budget.classic(F.col("n"), F.col("d"), *[full[k] for k in ("e", "a", "alpha", "b", "beta")]) if full else F.lit(1.0)
+    low = p.agg(F.min("n"), F.max("n"), F.min("d"), F.max("d")).first()
+    ends = [float(v) for v in low] if low[0] is not None else [1.0, 2.0, 1.0, 2.0]
+    return laws.quality_increment(p, backbone, (0.0, 0.01, 0.1, 1.0), {k: F.col(k) for k in _AXES}, (ends[0], ends[1]), (ends[2], ends[3]))
 
 
 @query("r11_nested_validation", None, "rmse")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import allocation, conflict, moments, quality, resample, stats
+from mixlume.operators import allocation, budget, conflict, moments, quality, resample, stats
 from mixlume.plans import quality as q1
 from mixlume.plans.entities import LOSSES, METRICS, MIX, RECIPES_SQL, RUNS_SQL, SUBMISSIONS_SQL, runs, submissions, table
 from mixlume.plans.mixture import recipe_table
@@ -132,12 +132,10 @@ def _(spark, d):
     return moments.slope(r, [], "y", "x")
 
 
-@query("r12_leave_level_out", None, "rmse")
+@query("r12_leave_level_out", None, "e a alpha b beta rmse")
 def _(spark, d):
-    from mixlume.operators import frontier
-
-    r = runs(spark, d).select((F.col("n").cast("long") % 6).alias("level"), F.ln("n").alias("x"), F.ln("loss").alias("y"))
-    return frontier.leave_one_group_out(r, "level", "y", "x")
+    """The law with each size held out, with the token tail of each size held out, and of all points."""
+    return budget.validate_classic(runs(spark, d))
 
 
 @query("r5_block_coefficients", None, "low high")

@@ -264,17 +264,6 @@ def test_heldout_choices_and_nested_validation(spark):
         assert (out[f]["model"], out[f]["alpha"]) == best[1:3] and abs(out[f]["rmse"] - best[3]) < 1e-9
 
 
-def test_quality_extensions_recover_their_parameters(spark):
-    rows = [(float(n), float(d), q, 1.2 + 2 * n**-0.5 + 1.5 * d**-0.5 * np.exp(-0.5 * q)) for n in (1, 2, 4, 8) for d in (1, 3, 9, 27) for q in (0.0, 0.3, 0.6, 1.0)]
-    points = spark.createDataFrame([tuple(map(float, r)) for r in rows], "n double, d double, q double, loss double")
-    r = {r["family"]: r for r in extensions.quality_families(points, ("exp", "power"), (0.2, 0.5, 0.8), (0.2, 0.5, 0.8), (0.25, 0.5, 1.0)).collect()}
-    assert (r["exp"]["alpha"], r["exp"]["beta"], r["exp"]["gamma"]) == (0.5, 0.5, 0.5) and r["exp"]["rmse"] < 1e-6 < r["power"]["rmse"]
-    assert abs(r["exp"]["e"] - 1.2) < 1e-6 and abs(r["exp"]["a"] - 2) < 1e-6 and abs(r["exp"]["b"] - 1.5) < 1e-6
-    lack = points.withColumn("loss", 1.0 + (1 - F.col("q")) * (0.1 + 0.2 * F.pow("n", F.lit(-0.5)) + 0.3 * F.pow("d", F.lit(-0.5))))
-    g = extensions.quality_increment(lack, F.lit(1.0)).first()
-    assert np.allclose([g["g0"], g["g1"], g["g2"]], [0.1, 0.2, 0.3], atol=1e-6) and g["positive"]
-
-
 def test_brackets_and_first_match(spark):
     rows = spark.createDataFrame([(1, 0.0, 10.0, 3.3), (2, 0.0, 10.0, 20.0)], "k int, a double, b double, c double")
     out = {r["k"]: r for r in extensions.refined(rows, "a", "b", lambda x: x >= F.col("c"), 1e-4).collect()}
