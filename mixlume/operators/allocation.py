@@ -42,31 +42,6 @@ def conditional_loss(n: Column, d: Column, q: Column, law: tuple[float, ...]) ->
     return F.lit(e) + a * F.pow(n, F.lit(-alpha)) + data, -alpha * a * F.pow(n, F.lit(-alpha - 1)), -beta * data / d, -gamma * data
 
 
-def joint(recipes: DataFrame, scenarios: DataFrame, law: tuple[float, ...], sizes: tuple[float, float], tokens: tuple[float, float], steps: int = 61) -> DataFrame:
-    """budget, context, status, idx, n, d, loss: the best recipe and size of each scenario.
-
-    Tokens follow from the budget (6 n d + 0.1 n context + n q), sizes are a log grid that a second pass refines around each scenario's best. Recipes matter only
-    through q, so equal qualities are one candidate, that of the smallest idx; scenarios that nothing fits keep a row.
-    """
-    spark = recipes.sparkSession
-    candidates = recipes.groupBy(F.round("q", 9).alias("q")).agg(F.min("idx").alias("idx"))
-    ratio = (sizes[1] / sizes[0]) ** (1 / (steps - 1))
-    coarse = grid(spark, n=[sizes[0] * ratio**k for k in range(steps)])
-
-    def best(tried: DataFrame) -> DataFrame:
-        d = F.col("budget") / (6 * F.col("n")) - 0.1 * F.col("context") / 6 - F.col("q") / 6
-        fit = tried.withColumn("d", F.least(d, F.lit(tokens[1]))).where(F.col("d") >= tokens[0])
-        fit = fit.withColumn("loss", conditional_loss(F.col("n"), F.col("d"), F.col("q"), law)[0])
-        return fit.groupBy("budget", "context").agg(F.min_by(F.struct("idx", "q", "n", "d", "loss"), F.struct("loss", "idx", "n")).alias("x"))
-
-    first = best(candidates.crossJoin(F.broadcast(scenarios)).crossJoin(F.broadcast(coarse)))
-    around = F.explode(F.transform(F.sequence(F.lit(-20), F.lit(20)), lambda k: F.col("x.n") * F.pow(F.lit(ratio), k / 20)))
-    fine = first.select("budget", "context", F.col("x.idx").alias("idx"), F.col("x.q").alias("q"), around.alias("n")).where(F.col("n").between(*sizes))
-    found = best(fine)
-    status = F.when(F.col("x").isNull(), "INFEASIBLE").when(F.col("x.d") >= tokens[1], "D_max_bound").otherwise("interior")
-    return scenarios.join(found, ["budget", "context"], "left").select("budget", "context", status.alias("status"), F.col("x.idx").alias("idx"), F.round("x.n", 6).alias("n"), F.col("x.d").alias("d"), F.col("x.loss").alias("loss"))
-
-
 def crossings(rows: DataFrame, steps: int) -> DataFrame:
     """idx, family, q: first quality on a grid of [0, 2] at which a family's cost passes the row's base cost."""
     x = rows.withColumn("family", F.explode(F.array(F.lit("exp"), F.lit("power"), F.lit("log"))))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,55 +93,6 @@ def frontier_candidates(rows: DataFrame, by: list[str], score: str, t: str, q: f
     return fit.join(quantile, by).select(*by, F.inline(made))
 
 
-def bounded_optimum(scenarios: DataFrame, law: tuple[float, ...], sizes: tuple[float, float], tokens: tuple[float, float]) -> DataFrame:
-    """scenarios (budget, context) with kind, n, d, loss: the best feasible one of the interior optimum and the four edges; spending is 6 n d + 0.1 n context; kind is NULL where nothing fits."""
-    e, a, alpha, b, beta = law
-    budget, context = F.col("budget"), F.col("context")
-    d_of = lambda n: (budget / n - 0.1 * context) / 6
-    n_of = lambda d: budget / (6 * d + 0.1 * context)
-    ratio = (alpha * a / (beta * b)) ** (1 / (alpha + beta))
-    interior = ratio * F.pow(budget / 6, F.lit(beta / (alpha + beta)))  # exact without context, a candidate with it
-    tries = {"interior": (interior, d_of(interior)), "N_min": (F.lit(sizes[0]), d_of(F.lit(sizes[0]))), "N_max": (F.lit(sizes[1]), d_of(F.lit(sizes[1]))), "D_min": (n_of(F.lit(tokens[0])), F.lit(tokens[0])), "D_max": (n_of(F.lit(tokens[1])), F.lit(tokens[1]))}
-    each = scenarios.select("budget", "context", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("double").alias("n"), d.cast("double").alias("d")) for k, (n, d) in tries.items()])))
-    ok = F.col("n").between(sizes[0] * (1 - 1e-12), sizes[1] * (1 + 1e-12)) & F.col("d").between(tokens[0] * (1 - 1e-12), tokens[1] * (1 + 1e-12))
-    loss = e + a * F.pow("n", F.lit(-alpha)) + b * F.pow("d", F.lit(-beta))
-    key = F.when(ok, F.struct(F.round(loss, 12), F.col("kind")))
-    best = each.groupBy("budget", "context").agg(F.min_by(F.struct("kind", "n", "d", loss.alias("loss")), key).alias("x"), F.min(key).alias("k"))
-    found = lambda c: F.when(F.col("k").isNotNull(), F.col(f"x.{c}")).alias(c)
-    return best.select("budget", "context", *[found(c) for c in ("kind", "n", "d", "loss")])
-
-
-def refined(rows: DataFrame, left: str, right: str, state: Callable[[Column], Column], width: float) -> DataFrame:
-    """rows with lo and hi: the bracket [left, right], at whose ends the state differs, halved until it is narrower than width; NULL where the ends agree."""
-    steps = 60
-    start = F.struct(F.col(left).cast("double").alias("lo"), F.col(right).cast("double").alias("hi"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        moved = F.when(state(mid) == state(s["lo"]), F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
-        return F.when(s["hi"] - s["lo"] <= width, s).otherwise(moved)
-
-    bracket = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)
-    found = rows.withColumn("_b", F.when(state(F.col(left)) != state(F.col(right)), bracket))
-    return found.withColumn("lo", F.col("_b.lo")).withColumn("hi", F.col("_b.hi")).drop("_b")
-
-
-def one_at_a_time(spark, base: dict[str, float], variants: dict[str, list[float]]) -> DataFrame:
-    """scenario, then a column for each factor: the base, and each factor's other values one at a time; a small table."""
-    names = list(base)
-    rows = [("base", *base.values())] + [(f"{k}={v:g}", *[float(v) if n == k else base[n] for n in names]) for k, values in variants.items() for v in values]
-    return spark.createDataFrame(rows, "scenario string, " + ", ".join(f"{n} double" for n in names))
-
-
-def joint_contrast(n: Column, d: Column, q: Column, law: tuple[float, ...], times: float = 2.0) -> tuple[Column, Column, Column]:
-    """(effect of both, sum of the separate effects, their difference) on the loss when size and tokens grow ``times``-fold at a fixed quality."""
-    e, a, alpha, b, beta, gamma = law
-    loss = lambda x, y: e + a * F.pow(x, F.lit(-alpha)) + b * F.pow(y, F.lit(-beta)) * F.exp(-gamma * q)
-    now, both = loss(n, d), loss(n * times, d * times)
-    apart = (loss(n * times, d) - now) + (loss(n, d * times) - now)
-    return both - now, apart, (both - now) - apart
-
-
 def boosted(rows: DataFrame, key: str, x: list[str], targets: list[str], trees: int = 8, depth: int = 3) -> DataFrame:
     """target, n, rmse: gradient-boosted trees of Spark ML for each target, trained on four of five folds by hash and tested on the fifth."""
     from pyspark.ml.feature import VectorAssembler

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixlume.functions import expr
 from mixlume.operators import allocation, budget, extensions, laws, mixture, stats
-from mixlume.plans.entities import LOSSES, MIX, RECIPES_SQL, RUNS_SQL, SUBMISSIONS_SQL, recipes, runs, submissions, table
+from mixlume.plans.entities import LOSSES, MIX, RECIPES_SQL, RUNS_SQL, SUBMISSIONS_SQL, runs, submissions, table
 from mixlume.plans.mixture import recipe_table
 from mixlume.plans.registry import query
 from mixlume.sources import io
 
 REC = "WITH " + RECIPES_SQL
-_LAW = (1.05, 2.5, 0.9, 0.1, 0.3)
 _LAW_Q = (1.05, 2.5, 0.9, 0.1, 0.3, 0.4)
 _U = "(CAST('0x' || substr(sha256({}), 1, 12) AS BIGINT) / 281474976710656.0)"
 _POISSON = "(" + " + ".join(f"CAST({{0}} >= {c} AS INT)" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)) + ")"
@@ -84,13 +82,6 @@ def _(spark, d):
     return io.single_result(files, "body", "purchase").groupBy("status").agg(F.count("*").alias("files"), F.sum("value").alias("total"))
 
 
-@query("m26_joint_contrast", _NDQ + ", l AS (SELECT idx, " + ", ".join(f"1.05 + 2.5 * power(n * {i}, -0.9) + 0.1 * power(d * {j}, -0.3) * exp(-0.4 * q) AS l{i}{j}" for i in (1, 2) for j in (1, 2)) + " FROM p) SELECT idx, (l22 - l11) * 1000 AS joint, (l21 - l11 + l12 - l11) * 1000 AS apart, (l22 - l21 - l12 + l11) * 1000 AS contrast FROM l", "joint apart contrast")
-def _(spark, d):
-    """Effect of doubling size and tokens together, less the separate effects, at each recipe's own quality (in thousandths)."""
-    joint, apart, contrast = extensions.joint_contrast(F.col("n"), F.col("d"), F.col("q"), _LAW_Q)
-    return ndq(spark, d).select("idx", (joint * 1000).alias("joint"), (apart * 1000).alias("apart"), (contrast * 1000).alias("contrast"))
-
-
 _MARGINALS = _NDQ + ", m AS (SELECT idx, 0.9 * 2.5 * power(n, -1.9) AS dn, 0.1 * 0.3 * power(d, -1.3) * exp(-0.4 * q) AS dd, 0.4 * 0.1 * power(d, -0.3) * exp(-0.4 * q) AS dq, n FROM p)"
 
 
@@ -103,71 +94,6 @@ def _(spark, d):
     return m.select("idx", (F.col("dn") * 1000).alias("per_size"), (F.col("dd") * 1000).alias("per_token"), (F.col("dq") * 1000).alias("per_quality"), (F.col("dq") / F.col("dn")).alias("size_for_quality"), (F.col("dd") / F.col("dn")).alias("size_for_token"), (F.col("n") * F.col("dn") / F.col("dq")).alias("quality_for_size"))
 
 
-_SIZES, _TOKENS = (1.0, 50.0), (2.0, 120.0)
-_E, _A, _AL, _B, _BE = _LAW
-_TRIES = {
-    "interior": (f"{(_AL * _A / (_BE * _B)) ** (1 / (_AL + _BE))!r} * power(budget / 6, {_BE / (_AL + _BE)!r})", None), "N_min": (str(_SIZES[0]), None), "N_max": (str(_SIZES[1]), None),
-    "D_min": (None, str(_TOKENS[0])), "D_max": (None, str(_TOKENS[1])),
-}
-_G5 = REC + ", s AS (SELECT DISTINCT round(n_lines * 100.0, 6) AS budget, round(loss_c * 10, 1) AS context FROM rec), t AS (" + " UNION ALL ".join(f"SELECT budget, context, '{k}' AS kind, CAST({n or f'budget / (6 * {d} + 0.1 * context)'} AS DOUBLE) AS n, CAST({d or f'(budget / ({n}) - 0.1 * context) / 6'} AS DOUBLE) AS d FROM s" for k, (n, d) in _TRIES.items()) + f"""),
- f AS (SELECT *, {_E} + {_A} * power(n, -{_AL}) + {_B} * power(d, -{_BE}) AS loss FROM t WHERE n BETWEEN {_SIZES[0] * (1 - 1e-12)!r} AND {_SIZES[1] * (1 + 1e-12)!r} AND d BETWEEN {_TOKENS[0] * (1 - 1e-12)!r} AND {_TOKENS[1] * (1 + 1e-12)!r}),
- b AS (SELECT budget, context, min(round(loss, 12)) AS loss, arg_min(kind, (round(loss, 12), kind)) AS kind, arg_min(n, (round(loss, 12), kind)) AS n, arg_min(d, (round(loss, 12), kind)) AS d FROM f GROUP BY 1, 2)
- SELECT s.budget, s.context, kind, n, d, loss FROM s LEFT JOIN b ON s.budget = b.budget AND s.context = b.context"""
-
-
-@query("g5_bounded_optimum", _G5, "budget context n d loss")
-def _(spark, d):
-    """The best feasible candidate of each budget and context that occurs."""
-    s = recipe_table(spark, d).select(F.round(F.col("n_lines") * 100.0, 6).alias("budget"), F.round(F.col("loss_c") * 10, 1).alias("context")).distinct()
-    return extensions.bounded_optimum(s, _LAW, _SIZES, _TOKENS)
-
-
-@query("g4_regimes", f"SELECT coalesce(kind, 'INFEASIBLE') AS regime, count(*) AS scenarios, min(budget) AS from_budget, max(budget) AS to_budget, avg(n) AS mean_size FROM ({_G5}) GROUP BY 1", "from_budget to_budget mean_size")
-def _(spark, d):
-    """Which bound the optimum of each budget and context meets, and over which budgets."""
-    s = recipe_table(spark, d).select(F.round(F.col("n_lines") * 100.0, 6).alias("budget"), F.round(F.col("loss_c") * 10, 1).alias("context")).distinct()
-    best = extensions.bounded_optimum(s, _LAW, _SIZES, _TOKENS)
-    return best.groupBy(F.coalesce("kind", F.lit("INFEASIBLE")).alias("regime")).agg(F.count("*").alias("scenarios"), F.min("budget").alias("from_budget"), F.max("budget").alias("to_budget"), F.avg("n").alias("mean_size"))
-
-
-_FACTORS = {"scale": 1.0, "beta": 0.3, "context": 1.0}
-_VARIANTS = {"scale": [0.8, 1.2], "beta": [0.25, 0.35], "context": [0.0, 4.0]}
-_STATE = "CASE WHEN (budget * scale / 10 - 0.1 * context) / 6 > 60 THEN 'D_max_bound' WHEN 2.5 * power(10, -0.9) < 0.1 * power(greatest(0.01, (budget * scale / 10 - 0.1 * context) / 6), -beta) THEN 'data' ELSE 'size' END"
-_SCENARIOS = " UNION ALL ".join(f"SELECT '{name}' AS scenario, " + ", ".join(f"{float(v)} AS {k}" for k, v in values.items()) for name, values in [("base", _FACTORS)] + [(f"{k}={v:g}", _FACTORS | {k: v}) for k, vs in _VARIANTS.items() for v in vs])
-
-
-@query("g11_assumption_grid", REC + f", b AS (SELECT idx, n_lines * 100.0 AS budget FROM rec), g AS ({_SCENARIOS}), x AS (SELECT idx, scenario, {_STATE} AS state FROM b, g) SELECT x.scenario, count(*) AS cells, count(*) FILTER (x.state <> y.state) AS changed FROM x JOIN x y ON x.idx = y.idx AND y.scenario = 'base' GROUP BY x.scenario")
-def _(spark, d):
-    """Each assumption changed alone: how many cells leave their state of the base."""
-    cells = recipe_table(spark, d).select("idx", (F.col("n_lines") * 100.0).alias("budget"))
-    grid = extensions.one_at_a_time(spark, _FACTORS, _VARIANTS)
-    x = cells.crossJoin(F.broadcast(grid)).select("idx", "scenario", F.expr(_STATE).alias("state"))
-    base = cells.crossJoin(F.broadcast(grid.where("scenario = 'base'"))).select("idx", F.expr(_STATE).alias("at_base"))
-    return x.join(base, "idx").groupBy("scenario").agg(F.count("*").alias("cells"), F.count_if(F.col("state") != F.col("at_base")).alias("changed"))
-
-
-@query("g10_transitions", REC + ", t AS (SELECT idx, log10(6 * power(20 + loss_c * 50, 2)) AS root FROM rec) SELECT idx, root > 2.5 AND root <= 5 AS crossed, CASE WHEN root > 2.5 AND root <= 5 THEN true END AS held, CASE WHEN root > 2.5 AND root <= 5 THEN true END AS narrow FROM t")
-def _(spark, d):
-    """Where, on the axis of log budgets, each recipe's balanced size reaches its cap: brackets refined below 1e-4, held against the closed form."""
-    rows = recipe_table(spark, d).select("idx", (20 + F.col("loss_c") * 50).alias("cap"), F.lit(2.5).alias("x0"), F.lit(5.0).alias("x1"))
-    root = F.log10(6 * F.pow("cap", F.lit(2)))
-    found = extensions.refined(rows, "x0", "x1", lambda x: F.sqrt(F.pow(F.lit(10.0), x) / 6) >= F.col("cap"), 1e-4)
-    return found.select("idx", F.col("lo").isNotNull().alias("crossed"), root.between(F.col("lo") - 1e-9, F.col("hi") + 1e-9).alias("held"), ((F.col("hi") - F.col("lo")) <= 1e-4).alias("narrow"))
-
-
-_G8 = "WITH s AS (SELECT b.budget, f.family FROM (SELECT unnest([50.0, 500.0, 5000.0]) AS budget) b, (SELECT unnest(['exp', 'power', 'log']) AS family) f), g AS (SELECT budget, family, k / 40.0 AS q, power(10, j / 20.0) AS n FROM s, range(41) a(k), range(35) c(j)), t AS (SELECT *, (CASE family WHEN 'exp' THEN exp(q) - 1 WHEN 'power' THEN q * q ELSE ln(1 + q) END) AS cost FROM g), u AS (SELECT *, budget / (6 * n + cost) AS d FROM t), l AS (SELECT *, 1.05 + 2.5 * power(n, -0.9) + 0.1 * power(d, -0.3) * exp(-0.4 * q) AS loss FROM u WHERE d >= 1) SELECT budget, family, arg_min(q, (round(loss, 10), q, n)) AS q, arg_min(n, (round(loss, 10), q, n)) AS n, min(loss) AS loss FROM l GROUP BY 1, 2"
-
-
-@query("g8_quality_sensitivity", _G8, "budget q n loss")
-def _(spark, d):
-    """The best independent quality and size of each budget and cost family on a grid."""
-    s = spark.sql("select budget, family from (select explode(array(50.0D, 500.0D, 5000.0D)) as budget) cross join (select explode(array('exp', 'power', 'log')) as family)")
-    g = s.withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: k / 40.0))).withColumn("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(34)), lambda j: F.pow(F.lit(10.0), j / 20.0))))
-    u = g.withColumn("d", F.col("budget") / (6 * F.col("n") + expr.quality_cost(F.col("q"), F.col("family")))).where("d >= 1")
-    u = u.withColumn("loss", allocation.conditional_loss(F.col("n"), F.col("d"), F.col("q"), _LAW_Q)[0])
-    key = F.struct(F.round("loss", 10), F.col("q"), F.col("n"))
-    return u.groupBy("budget", "family").agg(F.min_by("q", key).alias("q"), F.min_by("n", key).alias("n"), F.min("loss").alias("loss"))
-
 
 @query("m16_bridge_panel", "WITH x AS (SELECT l_returnflag AS grade, l_quantity / 10 AS loss, l_extendedprice / 10000 AS size, l_tax * 100 - l_quantity / 20 AS s FROM lineitem), c AS (SELECT grade, count(*) AS n, var_pop(s) AS v, covar_pop(loss, s) AS c1, covar_pop(size, s) AS c2, var_pop(loss) AS v1, var_pop(size) AS v2, covar_pop(loss, size) AS c12 FROM x GROUP BY grade) SELECT grade, unnest(['constant', 'loss', 'loss_and_size', 'monotone']) AS model, n, sqrt(unnest([v, v - c1 * c1 / v1, v - (c1 * (v2 * c1 - c12 * c2) + c2 * (v1 * c2 - c12 * c1)) / (v1 * v2 - c12 * c12), CASE WHEN c1 > 0 THEN v ELSE v - c1 * c1 / v1 END])) AS rmse FROM c", "rmse")
 def _(spark, d):

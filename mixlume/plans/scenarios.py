@@ -22,9 +22,9 @@ def _(spark, d):
     return g.select("metric_a", "metric_b", "mean_rho", F.col("negative_domains").alias("negative"), "domains", label.alias("label"))
 
 
-@query("ag22_frozen_thresholds", q1._QD + ", s AS (SELECT CASE WHEN domain = 'src0' THEN 'extension' ELSE 'sample' END AS scope, quality, degree FROM qd) SELECT scope, count(*) AS rows, avg(CAST(quality >= q_cut AS INT)) AS high_quality, avg(CAST(degree >= d_cut AS INT)) AS high_conflict FROM s, cuts GROUP BY scope", "high_quality high_conflict")
+@query("ag22_frozen_thresholds", q1._QD + ", s AS (SELECT CASE WHEN id IN (SELECT doc_id FROM labels) THEN 'sample' ELSE 'extension' END AS scope, quality, degree FROM qd) SELECT scope, count(*) AS rows, avg(CAST(quality >= q_cut AS INT)) AS high_quality, avg(CAST(degree >= d_cut AS INT)) AS high_conflict FROM s, cuts GROUP BY scope", "high_quality high_conflict")
 def _(spark, d):
-    x = q1._decided(spark, d).withColumn("scope", F.when(F.col("domain") == "src0", "extension").otherwise("sample"))
+    x = q1.with_scope(spark, d, q1._decided(spark, d))
     return x.groupBy("scope").agg(F.count("*").alias("rows"), F.avg((F.col("quality") >= F.col("q_cut")).cast("int")).alias("high_quality"), F.avg((F.col("degree") >= F.col("d_cut")).cast("int")).alias("high_conflict"))
 
 
@@ -110,16 +110,6 @@ def _(spark, d):
     return o.select(F.col("o_orderkey").alias("request"), status.alias("status"), F.when(status == "OK", F.sqrt(F.col("o_totalprice") / 6)).alias("n"))
 
 
-@query("g6_g7_joint_allocation", None, "budget d loss")
-def _(spark, d):
-    """The best size, tokens and recipe for each budget and context: one row for each scenario, with a status where nothing fits."""
-    law = (1.05, 2.5, 0.9, 0.1, 0.3, 0.4)
-    q, _ = allocation.quality_proxy(F.col("loss_b"), 0.02, 0.06)
-    recipes = recipe_table(spark, d).select("idx", q.alias("q")).where("q >= 0.5")
-    scenarios = allocation.grid(spark, budget=[50.0, 500.0, 5000.0, 1e-3], context=[1.0, 8.0])
-    return allocation.joint(recipes, scenarios, law, (0.5, 50.0), (1.0, 500.0))
-
-
 @query("g3_critical_points", None, "q")
 def _(spark, d):
     """Where each recipe's quality cost crosses the base cost, per family, on a grid of qualities."""
