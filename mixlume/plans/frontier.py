@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import frontier, moments, pairs
+from mixlume.operators import contributions, frontier, moments, pairs
 from mixlume.plans.entities import RUNS_SQL, SUBMISSIONS_SQL, latest, runs, submissions, table
 from mixlume.plans.registry import query
 
@@ -115,6 +115,28 @@ def _(spark, d):
     return frontier.decompose(sub, [0.25, 0.5, 1.0])
 
 
+_KINDS = SUB + ", r AS (SELECT kind, t, log_n, score, substr(licence, 1, 1) AS class, developer FROM sub), f AS (SELECT 'primary' AS filter, * FROM r UNION ALL SELECT 'strict', * FROM r WHERE class <> '5' UNION ALL SELECT 'permissive', * FROM r WHERE class IN ('1', '2')), b AS (SELECT filter, kind, min(t) AS t0 FROM f GROUP BY ALL)"
+_KINDS += """, v AS (SELECT f.*, months, width, control, CAST(t <= t0 + months AS INT) AS e, CAST(t >= (SELECT max(t) FROM r) - months AS INT) AS l FROM f JOIN b USING (filter, kind), (SELECT unnest([3.0, 6.0, 12.0]) AS months), (SELECT unnest([0.25, 0.5, 0.75]) AS width), (SELECT unnest([false, true]) AS control)),
+ c AS (SELECT filter, kind, months, width, control, class, CASE WHEN control THEN developer END AS dev, floor(log_n / width) AS bin, sum(e) AS n0, sum(l) AS n1, sum(score * e) AS s0, sum(score * l) AS s1, sum(log_n * e) AS x0, sum(log_n * l) AS x1 FROM v WHERE e + l > 0 GROUP BY ALL),
+ g AS (SELECT *, s0 / n0 AS m0, s1 / n1 AS m1, abs(x1 / n1 - x0 / n0) AS sh FROM c WHERE n0 >= 2 AND n1 >= 2),
+ k AS (SELECT filter, kind, months, width, control, class, dev, sum(n0) AS t0, sum(n1) AS t1 FROM g GROUP BY ALL), q AS (SELECT filter, kind, months, width, control, sum(t0 + t1) AS tt, count(*) AS strata FROM k GROUP BY ALL),
+ h AS (SELECT g.*, (k.t0 + k.t1) / tt AS pi, g.n0 / k.t0 AS w0, g.n1 / k.t1 AS w1 FROM g JOIN k ON g.filter = k.filter AND g.kind = k.kind AND g.months = k.months AND g.width = k.width AND g.control = k.control AND g.class = k.class AND g.dev IS NOT DISTINCT FROM k.dev JOIN q ON g.filter = q.filter AND g.kind = q.kind AND g.months = q.months AND g.width = q.width AND g.control = q.control),
+ p AS (SELECT filter, kind, months, width, control, count(*) AS cells, sum(n0) AS g0, sum(n1) AS g1, sum(pi * w0 * m0) AS a, sum(pi * w1 * m1) AS z, sum(pi * (w1 - w0) * (m1 + m0) / 2) AS scale, sum(pi * (w1 + w0) * (m1 - m0) / 2) AS temporal, max(sh) AS shift_in_bins FROM h GROUP BY ALL),
+ o AS (SELECT filter, kind, months, width, control, sum(n0) AS n_early, sum(n1) AS n_late, sum(s1) / nullif(sum(n1), 0) - sum(s0) / nullif(sum(n0), 0) AS observed_change FROM c GROUP BY ALL HAVING sum(n0) >= 10 AND sum(n1) >= 10)
+ SELECT o.filter, o.kind, o.months, o.width, o.control, CASE WHEN cells > 0 THEN 'OK' ELSE 'NO_COMMON_CELLS' END AS status, CAST(n_early AS BIGINT) AS n_early, CAST(n_late AS BIGINT) AS n_late, coalesce(cells, 0) AS cells, coalesce(strata, 0) AS strata,
+  coalesce(g0, 0) / n_early AS coverage_early, coalesce(g1, 0) / n_late AS coverage_late, observed_change, a AS standard_start, z AS standard_end, z - a AS change, scale, temporal, observed_change - (z - a) AS gap,
+  CASE WHEN abs(z - a) > 0.1 THEN scale / (z - a) END AS scale_share, CASE WHEN abs(z - a) > 0.1 THEN temporal / (z - a) END AS temporal_share, z - a - scale - temporal AS closure, shift_in_bins
+ FROM o LEFT JOIN p USING (filter, kind, months, width, control) LEFT JOIN q USING (filter, kind, months, width, control)"""
+
+
+@query("ag32_ag33_contributions", _KINDS, "months width coverage_early coverage_late observed_change standard_start standard_end change scale temporal gap scale_share temporal_share closure shift_in_bins")
+def _(spark, d):
+    """The decomposition for each licence filter, kind, window, bin width and developer control, within classes."""
+    rows = submissions(spark, d).withColumn("class", F.substring("licence", 1, 1))
+    c = F.col("class")
+    return contributions.contributions(rows, {"primary": F.lit(True), "strict": c != "5", "permissive": c.isin("1", "2")}, [3, 6, 12], [0.25, 0.5, 0.75])
+
+
 @query("m19_shapley", SUB + " SELECT row_no, 50 * ((1 / (1 + exp(-(z + a))) - 1 / (1 + exp(-z))) + (1 / (1 + exp(-(z + a + b))) - 1 / (1 + exp(-(z + b))))) AS size_part, 50 * ((1 / (1 + exp(-(z + b))) - 1 / (1 + exp(-z))) + (1 / (1 + exp(-(z + a + b))) - 1 / (1 + exp(-(z + a))))) AS time_part FROM (SELECT row_no, (score - 50) / 20 AS z, log_n / 4 AS a, t / 80 AS b FROM sub)", "size_part time_part")
 def _(spark, d):
     x = submissions(spark, d).select("row_no", ((F.col("score") - 50) / 20).alias("z"), (F.col("log_n") / 4).alias("a"), (F.col("t") / 80).alias("b"))
