@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mixlume.functions import expr
 from mixlume.operators import contributions, frontier, moments, pairs
-from mixlume.plans.entities import RUNS_SQL, SUBMISSIONS_SQL, latest, runs, submissions, table
+from mixlume.operators import origins as origins_panel
+from mixlume.plans.entities import RUNS_SQL, SUBMISSIONS_SQL, keep, latest, runs, submissions, table
 from mixlume.plans.registry import query
 
 SUB = "WITH " + SUBMISSIONS_SQL
@@ -81,6 +82,33 @@ def _(spark, d):
     return frontier.rolling_backtest(submissions(spark, d), origins(spark))
 
 
+#: Yearly growth of resources, in powers of ten, and the scenarios that a forecast spans.
+_GROWTH = 0.4
+_SPAN = ([12.0, 24.0], {"historical": 1.0, "half": 0.5, "quarter": 0.25, "stopped": 0.0}, [0.25, 0.5, 0.75], [0.0, 0.5, 1.0], [0.5, 1.0, 1.5])
+
+
+def _tested(spark: SparkSession, d: str) -> DataFrame:
+    return keep(spark, d, "origins", lambda: origins_panel.backtest(submissions(spark, d), _GROWTH))
+
+
+@query("m18_r14_origin_backtest", None, "actual predicted horizon model_overlap developer_overlap", "origin")
+def _(spark, d):
+    """Four frontier candidates (constant, monthly trend, quantile and mean planes in size and time) at each origin against the two months after it."""
+    return _tested(spark, d)
+
+
+@query("m18_candidate_comparison", None, "rmse mae bias worst")
+def _(spark, d):
+    """How each candidate did over all origins of a kind, and which one is selected."""
+    return origins_panel.compare(_tested(spark, d))
+
+
+@query("g21_scenario_union", None, "horizon point low high union_low union_high stress_low stress_high")
+def _(spark, d):
+    """Forecasts of all candidates under slowdowns, with the span over size shares, kept drifts and growth multipliers, their union, and the backtest's largest error as stress."""
+    return origins_panel.scenarios(submissions(spark, d), _tested(spark, d), _GROWTH, *_SPAN)
+
+
 @query("m1_ols", SUB + " SELECT kind, count(*) AS n, regr_slope(score, t) AS slope, regr_intercept(score, t) AS intercept FROM sub GROUP BY kind", "slope intercept")
 def _(spark, d):
     return moments.slope(submissions(spark, d), ["kind"], "score", "t")
