@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mixlume.llm.common import SpanHasher, byte_table, in_slices, materialize, mix, quoted, release, unused, with_columns_in_arrow
+from mixlume.llm import common
+from mixlume.llm.common import SpanHasher, byte_table, in_slices, mix, quoted, release, unused, with_columns_in_arrow
 
 SHINGLE = 5
 #: Documents are linked at 100 * intersection >= percent * union; PERCENT is the default, op4's contract.
@@ -30,6 +31,21 @@ CHUNK = 100_000
 WORDS = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
 
 
+#: Rows of an Arrow batch while the search's tables are written: ten thousand texts at a time are buffers of 64 MB and more for each task, outside the heap and in Python.
+ROWS_SENT = 1000
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """common.materialize() with batches of ROWS_SENT rows; the session's setting is as before afterwards."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), ROWS_SENT) if int(before) > 0 else ROWS_SENT))
+    try:
+        return common.materialize(df, name)
+    finally:
+        conf.set(key, before)
+
+
 @cache
 def band_count(percent: int = PERCENT) -> int:
     """Bands of ROWS hashes that a pair at the threshold misses with probability below BAND_MISS: 24 at 85 %, 35 at 80 %."""
