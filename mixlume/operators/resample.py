@@ -38,11 +38,12 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float, seed:
     return placed.withColumn("part", F.when(F.col("_place") <= F.floor(F.lit(share) * F.col("_of")), "fit").otherwise("check")).drop("_u", "_place", "_of")
 
 
-def contiguous_folds(df: DataFrame, order: str, k: int, by: list[str] | None = None) -> DataFrame:
+def contiguous_folds(df: DataFrame, order: str | list[str], k: int, by: list[str] | None = None) -> DataFrame:
     """df with fold 0..k-1: contiguous in the order (one column, a unique number), the first n % k folds one larger."""
-    if not isinstance(order, str):
-        raise TypeError("the order of folds is one column; make one of several first")
-    placed = places(df, by or [], order)
+    names = [order] if isinstance(order, str) else list(order)
+    if len(names) != 1:
+        raise ValueError("the order of folds is one column; make one of several first")
+    placed = places(df, by or [], names[0])
     size, larger = F.floor(F.col("_of") / k), F.col("_of") % k
     before = F.col("_place") - 1
     fold = F.when(before < larger * (size + 1), F.floor(before / (size + 1))).otherwise(larger + F.floor((before - larger * (size + 1)) / F.greatest(size, F.lit(1))))

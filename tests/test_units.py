@@ -106,6 +106,8 @@ def test_least_squares(spark):
     assert train == {k: (40, round(brute.where(F.col("fold") != k).agg(F.sum("y")).first()[0], 6)) for k in range(5)}
     cv = {r["alpha"]: r["rmse"] for r in mixture.cross_validate(rows, "id", ["x", "z"], ["y"], (1e-6, 1000.0), 5).collect()}
     assert cv[1e-6] < 1e-3 < cv[1000.0]
+    with pytest.raises(ValueError, match="one column"):
+        resample.contiguous_folds(rows, ["z", "id"], 4)
 
 
 def test_records_and_boundaries(spark):
