@@ -76,7 +76,7 @@ def _solved(sums: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "g").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", b0 double, b_size double, b_t double")
 
 
-def plane_fits(snap: DataFrame, by: list[str], q: float | None = None, passes: int = 15, near: float = 1e-3) -> DataFrame:
+def plane_fits(snap: DataFrame, by: list[str], q: float | None = None, passes: int = 30, near: float = 1e-3) -> DataFrame:
     """by, b0, b_size, b_t: z (logit of the score) on log_n and t for every group at once, by least squares, or with q by check loss.
 
     Check loss is minimised by reweighting: a pass is one aggregate over all groups, joined with the small table of the pass before, and every third one asks whether a coefficient still moves by more than 1e-4.
