@@ -26,6 +26,8 @@ BAND_MISS = 1e-6
 BATCH, MISS = 24, 1e-8
 #: Rows of one bucket that are compared with as many others in one task.
 BLOCK = 512
+#: Slots by which shingles are ordered from rare to frequent when a bucket of more than BLOCK rows is split: 65,536 counts, whatever the table's size.
+SLOT_BITS = 16
 #: Words hashed at once, so that memory doesn't follow the longest text.
 CHUNK = 100_000
 WORDS = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
@@ -208,7 +210,8 @@ def _spanning(group: pa.Table, percent: int) -> pa.Table:
     """
     classes, labels, block = group.column("cls").to_pylist(), group.column("label").to_pylist(), np.array(group.column("block"))
     sigs = _matrix(group.column("sig").combine_chunks(), percent)
-    own = np.unique(np.array([hash(x) for x in labels]), return_inverse=True)[1]
+    numbers: dict[bytes, int] = {}
+    own = np.array([numbers.setdefault(x, len(numbers)) for x in labels])
     i, j = np.nonzero((own[:, None] != own) & np.triu(np.ones((len(own), len(own)), bool), 1) & ((block[:, None] != block) | (len(np.unique(block)) == 1)))
     alive = [at + _survive(sigs[i[at : at + 65536]], sigs[j[at : at + 65536]], percent) for at in range(0, len(i), 65536)]
     alive = np.concatenate(alive) if alive else np.zeros(0, np.int64)
@@ -240,40 +243,105 @@ def _spanning(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
 
-def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes of equal sets that connect all that is linked; written."""
+def _slots(rows: DataFrame) -> np.ndarray:
+    """How many of the texts of rows (cls, text) hold a shingle of each slot; a shingle's slot is the top SLOT_BITS bits of its hash."""
 
-    def texts_of(classes: DataFrame, name: str) -> DataFrame:
-        needed = classes.distinct().join(nodes.select("cls", "doc_id", "h"), "cls")
-        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(needed, ["doc_id", "h"])
-        return materialize(texts.select("cls", F.col("text").cast("binary").alias("text")).dropDuplicates(["cls"]), name)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for start, end in in_slices(texts):
+                for found in shingle_sets(texts[start:end]):
+                    total[np.unique(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] += 1
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+        release()
+
+    found = rows.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** SLOT_BITS rows
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return total
+
+
+def rare_prefix(found: np.ndarray, slots: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(n * percent / 100) + 1 of a set's n hashes, those of rare slots first. Sets at the threshold share one, since both drop fewer than what they share."""
+    order = np.lexsort((found, slots[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    return found[order[: len(found) - -(-len(found) * percent // 100) + 1]]
 
-    keyed = nodes.select("cls", F.explode("bands").alias("key"))
-    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("head")).where("n > 1"), "buckets")
-    members = materialize(keyed.join(buckets, "key"), "members")
 
-    # Each bucket's members against its head.
-    pairs = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+def _prefixes(rows: DataFrame, slots: np.ndarray, percent: int) -> DataFrame:
+    """cls, key: the rare prefix of each text of rows (cls, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1).to_pylist()
+            for start, end in in_slices(texts):
+                parts = [rare_prefix(x, slots, percent).view(np.int64) for x in shingle_sets(texts[start:end])]
+                owner = np.repeat(np.arange(start, end), [len(x) for x in parts])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(owner)), pa.array(np.concatenate(parts))], names=["cls", "key"])
+            del texts
+            release()
+
+    return rows.select("cls", "text").mapInArrow(run, "cls binary, key bigint")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes of equal sets that connect all that is linked; written."""
     sigs = nodes.select("cls", "sig")
-    signed = pairs.join(sigs.toDF("b", "sb"), "b").join(sigs.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-    alive = materialize(signed.mapInArrow(lambda batches: _prune(batches, percent), "a binary, b binary"), "alive")
-    texts = texts_of(alive.select(F.explode(F.array("a", "b")).alias("cls")), "texts")
-    joined = alive.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    links = materialize(joined.mapInArrow(lambda batches: _verify(batches, percent), "a binary, b binary"), "links")
 
-    # What the heads leave apart, in blocks: buckets of three or more whose members aren't yet all of one label. A label's members are linked.
+    def texts_of(classes: DataFrame) -> DataFrame:
+        needed = classes.distinct().join(nodes.select("cls", "doc_id", "h"), "cls")
+        texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(needed, ["doc_id", "h"])
+        return materialize(texts.select("cls", F.col("text").cast("binary").alias("text")).dropDuplicates(["cls"]), "texts")
+
+    def sized(keyed: DataFrame) -> DataFrame:
+        """key, cls, n, head: members of the buckets of two or more."""
+        buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("head")).where("n > 1"), "buckets")
+        return materialize(keyed.join(buckets, "key"), "members")
+
+    def to_heads(members: DataFrame) -> DataFrame:
+        """Links of each bucket's members with its head."""
+        pairs = members.where("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct()
+        signed = pairs.join(sigs.toDF("b", "sb"), "b").join(sigs.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+        alive = materialize(signed.mapInArrow(lambda batches: _prune(batches, percent), "a binary, b binary"), "alive")
+        texts = texts_of(alive.select(F.explode(F.array("a", "b")).alias("cls")))
+        joined = alive.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        return materialize(joined.mapInArrow(lambda batches: _verify(batches, percent), "a binary, b binary"), "links")
+
+    def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+        """Members of the buckets of three or more that aren't yet all of one label. A label's members are linked."""
+        rest = members.where("n > 2").select("key", "cls", "n").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        rest = materialize(rest, "rest")
+        split = materialize(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "split")
+        return materialize(rest.join(split, "key", "left_semi"), "apart")
+
+    def in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links between labels in each bucket of rest, block by block."""
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rest = rest.select("key", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        rest = rest.join(sigs, "cls").join(texts, "cls")
+        return materialize(rest.groupBy("key", "i", "j").applyInArrow(lambda group: _spanning(group, percent), "a binary, b binary"), "links")
+
+    members = sized(nodes.select("cls", F.explode("bands").alias("key")))
+    links = to_heads(members)
     up = links.groupBy("b").agg(F.min("a").alias("m"))
     label = up.join(up.toDF("m", "mm"), "m", "left").select(F.col("b").alias("cls"), F.coalesce("mm", "m").alias("label"))
-    rest = members.where("n > 2").select("key", "cls", "n").join(materialize(label, "labels"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    rest = materialize(rest, "rest")
-    split = materialize(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "split")
-    rest = materialize(rest.join(split, "key", "left_semi"), "apart")
-    texts = texts_of(rest.select("cls"), "texts")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "cls", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rest = rest.join(sigs, "cls").join(texts, "cls")
-    return links.unionByName(materialize(rest.groupBy("key", "i", "j").applyInArrow(lambda group: _spanning(group, percent), "a binary, b binary"), "links"))
+    rest = apart(members, materialize(label, "labels"))
+    texts = texts_of(rest.select("cls"))
+    links = links.unionByName(in_blocks(rest.where(F.col("n") <= BLOCK), texts))
+
+    # Buckets of more than a block are split by the rare prefixes of their members, which those that are linked share: pages of one template part here.
+    large = rest.where(F.col("n") > BLOCK).select("cls").distinct()
+    if large.isEmpty():
+        return links
+    texts = materialize(texts.join(large, "cls", "left_semi"), "texts")
+    members = sized(_prefixes(texts, _slots(texts), percent))
+    links = links.unionByName(to_heads(members))
+    rest = apart(members, components(links).withColumnRenamed("node", "cls"))
+    same = rest.groupBy("key").agg(F.count("*").alias("k"), *[F.sum(F.xxhash64(F.lit(x), "cls").cast("decimal(38,0)")).alias(x) for x in "xy"])
+    once = same.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key")  # prefixes of the same members ask the same
+    return links.unionByName(in_blocks(rest.join(once, "key", "left_semi"), texts))
 
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

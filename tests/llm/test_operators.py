@@ -187,6 +187,37 @@ def test_near_duplicates(spark, docs, empty):
     assert all(a < b for a, b in zip(least, least[1:])) and least[-1] < 0.85 * near_dup.BANDS * near_dup.ROWS
 
 
+def test_large_bucket_of_a_template_is_split(spark, monkeypatch):
+    """Pages that share most of their words fill a bucket of more than a block; near copies among them are linked, the rest stay apart."""
+    rng = np.random.default_rng(7)
+    frame = [f"t{i}" for i in range(90)]
+    own = [[f"p{k}_{i}" for i in range(24)] for k in range(40)]
+    rows = [(k, " ".join(frame[:45] + own[k] + frame[45:])) for k in range(40)]
+    for k in range(40, 55):  # a copy of an earlier page, or of a copy, with its last own words changed
+        own.append(own[rng.integers(0, k)][:22] + [f"q{k}", f"r{k}"])
+        rows.append((k, " ".join(frame[:45] + own[k] + frame[45:])))
+    rows += [(60 + k, rows[k][1]) for k in range(3)]
+    calls, slots = [], near_dup._slots
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "_slots", lambda texts: calls.append(1) or slots(texts))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows)) and calls
+    assert 10 < len({r["component_id"] for r in got}) <= 40
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_linked_sets_share_a_rare_hash(percent):
+    rng = np.random.default_rng(percent)
+    slots = rng.integers(0, 9, 1 << near_dup.SLOT_BITS)
+    for n in (1, 2, 7, 40, 200):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, rng.integers(0, 1 + n // 10), dtype=np.int64).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
+                assert len(np.intersect1d(near_dup.rare_prefix(a, slots, percent), near_dup.rare_prefix(b, slots, percent)))
+
+
 def test_long_text_hashes_by_chunks():
     text = AWKWARD[8][1].encode()
     old = near_dup.CHUNK
