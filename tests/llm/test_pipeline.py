@@ -38,7 +38,7 @@ def test_stages_and_registration(spark, tmp_path):
     assert kept["decontamination"] == kept["packing"] == every - {100, 101}
     assert not [r for r in spark.read.parquet(f"{folder}/out-line_dedup").collect() if r["doc_id"] < 60 and "rights" in r["text"]]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == kept["packing"]
-    assert sorted(queries.QUERIES) == sorted(f.__name__ for f in queries._ALL) and len(queries._ALL) == 10
+    assert sorted(queries.QUERIES) == sorted(f.__name__ for f in queries._ALL) and len(queries._ALL) == 13
 
 
 def test_copies_that_make_up_most_of_a_source_keep_their_text(spark):
