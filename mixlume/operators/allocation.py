@@ -48,3 +48,23 @@ def crossings(rows: DataFrame, steps: int) -> DataFrame:
     at = lambda k: quality_cost(2.0 * k / (steps - 1), F.col("family"))
     passed = F.filter(F.sequence(F.lit(1), F.lit(steps - 1)), lambda k: (at(k) > F.col("base")) & (at(k - 1) <= F.col("base")))
     return x.withColumn("q", 2.0 * F.get(passed, F.lit(0)) / (steps - 1)).where("q is not null").select("idx", "family", "q")
+
+
+def bridged_loss(n: Column, d: Column, q: Column, effect: Column, lam: Column, eta: Column, model: Column, law: tuple[float, ...]) -> dict[str, Column]:
+    """conditional_loss() times a mixture factor, with derivatives and elasticities in n, d and q, by name.
+
+    With z = lam n^-eta effect the factor is e^z (model exp) or 1 + z (linear). status: OK; NEGATIVE_LAMBDA; UNKNOWN_MODEL; OUT_OF_RANGE for |z| above 700 under
+    exp or a linear factor that isn't positive; MISSING for a missing input. All figures of a row that isn't OK are NULL.
+    """
+    base, dn, dd, dq = conditional_loss(n, d, q, law)
+    z = lam * F.pow(n, -eta) * effect
+    exp = model == "exp"
+    status = (
+        F.when(z.isNull() | base.isNull() | model.isNull(), "MISSING").when(~model.isin("exp", "linear"), "UNKNOWN_MODEL").when(lam < 0, "NEGATIVE_LAMBDA")
+        .when((exp & (F.abs(z) > 700)) | (~exp & (z <= -1)), "OUT_OF_RANGE").otherwise("OK")
+    )
+    factor, slope = F.when(exp, F.exp(z)).otherwise(1 + z), F.when(exp, F.exp(z)).otherwise(F.lit(1.0))
+    loss = base * factor
+    parts = {"loss": loss, "factor": factor, "dn": factor * dn - base * slope * eta * z / n, "dd": factor * dd, "dq": factor * dq}
+    parts |= {f"elasticity_{x}": v * parts[f"d{x}"] / loss for x, v in (("n", n), ("d", d), ("q", q))}
+    return {"status": status, **{k: F.when(status == "OK", v) for k, v in parts.items()}}

@@ -102,6 +102,29 @@ def _(spark, d):
     return r.select("idx", "q", "clipped", loss.alias("loss"), dn.alias("dn"), dd.alias("dd"), dq.alias("dq"))
 
 
+_BRIDGED = ("loss", "factor", "dn", "dd", "dq", "elasticity_n", "elasticity_d", "elasticity_q")
+_BRIDGE_SQL = REC + f""", m AS (SELECT avg(loss_a) AS mean_a FROM rec),
+r AS (SELECT idx, 1 + loss_d * 10 AS n, 20 + loss_c * 50 AS d, least(1.0, greatest(0.0, (loss_b - 0.02) / 0.037)) AS q, loss_a / mean_a - 1 AS effect FROM rec, m),
+g AS (SELECT idx, n, d, q, model, lam, eta, lam / power(n, eta) * effect AS z, {_M23} AS base FROM r, (SELECT unnest(['exp', 'linear']) AS model), (SELECT unnest([0.0, 1.0, 4.0]) AS lam), (SELECT unnest([0.0, 0.2]) AS eta)),
+f AS (SELECT *, CASE WHEN model = 'linear' AND z <= -1 THEN 'OUT_OF_RANGE' ELSE 'OK' END AS status, CASE model WHEN 'exp' THEN exp(z) ELSE 1 + z END AS fz, 0.1 / power(d, 0.3) / exp(0.4 * q) AS tokens FROM g),
+v AS (SELECT *, base * fz AS loss, fz * -2.25 / power(n, 1.9) - eta * z / n * base * (CASE model WHEN 'exp' THEN fz ELSE 1 END) AS dn, -0.3 * fz * tokens / d AS dd, -0.4 * fz * tokens AS dq FROM f)
+SELECT model, lam, eta, status, count(*) AS recipes, avg(loss) FILTER (status = 'OK') AS loss, avg(fz) FILTER (status = 'OK') AS factor, avg(dn) FILTER (status = 'OK') AS dn, avg(dd) FILTER (status = 'OK') AS dd, avg(dq) FILTER (status = 'OK') AS dq,
+  avg(n * dn / loss) FILTER (status = 'OK') AS elasticity_n, avg(d * dd / loss) FILTER (status = 'OK') AS elasticity_d, avg(q * dq / loss) FILTER (status = 'OK') AS elasticity_q FROM v GROUP BY model, lam, eta, status"""
+
+
+@query("m23_bridges", _BRIDGE_SQL, "lam eta " + " ".join(_BRIDGED))
+def _(spark, d):
+    """Mean loss, derivatives and elasticities of all recipes under both mixture bridges, by strength and decay; a recipe's effect is its first loss against the mean."""
+    rec = recipe_table(spark, d)
+    mean = rec.agg(F.avg("loss_a").alias("mean_a"))
+    q, _ = allocation.quality_proxy(F.col("loss_b"), 0.02, 0.057)
+    r = rec.crossJoin(F.broadcast(mean)).select("idx", (1 + F.col("loss_d") * 10).alias("n"), (20 + F.col("loss_c") * 50).alias("d"), q.alias("q"), (F.col("loss_a") / F.col("mean_a") - 1).alias("effect"))
+    g = r.crossJoin(F.broadcast(allocation.grid(spark, lam=[0.0, 1.0, 4.0], eta=[0.0, 0.2]))).withColumn("model", F.explode(F.array(F.lit("exp"), F.lit("linear"))))
+    out = allocation.bridged_loss(*[F.col(c) for c in ("n", "d", "q", "effect", "lam", "eta", "model")], (1.05, 2.5, 0.9, 0.1, 0.3, 0.4))
+    rows = g.select("model", "lam", "eta", *[v.alias(k) for k, v in out.items()])
+    return rows.groupBy("model", "lam", "eta", "status").agg(F.count("*").alias("recipes"), *[F.avg(c).alias(c) for c in _BRIDGED])
+
+
 @query("ud4_request_batch", "SELECT o_orderkey AS request, CASE WHEN o_totalprice < 2000 THEN 'BUDGET_TOO_SMALL' WHEN o_orderpriority LIKE '4%' THEN 'UNKNOWN_FAMILY' ELSE 'OK' END AS status, CASE WHEN o_totalprice >= 2000 AND o_orderpriority NOT LIKE '4%' THEN sqrt(o_totalprice / 6) END AS n FROM orders", "n")
 def _(spark, d):
     """Requests answered as rows: a request that can't be met gets a status, not an error."""

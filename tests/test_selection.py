@@ -1,4 +1,4 @@
-"""Selection under weightings against numpy."""
+"""Selection under weightings against numpy; bridged losses against differences."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mixlume.operators import selection
+from mixlume.operators import allocation, selection
 
 
 def test_gamma_draws_follow_their_law(spark):
@@ -52,3 +52,25 @@ def test_best_rows(spark):
         assert out[p]["scenarios"] == len(weights) and abs(out[p]["agreement"] - np.mean([a[s] == b[s] for s in a])) < 1e-12
         assert out[p]["flips_one"] == sum(x != a["equal"] for x in a.values()) and out[p]["picks_two"] == len(set(b.values()))
     assert selection.best_rows(df.limit(0), "id", models, policies, weights).count() == 0
+
+
+def test_bridged_loss_against_differences(spark):
+    law = (1.05, 2.5, 0.9, 0.1, 0.3, 0.4)
+    rng = np.random.default_rng(6)
+    points = [(*map(float, rng.uniform([1, 20, 0.1, -0.4], [10, 90, 0.9, 0.4])), 1.5, e, m) for e in (0.0, 0.3) for m in ("exp", "linear") for _ in range(5)]
+    bad = [(2.0, 30.0, 0.5, -2.0, 1.0, 0.0, "linear"), (2.0, 30.0, 0.5, 0.1, -1.0, 0.0, "exp"), (2.0, 30.0, 0.5, 900.0, 1.0, 0.0, "exp"), (2.0, 30.0, 0.5, 0.1, 1.0, 0.0, "cubic"), (2.0, None, 0.5, 0.1, 1.0, 0.0, "exp")]
+
+    def run(rows):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, n double, d double, q double, effect double, lam double, eta double, model string")
+        out = allocation.bridged_loss(*[F.col(c) for c in ("n", "d", "q", "effect", "lam", "eta", "model")], law)
+        return [r.asDict() for r in df.select("i", *[v.alias(k) for k, v in out.items()]).orderBy("i").collect()]
+
+    here, h = run(points), 1e-5
+    for k, x in enumerate("ndq"):
+        up, down = (run([(*p[:k], p[k] + s, *p[k + 1 :]) for p in points]) for s in (h, -h))
+        for p, r, a, b in zip(points, here, up, down):
+            slope = (a["loss"] - b["loss"]) / (2 * h)
+            assert r["status"] == "OK" and abs(r[f"d{x}"] - slope) < 1e-6 and abs(r[f"elasticity_{x}"] - p[k] * slope / r["loss"]) < 1e-4
+    got = run(bad)
+    assert [r["status"] for r in got] == ["OUT_OF_RANGE", "NEGATIVE_LAMBDA", "OUT_OF_RANGE", "UNKNOWN_MODEL", "MISSING"]
+    assert all(r[c] is None for r in got for c in r if c not in ("i", "status"))
