@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def _(spark, d):
     return w.select("scenario", F.element_at(F.array(*[F.lit(t) for t in LOSSES]), F.col("k") + 1).alias("target"), "weight").crossJoin(F.broadcast(lines))  # one row
 
 
-def _grid(spark, d):
+def _grid(spark, d, weights=None):
     """Recipes under each weighting by observed losses and by a marginal model (mean plus a slope for each share), within four sets of allowed recipes."""
     rec = recipe_table(spark, d)
     slopes = [F.regr_slope(F.col(t), F.col(m)).alias(f"s_{t}_{m}") for t in LOSSES for m in MIX]
@@ -52,7 +53,7 @@ def _grid(spark, d):
     marginal = {t: reduce(lambda a, m: a + F.col(f"s_{t}_{m}") * (F.col(m) - F.col(f"a_{m}")), MIX, F.col(f"avg_{t}")) for t in LOSSES}
     models = {"observed": [F.col(t) / F.col(f"avg_{t}") for t in LOSSES], "marginal": [marginal[t] / F.col(f"avg_{t}") for t in LOSSES]}
     low_b, spread = F.col("loss_b") <= F.col("avg_loss_b"), F.greatest(*MIX) <= 0.5
-    weights = [(r["scenario"], list(r["w"])) for r in selection.weight_scenarios(spark, LOSSES).collect()]  # 205 rows, whatever the tables' size
+    weights = weights or [(r["scenario"], list(r["w"])) for r in selection.weight_scenarios(spark, LOSSES).collect()]  # 205 rows, whatever the tables' size
     return selection.best_rows(rows, "idx", models, {"all": F.lit(True), "low_b": low_b, "spread": spread, "low_b_spread": low_b & spread}, weights)
 
 
@@ -66,3 +67,14 @@ own AS (SELECT policy, a AS ea, b AS eb FROM e WHERE scenario = 'equal')
 SELECT policy, count(*) AS scenarios, avg(CAST(a = b AS INT)) AS agreement, count(*) FILTER (a <> ea) AS flips_observed, count(*) FILTER (b <> eb) AS flips_marginal, count(DISTINCT a) AS picks_observed, count(DISTINCT b) AS picks_marginal FROM e JOIN own USING (policy) GROUP BY policy""", "agreement")
 def _(spark, d):
     return selection.stability(_grid(spark, d), "observed", "marginal")
+
+
+#: Each set of the losses with equal weights: 15 scenarios.
+_PANEL = [("+".join(x), [1 / k if t in x else 0.0 for t in LOSSES]) for k in range(1, _T + 1) for x in combinations(LOSSES, k)]
+_PANEL_SQL = _GRID_SQL.replace(_WEIGHTS_SQL + ",\nwide AS (SELECT scenario, " + _WIDE + " FROM weights GROUP BY scenario)", " wide AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {', '.join(f'{x!r}::DOUBLE' for x in w)})" for s, w in _PANEL) + ") v(scenario, " + ", ".join(f"w{k}" for k in range(_T)) + "))")
+
+
+@query("g14_decision_panel", _PANEL_SQL + " SELECT scenario, policy, pick, objective, feasible FROM grid WHERE model = 'observed' AND policy <> 'low_b_spread'", "objective")
+def _(spark, d):
+    """The recipe chosen for each of 15 sets of losses under three policies: all recipes, those of a low second loss, those without a share above a half."""
+    return _grid(spark, d, _PANEL).where("model = 'observed' and policy <> 'low_b_spread'").select("scenario", "policy", "pick", "objective", "feasible")
