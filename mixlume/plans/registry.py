@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", dates: str = "")
     return add
 
 
-for _name in ("quality", "tables", "frontier", "mixture", "scenarios", "extensions", "optimum", "selection", "transfer"):
+for _name in ("quality", "tables", "frontier", "mixture", "scenarios", "extensions", "optimum", "selection", "transfer", "refits"):
     import_module(f"mixlume.plans.{_name}")
 
 
