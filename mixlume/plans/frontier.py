@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import contributions, frontier, moments, pairs
+from mixlume.operators import bridges, contributions, frontier, moments, pairs
 from mixlume.operators import origins as origins_panel
 from mixlume.plans.entities import RUNS_SQL, SUBMISSIONS_SQL, keep, latest, runs, submissions, table
 from mixlume.plans.registry import query
@@ -235,6 +235,20 @@ def _(spark, d):
     return frontier.leave_one_group_out(submissions(spark, d), "kind", "score", "t")
 
 
+_LOGIT = "ln(greatest(0.001, least(0.999, {0} / 100)) / (1 - greatest(0.001, least(0.999, {0} / 100))))"
+
+
+@query("r13_leave_one_row_out", SUB + ", z AS (SELECT kind, licence, log_n AS x, score AS s, " + _LOGIT.format("score") + """ AS z FROM sub),
+g AS (SELECT kind, licence, count(*) AS n, count(DISTINCT x) AS xs, sum(x) AS sx, sum(z) AS sz, sum(x * x) AS sxx, sum(x * z) AS sxz, var_pop(s) * count(*) AS ss FROM z GROUP BY 1, 2),
+l AS (SELECT kind, licence, n, xs, ss, x, s, sx - x AS ox, sz - z AS oz, least(0, ((n - 1) * (sxz - x * z) - (sx - x) * (sz - z)) / ((n - 1) * (sxx - x * x) - (sx - x) * (sx - x))) AS b FROM z JOIN g USING (kind, licence)),
+e AS (SELECT kind, licence, sqrt(avg(power(100 / (1 + exp(-(oz / (n - 1) + b * (x - ox / (n - 1))))) - s, 2))) AS rmse, sqrt(avg(power(100 / (1 + exp(-oz / (n - 1))) - s, 2))) AS constant_rmse FROM l WHERE n >= 4 AND xs >= 3 GROUP BY 1, 2),
+f AS (SELECT kind, licence, n, ss, least(0, (n * sxz - sx * sz) / (n * sxx - sx * sx)) AS slope, (sz - least(0, (n * sxz - sx * sz) / (n * sxx - sx * sx)) * sx) / n AS intercept FROM g)
+SELECT kind, licence, n, intercept, slope, rmse, constant_rmse, 1 - rmse * rmse * n / ss AS r2, CASE WHEN rmse IS NULL THEN 'insufficient' WHEN slope < 0 AND rmse < constant_rmse THEN 'accepted' ELSE 'not_accepted' END AS status FROM f LEFT JOIN e USING (kind, licence)""", "intercept slope rmse constant_rmse r2")
+def _(spark, d):
+    """A falling line of the score's logit on size for each kind and licence, tested on each row without it."""
+    return bridges.leave_one_row_out(submissions(spark, d), ["kind", "licence"], "log_n", "score")
+
+
 @query("j11_ag38_dominance", "WITH " + RUNS_SQL + ", p AS (SELECT CAST(n AS BIGINT) % 5 AS fam, n, d, loss FROM run) SELECT a.fam, count(*) AS pairs, count(*) FILTER (round(b.loss - a.loss, 9) < 0) AS agree FROM p a JOIN p b ON a.fam = b.fam AND b.n > a.n AND b.d >= a.d + 25 GROUP BY a.fam")
 def _(spark, d):
     p = runs(spark, d).withColumn("fam", F.col("n").cast("long") % 5)
