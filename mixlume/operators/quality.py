@@ -123,3 +123,43 @@ def family_weight_grid(scored: DataFrame, families: list[str], by: str = "domain
     rows = scored.dropna(subset=[f"score_{f}" for f in families]).select(by, *[f"score_{f}" for f in families], F.explode(F.array(*grid)).alias("g"))
     medians = stats.quantiles(rows.select(by, F.col("g.grid_id").alias("grid_id"), value.alias("v")), ["grid_id", by], {"median": ("v", 0.5)})
     return medians.withColumn("rank", F.rank().over(Window.partitionBy("grid_id").orderBy(F.desc("median"))))
+
+
+def rank_envelope(z: DataFrame, signs: DataFrame, families: dict[str, list[str]], by: str = "domain", primary: int = 0) -> DataFrame:
+    """by, n, rank, rank_min, rank_median, rank_max, median_min, median_max: how far the ranks of domains move when directions are refitted.
+
+    signs: rep, metric, sign of each replicate (replicates x metrics, one row is broadcast); the replicate ``primary`` gives n (rows with a score) and rank. Each row is scored by
+    every replicate's directions (family_mean); a domain's place is that of its median score, 1 for the best, equal to nine digits shares the better one.
+    The envelope is over the other replicates. A metric without a sign fails; domains without any score have no row.
+    """
+    metrics = [m for ms in families.values() for m in ms]
+    one = signs.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("metric", "sign"))).alias("s")).agg(F.collect_list(F.struct("rep", "s")).alias("_r"))
+    drawn = z.select(by, *metrics).crossJoin(F.broadcast(one)).withColumn("_e", F.explode("_r"))
+    sign = lambda m: F.coalesce(F.col("_e.s")[m], F.raise_error(F.lit(f"no sign for {m}")).cast("int"))
+    turned = drawn.select(by, F.col("_e.rep").alias("rep"), *[(F.col(m) * sign(m)).alias(m) for m in metrics])
+    scores = cut(family_scores(turned, families).where("family_mean is not null").select(by, "rep", "family_mean"), "turned")
+    medians = stats.quantiles(scores, ["rep", by], {"_m": ("family_mean", 0.5)}).join(scores.groupBy("rep", by).agg(F.count("*").alias("_n")), ["rep", by])
+    placed = medians.withColumn("_k", F.rank().over(Window.partitionBy("rep").orderBy(F.desc(F.round("_m", 9)))))  # a row for each domain
+    own, c = F.col("rep") == primary, F.col
+    other = lambda name: F.when(~own, c(name))
+    return placed.groupBy(by).agg(
+        F.max(F.when(own, c("_n"))).alias("n"), F.max(F.when(own, c("_k"))).alias("rank"), F.min(other("_k")).alias("rank_min"), F.percentile(other("_k"), 0.5).alias("rank_median"), F.max(other("_k")).alias("rank_max"),
+        F.min(other("_m")).alias("median_min"), F.max(other("_m")).alias("median_max"),
+    )
+
+
+def direction_rules(whole: DataFrame, replicates: DataFrame, by_domain: DataFrame, left_out: DataFrame, missing: DataFrame, families: dict[str, list[str]], weak: float = 0.05) -> DataFrame:
+    """metric, rho, sign, weight, flip_rate, domain_agreement, loo_flip, missing_rate, weak_or_unstable: all evidence on each metric's direction.
+
+    whole: metric, rho; replicates: rep, metric, rho; by_domain: domain, metric, rho; left_out: held_out, metric, rho; missing: metric, missing_rate. A metric's weight is its share
+    of the family-balanced mean. A missing rho counts as a positive direction. Unstable: a correlation below ``weak``, a flip when a domain is left out, or flips in more than 5 % of the replicates.
+    """
+    turned = lambda df, name, agg: df.join(whole.select("metric", F.col("rho").alias("_w")), "metric").groupBy("metric").agg(agg((F.coalesce(F.col("rho") < 0, F.lit(False)) != F.coalesce(F.col("_w") < 0, F.lit(False)))).alias(name))
+    share = lambda b: F.avg(b.cast("int"))
+    out = whole.select("metric", "rho", F.when(F.col("rho") < 0, -1).otherwise(1).alias("sign"))
+    weights = F.coalesce(*[F.when(F.col("metric").isin(ms), 1 / (len(families) * len(ms))) for ms in families.values()])
+    out = out.withColumn("weight", weights)
+    for part in (turned(replicates, "flip_rate", share), turned(by_domain, "_d", share), turned(left_out, "loo_flip", F.bool_or), missing.select("metric", "missing_rate")):
+        out = out.join(part, "metric", "left")
+    unstable = (F.coalesce(F.abs("rho"), F.lit(1.0)) < weak) | F.coalesce("loo_flip", F.lit(False)) | (F.coalesce("flip_rate", F.lit(0.0)) > 0.05)
+    return out.select("metric", "rho", "sign", "weight", "flip_rate", (1 - F.col("_d")).alias("domain_agreement"), "loo_flip", "missing_rate", unstable.alias("weak_or_unstable"))

@@ -425,3 +425,33 @@ def _(spark, d):
     reps = quality.anchor_correlations(counts, METRICS, ["rep"])
     whole = quality.anchor_correlations(z, METRICS).select("metric", F.col("rho").alias("all"))
     return reps.join(whole, "metric").groupBy("metric").agg(F.avg(F.coalesce((F.col("rho") < 0) != (F.col("all") < 0), F.lit(False)).cast("int")).alias("flip_rate"))
+
+
+_REPS = 20
+
+
+def _replicates(spark, d):
+    """(rows with a part, correlations of each replicate of the fit part: drawn within all sources alike, by Poisson counts of ids)."""
+    parted = keep(spark, d, "parted", lambda: resample.stratified_split(z_frame(spark, d).select("id", "domain", *METRICS), "domain", "id", 0.7, "envelope"))
+    drawn = resample.poisson_rows(parted.where("part = 'fit'"), "id", _REPS, "envelope").drop("weight").withColumn("rep", F.col("rep") + 1)
+    return parted, keep(spark, d, "envelope-rho", lambda: quality.anchor_correlations(drawn, METRICS, ["rep"]))
+
+
+@query("r3_rank_envelope", None, "rank_median median_min median_max")
+def _(spark, d):
+    """Ranks of sources on the rows held out, under directions of 20 replicates of the others and (rank) of all rows."""
+    parted, reps = _replicates(spark, d)
+    whole = quality.directions(quality.anchor_correlations(z_frame(spark, d), METRICS)).withColumn("rep", F.lit(0))
+    signs = reps.select("rep", "metric", F.when(F.col("rho") < 0, -1).otherwise(1).alias("sign")).unionByName(whole)
+    return quality.rank_envelope(parted.where("part = 'check'"), signs, FAMILIES)
+
+
+@query("r3_direction_rules", None, "rho weight flip_rate domain_agreement missing_rate")
+def _(spark, d):
+    """All evidence on the direction of each of 22 metrics in one row."""
+    z = z_frame(spark, d)
+    _, reps = _replicates(spark, d)
+    names = [r["domain"] for r in z.select("domain").distinct().where("domain is not null").collect()]  # sources
+    missing = stats.missingness(signals(spark, d), [], METRICS).select("metric", (F.col("missing") / F.col("rows")).alias("missing_rate"))
+    whole, each = quality.anchor_correlations(z, METRICS), quality.anchor_correlations(z, METRICS, ["domain"])
+    return quality.direction_rules(whole, reps, each, quality.leave_one_domain_out(z, METRICS, names), missing, FAMILIES)
