@@ -90,6 +90,22 @@ def domain_strength(per_domain: DataFrame) -> DataFrame:
     )
 
 
+def conflict_graph(pooled: DataFrame, per_domain: DataFrame, elsewhere: DataFrame, domain: str, scope: str, least: int = 4) -> DataFrame:
+    """Each pooled pair with its support: metric_a, metric_b, rho, q, conflict, domains_negative, domains_significant, domains_valid, scopes_valid, scopes_replicated, stable, cause.
+
+    All three are tables of tested_pairs(): of all rows, within each domain of them, and of each scope of rows that aren't among them. domains_significant and scopes_replicated count
+    significant negative pairs, the valid ones pairs with a correlation. stable: significant and negative here and in some scope elsewhere. cause, of significant domains:
+    ``multi_domain`` (``least`` or more), ``pooled_only`` (none), ``domain_specific``. Rows without domain or scope take no part. Tables hold pairs of metrics, not records.
+    """
+    pair, c = ["metric_a", "metric_b"], F.col
+    inside = per_domain.where(c(domain).isNotNull()).groupBy(*pair).agg(F.count_if(c("rho") < 0).alias("domains_negative"), F.count_if("conflict").alias("domains_significant"), F.count("rho").alias("domains_valid"))
+    outside = elsewhere.where(c(scope).isNotNull()).groupBy(*pair).agg(F.count("rho").alias("scopes_valid"), F.count_if("conflict").alias("scopes_replicated"))
+    counts = ["domains_negative", "domains_significant", "domains_valid", "scopes_valid", "scopes_replicated"]
+    out = pooled.select(*pair, "rho", "q", "conflict").join(inside, pair, "left").join(outside, pair, "left").fillna(0, counts)
+    cause = F.when(c("domains_significant") >= least, "multi_domain").when(c("domains_significant") == 0, "pooled_only").otherwise("domain_specific")
+    return out.select(*pair, "rho", "q", "conflict", *counts, (c("conflict") & (c("scopes_replicated") > 0)).alias("stable"), cause.alias("cause"))
+
+
 def replicated_edges(strength: DataFrame) -> DataFrame:
     """metric_a, metric_b, weight of the pairs that are negative in each domain of domain_strength()."""
     return strength.where("negative_domains = domains").select("metric_a", "metric_b", F.col("strength").alias("weight"))

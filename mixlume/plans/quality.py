@@ -455,3 +455,21 @@ def _(spark, d):
     missing = stats.missingness(signals(spark, d), [], METRICS).select("metric", (F.col("missing") / F.col("rows")).alias("missing_rate"))
     whole, each = quality.anchor_correlations(z, METRICS), quality.anchor_correlations(z, METRICS, ["domain"])
     return quality.direction_rules(whole, reps, each, quality.leave_one_domain_out(z, METRICS, names), missing, FAMILIES)
+
+
+@query("ag13_replicated_graph", None, "rho q")
+def _(spark, d):
+    """Conflicts among labelled documents: significant ones, their support within languages, and whether unlabelled documents of a language repeat them."""
+    x = with_scope(spark, d, oriented(spark, d))
+    here, rest = x.where("scope = 'sample'"), x.where("scope = 'extension'")
+    pooled = conflict.tested_pairs(conflict.pair_correlations(here, METRICS))
+    inside, outside = (conflict.tested_pairs(conflict.pair_correlations(df, METRICS, ["lang"]), ["lang"]) for df in (here, rest))
+    return conflict.conflict_graph(pooled, inside, outside, "lang", "lang", 2)
+
+
+@query("ag2_domain_intervals", SIG + SCORED + _TRIM + _BOOT.replace("lang", "domain") + """, ci AS (SELECT domain, quantile_cont(med, 0.025) AS low, quantile_cont(med, 0.975) AS high FROM m GROUP BY domain)
+SELECT domain, n, median_quality, median_equal, trimmed_mean, low, high FROM (SELECT domain, count(quality) AS n, median(quality) AS median_quality, median(equal_mean) AS median_equal FROM scored GROUP BY domain) LEFT JOIN tm USING (domain) LEFT JOIN ci USING (domain)""", "median_quality median_equal trimmed_mean low high")
+def _(spark, d):
+    """The summary of each source with the 95 % bootstrap interval of its median."""
+    s = scored(spark, d)
+    return quality.domain_summary(s).join(resample.bootstrap_median(s.where("quality is not null"), ["domain"], "quality", "id", 50, "boot"), "domain", "left")

@@ -55,7 +55,12 @@ def _(spark, d):
     return submissions(spark, d).groupBy("kind").agg(F.count("*").alias("rows"), F.count_if(ok).alias("complete"))
 
 
-_RULES = [("short", "length(text) < 300", "char_length(text) < 300"), ("licence", "regexp_matches(text, '(?i)\\blicensed\\b')", "text rlike '(?i)\\\\blicensed\\\\b'"), ("mail", "contains(text, '@')", "contains(text, '@')"), ("table", "contains(text, '|')", "contains(text, '|')"), ("foreign", "lang <> 'en'", "lang <> 'en'")]
+_RULES = [
+    ("short", "length(text) < 300", "char_length(text) < 300"), ("licence", "regexp_matches(text, '(?i)\\blicensed\\b')", "text rlike '(?i)\\\\blicensed\\\\b'"), ("mail", "contains(text, '@')", "contains(text, '@')"), ("table", "contains(text, '|')", "contains(text, '|')"), ("foreign", "lang <> 'en'", "lang <> 'en'"),
+    ("missing_text", "text IS NULL OR regexp_matches(text, '^[ \\t\\r\\n]*$')", "text is null or text rlike '^[ \\\\t\\\\r\\\\n]*\\\\z'"), ("missing_language", "lang IS NULL OR trim(lang) = ''", "lang is null or trim(lang) = ''"), ("missing_source", "source IS NULL OR trim(source) = ''", "source is null or trim(source) = ''"),
+    ("very_long", "length(text) > 50000", "char_length(text) > 50000"), ("link", "regexp_matches(text, '(?i)https?://')", "text rlike '(?i)https?://'"), ("no_sentence", "NOT regexp_matches(text, '[.!?]')", "not text rlike '[.!?]'"),
+    ("many_digits", "length(regexp_replace(text, '[^0-9]', '', 'g')) > 0.1 * length(text)", "char_length(regexp_replace(text, '[^0-9]', '')) > 0.1 * char_length(text)"),
+]
 
 
 @query("p16_exclusion_reasons", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {sql} THEN '{n}' END" for n, sql, _ in _RULES) + "], lambda x: x IS NOT NULL), ';') AS reasons FROM documents")

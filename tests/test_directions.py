@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from mixlume.operators import quality
+from mixlume.operators import conflict, quality
 
 FAMILIES = {"one": ["a", "b"], "two": ["c"]}
 
@@ -49,3 +49,15 @@ def test_direction_rules(spark):
     assert (got["a"]["sign"], got["b"]["sign"], got["d"]["sign"]) == (1, -1, 1) and abs(got["b"]["flip_rate"] - 0.1) < 1e-12
     assert got["a"]["domain_agreement"] == 0.5 and got["d"]["domain_agreement"] is None and got["d"]["missing_rate"] is None
     assert abs(got["a"]["weight"] - 1 / 6) < 1e-12 and got["c"]["weight"] == 0.5 and got["d"]["loo_flip"]
+
+
+def test_conflict_graph(spark):
+    pooled = [("a", "b", -0.4, 0.001, True), ("a", "c", -0.3, 0.01, True), ("b", "c", 0.2, 0.3, False), ("b", "d", None, None, False)]
+    inside = [("x", "a", "b", -0.5, True), ("y", "a", "b", -0.1, False), ("x", "a", "c", -0.3, True), ("y", "a", "c", -0.4, True), (None, "a", "b", -0.9, True), ("x", "b", "c", None, False)]
+    outside = [("x", "a", "b", -0.2, True), ("y", "a", "b", 0.2, False), ("x", "a", "c", -0.1, False), (None, "a", "c", -0.9, True), ("y", "b", "c", -0.4, True)]
+    schema = "metric_a string, metric_b string, rho double"
+    tables = [spark.createDataFrame(pooled, schema + ", q double, conflict boolean"), *[spark.createDataFrame(t, f"s string, {schema}, conflict boolean") for t in (inside, outside)]]
+    got = {r["metric_a"] + r["metric_b"]: r for r in conflict.conflict_graph(*tables, "s", "s", 2).collect()}
+    counts = ["domains_negative", "domains_significant", "domains_valid", "scopes_valid", "scopes_replicated"]
+    assert {k: [r[c] for c in counts] for k, r in got.items()} == {"ab": [2, 1, 2, 2, 1], "ac": [2, 2, 2, 1, 0], "bc": [0, 0, 0, 1, 1], "bd": [0, 0, 0, 0, 0]}
+    assert {k: (r["stable"], r["cause"]) for k, r in got.items()} == {"ab": (True, "domain_specific"), "ac": (False, "multi_domain"), "bc": (False, "pooled_only"), "bd": (False, "pooled_only")}
