@@ -30,40 +30,61 @@ def two_level_bootstrap(errors: DataFrame, row: str, target: str, value: str, re
 
 
 def nested_validation(rows: DataFrame, key: str, models: dict[str, list[str]], y: str, alphas: tuple[float, ...], outer: int = 5, inner: int = 5) -> DataFrame:
-    """outer, model, alpha, rmse: features and ridge chosen inside each outer fold by its inner folds, and tested on the outer fold.
+    """outer, model, alpha, rmse: features and ridge chosen inside each outer fold by its inner folds, and tested on the outer fold."""
+    return nested_panel(rows, key, models, [y], alphas, outer, inner).where("chosen").select("outer", "model", "alpha", "rmse")
 
-    One pass gives the sums of products of each (outer, inner) cell for each model; every training and test part is a sum or difference of cells, which alone
-    are gathered (outer x inner rows of arrays).
+
+def nested_panel(rows: DataFrame, key: str, models: dict[str, list[str]], targets: list[str], alphas: tuple[float, ...], outer: int = 5, inner: int = 5) -> DataFrame:
+    """target, outer, model, alpha, inner_sse, rmse, chosen: each model's ridge chosen inside each outer fold by its inner folds, and tested on the outer fold.
+
+    chosen: the model that the inner folds prefer (the first of equals), so that its rmse is that of the whole procedure. Rows with a missing feature of a model or any
+    target are left out of that model. One pass gives the sums of products of each (outer, inner) cell for each model and all targets; every training and test part is a sum
+    or difference of cells, which alone are gathered (models x outer x inner rows of arrays).
     """
     folds = resample.contiguous_folds(rows, key, outer).withColumnRenamed("fold", "o").withColumn("i", F.floor(hash_uniform("inner", F.col(key)) * inner).cast("int"))
-    cells = None
+    cells, count = None, len(targets)
     for name, x in models.items():
-        one = moments.gram(folds, ["o", "i"], x, [y]).select(F.lit(name).alias("model"), "o", "i", "g")
+        one = moments.gram(folds, ["o", "i"], x, targets).select(F.lit(name).alias("model"), "o", "i", "g")
         cells = one if cells is None else cells.unionByName(one)
 
-    def sse(g: np.ndarray, beta: np.ndarray, k: int) -> float:
-        v = np.append(beta[:, 0], -1.0)
-        return float(v @ moments.matrix(list(g), k + 2) @ v)
+    def sse(g: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        v = np.vstack([beta, -np.eye(count)])
+        return np.einsum("it,ij,jt->t", v, moments.matrix(list(g), len(v)), v)
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         sums = {(m, o, i): np.array(g) for m, o, i, g in zip(group.model, group.o, group.i, group.g)}
         for o in sorted(set(group.o)):
-            best = None
+            found = {}
             for m, x in models.items():
                 mine = {i: sum(g for (n, p, j), g in sums.items() if n == m and p != o and j == i) for i in range(inner)}
                 mine = {i: g for i, g in mine.items() if not np.isscalar(g)}
+                test = sum(g for (n, p, _), g in sums.items() if n == m and p == o)
+                if not mine or np.isscalar(test):
+                    continue
                 whole = sum(mine.values())
-                for alpha in alphas:
-                    error = sum(sse(g, moments.solve(list(whole - g), len(x), 1, alpha), len(x)) for g in mine.values())
-                    if best is None or error < best[0] - 1e-15:
-                        best = error, m, alpha, moments.solve(list(whole), len(x), 1, alpha)
-            _, m, alpha, beta = best
-            test = sum(g for (n, p, _), g in sums.items() if n == m and p == o)
-            out.append((int(o), m, float(alpha), float(np.sqrt(max(0.0, sse(test, beta, len(models[m]))) / test[0]))))
-        return pd.DataFrame(out, columns=["outer", "model", "alpha", "rmse"])
-
-    return cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, "outer int, model string, alpha double, rmse double")
+                errors = np.array([sum(sse(g, moments.solve(list(whole - g), len(x), count, alpha)) for g in mine.values()) for alpha in alphas])
+                rmse = [np.sqrt(np.maximum(sse(test, moments.solve(list(whole), len(x), count, alpha)), 0) / test[0]) for alpha in alphas]
+                for t in range(count):
+                    a = 0
+                    for k in range(1, len(alphas)):
+                        a = k if errors[k, t] < errors[a, t] - 1e-15 else a
+                    found[m, t] = float(alphas[a]), float(errors[a, t]), float(rmse[a][t])
+            for t, target in enumerate(targets):
+                best = None
+                for m in models:
+                    if (m, t) in found and (best is None or found[m, t][1] < found[best, t][1] - 1e-15):
+                        best = m
+                out += [(target, int(o), m, *found[m, t], m == best) for m in models if (m, t) in found]
+        return pd.DataFrame(out, columns=["target", "outer", "model", "alpha", "inner_sse", "rmse", "chosen"])
+
+    schema = "target string, outer int, model string, alpha double, inner_sse double, rmse double, chosen boolean"
+    return cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(choose, schema)
+
+
+def compare_models(panel: DataFrame) -> DataFrame:
+    """target, model, folds, median_rmse, worst_rmse, wins (folds in which it was chosen) of nested_panel()."""
+    return panel.groupBy("target", "model").agg(F.count("*").alias("folds"), F.percentile("rmse", 0.5).alias("median_rmse"), F.max("rmse").alias("worst_rmse"), F.count_if("chosen").alias("wins"))
 
 
 def bridge_panel(rows: DataFrame, grade: str, score: str, loss: str, size: str) -> DataFrame:

@@ -168,8 +168,26 @@ def _(spark, d):
     return extensions.nested_validation(mixture.with_interactions(rec, varied), "idx", models, "loss_a", (0.01, 0.1, 1.0, 10.0))
 
 
+def _panel(spark, d):
+    rec = recipe_table(spark, d)
+    varied = [r["domain"] for r in mixture.most_variable(rec, MIX, 5).collect()]  # five names
+    models = {"linear": MIX[:5], "interaction": [*MIX[:5], *mixture.interaction_names(varied)]}
+    return extensions.nested_panel(mixture.with_interactions(rec, varied), "idx", models, LOSSES, (0.01, 0.1, 1.0, 10.0))
+
+
+@query("r11_nested_panel", None, "inner_sse rmse")
+def _(spark, d):
+    """Both models in each outer fold for each of the four losses, and which of them the inner folds prefer."""
+    return _panel(spark, d)
+
+
+@query("r11_model_comparison", None, "median_rmse worst_rmse")
+def _(spark, d):
+    return extensions.compare_models(_panel(spark, d))
+
+
 @query("m8_boosted_trees", None, "rmse")
 def _(spark, d):
-    """Boosted trees for two targets; Spark's trees depend on sums in any order, so the rmse is given to three digits."""
-    out = extensions.boosted(recipe_table(spark, d), "idx", MIX, LOSSES[:2])
+    """Boosted trees for each of the four losses; Spark's trees depend on sums in any order, so the rmse is given to three digits."""
+    out = extensions.boosted(recipe_table(spark, d), "idx", MIX, LOSSES)
     return out.withColumn("rmse", F.round("rmse", 3))

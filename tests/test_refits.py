@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from mixlume.functions.expr import hash_uniform
-from mixlume.operators import refits
+from mixlume.operators import extensions, refits
 
 D, T = ["a", "b", "c", "d"], ["u", "v"]
 SCHEMA = "id long, a double, b double, c double, d double, u double, v double, ok boolean"
@@ -93,3 +93,39 @@ def test_no_rows(spark):
     fitted = refits.fits(empty, "id", D, T, 2)
     assert fitted.count() == 0
     assert refits.choices(empty, "id", D, T, fitted, {"all": ("mean", F.lit(True))}).count() == 0
+
+
+def test_nested_panel(spark):
+    rows = _rows(90)
+    models = {"plain": ["a", "b", "c"], "more": ["a", "b", "c", "bc"]}
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("bc", F.col("b") * F.col("c"))
+    inner = {r["id"]: int(r["u"] * 5) for r in df.withColumn("u", hash_uniform("inner", F.col("id"))).select("id", "u").collect()}
+    panel = extensions.nested_panel(df, "id", models, T, (0.001, 0.1))
+    got = {(r["target"], r["outer"], r["model"]): r for r in panel.collect()}
+    assert len(got) == 2 * 5 * 2
+    x, y = np.array([r[1:4] for r in rows]), np.array([r[5:7] for r in rows])
+    z = {"plain": x, "more": np.column_stack([x, x[:, 1] * x[:, 2]])}
+    fold, i = np.repeat(np.arange(5), 18), np.array([inner[r[0]] for r in rows])
+    for t, target in enumerate(T):
+        for o in range(5):
+            best = {}
+            for m in models:
+                errors = []
+                for alpha in (0.001, 0.1):
+                    e = 0.0
+                    for k in set(i[fold != o]):
+                        a, b = _ridge(z[m][(fold != o) & (i != k)], y[(fold != o) & (i != k), t], alpha)
+                        at = (fold != o) & (i == k)
+                        e += ((a + z[m][at] @ b - y[at, t]) ** 2).sum()
+                    errors.append(e)
+                k = int(np.argmin(errors))
+                a, b = _ridge(z[m][fold != o], y[fold != o, t], (0.001, 0.1)[k])
+                r = got[target, o, m]
+                assert r["alpha"] == (0.001, 0.1)[k] and abs(r["inner_sse"] - errors[k]) < 1e-8
+                assert abs(r["rmse"] - np.sqrt(np.mean((a + z[m][fold == o] @ b - y[fold == o, t]) ** 2))) < 1e-8
+                best[m] = errors[k]
+            assert [m for m in models if got[target, o, m]["chosen"]] == [min(models, key=best.get)]
+    out = {(r["target"], r["model"]): r for r in extensions.compare_models(panel).collect()}
+    assert out["u", "more"]["folds"] == 5 and out["u", "more"]["wins"] + out["u", "plain"]["wins"] == 5
+    assert out["u", "more"]["median_rmse"] == np.median([got["u", o, "more"]["rmse"] for o in range(5)]) and out["u", "more"]["median_rmse"] < out["u", "plain"]["median_rmse"]
+    assert extensions.nested_panel(df.limit(0), "id", models, T, (0.1,)).count() == 0
