@@ -73,6 +73,12 @@ def quantiles(df: DataFrame, by: list[str], values: dict[str, tuple[str, float]]
     return out.select(*by, *names) if by else df.sparkSession.range(1).join(out, how="left").select(*names)
 
 
+def summarised(df: DataFrame, by: list[str], aggs: list[Column], values: dict[str, tuple[str, float]]) -> DataFrame:
+    """by, aggs and the exact quantiles of quantiles(): a row for each group, NULL groups too, or one row without by."""
+    found = quantiles(df, by, values)
+    return _null_safe(df.groupBy(*by).agg(*aggs), found, by, "left") if by else df.agg(*aggs).crossJoin(F.broadcast(found))  # one row each
+
+
 def robust_params(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Center (median) and scale of each metric: 1.4826 times the median absolute deviation; if that is 0, the population standard deviation; if that is 0, 1."""
     by = by or ["metric"]

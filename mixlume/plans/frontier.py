@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixlume.functions import expr
-from mixlume.operators import bridges, contributions, frontier, moments, pairs
+from mixlume.operators import bridges, contributions, frontier, moments, pairs, stats
 from mixlume.operators import origins as origins_panel
 from mixlume.plans.entities import RUNS_SQL, SUBMISSIONS_SQL, keep, latest, runs, submissions, table
 from mixlume.plans.registry import query
@@ -116,19 +116,21 @@ def _(spark, d):
 
 @query("ag26_resource_frontier", "WITH y AS (SELECT year(o_orderdate) AS y, quantile_cont(log10(o_totalprice), 0.9) AS q90, count(*) AS n FROM orders GROUP BY 1) SELECT regr_slope(q90, y) AS slope, regr_intercept(q90, y) AS intercept, CAST(sum(n) AS BIGINT) AS n FROM y WHERE y < 2001", "slope intercept")
 def _(spark, d):
-    y = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("double").alias("y")).agg(F.percentile(F.log10("o_totalprice"), 0.9).alias("q90"), F.count("*").alias("n"))
+    rows = table(spark, d, "orders").select(F.year("o_orderdate").cast("double").alias("y"), F.log10("o_totalprice").alias("v"))
+    y = stats.summarised(rows, ["y"], [F.count("*").alias("n")], {"q90": ("v", 0.9)})
     return y.where("y < 2001").agg(F.regr_slope("q90", "y").alias("slope"), F.regr_intercept("q90", "y").alias("intercept"), F.sum("n").alias("n"))
 
 
 @query("ag27_annual_tops", SUB + " SELECT year(day) AS y, quantile_cont(score, 0.95) AS p95, max(score) AS top FROM sub GROUP BY 1", "p95 top")
 def _(spark, d):
-    return submissions(spark, d).groupBy(F.year("day").cast("long").alias("y")).agg(F.percentile("score", 0.95).alias("p95"), F.max("score").alias("top"))
+    return stats.summarised(submissions(spark, d).select(F.year("day").cast("long").alias("y"), "score"), ["y"], [F.max("score").alias("top")], {"p95": ("score", 0.95)})
 
 
 @query("ag45_recent_tops", SUB + " SELECT kind, max(score) AS top, max(score) FILTER (day >= DATE '2001-01-01') AS recent, quantile_cont(score, 0.9) AS q90, count(*) FILTER (score > 80) AS over_80 FROM sub GROUP BY kind", "top recent q90")
 def _(spark, d):
     s = F.col("score")
-    return submissions(spark, d).groupBy("kind").agg(F.max(s).alias("top"), F.max(F.when(F.col("day") >= "2001-01-01", s)).alias("recent"), F.percentile(s, 0.9).alias("q90"), F.count_if(s > 80).alias("over_80"))
+    aggs = [F.max(s).alias("top"), F.max(F.when(F.col("day") >= "2001-01-01", s)).alias("recent"), F.count_if(s > 80).alias("over_80")]
+    return stats.summarised(submissions(spark, d), ["kind"], aggs, {"q90": ("score", 0.9)})
 
 
 _CELLS = LATEST + """, e AS (SELECT CASE WHEN day < DATE '2001-01-01' THEN 'early' ELSE 'late' END AS era, floor(log_n / {w}) AS bin, score FROM late),
@@ -224,7 +226,7 @@ def _(spark, d):
 @query("r15_time_holdout", SUB + ", c AS (SELECT quantile_cont(t, 0.8) AS cut FROM sub), f AS (SELECT regr_slope(score, t) AS b, regr_intercept(score, t) AS a FROM sub, c WHERE t <= cut) SELECT count(*) AS test_n, sqrt(avg(power(a + b * t - score, 2))) AS rmse FROM sub, c, f WHERE t > cut", "rmse")
 def _(spark, d):
     sub = submissions(spark, d)
-    x = sub.crossJoin(F.broadcast(sub.agg(F.percentile("t", 0.8).alias("cut"))))
+    x = sub.crossJoin(F.broadcast(stats.quantiles(sub, [], {"cut": ("t", 0.8)})))  # one row
     fit = moments.slope(x.where("t <= cut"), [], "score", "t").drop("n")
     e = F.col("intercept") + F.col("slope") * F.col("t") - F.col("score")
     return x.where("t > cut").crossJoin(F.broadcast(fit)).agg(F.count("*").alias("test_n"), F.sqrt(F.avg(e * e)).alias("rmse"))

@@ -100,8 +100,7 @@ SELECT n, d, CASE WHEN (n < n0 OR n > n1) AND (d < d0 OR d > d1) THEN 'both_outs
  sqrt(power(greatest(0, ln(n0 / n), ln(n / n1)), 2) + power(greatest(0, ln(d0 / d), ln(d / d1)), 2)) AS distance FROM run, b""", "distance")
 def _(spark, d):
     r = runs(spark, d)
-    q = lambda c, p, name: F.percentile(c, p).alias(name)
-    x = r.crossJoin(F.broadcast(r.agg(q("n", 0.1, "n0"), q("n", 0.9, "n1"), q("d", 0.1, "d0"), q("d", 0.9, "d1"))))
+    x = r.crossJoin(F.broadcast(stats.quantiles(r, [], {"n0": ("n", 0.1), "n1": ("n", 0.9), "d0": ("d", 0.1), "d1": ("d", 0.9)})))
     return x.select("n", "d", validate.support("n", "d").alias("support"), validate.extrapolation_distance("n", "d").alias("distance"))
 
 
@@ -114,7 +113,7 @@ def _(spark, d):
 def _(spark, d):
     r = F.col("l_extendedprice") / (F.col("l_quantity") * (1000 + F.col("l_partkey") % 1000))
     x = table(spark, d, "lineitem").select("l_returnflag", r.alias("r"))
-    return x.groupBy("l_returnflag").agg(F.count("*").alias("rows"), F.percentile("r", 0.5).alias("median"), F.percentile("r", 0.95).alias("p95"), F.count_if(F.abs(F.col("r") - 1) > 0.05).alias("outliers"))
+    return stats.summarised(x, ["l_returnflag"], [F.count("*").alias("rows"), F.count_if(F.abs(F.col("r") - 1) > 0.05).alias("outliers")], {"median": ("r", 0.5), "p95": ("r", 0.95)})
 
 
 @query("p26_derived_keys", "WITH " + SUBMISSIONS_SQL + " SELECT row_no, floor(log_n / 0.5) AS bin, strftime(day, '%Y-%m') AS month, t FROM sub", "bin t")
@@ -190,7 +189,7 @@ def _(spark, d):
 @query("ag24_profile_quantiles", "WITH t AS (SELECT user_id, avg(value) AS v FROM events GROUP BY 1) SELECT quantile_cont(v, 0.1) AS q10, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.9) AS q90, count(*) FILTER (v > 10) AS over_ten FROM t", "q10 q50 q90")
 def _(spark, d):
     t = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"))
-    return t.agg(F.percentile("v", 0.1).alias("q10"), F.percentile("v", 0.5).alias("q50"), F.percentile("v", 0.9).alias("q90"), F.count_if(F.col("v") > 10).alias("over_ten"))
+    return stats.summarised(t, [], [F.count_if(F.col("v") > 10).alias("over_ten")], {"q10": ("v", 0.1), "q50": ("v", 0.5), "q90": ("v", 0.9)})
 
 
 @query("ag25_source_year_profile", "SELECT o_orderstatus AS source, year(o_orderdate) AS y, o_orderpriority AS task, avg(o_totalprice) AS mean, count(*) AS rows FROM orders GROUP BY 1, 2, 3", "mean")
