@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mixlume.functions.expr import hash_uniform, poisson_one
-from mixlume.operators import moments
+from mixlume.operators import moments, stats
 from mixlume.sources.io import cut
 
 
@@ -17,7 +17,7 @@ def _windows(sub: DataFrame, ends: DataFrame, months: int) -> DataFrame:
 
 def window_quantiles(sub: DataFrame, ends: DataFrame, by: list[str], months: int, q: float = 0.9) -> DataFrame:
     """month_end, by, q90, top, n of the trailing window at each month end."""
-    return _windows(sub, ends, months).groupBy("month_end", *by).agg(F.percentile("score", q).alias("q90"), F.max("score").alias("top"), F.count("*").alias("n"))
+    return stats.summarised(_windows(sub, ends, months), ["month_end", *by], [F.max("score").alias("top"), F.count("*").alias("n")], {"q90": ("score", q)})
 
 
 def window_anchors(sub: DataFrame, ends: DataFrame, by: list[str], months: int, q: float = 0.9) -> DataFrame:
@@ -25,7 +25,7 @@ def window_anchors(sub: DataFrame, ends: DataFrame, by: list[str], months: int,
     w = _windows(sub, ends, months)
     anchors = window_quantiles(sub, ends, by, months, q)
     high = w.join(anchors.select("month_end", *by, "q90"), ["month_end", *by]).where("score >= q90")
-    return anchors.join(high.groupBy("month_end", *by).agg(F.percentile("log_n", 0.5).alias("median_log_n")), ["month_end", *by])
+    return anchors.join(stats.quantiles(high, ["month_end", *by], {"median_log_n": ("log_n", 0.5)}), ["month_end", *by])
 
 
 def tail_gaps(sub: DataFrame, ends: DataFrame, lengths: list[int]) -> DataFrame:
