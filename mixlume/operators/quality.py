@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +29,38 @@ def apply_scale(wide: DataFrame, params: DataFrame, metrics: list[str], limit: f
     return wide.crossJoin(F.broadcast(frozen)).select(*[z[c].alias(c) if c in z else F.col(c) for c in wide.columns])
 
 
-def anchor(metrics: list[str], but: str | None = None) -> Column:
-    """Mean of the present metrics, without one."""
-    return expr.mean_present([F.col(m) for m in metrics if m != but])
+def anchors(metrics: list[str]) -> Column:
+    """An array with each metric's anchor: the mean of the other present metrics, NULL without one. Sums of arrays within Arrow batches: metrics² terms as column expressions outgrow compiled code."""
+
+    @F.pandas_udf("array<double>")
+    def means(values: pd.DataFrame) -> pd.Series:
+        v = values.to_numpy(np.float64)
+        here = ~np.isnan(v)
+        v = np.where(here, v, 0.0)
+        out = np.zeros_like(v)
+        for i in range(v.shape[1]):
+            for j in range(v.shape[1]):
+                if i != j:
+                    out[:, i] += v[:, j]
+        n = here.sum(axis=1, keepdims=True) - here
+        return pd.Series(list(np.where(n > 0, out / np.maximum(n, 1), np.nan)))
+
+    return F.transform(means(F.struct(*[F.col(m).cast("double").alias(m) for m in metrics])), lambda x: F.nanvl(x, F.lit(None)))
 
 
 def anchor_correlations(z: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
     """[by,] metric, n, rho: Spearman correlation of each metric with the mean of the others."""
+    return weighted_correlations(z, metrics, F.array(F.lit(1)), 1, by).drop("k")
+
+
+def weighted_correlations(z: DataFrame, metrics: list[str], weights: Column, size: int, by: list[str] | None = None) -> DataFrame:
+    """[by,] k, metric, n, rho: anchor_correlations() under each weighting of the rows, the k-th of their ``size`` weights (whole numbers, NULL counts as 0); a row isn't exploded by them."""
     by = by or []
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), anchor(metrics, m).alias("anchor")) for m in metrics]))
-    long = cut(z.select(*by, pairs.alias("x")).select(*by, "x.*"), "anchors")  # else filters on the anchor carry its whole expression
-    return stats.spearman(long, [*by, "metric"], "value", "anchor")
+    anchored = z.select(*by, *metrics, anchors(metrics).alias("_anchors"), F.transform(weights, lambda w: F.coalesce(w, F.lit(0))).alias("_w"))
+    anchored = cut(anchored, "anchors")
+    entries = F.inline(F.array(*[F.struct(F.lit(i).alias("_metric"), F.col(m).cast("double").alias("value"), F.col("_anchors")[i].alias("anchor")) for i, m in enumerate(metrics)]))
+    found = stats.spearmans(anchored.select(*by, "_w", entries), [*by, "_metric"], "value", "anchor", F.col("_w"), size)
+    return found.select(*by, "k", F.element_at(F.array(*[F.lit(m) for m in metrics]), F.col("_metric") + 1).alias("metric"), "n", "rho")
 
 
 def pool_correlations(per_domain: DataFrame, by: list[str]) -> DataFrame:
@@ -100,9 +123,9 @@ def decide(q: Column, d: Column, q_cut: Column, d_cut: Column) -> Column:
 
 
 def leave_one_domain_out(z: DataFrame, metrics: list[str], domains: list[str]) -> DataFrame:
-    """held_out, metric, rho: directions refitted without each domain in turn, in one pass over rows exploded by hold-out."""
-    held = z.withColumn("held_out", F.explode(F.array(*[F.lit(d) for d in domains]))).where("held_out <> domain")
-    return anchor_correlations(held, metrics, ["held_out"])
+    """held_out, metric, n, rho: directions refitted without each domain in turn; rows without a domain take no part."""
+    found = weighted_correlations(z, metrics, F.array(*[(F.col("domain") != d).cast("int") for d in domains]), len(domains))
+    return found.select(F.element_at(F.array(*[F.lit(d) for d in domains]), F.col("k") + 1).alias("held_out"), "metric", "n", "rho")
 
 
 def domain_balanced(scored: DataFrame, value: str = "quality", by: str = "domain") -> DataFrame:

@@ -13,7 +13,7 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     return df.unpivot(ids, columns, "metric", "value")
 
 
-#: Ranges that ranks are counted in, and the accuracy of the approximate quantiles that part them (it only evens out the ranges).
+#: Ranges that ranks are counted in (a power of two), and the accuracy of the approximate quantiles that part them (it only evens out the ranges).
 RANGES, EVENNESS = 64, 500
 #: Share of the rows on either side of a quantile that its exact search keeps: ten times the error 1 / ACCURACY of the approximate ones. Groups of fewer than
 #: WHOLE rows, in which that is less than a few rows, are kept whole.
@@ -89,23 +89,30 @@ def robust_params(long: DataFrame, by: list[str] | None = None) -> DataFrame:
     return first.join(quantiles(off, by, {"mad": ("off", 0.5)}), by).select(*by, "center", scale.alias("scale"), "n")
 
 
-def running(counts: DataFrame, by: list[str], value: str, weight: str, out: str) -> DataFrame:
-    """counts (a row for each distinct by, value) with the running sum of weight up to and with the row, in the order of value within by.
+def _ranged(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with _range: how many of its group's RANGES - 1 approximate quantiles of value lie below the row's, by halving (a comparison with each quantile costs ten times that)."""
+    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
+    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({cuts}), {EVENNESS})").alias("_cuts"))
+    steps = F.array(*[F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
+    return _null_safe(rows, bounds, keys).withColumn("_range", below).drop("_cuts")
+
+
+def running(counts: DataFrame, by: list[str], value: str, weight: str | list[str], out: str | list[str]) -> DataFrame:
+    """counts (a row for each distinct by, value) with the running sum (out) of each weight up to and with the row, in the order of value within by.
 
     Values are dealt to RANGES ranges of about equal weight in each group, so a hot group's order is spread over tasks: sums of ranges are the bases of the
-    sums within ranges.
+    sums within ranges. counts are read three times, so they should be cut.
     """
+    weights, outs = ([weight], [out]) if isinstance(weight, str) else (weight, out)
     keys, constant = _keyed(by)
-    rows = counts if by else counts.withColumn(constant, F.lit(0))
-    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
-    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({cuts}), {EVENNESS})").alias("_cuts"))
-    dealt = _null_safe(rows, bounds, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
-    sums = dealt.groupBy(*keys, "_range").agg(F.sum(weight).alias("_s"))
+    dealt = _ranged(counts if by else counts.withColumn(constant, F.lit(0)), keys, value)
+    sums = dealt.groupBy(*keys, "_range").agg(*[F.sum(w).alias(f"_s{i}") for i, w in enumerate(weights)])
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*keys, F.col("_range").alias("_at"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    bases = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_base{i}") for i in range(len(weights))])
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    summed = _null_safe(dealt.withColumn(out, F.sum(weight).over(inside)), bases, keys).where("_at = _range")
-    return summed.withColumn(out, F.col(out) + F.col("_base")).drop("_range", "_at", "_base", *([] if by else [constant]))
+    summed = _null_safe(dealt.select("*", *[F.sum(w).over(inside).alias(f"_in{i}") for i, w in enumerate(weights)]), bases, [*keys, "_range"])
+    return summed.select(*counts.columns, *[(F.col(f"_in{i}") + F.col(f"_base{i}")).alias(o) for i, o in enumerate(outs)])
 
 
 def with_neighbour(rows: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
@@ -115,9 +122,7 @@ def with_neighbour(rows: DataFrame, by: list[str], order: str, values: list[str]
     """
     keys, constant = _keyed(by)
     named = rows if by else rows.withColumn(constant, F.lit(0))
-    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
-    bounds = named.groupBy(*keys).agg(F.expr(f"percentile_approx(`{order}`, array({cuts}), {EVENNESS})").alias("_cuts"))
-    dealt = _null_safe(named, bounds, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts")
+    dealt = _ranged(named, keys, order)
     ends = dealt.groupBy(*keys, "_range").agg(F.max_by(F.struct(*[F.col(v) for v in values]), order).alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_range")
     borders = ends.select(*keys, F.col("_range").alias("_at"), F.lag("_end").over(before).alias("_border"))
@@ -145,10 +150,33 @@ def correlation(a: Column | str, b: Column | str) -> Column:
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """by, n, rho over rows where both are present; NULL for fewer than 2 distinct values on a side."""
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = pairs.join(ranks_of_values(pairs, by, "_a", "_ra"), [*by, "_a"]).join(ranks_of_values(pairs, by, "_b", "_rb"), [*by, "_b"])
-    stats = [F.count("*").alias("n"), correlation("_ra", "_rb").alias("rho")]
-    return ranked.groupBy(*by).agg(*stats) if by else ranked.agg(*stats)
+    return spearmans(df, by, a, b, F.array(F.lit(1)), 1).drop("k")
+
+
+def spearmans(df: DataFrame, by: list[str], a: str, b: str, weights: Column, size: int) -> DataFrame:
+    """by, k, n, rho for each weighting k (from 0; n > 0): the Spearman correlation over rows where both are present, each as often as the k-th of its ``size`` whole, present weights says.
+
+    A row isn't made several: all weightings share the order of the values, so their ranks are running sums side by side, and a row's ranks meet its weights in one aggregate. Ranks are counted from
+    the group's middle, where their mean is 0.
+    """
+    names = [f"_w{i}" for i in range(size)]
+    group = [f"_g{i}" for i in range(len(by))]
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*[F.col(c).alias(g) for c, g in zip(by, group)], F.col(a).alias("_a"), F.col(b).alias("_b"), weights.alias("_w"))
+    pairs = pairs.select(*group, "_a", "_b", *[F.col("_w")[i].cast("long").alias(n) for i, n in enumerate(names)])
+    ranked = pairs
+    for side in ("_a", "_b"):
+        counts = cut(pairs.groupBy(*group, side).agg(*[F.sum(n).alias(n) for n in names]), "values")
+        sizes = counts.groupBy(*group).agg(*[F.sum(n).alias(f"_of{i}") for i, n in enumerate(names)])
+        placed = running(counts, group, side, names, [f"_k{i}" for i in range(len(names))])
+        placed = _null_safe(placed, sizes, group) if by else placed.crossJoin(F.broadcast(sizes))  # one row
+        middle = [(F.col(f"_k{i}") - F.col(n) / 2 - F.col(f"_of{i}") / 2).alias(f"_r{side}{i}") for i, n in enumerate(names)]
+        ranked = ranked.join(placed.select(*group, side, *middle), [*group, side])
+    x = lambda i: [F.col(f"_w{i}"), F.col(f"_r_a{i}"), F.col(f"_r_b{i}")]
+    sums = [F.struct(F.lit(i).alias("k"), F.sum(w).alias("n"), F.sum(w * p * q).alias("_pq"), F.sum(w * p * p).alias("_pp"), F.sum(w * q * q).alias("_qq")) for i, (w, p, q) in enumerate(map(x, range(len(names))))]
+    each = ranked.groupBy(*group).agg(F.array(*sums).alias("_s")).select(*[F.col(g).alias(c) for c, g in zip(by, group)], F.inline("_s"))
+    rho = F.col("_pq") / F.nullif(F.sqrt("_pp") * F.sqrt("_qq"), F.lit(0.0))
+    out = each.select(*by, "k", F.coalesce("n", F.lit(0)).alias("n"), rho.alias("rho"))
+    return out.where("n > 0") if by else out
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q") -> DataFrame:
@@ -156,10 +184,10 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, out:
     by = by or []
     keys, constant = _keyed(by)
     rows = df if by else df.withColumn(constant, F.lit(0))
-    counts = rows.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
+    counts = cut(rows.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c")), "places")
     placed = running(counts, keys, p, "_c", "_k")
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
-    raw = _null_safe(placed, sizes, keys).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_k"))
+    raw = cut(_null_safe(placed, sizes, keys).select(*keys, p, (F.col(p) * F.col("_m") / F.col("_k")).alias("_raw")), "steps")
     stepped = lowest_above(raw, keys, p, "_raw").withColumn(out, F.least(F.lit(1.0), "_low")).select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate(keys)], F.col(p).alias("_p"), out)
     cond = F.col(p) == F.col("_p")
     for i, c in enumerate(keys):
@@ -169,14 +197,12 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, out:
 
 def lowest_above(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """rows with _low: the least value at or above the row's place in the order, by ranges as in running()."""
-    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
-    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{order}`, array({cuts}), {EVENNESS})").alias("_cuts"))
-    dealt = _null_safe(rows, bounds, keys).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts")
+    dealt = _ranged(rows, keys, order)
     lows = dealt.groupBy(*keys, "_range").agg(F.min(value).alias("_l"))
     after = Window.partitionBy(*keys).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    bases = lows.select(*keys, F.col("_range").alias("_at"), F.min("_l").over(after).alias("_base"))
+    bases = lows.select(*keys, "_range", F.min("_l").over(after).alias("_base"))
     inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return _null_safe(dealt.withColumn("_low", F.min(value).over(inside)), bases, keys).where("_at = _range").withColumn("_low", F.least("_low", "_base")).drop("_range", "_at", "_base")
+    return _null_safe(dealt.withColumn("_low", F.min(value).over(inside)), bases, [*keys, "_range"]).withColumn("_low", F.least("_low", "_base")).drop("_range", "_base")
 
 
 def trimmed_mean(df: DataFrame, by: list[str], value: str, share: float = 0.1) -> DataFrame:
