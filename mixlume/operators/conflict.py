@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,24 @@ def metric_pairs(wide: DataFrame, ids: list[str], metrics: list[str]) -> DataFra
     return wide.select(*ids, F.explode(F.array(*pairs)).alias("p")).select(*ids, "p.*")
 
 
+def pair_counts(wide: DataFrame, metrics: list[str]) -> DataFrame:
+    """metric_a, metric_b, rows, n_a, n_b, a_below (rows with a < b) over metric_pairs() of all rows: each task counts its rows' pairs and sends one row for each pair."""
+    names = sorted(metrics)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, present, below = 0, np.zeros(len(names), np.int64), np.zeros(len(pairs), np.int64)
+        for batch in batches:
+            v = batch.to_numpy(np.float64)
+            rows, present = rows + len(v), present + (~np.isnan(v)).sum(axis=0)
+            below += [np.count_nonzero(v[:, i] < v[:, j]) for i, j in pairs]
+        if rows:
+            yield pd.DataFrame([(names[i], names[j], rows, present[i], present[j], n) for (i, j), n in zip(pairs, below)], columns=["metric_a", "metric_b", "rows", "n_a", "n_b", "a_below"])
+
+    parts = wide.select(*[F.col(m).cast("double").alias(m) for m in names]).mapInPandas(run, "metric_a string, metric_b string, rows long, n_a long, n_b long, a_below long")
+    return parts.groupBy("metric_a", "metric_b").agg(*[F.sum(c).alias(c) for c in ("rows", "n_a", "n_b", "a_below")])
+
+
 def missing_classes(wide: DataFrame, metrics: list[str]) -> dict[str, str]:
     """For each metric the first metric that is present in exactly the same rows (itself, if there is none before it)."""
     pairs = [(x, y) for i, x in enumerate(metrics) for y in metrics[:i]]
