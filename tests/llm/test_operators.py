@@ -205,6 +205,27 @@ def test_large_bucket_of_a_template_is_split(spark, monkeypatch):
     assert 10 < len({r["component_id"] for r in got}) <= 40
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """Each node gets the smallest it reaches; few edges are written once, edges of several tasks meet in rounds."""
+    rng = np.random.default_rng(11)
+    nodes = [bytes([k // 256, k % 256]) for k in rng.permutation(400)]
+    pairs = [(nodes[k], nodes[k + 1]) for k in range(60)] + [(nodes[100 + rng.integers(0, 200)], nodes[100 + rng.integers(0, 200)]) for _ in range(120)] + [(nodes[350], nodes[350])]
+    parent = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in parent:
+        for a, b in pairs:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    expected = sorted(parent.items())
+    edges = spark.createDataFrame(pairs, "a binary, b binary").repartition(7).localCheckpoint()
+    written, materialize = [], near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    for size, rounds in ((200_000, False), (30, True)):
+        monkeypatch.setattr(near_dup, "TASK_EDGES", size)
+        written.clear()
+        assert sorted((bytes(r["node"]), bytes(r["label"])) for r in near_dup.components(edges).collect()) == expected
+        assert (len(written) > 1) == rounds
+
+
 @pytest.mark.parametrize("percent", [80, 85, 100])
 def test_linked_sets_share_a_rare_hash(percent):
     rng = np.random.default_rng(percent)
