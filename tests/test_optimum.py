@@ -100,3 +100,21 @@ def test_contrasts_of_moves(spark):
             assert abs(r["contrast"] - 3 * 1e-4) < 1e-12 and r["label"] == "SUBSTITUTIVE" and abs(r["delta_joint"] - r["delta_left"] - r["delta_right"] - r["contrast"]) < 1e-12
         else:
             assert abs(r["contrast"] + 2e-4) < 1e-12 and r["label"] == "COMPLEMENTARY"
+
+
+def test_batches_agree_with_the_expression(spark):
+    """solved() and free_quality() work on whole batches in Python, one call for each row and none of an interpreted lambda; every status and bound as solve() gives them."""
+    budgets = [None, float("nan"), -1.0, 0.0, 5.0, 10.0, 11.9, 12.0, 40.0, 600.0, 6000.0, 36000.0, 60000.0, 1e7]
+    rows = [(b, c, h, w) for b in budgets for c in (None, 0.5, 6.0, 9.5) for h in (0.0, 1.5) for w in (0.3, 1.2)]
+    table = spark.createDataFrame(rows, "budget double, c double, h double, w double")
+    given = F.col("budget"), F.col("c"), F.col("h"), (0.8, 0.5, F.col("w"), 0.4), SIZES, TOKENS
+    both = table.select(optimum.solve(*given).alias("x"), optimum.solved(*given).alias("y"))
+    got = both.collect()
+    assert len(got) == len(rows) and len({r["y"]["active"] for r in got}) > 5 and {r["y"]["status"] for r in got} == {"OK", "INFEASIBLE", "INVALID"}
+    for r in got:
+        x, y = r["x"], r["y"]
+        assert (x["status"], x["active"]) == (y["status"], y["active"])
+        assert all(p == q or abs(p - q) <= 1e-12 * abs(p) for p, q in zip(x[1:3], y[1:3]))
+    free = optimum.free_quality(table.select("budget", F.lit(2.0).alias("context"), F.lit("log").alias("family"), F.lit(0.3).alias("q0")), (*LAW, 0.7), SIZES, TOKENS, 0.1)
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "lambda" not in plan
