@@ -16,46 +16,99 @@ from mixlume.sources.io import cut
 #: How much of its time drift each candidate keeps, and the share of the resources' growth that goes into size.
 RETENTION = {"constant": 0.0, "frontier_trend": 1.0, "quantile_resource": 1.0, "mean_resource": 1.0}
 ETA = 0.5
-GROUP = ["origin", "kind"]
 MONTH_DAYS = 365.25 / 12
 
 
-def snapshots(versions: DataFrame, last: Column) -> DataFrame:
-    """versions with origin: each month's first day up to ``last`` at which the version was the newest of its model (and kind) among the days before. A version is exploded by the months for
-    which it was the newest, found from the next version's day, so nothing is joined by ranges."""
-    newer = Window.partitionBy("kind", "model").orderBy("day", "row_no")
-    until = F.least(F.trunc(F.coalesce(F.col("_next"), last), "month"), F.trunc(last, "month"))
-    first = F.add_months(F.trunc("day", "month"), 1)
-    return versions.withColumn("_next", F.lead("day").over(newer)).where(first <= until).withColumn("origin", F.explode(F.sequence(first, until, F.expr("interval 1 month")))).drop("_next")
+def _month(day: Column) -> Column:
+    """Months since year 0."""
+    return F.year(day) * 12 + F.month(day) - 1
 
 
-def targets(versions: DataFrame, months: int = 2) -> DataFrame:
-    """versions with origin: the newest of each model within the ``months`` after each origin."""
-    own = F.explode(F.array(*[F.add_months(F.trunc("day", "month"), -k) for k in range(months)]))
-    rank = Window.partitionBy("origin", "kind", "model").orderBy(F.desc("day"), F.desc("row_no"))
-    return versions.withColumn("origin", own).withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
+def _first_day(month: Column) -> Column:
+    return F.make_date(F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
 
 
-def anchors(snap: DataFrame, by: list[str], q: float = 0.9, months: int = 2) -> DataFrame:
-    """by, end, t1 (the last day and t), score (the q-quantile of the ``months`` before the end), log_n (median size of the rows at or above it), n."""
-    ends = snap.groupBy(*by).agg(F.max("day").alias("end"), F.max("t").alias("t1"))
-    recent = cut(snap.join(ends, by).where(F.col("day") > F.add_months("end", -months)).select(*by, "score", "log_n"), "recent")
-    high = stats.quantiles(recent, by, {"_s": ("score", q)})
-    size = stats.quantiles(recent.join(high, by).where("score >= _s"), by, {"_x": ("log_n", 0.5)})
-    n = recent.groupBy(*by).agg(F.count("*").alias("n"))
-    return ends.join(high, by).join(size, by).join(n, by).select(*by, "end", "t1", F.col("_s").alias("score"), F.col("_x").alias("log_n"), "n")
+def spans(versions: DataFrame, last: Column) -> DataFrame:
+    """versions, written once, with the months (_month()) _m of its day, _a and _z, between which it is at each month's start, up to ``last``, the newest of its model and kind (_a > _z: at none),
+    _next of the next version, _since of the first one, and _part: its range of scores.
 
+    Nothing is exploded by months here; rows() does so where it is read. All that lies in one part has scores at or below those of later parts, so ranks within any group of rows are counts of parts.
+    """
+    model = Window.partitionBy("kind", "model")
+    order = model.orderBy("day", "row_no")
+    m = _month(F.col("day"))
+    x = versions.select("kind", "model", "developer", "row_no", "day", "t", "log_n", "score", m.alias("_m"), _month(F.lead("day").over(order)).alias("_next"), F.min(m).over(model).alias("_since"))
+    x = x.withColumns({"_a": F.col("_m") + 1, "_z": F.least(F.coalesce("_next", _month(last)), _month(last))})
+    parts = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, so that few bytes aren't put into one task: each row becomes many
+    return cut(x.repartitionByRange(parts, "score", "row_no").withColumn("_part", F.spark_partition_id()), "spans")
+
+
+def rows(part: DataFrame) -> DataFrame:
+    """Rows of spans() for each origin (at) at which they are the newest."""
+    return part.where("_a <= _z").withColumn("at", F.explode(F.sequence("_a", "_z")))
+
+
+def targets(part: DataFrame, months: int = 2) -> DataFrame:
+    """Rows of spans() for each origin (at) in whose ``months`` they are the newest of their model."""
+    own = F.filter(F.sequence(F.col("_m") - (months - 1), F.col("_m")), lambda o: F.col("_next").isNull() | (F.col("_next") >= o + months))
+    return part.withColumn("at", F.explode(own))
 
-def trends(snap: DataFrame, q: float = 0.9, months: int = 2, least: int = 10) -> DataFrame:
-    """origin, kind, drift: the slope in t of the logit of the anchors at each month's end, where at least three months have ``least`` rows; else 0."""
-    rows = snap.withColumn("month", F.trunc("day", "month"))
-    ends = rows.groupBy(*GROUP, "month").agg(F.max("day").alias("end"), F.max("t").alias("t1"))
-    spread = rows.withColumn("month", F.explode(F.array(*[F.add_months("month", k) for k in range(months + 1)])))
-    seen = cut(spread.join(ends, [*GROUP, "month"]).where((F.col("day") <= F.col("end")) & (F.col("day") > F.add_months("end", -months))).select(*GROUP, "month", "t1", "score"), "windows")
-    n = seen.groupBy(*GROUP, "month", "t1").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    z = n.join(stats.quantiles(seen, [*GROUP, "month"], {"_s": ("score", q)}), [*GROUP, "month"]).withColumn("z", bounded_logit(F.col("_s")))
-    fits = z.groupBy(*GROUP).agg(F.regr_slope("z", "t1").alias("b"), F.count("*").alias("m"))
-    return snap.select(*GROUP).distinct().join(fits, GROUP, "left").select(*GROUP, F.when(F.col("m") >= 3, F.coalesce("b", F.lit(0.0))).otherwise(0.0).alias("drift"))
+
+KEY = ["at", "kind"]
+
+
+def part_quantiles(x: DataFrame, by: list[str], q: float) -> DataFrame:
+    """by, n, q: rows and the exact q-quantile of the present scores of each group of x (_part as spans() gives it; read twice).
+
+    Rows are counted by group and part; only those of the part that holds a group's quantile are then ordered. So no group's sketch or rows are shuffled.
+    """
+    counts = cut(x.groupBy(*by, "_part").agg(F.count("*").alias("_rows"), F.count("score").alias("_c")), "parts")
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select("*", before.alias("_before"), (F.lit(float(q)) * (F.sum("_c").over(group) - 1)).alias("_at"), F.sum("_rows").over(group).alias("n"))
+    held = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
+    placed = cut(placed.where(held(F.floor("_at")) | held(F.ceil("_at")) | (F.col("_at") < 0)), "placed")
+    near = x.where("score is not null").join(F.broadcast(placed.select(*by, "_part", "_before", "_at")), [*by, "_part"])  # two parts for each group at most
+    values = near.groupBy(*by, "score").agg(F.count("*").alias("_c"), F.min("_at").alias("_at"), F.min("_before").alias("_before"))
+    up = group.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    inside = values.select(*by, "score", "_at", (F.sum("_c").over(up) + F.min("_before").over(group)).alias("_end"), "_c")
+    at = lambda k: F.max(F.when((F.col("_end") - F.col("_c") <= k) & (k < F.col("_end")), F.col("score")))
+    found = inside.groupBy(*by).agg(at(F.floor("_at")).alias("_x"), at(F.ceil("_at")).alias("_y"), F.min("_at").alias("_at"))
+    value = F.col("_x") + (F.col("_y") - F.col("_x")) * (F.col("_at") - F.floor("_at"))
+    sizes = placed.groupBy(*by).agg(F.max("n").alias("n"))
+    return sizes.join(found.select(*by, value.alias("q")), by, "left")
+
+
+def month_ends(part: DataFrame) -> DataFrame:
+    """at, kind, _month, end, t1, rows: of the newest versions at an origin those of each month: last day, last t and number."""
+    x = part.where("_a <= _z").groupBy("kind", "_m", "_a", "_z").agg(F.max("day").alias("end"), F.max("t").alias("t1"), F.count("*").alias("rows"))
+    x = x.withColumn("at", F.explode(F.sequence("_a", "_z")))
+    return cut(x.groupBy(*KEY, F.col("_m").alias("_month")).agg(F.max("end").alias("end"), F.max("t1").alias("t1"), F.sum("rows").alias("rows")), "month_ends")
+
+
+def windows(part: DataFrame, ends: DataFrame, q: float = 0.9, months: int = 2) -> DataFrame:
+    """ends with n and q: number and q-quantile of the scores in the ``months`` before each end, of the versions that are the newest at the origin; written."""
+    x = part.select("kind", "day", "score", "_part", "_m", "_a", "_z", F.explode(F.sequence(F.lit(0), F.lit(months))).alias("_k")).withColumn("_month", F.col("_m") + F.col("_k"))
+    x = rows(x.withColumn("_a", F.greatest("_a", F.col("_month") + 1)))
+    x = x.join(F.broadcast(ends.select(*KEY, "_month", "end")), [*KEY, "_month"]).where((F.col("day") <= F.col("end")) & (F.col("day") > F.add_months("end", -months)))  # months by months by kinds
+    return cut(ends.join(part_quantiles(x.select(*KEY, "_month", "score", "_part"), [*KEY, "_month"], q), [*KEY, "_month"]), "windows")
+
+
+def anchors(part: DataFrame, seen: DataFrame, months: int = 2) -> DataFrame:
+    """at, kind, end, t1 (the last day and t), score (the quantile of the ``months`` before the end), log_n (median size of the rows at or above it), n. seen: windows()."""
+    late = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("_month")))
+    tops = seen.select(*KEY, F.max("t1").over(Window.partitionBy(*KEY)).alias("t1"), "end", "n", "q", late.alias("_r")).where("_r = 1").drop("_r")
+    x = rows(part.select("kind", "day", "score", "log_n", "_a", "_z")).join(F.broadcast(tops.select(*KEY, "end", "q")), KEY)  # an origin and kind each
+    high = cut(x.where((F.col("day") > F.add_months("end", -months)) & (F.col("score") >= F.col("q"))).select(*KEY, "log_n"), "high")
+    return tops.join(stats.quantiles(high, KEY, {"log_n": ("log_n", 0.5)}), KEY).select(*KEY, "end", "t1", F.col("q").alias("score"), "log_n", "n")
+
+
+def trends(seen: DataFrame, least: int = 10) -> DataFrame:
+    """at, kind, drift: the slope in t of the logit of the anchors at each month's end, where at least three months have ``least`` rows; else 0. seen: windows()."""
+    z = seen.withColumn("z", F.when(F.col("n") >= least, bounded_logit(F.col("q"))))
+    t1 = F.when(F.col("n") >= least, F.col("t1"))
+    fits = z.groupBy(*KEY).agg(F.regr_slope("z", t1).alias("b"), F.count(t1).alias("m"))
+    return fits.select(*KEY, F.when(F.col("m") >= 3, F.coalesce("b", F.lit(0.0))).otherwise(0.0).alias("drift"))
 
 
 def _solved(sums: DataFrame, by: list[str]) -> DataFrame:
@@ -99,13 +152,14 @@ def plane_fits(snap: DataFrame, by: list[str], q: float | None = None, passes: i
     return fit
 
 
-def candidates(snap: DataFrame, q: float = 0.9) -> DataFrame:
-    """origin, kind, candidate, b_size, b_t of four candidates: constant, frontier_trend (the drift of the monthly frontier), and quantile_resource and mean_resource (planes in size and time).
-    Groups whose design is rank-deficient have no planes."""
-    groups = snap.select(*GROUP).distinct()
-    flat = groups.select(*GROUP, F.lit("constant").alias("candidate"), F.lit(0.0).alias("b_size"), F.lit(0.0).alias("b_t"))
-    trend = trends(snap, q).select(*GROUP, F.lit("frontier_trend").alias("candidate"), F.lit(0.0).alias("b_size"), F.col("drift").alias("b_t"))
-    planes = [plane_fits(snap, GROUP, x).select(*GROUP, F.lit(name).alias("candidate"), "b_size", "b_t") for name, x in (("quantile_resource", q), ("mean_resource", None))]
+def candidates(part: DataFrame, seen: DataFrame, q: float = 0.9) -> DataFrame:
+    """at, kind, candidate, b_size, b_t of four candidates: constant, frontier_trend (the drift of the monthly frontier), and quantile_resource and mean_resource (planes in size and time).
+    Groups whose design is rank-deficient have no planes. part: spans(); seen: windows() of the origins that are asked for."""
+    groups = cut(seen.select(*KEY).distinct(), "groups")
+    flat = groups.select(*KEY, F.lit("constant").alias("candidate"), F.lit(0.0).alias("b_size"), F.lit(0.0).alias("b_t"))
+    trend = trends(seen).select(*KEY, F.lit("frontier_trend").alias("candidate"), F.lit(0.0).alias("b_size"), F.col("drift").alias("b_t"))
+    snap = rows(part.select("kind", "log_n", "t", "score", "_a", "_z")).join(F.broadcast(groups), KEY)  # an origin and kind each
+    planes = [plane_fits(snap, KEY, x).select(*KEY, F.lit(name).alias("candidate"), "b_size", "b_t") for name, x in (("quantile_resource", q), ("mean_resource", None))]
     return flat.unionByName(trend).unionByName(planes[0]).unionByName(planes[1])
 
 
@@ -131,21 +185,27 @@ def backtest(versions: DataFrame, growth: float, months: int = 2, least_train: i
     last = versions.agg(F.max("day").alias("d")).first()["d"]
     if last is None:
         return versions.sparkSession.createDataFrame([], "origin date, kind string, candidate string, train_n long, test_n long, actual double, predicted double, horizon double, model_overlap double, developer_overlap double")
-    snap = cut(snapshots(versions, F.lit(last)), "snapshots")
-    test = cut(targets(versions, months), "targets")
-    size = snap.groupBy(*GROUP).agg(F.count("*").alias("train_n")).where(F.col("train_n") >= least_train)
-    tested = test.groupBy(*GROUP).agg(F.count("*").alias("test_n")).where(F.col("test_n") >= least_test)
-    whole = F.date_sub(F.add_months("origin", months), 1) <= F.col("_to")
-    usable = size.join(tested, GROUP).join(kinds, "kind").where(whole & (F.col("origin") >= F.add_months(F.trunc("_from", "month"), history))).select(*GROUP, "train_n", "test_n")
+    part = spans(versions, F.lit(last))
+    ends = month_ends(part)
+    after = targets(part, months)
+    size = ends.groupBy(*KEY).agg(F.sum("rows").alias("train_n")).where(F.col("train_n") >= least_train)
+    tested = after.groupBy(*KEY).agg(F.count("*").alias("test_n")).where(F.col("test_n") >= least_test)
+    whole = F.date_sub(F.add_months(_first_day(F.col("at")), months), 1) <= F.col("_to")
+    usable = size.join(tested, KEY).join(kinds, "kind").where(whole & (F.col("at") >= _month(F.col("_from")) + history)).select(*KEY, "train_n", "test_n")
     usable = cut(usable, "origins")
-    seen, after = cut(snap.join(usable.select(*GROUP), GROUP), "seen"), cut(test.join(usable.select(*GROUP), GROUP), "after")
-    models, developers = seen.select(*GROUP, "model").distinct().withColumn("_m", F.lit(1)), seen.select(*GROUP, "developer").distinct().withColumn("_d", F.lit(1))
-    overlap = after.join(models, [*GROUP, "model"], "left").join(developers, [*GROUP, "developer"], "left").groupBy(*GROUP).agg(F.avg(F.coalesce("_m", F.lit(0))).alias("model_overlap"), F.avg(F.coalesce("_d", F.lit(0))).alias("developer_overlap"))
-    actual = stats.quantiles(after, GROUP, {"actual": ("score", 0.9)})
-    anchor = anchors(seen, GROUP).withColumn("horizon", F.datediff(F.date_sub(F.add_months("origin", months), 1), F.col("end")) / MONTH_DAYS)
-    rows = candidates(seen).join(anchor, GROUP).join(usable, GROUP).join(actual, GROUP).join(overlap, GROUP)
+    seen = windows(part, ends.join(usable.select(*KEY), KEY), months=months)
+    after = after.join(F.broadcast(usable.select(*KEY)), KEY)  # an origin and kind each
+    # A model is in the snapshot of each origin after its first version; a developer in those of its models' spans.
+    known = part.where("_a <= _z").select("kind", "developer", "_a", "_z").distinct().select("kind", "developer", F.explode(F.sequence("_a", "_z")).alias("at")).distinct().withColumn("_d", F.lit(1))
+    old = (F.col("model").isNotNull() & (F.col("_since") < F.col("at"))).cast("int")
+    each = after.groupBy(*KEY, "developer").agg(F.sum(old).alias("_m"), F.count("*").alias("_c")).join(known, [*KEY, "developer"], "left")
+    overlap = each.groupBy(*KEY).agg((F.sum("_m") / F.sum("_c")).alias("model_overlap"), (F.sum(F.coalesce("_d", F.lit(0)) * F.col("_c")) / F.sum("_c")).alias("developer_overlap"))
+    actual = part_quantiles(after.select(*KEY, "score", "_part"), KEY, 0.9).select(*KEY, F.col("q").alias("actual"))
+    origin = _first_day(F.col("at"))
+    anchor = anchors(part, seen, months).withColumn("horizon", F.datediff(F.date_sub(F.add_months(origin, months), 1), F.col("end")) / MONTH_DAYS)
+    found = candidates(part, seen).join(anchor, KEY).join(usable, KEY).join(actual, KEY).join(overlap, KEY)
     value = predicted(F.col("score"), F.col("horizon"), F.lit(float(growth)), F.lit(ETA), _retention())
-    return cut(rows.select(*GROUP, "candidate", "train_n", "test_n", "actual", value.alias("predicted"), "horizon", "model_overlap", "developer_overlap"), "backtest")
+    return cut(found.select(origin.alias("origin"), "kind", "candidate", "train_n", "test_n", "actual", value.alias("predicted"), "horizon", "model_overlap", "developer_overlap"), "backtest")
 
 
 def compare(tested: DataFrame) -> DataFrame:
@@ -163,9 +223,10 @@ def scenarios(versions: DataFrame, tested: DataFrame, growth: float, horizons: l
     backtest. Every assumption is a parameter list that a fit's row is exploded by.
     """
     last = versions.agg(F.max("day").alias("d")).first()["d"]
-    final = snapshots(versions, F.add_months(F.trunc(F.lit(last), "month"), 1)).where(F.col("origin") == F.add_months(F.trunc(F.lit(last), "month"), 1))
-    final = cut(final, "final")
-    fits = candidates(final).join(anchors(final, GROUP), GROUP)
+    after = F.add_months(F.trunc(F.lit(last), "month"), 1)
+    final = spans(versions, after).where("_next is null").withColumn("_a", F.col("_z"))  # the newest at the start of the month after the last
+    seen = windows(final, month_ends(final))
+    fits = candidates(final, seen).join(anchors(final, seen), KEY)
     cells = [F.struct(F.lit(float(h)).alias("horizon"), F.lit(k).alias("scenario"), F.lit(float(s)).alias("slow")) for h in horizons for k, s in slowdowns.items()]
     ways = [F.struct(F.lit(float(e)).alias("e"), F.lit(float(r)).alias("r"), F.lit(float(m)).alias("m")) for e in etas for r in retentions for m in multipliers]
     x = fits.select("kind", "candidate", "score", "b_size", "b_t", F.inline(F.array(*cells)))
