@@ -103,3 +103,16 @@ def test_comparison_and_scenarios(versions):
         assert abs(r["stress_low"] - max(0, r["union_low"] - worst)) < 1e-9 and abs(r["stress_high"] - min(100, r["union_high"] + worst)) < 1e-9
         if r["candidate"] == "constant":
             assert abs(r["low"] - r["high"]) < 1e-9
+
+
+def test_part_quantiles(spark):
+    """Exact quantiles of groups whose rows lie in several parts, equal scores across parts and missing scores too; no sketch in the plan."""
+    rng = np.random.default_rng(3)
+    score = np.sort(np.concatenate([rng.integers(0, 40, 500) / 4, np.full(200, 5.0)]))
+    part = np.arange(700) // 50
+    rows = [(int(g), float(s), int(p)) for s, p, g in zip(score, part, rng.integers(0, 6, 700))] + [(2, None, 0), (9, None, 0)]
+    got = {r["g"]: (r["n"], r["q"]) for r in origins.part_quantiles(spark.createDataFrame(rows, "g int, score double, _part int").repartition(3), ["g"], 0.9).collect()}
+    for g in {r[0] for r in rows}:
+        own = [s for k, s, _ in rows if k == g]
+        known = [s for s in own if s is not None]
+        assert got[g][0] == len(own) and (abs(got[g][1] - np.quantile(known, 0.9)) < 1e-12 if known else got[g][1] is None)
