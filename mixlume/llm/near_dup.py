@@ -28,6 +28,10 @@ BATCH, MISS = 24, 1e-8
 BLOCK = 512
 #: Slots by which shingles are ordered from rare to frequent when a bucket of more than BLOCK rows is split: 65,536 counts, whatever the table's size.
 SLOT_BITS = 16
+#: About so many members of a group decide by majority from which set its members' differences are taken. Any set gives the same links.
+VOTERS = 64
+#: Blocks of a bucket that differences have split once; what is larger is split again, so a row is repeated for so many blocks at most.
+WIDE = 8
 #: Edges that one task contracts by itself before components are found in rounds.
 TASK_EDGES = 200_000
 #: Words hashed at once, so that memory doesn't follow the longest text.
@@ -316,6 +320,65 @@ def _prefixes(rows: DataFrame, slots: np.ndarray, percent: int) -> DataFrame:
     return rows.select("cls", "text").mapInArrow(run, "cls binary, key bigint")
 
 
+def excess(difference: int, size: int, percent: int) -> int:
+    """e of a set that differs from its group's reference in ``difference`` hashes: sets x and y are linked if and only if 2 * (100 + percent) * (hashes that both differ in) >= e(x) + e(y)."""
+    return (100 + percent) * difference - (100 - percent) * size
+
+
+def difference_prefix(found: np.ndarray, e: int, least: int, slots: np.ndarray, percent: int) -> np.ndarray:
+    """The first hashes, those of rare slots first, of a set's difference from its group's reference; least: the smallest e of the group, of its member m.
+
+    If e + least <= 0, the set is linked with m whatever they share: it is near, others are far. By excess(), a far set and a set linked with it differ in
+    (e + least) / (2 * (100 + percent)) common hashes at least, and a near set y and a far one in (e(y) - least + 1) / (2 * (100 + percent)). Both are positive, so
+    prefixes that leave out one hash less share one. Two near sets are linked by way of m.
+    """
+    shared = -(-(e + least if e + least > 0 else e - least + 1) // (2 * (100 + percent)))
+    order = np.lexsort((found, slots[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    return found[order[: max(0, len(found) - shared + 1)]]
+
+
+def _majority(group: pa.Table) -> pa.Table:
+    """head, ref: the sorted hashes that more than half of a group's voters hold."""
+    sets = shingle_sets(group.column("text").to_pylist())
+    found, n = np.unique(np.concatenate(sets), return_counts=True)
+    out = pa.table({"head": group.column("head").slice(0, 1), "ref": pa.array([found[2 * n > len(sets)].tobytes()], pa.binary())})
+    del sets, group
+    release()
+    return out
+
+
+def _differences(rows: DataFrame, percent: int) -> DataFrame:
+    """head, cls, e, d: excess and sorted hashes of the difference of each text of rows (head, cls, text, ref) from its group's reference, which may be null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, refs = batch.column(2).to_pylist(), batch.column(3)
+            for start, end in in_slices(texts):
+                sets = shingle_sets(texts[start:end])
+                own = [np.setxor1d(x, np.frombuffer(refs[k].as_py() or b"", np.uint64), assume_unique=True) for k, x in zip(range(start, end), sets)]
+                e = pa.array([excess(len(d), len(x), percent) for d, x in zip(own, sets)], pa.int64())
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), e, pa.array([d.tobytes() for d in own], pa.binary())], names=["head", "cls", "e", "d"])
+            del texts
+            release()
+
+    return rows.select("head", "cls", "text", "ref").mapInArrow(run, "head binary, cls binary, e bigint, d binary")
+
+
+def _difference_prefixes(rows: DataFrame, slots: np.ndarray, percent: int) -> DataFrame:
+    """cls, key: the prefix of each difference of rows (head, cls, e, d, least); a key is of one group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads, e, found, least = (batch.column(k).to_pylist() for k in (0, 2, 3, 4))
+            parts = [difference_prefix(np.frombuffer(d, np.uint64), x, y, slots, percent) ^ np.frombuffer(h, np.uint64)[0] for h, x, d, y in zip(heads, e, found, least)]
+            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            keys = mix(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(owner, pa.int64())), pa.array(keys)], names=["cls", "key"])
+
+    return rows.select("head", "cls", "e", "d", "least").mapInArrow(run, "cls binary, key bigint")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes of equal sets that connect all that is linked; written."""
     sigs = nodes.select("cls", "sig")
@@ -341,7 +404,7 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members of the buckets of three or more that aren't yet all of one label. A label's members are linked."""
-        rest = members.where("n > 2").select("key", "cls", "n").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        rest = members.where("n > 2").select("key", "cls", "n", "head").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
         rest = materialize(rest, "rest")
         split = materialize(rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "split")
         return materialize(rest.join(split, "key", "left_semi"), "apart")
@@ -354,6 +417,22 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         rest = rest.join(sigs, "cls").join(texts, "cls")
         return materialize(rest.groupBy("key", "i", "j").applyInArrow(lambda group: _spanning(group, percent), "a binary, b binary"), "links")
 
+    def asked_once(rest: DataFrame) -> DataFrame:
+        """Buckets of the same members ask the same: one of them stays."""
+        same = rest.groupBy("key").agg(F.count("*").alias("k"), *[F.sum(F.xxhash64(F.lit(x), "cls").cast("decimal(38,0)")).alias(x) for x in "xy"])
+        return materialize(rest.join(same.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "asked")
+
+    def by_differences(rest: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Keys (cls, key) that linked members of rest's buckets share unless near their group's nearest, and links of those. A group: the buckets of one head."""
+        grouped = rest.groupBy("head", "cls").agg(F.max("n").alias("n")).join(texts, "cls")
+        voters = grouped.where(F.pmod(F.xxhash64("cls"), F.ceil(F.col("n") / VOTERS)) == 0).select("head", "text")
+        refs = materialize(voters.groupBy("head").applyInArrow(_majority, "head binary, ref binary"), "refs")
+        rows = materialize(_differences(grouped.join(refs, "head", "left"), percent), "differences")
+        nearest = materialize(rows.groupBy("head").agg(F.min(F.struct("e", "cls")).alias("m")).select("head", F.col("m.e").alias("least"), F.col("m.cls").alias("m")), "nearest")
+        rows = rows.join(nearest, "head")
+        near = rows.where("e + least <= 0 and cls <> m").select(F.col("m").alias("a"), F.col("cls").alias("b"))
+        return _difference_prefixes(rows, slots, percent), materialize(near, "links")
+
     members = sized(nodes.select("cls", F.explode("bands").alias("key")))
     links = to_heads(members)
     up = links.groupBy("b").agg(F.min("a").alias("m"))
@@ -367,12 +446,20 @@ def _links(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     if large.isEmpty():
         return links
     texts = materialize(texts.join(large, "cls", "left_semi"), "texts")
-    members = sized(_prefixes(texts, _slots(texts), percent))
-    links = links.unionByName(to_heads(members))
-    rest = apart(members, components(links).withColumnRenamed("node", "cls"))
-    same = rest.groupBy("key").agg(F.count("*").alias("k"), *[F.sum(F.xxhash64(F.lit(x), "cls").cast("decimal(38,0)")).alias(x) for x in "xy"])
-    once = same.groupBy("k", "x", "y").agg(F.min("key").alias("key")).select("key")  # prefixes of the same members ask the same
-    return links.unionByName(in_blocks(rest.join(once, "key", "left_semi"), texts))
+    slots = _slots(texts)
+    keyed, limit, before = _prefixes(texts, slots, percent), BLOCK, None
+    while True:
+        members = sized(keyed)
+        links = links.unionByName(to_heads(members))
+        rest = asked_once(apart(members, components(links).withColumnRenamed("node", "cls")))
+        wide = rest.where(F.col("n") > limit)
+        left = wide.count()
+        if not left or before is not None and 2 * left > before:  # differences don't part these: whole blocks
+            return links.unionByName(in_blocks(rest, texts))
+        # Near copies of one text share nearly all their shingles, rare ones of the text too. In what each changes, only those meet that changed the same.
+        links = links.unionByName(in_blocks(rest.where(F.col("n") <= limit), texts))
+        keyed, near = by_differences(wide, texts)
+        links, limit, before = links.unionByName(near), WIDE * BLOCK, left
 
 
 def _grouped(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

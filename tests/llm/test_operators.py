@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -205,6 +206,69 @@ def test_large_bucket_of_a_template_is_split(spark, monkeypatch):
     assert 10 < len({r["component_id"] for r in got}) <= 40
 
 
+def near_copies(n):
+    """Copies of one text with up to five words changed, each in its own way, and copies of copies: many are linked with none."""
+    rng = np.random.default_rng(13)
+    words = [[f"t{i}" for i in range(150)]]
+    for k in range(1, n):
+        words.append(list(words[0] if k % 4 else words[rng.integers(0, k)]))
+        for at in rng.integers(0, 150, rng.integers(1, 6) if k % 4 else 1):
+            words[-1][at] = f"x{k}_{at}"
+    return [(k, " ".join(w)) for k, w in enumerate(words)]
+
+
+def test_compared_rows_grow_with_a_group_of_near_copies(spark, monkeypatch, tmp_path):
+    """Twice the near copies are about twice the rows that are compared in blocks, not four times."""
+    compared, folder = near_dup._spanning, str(tmp_path)
+
+    def counted(group, percent):
+        with open(f"{folder}/{uuid.uuid4().hex}-{group.num_rows}", "w"):
+            return compared(group, percent)
+
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "_spanning", counted)
+    rows = []
+    for n in (120, 240):
+        table = near_copies(n)
+        got = near_dup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == sorted(brute_components(table))
+        assert 10 < len({r["component_id"] for r in got}) < 0.9 * n
+        rows.append(sum(int(x.name.rpartition("-")[2]) for x in tmp_path.iterdir()) - sum(rows))
+    assert 0 < rows[1] <= 2.6 * rows[0]
+
+
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_linked_sets_differ_from_any_reference_in_a_common_hash(percent):
+    """Unless both are near: sets of a near-copy group and unrelated ones, with the majority, a member, nothing and an unrelated set as reference."""
+    rng = np.random.default_rng(percent)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+    slots = rng.integers(0, 9, 1 << near_dup.SLOT_BITS)
+    linked = apart = 0
+    for n in (1, 3, 12, 60, 150):
+        sets = [draw(n)]
+        for _ in range(60):
+            a = sets[rng.integers(0, len(sets))] if rng.random() < 0.5 else sets[0]
+            sets.append(np.union1d(a[rng.random(len(a)) > rng.choice([0, 0.03, 0.1, 0.2])], draw(rng.integers(0, 2 + n // 8))))
+        sets = [x for x in [*sets, draw(n)] if len(x)]
+        found, k = np.unique(np.concatenate(sets), return_counts=True)
+        for ref in (found[2 * k > len(sets)], sets[0], sets[-1], found[:0], draw(n)):
+            differences = [np.setxor1d(x, ref, assume_unique=True) for x in sets]
+            e = [near_dup.excess(len(d), len(x), percent) for d, x in zip(differences, sets)]
+            m = int(np.argmin(e))
+            keys = [near_dup.difference_prefix(d, x, e[m], slots, percent) for d, x in zip(differences, e)]
+            near = [x + e[m] <= 0 for x in e]
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets):
+                    both = len(np.intersect1d(x, y))
+                    if i != j and 100 * both >= percent * (len(x) + len(y) - both):
+                        linked += 1
+                        assert near[i] and near[j] or len(np.intersect1d(keys[i], keys[j])) or np.array_equal(x, y)
+                    elif i != j:
+                        apart += 1
+                        assert not (near[i] and j == m)
+    assert linked and apart
+
+
 def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
     """Each node gets the smallest it reaches; few edges are written once, edges of several tasks meet in rounds."""
     rng = np.random.default_rng(11)
