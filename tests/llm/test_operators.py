@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from tokenizers import Tokenizer
@@ -315,6 +316,23 @@ def test_long_text_hashes_by_chunks():
     assert len(whole) == len({tuple(text.split()[i : i + 5]) for i in range(len(text.split()) - 4)})
 
 
+def test_memory_of_a_block(monkeypatch):
+    """A block's texts are hashed about 1 MB at a time, also those of one long text; nothing of the block's size is kept in the worker."""
+    rng, least = np.random.default_rng(5), 1 << 20
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 50_000)).encode() for _ in range(6)]
+    texts = [x for text in texts for x in (text, text + b" tail")]
+    signed = near_dup._signatures(pa.array(texts, pa.binary()))
+    block = pa.table({"cls": pa.array(signed["cls"]), "label": pa.array(signed["cls"]), "block": pa.array([0] * len(texts)), "sig": pa.array(signed["sig"]), "text": pa.array(texts, pa.binary())})
+    near_dup._hasher.cache_clear()
+    hashed, hash_units = [], near_dup._hash_units
+    monkeypatch.setattr(near_dup, "_hash_units", lambda units, sizes: hashed.append(sum(sizes)) or hash_units(units, sizes))
+    links = near_dup._spanning(block, near_dup.PERCENT).to_pylist()
+    assert sorted(map(sorted, (x.values() for x in links))) == sorted(map(sorted, zip(signed["cls"][::2], signed["cls"][1::2])))
+    assert sum(map(len, texts)) > 4 * least and len(near_dup._hasher().up) < 2 * least and max(hashed) < 2 * near_dup.CHUNK + near_dup.SHINGLE
+    near_dup.shingle_sets([b" ".join(texts)])
+    assert len(near_dup._hasher().up) < 2 * least
+
+
 def test_line_dedup(spark, empty):
     rows = [(i, f"Menu\nstory {i}\n\n  Menu \nend {i % 2}", "h1") for i in range(30)] + [(40, "Menu\nalone", "h2"), (41, None, "h1"), (42, "", "h1"), (43, "Menu", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
