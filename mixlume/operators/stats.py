@@ -91,11 +91,18 @@ def robust_params(long: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def _ranged(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """rows with _range: how many of its group's RANGES - 1 approximate quantiles of value lie below the row's, by halving (a comparison with each quantile costs ten times that)."""
+    return _dealt(rows, keys, value).drop("_cuts")
+
+
+def _dealt(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with _range as _ranged() says and _cuts, those quantiles."""
     cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
     bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({cuts}), {EVENNESS})").alias("_cuts"))
-    steps = F.array(*[F.lit(RANGES >> k) for k in range(1, RANGES.bit_length())])
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
-    return _null_safe(rows, bounds, keys).withColumn("_range", below).drop("_cuts")
+    out = _null_safe(rows, bounds, keys).withColumn("_range", F.lit(0))
+    for k in range(1, RANGES.bit_length()):  # a column each: as one expression over an array of steps it would be interpreted for each row
+        step = RANGES >> k
+        out = out.withColumn("_range", F.col("_range") + F.when(F.get("_cuts", F.col("_range") + (step - 1)) < F.col(value), step).otherwise(0))
+    return out
 
 
 def running(counts: DataFrame, by: list[str], value: str, weight: str | list[str], out: str | list[str]) -> DataFrame:
@@ -180,29 +187,27 @@ def spearmans(df: DataFrame, by: list[str], a: str, b: str, weights: Column, siz
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, out: str = "q") -> DataFrame:
-    """df with adjusted p values; NULL stays NULL and isn't counted. Equal p values share the last one's place, as the step-up rule gives them one q anyway."""
-    by = by or []
-    keys, constant = _keyed(by)
-    rows = df if by else df.withColumn(constant, F.lit(0))
-    counts = cut(rows.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c")), "places")
-    placed = running(counts, keys, p, "_c", "_k")
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_m"))
-    raw = cut(_null_safe(placed, sizes, keys).select(*keys, p, (F.col(p) * F.col("_m") / F.col("_k")).alias("_raw")), "steps")
-    stepped = lowest_above(raw, keys, p, "_raw").withColumn(out, F.least(F.lit(1.0), "_low")).select(*[F.col(c).alias(f"_q{i}") for i, c in enumerate(keys)], F.col(p).alias("_p"), out)
-    cond = F.col(p) == F.col("_p")
-    for i, c in enumerate(keys):
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_q{i}"))
-    return rows.join(stepped, cond, "left").select(*df.columns, out)
-
-
-def lowest_above(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """rows with _low: the least value at or above the row's place in the order, by ranges as in running()."""
-    dealt = _ranged(rows, keys, order)
-    lows = dealt.groupBy(*keys, "_range").agg(F.min(value).alias("_l"))
-    after = Window.partitionBy(*keys).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    bases = lows.select(*keys, "_range", F.min("_l").over(after).alias("_base"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return _null_safe(dealt.withColumn("_low", F.min(value).over(inside)), bases, [*keys, "_range"]).withColumn("_low", F.least("_low", "_base")).drop("_range", "_base")
+    """df with adjusted p values; NULL stays NULL and isn't counted. Equal p values share the last one's place, as the step-up rule gives them one q anyway.
+
+    Rows are dealt to ranges of p once and stepped down within them, highest first, from the places that counts of ranges give; later ranges then lower the written steps. A value that is a
+    range's border is a range of its own, whose rows all have one place: they are spread over tasks and not ordered, so that a hot value isn't one task's.
+    """
+    keys, constant = _keyed(by or [])
+    dealt = _dealt(df if by else df.withColumn(constant, F.lit(0)), keys, p)
+    border = F.coalesce(F.get("_cuts", F.col("_range")) == F.col(p), F.lit(False)) | F.col(p).isNull()
+    dealt = dealt.withColumn("_border", border).withColumn("_range", F.when(F.col(p).isNotNull(), 2 * F.col("_range") + F.col("_border").cast("int")).otherwise(-1)).drop("_cuts")
+    counts = dealt.where(F.col(p).isNotNull()).groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    ends = counts.select(*keys, "_range", "_n", F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)).alias("_end"), F.sum("_n").over(group).alias("_m"))
+    placed = _null_safe(dealt.withColumn("_task", F.when(F.col("_border"), F.spark_partition_id()).otherwise(-1)), ends, [*keys, "_range"], "left")
+    down = Window.partitionBy(*keys, "_range", "_task").orderBy(F.desc(p))  # never up to the following rows' end: Spark reads those anew for each row
+    k = F.when(F.col("_border"), F.col("_end")).otherwise(F.col("_end") + 1 - F.row_number().over(down))
+    steps = placed.withColumn("_raw", F.col(p) * F.col("_m") / k).withColumn("_low", F.min("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    steps = cut(steps.select(*dict.fromkeys([*df.columns, *keys]), "_range", "_low"), "steps")
+    lows = steps.groupBy(*keys, "_range").agg(F.min("_low").alias("_l"))
+    bases = lows.select(*keys, "_range", F.min("_l").over(group.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)).alias("_base"))
+    q = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_low", "_base"))
+    return _null_safe(steps, bases, [*keys, "_range"]).select(*df.columns, q.alias(out))
 
 
 def trimmed_mean(df: DataFrame, by: list[str], value: str, share: float = 0.1) -> DataFrame:

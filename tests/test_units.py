@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import lzma
 import math
+import re
 
 import numpy as np
 import pytest
@@ -75,6 +76,25 @@ def test_adjusted_p_values(spark):
     assert sorted(round(x, 6) for x in one(stats.benjamini_hochberg(p, "p"), "q") if x is not None) == [0.04, 0.053333, 0.053333, 0.5]
 
 
+def test_adjusted_p_values_of_large_groups(spark, monkeypatch):
+    """A hot value, a NULL group, missing values and many distinct ones against numpy; no window reads on to its rows' end, which Spark does anew for each row."""
+    rng = np.random.default_rng(5)
+    rows = [("a", float(v)) for v in rng.uniform(0, 1, 3000)] + [("b", 0.25)] * 900 + [("b", float(v)) for v in rng.integers(1, 40, 500) / 40] + [(None, 0.2), (None, 0.1), ("a", None), ("c", None)]
+    plans, write = [], stats.cut
+    monkeypatch.setattr(stats, "cut", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or write(df, name))
+    adjusted = stats.benjamini_hochberg(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, g string, p double").repartition(5), "p", ["g"])
+    assert not any(re.search(r"(?<!unboundedpreceding\$\(\)), unboundedfollowing", x) for x in [*plans, adjusted._jdf.queryExecution().toString()])
+    got = {r["id"]: r["q"] for r in adjusted.collect()}
+    assert adjusted.columns == ["id", "g", "p", "q"] and len(got) == len(rows) == adjusted.count()
+    for g in {r[0] for r in rows}:
+        own = sorted(((r[1], i) for i, r in enumerate(rows) if r[0] == g and r[1] is not None), reverse=True)
+        low = 1.0
+        for place, (p, i) in enumerate(own):
+            low = min(low, p * len(own) / (len(own) - place))
+            assert abs(got[i] - low) < 1e-12
+    assert all(got[i] is None for i, r in enumerate(rows) if r[1] is None)
+
+
 def test_ids_and_keys(spark):
     ids = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", " "), ("b", "1")], "domain string, id string")
     got = {r["domain"]: (r["blank_ids"], r["repeated_ids"]) for r in stats.id_integrity(ids, "domain", "id").collect()}
