@@ -28,30 +28,28 @@ def _first_day(month: Column) -> Column:
     return F.make_date(F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
 
 
+#: Ranges of scores that quantiles are counted in (a power of two).
+PARTS = 256
+
+
 def spans(versions: DataFrame, last: Column) -> DataFrame:
     """versions, written once, with the months (_month()) _m of its day, _a and _z, between which it is at each month's start, up to ``last``, the newest of its model and kind (_a > _z: at none),
     _next of the next version, _since of the first one, and _part: its range of scores.
 
-    Nothing is exploded by months here; rows() does so where it is read. All that lies in one part has scores at or below those of later parts, so ranks within any group of rows are counts of parts.
+    Nothing is exploded by months here; that is done where it is read, after what can be counted is counted. Scores of one part lie below those of later parts, so ranks within any group of rows
+    are counts of parts.
     """
     model = Window.partitionBy("kind", "model")
     order = model.orderBy("day", "row_no")
     m = _month(F.col("day"))
     x = versions.select("kind", "model", "developer", "row_no", "day", "t", "log_n", "score", m.alias("_m"), _month(F.lead("day").over(order)).alias("_next"), F.min(m).over(model).alias("_since"))
-    x = x.withColumns({"_a": F.col("_m") + 1, "_z": F.least(F.coalesce("_next", _month(last)), _month(last))})
-    parts = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, so that few bytes aren't put into one task: each row becomes many
-    return cut(x.repartitionByRange(parts, "score", "row_no").withColumn("_part", F.spark_partition_id()), "spans")
-
-
-def rows(part: DataFrame) -> DataFrame:
-    """Rows of spans() for each origin (at) at which they are the newest."""
-    return part.where("_a <= _z").withColumn("at", F.explode(F.sequence("_a", "_z")))
+    x = cut(x.withColumns({"_a": F.col("_m") + 1, "_z": F.least(F.coalesce("_next", _month(last)), _month(last))}), "versions")
+    return cut(stats.dealt(x.withColumn("_all", F.lit(0)), ["_all"], "score", PARTS).withColumnRenamed("_range", "_part").drop("_all", "_cuts"), "spans")
 
 
 def targets(part: DataFrame, months: int = 2) -> DataFrame:
     """Rows of spans() for each origin (at) in whose ``months`` they are the newest of their model."""
-    own = F.filter(F.sequence(F.col("_m") - (months - 1), F.col("_m")), lambda o: F.col("_next").isNull() | (F.col("_next") >= o + months))
-    return part.withColumn("at", F.explode(own))
+    return part.withColumn("at", F.explode(F.sequence(F.col("_m") - (months - 1), F.col("_m")))).where(F.col("_next").isNull() | (F.col("_next") >= F.col("at") + months))
 
 
 KEY = ["at", "kind"]
@@ -62,13 +60,24 @@ def part_quantiles(x: DataFrame, by: list[str], q: float) -> DataFrame:
 
     Rows are counted by group and part; only those of the part that holds a group's quantile are then ordered. So no group's sketch or rows are shuffled.
     """
-    counts = cut(x.groupBy(*by, "_part").agg(F.count("*").alias("_rows"), F.count("score").alias("_c")), "parts")
+    placed = _placed(x.groupBy(*by, "_part").agg(F.count("*").alias("_rows"), F.count("score").alias("_c")), by, q)
+    near = x.where("score is not null").join(F.broadcast(placed.select(*by, "_part", "_before", "_at")), [*by, "_part"])  # two parts for each group at most
+    return _in_parts(near, placed, by)
+
+
+def _placed(counts: DataFrame, by: list[str], q: float) -> DataFrame:
+    """by, _part, n, _before, _at of the parts that hold each group's quantile: its rows, its scores in earlier parts, and the quantile's place. counts: by, _part, _rows, _c (present scores)."""
+    counts = cut(counts, "parts")
     group = Window.partitionBy(*by)
     before = F.coalesce(F.sum("_c").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counts.select("*", before.alias("_before"), (F.lit(float(q)) * (F.sum("_c").over(group) - 1)).alias("_at"), F.sum("_rows").over(group).alias("n"))
     held = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_c"))
-    placed = cut(placed.where(held(F.floor("_at")) | held(F.ceil("_at")) | (F.col("_at") < 0)), "placed")
-    near = x.where("score is not null").join(F.broadcast(placed.select(*by, "_part", "_before", "_at")), [*by, "_part"])  # two parts for each group at most
+    return cut(placed.where(held(F.floor("_at")) | held(F.ceil("_at")) | (F.col("_at") < 0)), "placed")
+
+
+def _in_parts(near: DataFrame, placed: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, q from the rows of the parts that _placed() gives, each with its _before and _at."""
+    group = Window.partitionBy(*by)
     values = near.groupBy(*by, "score").agg(F.count("*").alias("_c"), F.min("_at").alias("_at"), F.min("_before").alias("_before"))
     up = group.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     inside = values.select(*by, "score", "_at", (F.sum("_c").over(up) + F.min("_before").over(group)).alias("_end"), "_c")
@@ -87,18 +96,35 @@ def month_ends(part: DataFrame) -> DataFrame:
 
 
 def windows(part: DataFrame, ends: DataFrame, q: float = 0.9, months: int = 2) -> DataFrame:
-    """ends with n and q: number and q-quantile of the scores in the ``months`` before each end, of the versions that are the newest at the origin; written."""
-    x = part.select("kind", "day", "score", "_part", "_m", "_a", "_z", F.explode(F.sequence(F.lit(0), F.lit(months))).alias("_k")).withColumn("_month", F.col("_m") + F.col("_k"))
-    x = rows(x.withColumn("_a", F.greatest("_a", F.col("_month") + 1)))
-    x = x.join(F.broadcast(ends.select(*KEY, "_month", "end")), [*KEY, "_month"]).where((F.col("day") <= F.col("end")) & (F.col("day") > F.add_months("end", -months)))  # months by months by kinds
-    return cut(ends.join(part_quantiles(x.select(*KEY, "_month", "score", "_part"), [*KEY, "_month"], q), [*KEY, "_month"]), "windows")
+    """ends with n and q: number and q-quantile of the scores in the ``months`` before each end, of the versions that are the newest at the origin; written.
+
+    A window holds all rows of its end's month and of those before it, so they are counted by month, span and part before anything is exploded by origins; only of the earliest month's rows the
+    last days are compared with the end. Then rows are read again and joined with the parts that hold a quantile.
+    """
+    by = [*KEY, "_month"]
+    own = part.where("_a <= _z")
+    opened = F.add_months("end", -months)
+    start = F.greatest("_a", F.col("_month") + 1)
+    at_origins = lambda x: x.where(start <= F.col("_z")).withColumn("at", F.explode(F.sequence(start, F.col("_z"))))
+    named = F.broadcast(ends.select(*by, "end"))  # months by months by kinds
+    cells = own.groupBy("kind", "_m", "_a", "_z", "_part").agg(F.count("*").alias("_rows"), F.count("score").alias("_c"))
+    whole = at_origins(cells.withColumn("_month", F.explode(F.sequence(F.col("_m"), F.col("_m") + (months - 1))))).join(named, by)
+    first = ends.groupBy("kind", "_month").agg(F.min(opened).alias("_open"))
+    late = own.withColumn("_month", F.col("_m") + months).join(F.broadcast(first), ["kind", "_month"]).where("day > _open")
+    late = at_origins(late.groupBy("kind", "day", "_month", "_a", "_z", "_part").agg(F.count("*").alias("_rows"), F.count("score").alias("_c"))).join(named, by).where(F.col("day") > opened)
+    both = whole.select(*by, "_part", "_rows", "_c").unionByName(late.select(*by, "_part", "_rows", "_c"))
+    placed = _placed(both.groupBy(*by, "_part").agg(F.sum("_rows").alias("_rows"), F.sum("_c").alias("_c")), by, q)
+    near = own.where("score is not null").select("kind", "day", "score", "_part", "_a", "_z", F.explode(F.sequence(F.col("_m"), F.col("_m") + months)).alias("_month"))
+    near = near.join(F.broadcast(placed.join(named, by).select(*by, "_part", "_before", "_at", "end")), ["kind", "_month", "_part"]).where(F.col("at").between(F.col("_a"), F.col("_z")) & (F.col("day") > opened))
+    return cut(ends.join(_in_parts(near, placed, by), by), "windows")
 
 
 def anchors(part: DataFrame, seen: DataFrame, months: int = 2) -> DataFrame:
     """at, kind, end, t1 (the last day and t), score (the quantile of the ``months`` before the end), log_n (median size of the rows at or above it), n. seen: windows()."""
     late = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("_month")))
-    tops = seen.select(*KEY, F.max("t1").over(Window.partitionBy(*KEY)).alias("t1"), "end", "n", "q", late.alias("_r")).where("_r = 1").drop("_r")
-    x = rows(part.select("kind", "day", "score", "log_n", "_a", "_z")).join(F.broadcast(tops.select(*KEY, "end", "q")), KEY)  # an origin and kind each
+    tops = seen.select(*KEY, "_month", F.max("t1").over(Window.partitionBy(*KEY)).alias("t1"), "end", "n", "q", late.alias("_r")).where("_r = 1").drop("_r")
+    opened = tops.select(*KEY, "end", "q", F.explode(F.sequence(F.col("_month") - months, F.col("_month"))).alias("_m"))
+    x = part.select("kind", "day", "score", "log_n", "_m", "_a", "_z").join(F.broadcast(opened), ["kind", "_m"]).where(F.col("at").between(F.col("_a"), F.col("_z")))  # the window's months only
     high = cut(x.where((F.col("day") > F.add_months("end", -months)) & (F.col("score") >= F.col("q"))).select(*KEY, "log_n"), "high")
     return tops.join(stats.quantiles(high, KEY, {"log_n": ("log_n", 0.5)}), KEY).select(*KEY, "end", "t1", F.col("q").alias("score"), "log_n", "n")
 
@@ -130,26 +156,125 @@ def _solved(sums: DataFrame, by: list[str]) -> DataFrame:
 
 
 def plane_fits(snap: DataFrame, by: list[str], q: float | None = None, passes: int = 30, near: float = 1e-3) -> DataFrame:
-    """by, b0, b_size, b_t: z (logit of the score) on log_n and t for every group at once, by least squares, or with q by check loss.
+    """by, b0, b_size, b_t: z (logit of the score) on log_n and t for every group at once, by least squares, or with q by check loss."""
+    return span_planes(snap.withColumns({"_a": F.lit(0), "_z": F.lit(0)}), by, [q], None, passes, near)[0].drop("at")
+
+
+def span_planes(x: DataFrame, by: list[str], qs: list[float | None], groups: DataFrame | None = None, passes: int = 30, near: float = 1e-3) -> list[DataFrame]:
+    """For each of qs by, at, b0, b_size, b_t: z (logit of the score) on log_n and t, by least squares (None) or check loss, over the rows whose _a to _z holds at; only for groups (by, at), if given.
 
-    Check loss is minimised by reweighting: a pass is one aggregate over all groups, joined with the small table of the pass before, and every third one asks whether a coefficient still moves by more than 1e-4.
+    No row is exploded: sums of products are made by span first, and a pass of the check loss takes blocks of rows against the planes of all their ats as matrices.
     """
-    data = cut(snap.select(*by, "log_n", "t", bounded_logit(F.col("score")).alias("z")).dropna(), "plane")
-    fit = cut(_solved(moments.gram(data, by, ["log_n", "t"], ["z"]), by), "fits")
-    if q is None:
-        return fit
-    for k in range(passes):
-        r = F.col("z") - F.col("b0") - F.col("b_size") * F.col("log_n") - F.col("b_t") * F.col("t")
-        w = F.when(r > 0, q).otherwise(1 - q) / F.greatest(F.abs(r), F.lit(near))
-        weighed = data.join(fit, by).select(*by, "log_n", "t", "z", w.alias("_w"))
-        new = cut(_solved(moments.gram(weighed, by, ["log_n", "t"], ["z"], F.col("_w")), by), "fits")
-        if k % 3 == 2:
-            old = fit.withColumnsRenamed({c: f"o{c}" for c in ("b0", "b_size", "b_t")})
-            moved = new.join(old, by).agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"o{c}")) for c in ("b0", "b_size", "b_t")]))).first()[0]
-            if moved is None or moved < 1e-4:
-                return new
-        fit = new
-    return fit
+    data = cut(x.where("_a <= _z").select(*by, "_a", "_z", "log_n", "t", bounded_logit(F.col("score")).alias("z")).dropna(), "plane")
+    each = moments.gram(data, [*by, "_a", "_z"], ["log_n", "t"], ["z"]).withColumn("at", F.explode(F.sequence("_a", "_z")))
+    each = each if groups is None else each.join(F.broadcast(groups.select(*by, "at").distinct()), [*by, "at"])
+    sums = cut(each.groupBy(*by, "at").agg(F.array(*[F.sum(F.col("g")[i]) for i in range(10)]).alias("g")), "sums")
+    fit = cut(_solved(sums, [*by, "at"]), "fits")
+    return [fit if q is None else _check_planes(data, by, fit, sums, q, passes, near) for q in qs]
+
+
+class _Plane:
+    """A group's plane on its way to the least check loss: beta is to be tried, best is the best one tried, with its loss and the next by reweighting (swept)."""
+
+    def __init__(self, beta: np.ndarray, g: list[float], near: float):
+        m = moments.matrix(g, 4)
+        left = m[3, 3] - m[3, :3] @ beta
+        self.beta, self.near, self.width = beta, near, max(near, float(np.sqrt(max(left, 0.0) / m[0, 0])))
+        self.mean = m[:3, :3] / m[0, 0]  # of products, for the mean change of the fitted values
+        self.best, self.least, self.swept, self.done = beta, np.inf, beta, False
+
+    def took(self, s: np.ndarray, q: float, moved: float, rows: int = 50) -> None:
+        """s: the sums of _check_sums() at beta."""
+        if not s[0] <= self.least:  # a step too far: from the best one by reweighting, which never raises the loss
+            self.beta = self.swept
+        else:
+            self.best, self.least = self.beta, s[0]
+            try:
+                self.beta = self.swept = self.best + np.linalg.solve(moments.matrix(list(s[4:10]), 3), s[1:4])
+                within = s[10] * self.width / max(q, 1 - q)  # so many rows at least
+                if within >= rows:
+                    change = np.linalg.solve(moments.matrix(list(s[10:16]), 3), s[1:4])
+                    self.beta = self.best + change
+                    size = float(np.sqrt(max(change @ self.mean @ change, 0.0)))
+                    self.width = max(self.near, min(self.width, size), self.width * rows / within)
+            except np.linalg.LinAlgError:
+                pass
+        self.done = not np.abs(self.beta - self.best).max() >= moved
+
+
+def _check_planes(data: DataFrame, by: list[str], fit: DataFrame, sums: DataFrame, q: float, passes: int, near: float, moved: float = 1e-4) -> DataFrame:
+    """The fits of fit moved to the least check loss, residuals of less than near counting by their square.
+
+    Each pass is one read of data for all groups that still move by ``moved`` or more. It gives a step by reweighting, which lowers the loss but little, and Newton's step for a loss that is smooth
+    over a width; widths shrink to near as steps do. Newton's step needs rows within the width, and is taken back if the loss has risen.
+    """
+    names = [*by, "at"]
+    planes = {tuple(r[c] for c in names): _Plane(np.array([r["b0"], r["b_size"], r["b_t"]]), list(r["g"]), near) for r in fit.join(sums, names).collect()}  # a few numbers for each group
+    for _ in range(passes):
+        lines: dict[tuple, list] = {}
+        for key, p in planes.items():
+            if not p.done:
+                lines.setdefault(key[:-1], []).append((key[-1], *p.beta, p.width))
+        if not lines:
+            break
+        found = _check_sums(data, by, {k: np.array(sorted(v)).T for k, v in lines.items()}, q, near)
+        for r in found.collect():
+            planes[tuple(r[c] for c in names)].took(np.array(r["s"]), q, moved)
+    kinds = dict(fit.dtypes)
+    out = [(*key, *map(float, p.beta if p.done else p.best)) for key, p in planes.items()]
+    return data.sparkSession.createDataFrame(out, ", ".join(f"{c} {kinds[c]}" for c in names) + ", b0 double, b_size double, b_t double")
+
+
+def _check_sums(data: DataFrame, by: list[str], lines: dict[tuple, np.ndarray], q: float, near: float) -> DataFrame:
+    """by, at, s: over the rows of each at the check loss (within near by squares), its gradient, and the upper triangles of the matrices of a step by reweighting and of Newton's with its width.
+    lines: for each by its sorted ats, their planes and widths, as rows."""
+    schema = ", ".join(f"{c} {k}" for c, k in data.select(*by).dtypes) + ", at int, s array<double>"
+    first, last = min(v[0, 0] for v in lines.values()), max(v[0, -1] for v in lines.values())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {k: np.zeros((16, v.shape[1])) for k, v in lines.items()}
+        for batch in batches:
+            for key, own in batch.groupby(by, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                if key in lines:
+                    _add_sums(total[key], lines[key], q, near, *[batch[c].to_numpy()[own] for c in ("_a", "_z", "log_n", "t", "z")])
+        out = [(*k, int(at), s.tolist()) for k, v in total.items() for at, s in zip(lines[k][0], v.T) if s.any()]
+        yield pd.DataFrame(out, columns=[*by, "at", "s"])
+
+    parts = data.where((F.col("_a") <= int(last)) & (F.col("_z") >= int(first))).mapInPandas(run, schema)
+    return parts.groupBy(*by, "at").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(16)]).alias("s"))
+
+
+def _add_sums(total: np.ndarray, line: np.ndarray, q: float, near: float, a: np.ndarray, z: np.ndarray, size: np.ndarray, t: np.ndarray, y: np.ndarray, block: int = 1 << 14) -> None:
+    """Adds the sums of _check_sums() of rows (their _a, _z, log_n, t, z) to a line's (16, ats). Rows of like spans meet their ats' planes as matrices of ``block`` numbers, which stay in a core's cache."""
+    ats, width = line[0], line[4]
+    order = np.lexsort((z, a))
+    a, z, y = a[order], z[order], y[order]
+    one, u, v = np.ones(len(a)), size[order], t[order]
+    terms = np.array([one, u, v, u * u, u * v, v * v])
+    step = max(1, block // len(ats))
+    for i in range(0, len(a), step):
+        k = slice(i, i + step)
+        lo, hi = np.searchsorted(ats, a[i]), np.searchsorted(ats, z[k].max(), "right")
+        if lo >= hi:
+            continue
+        x = terms[:, k]
+        r = y[k][:, None] - x[:3].T @ line[1:4, lo:hi]
+        held = (a[k][:, None] <= ats[lo:hi]) & (z[k][:, None] >= ats[lo:hi])
+        c = np.where(r > 0, q, 1 - q)
+        c *= held
+        off = np.abs(r)
+        wide = np.maximum(off, near)
+        w = c / wide
+        s = total[:, lo:hi]
+        s[4:10] += x @ w
+        s[1:4] += x[:3] @ (w * r)
+        off *= off  # within near r^2 / (2 near), else |r| - near / 2: half of wide + r^2 / wide, less near / 2 beyond near
+        off /= wide
+        off += wide
+        off -= near
+        s[0] += np.einsum("ij,ij->j", c, off) / 2
+        s[10:16] += x @ (c * (np.abs(r) <= width[lo:hi])) / width[lo:hi]
 
 
 def candidates(part: DataFrame, seen: DataFrame, q: float = 0.9) -> DataFrame:
@@ -158,8 +283,8 @@ def candidates(part: DataFrame, seen: DataFrame, q: float = 0.9) -> DataFrame:
     groups = cut(seen.select(*KEY).distinct(), "groups")
     flat = groups.select(*KEY, F.lit("constant").alias("candidate"), F.lit(0.0).alias("b_size"), F.lit(0.0).alias("b_t"))
     trend = trends(seen).select(*KEY, F.lit("frontier_trend").alias("candidate"), F.lit(0.0).alias("b_size"), F.col("drift").alias("b_t"))
-    snap = rows(part.select("kind", "log_n", "t", "score", "_a", "_z")).join(F.broadcast(groups), KEY)  # an origin and kind each
-    planes = [plane_fits(snap, KEY, x).select(*KEY, F.lit(name).alias("candidate"), "b_size", "b_t") for name, x in (("quantile_resource", q), ("mean_resource", None))]
+    found = zip(("quantile_resource", "mean_resource"), span_planes(part, ["kind"], [q, None], groups))
+    planes = [x.select(*KEY, F.lit(name).alias("candidate"), "b_size", "b_t") for name, x in found]
     return flat.unionByName(trend).unionByName(planes[0]).unionByName(planes[1])
 
 

@@ -91,16 +91,16 @@ def robust_params(long: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def _ranged(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """rows with _range: how many of its group's RANGES - 1 approximate quantiles of value lie below the row's, by halving (a comparison with each quantile costs ten times that)."""
-    return _dealt(rows, keys, value).drop("_cuts")
+    return dealt(rows, keys, value).drop("_cuts")
 
 
-def _dealt(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """rows with _range as _ranged() says and _cuts, those quantiles."""
-    cuts = ", ".join(f"{k / RANGES}D" for k in range(1, RANGES))
-    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({cuts}), {EVENNESS})").alias("_cuts"))
+def dealt(rows: DataFrame, keys: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+    """rows with _range as _ranged() says, of ``ranges`` (a power of two), and _cuts, those quantiles."""
+    cuts = ", ".join(f"{k / ranges}D" for k in range(1, ranges))
+    bounds = rows.groupBy(*keys).agg(F.expr(f"percentile_approx(`{value}`, array({cuts}), {max(EVENNESS, 8 * ranges)})").alias("_cuts"))
     out = _null_safe(rows, bounds, keys).withColumn("_range", F.lit(0))
-    for k in range(1, RANGES.bit_length()):  # a column each: as one expression over an array of steps it would be interpreted for each row
-        step = RANGES >> k
+    for k in range(1, ranges.bit_length()):  # a column each: as one expression over an array of steps it would be interpreted for each row
+        step = ranges >> k
         out = out.withColumn("_range", F.col("_range") + F.when(F.get("_cuts", F.col("_range") + (step - 1)) < F.col(value), step).otherwise(0))
     return out
 
@@ -193,13 +193,13 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, out:
     range's border is a range of its own, whose rows all have one place: they are spread over tasks and not ordered, so that a hot value isn't one task's.
     """
     keys, constant = _keyed(by or [])
-    dealt = _dealt(df if by else df.withColumn(constant, F.lit(0)), keys, p)
+    rows = dealt(df if by else df.withColumn(constant, F.lit(0)), keys, p)
     border = F.coalesce(F.get("_cuts", F.col("_range")) == F.col(p), F.lit(False)) | F.col(p).isNull()
-    dealt = dealt.withColumn("_border", border).withColumn("_range", F.when(F.col(p).isNotNull(), 2 * F.col("_range") + F.col("_border").cast("int")).otherwise(-1)).drop("_cuts")
-    counts = dealt.where(F.col(p).isNotNull()).groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    rows = rows.withColumn("_border", border).withColumn("_range", F.when(F.col(p).isNotNull(), 2 * F.col("_range") + F.col("_border").cast("int")).otherwise(-1)).drop("_cuts")
+    counts = rows.where(F.col(p).isNotNull()).groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*keys)
     ends = counts.select(*keys, "_range", "_n", F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)).alias("_end"), F.sum("_n").over(group).alias("_m"))
-    placed = _null_safe(dealt.withColumn("_task", F.when(F.col("_border"), F.spark_partition_id()).otherwise(-1)), ends, [*keys, "_range"], "left")
+    placed = _null_safe(rows.withColumn("_task", F.when(F.col("_border"), F.spark_partition_id()).otherwise(-1)), ends, [*keys, "_range"], "left")
     down = Window.partitionBy(*keys, "_range", "_task").orderBy(F.desc(p))  # never up to the following rows' end: Spark reads those anew for each row
     k = F.when(F.col("_border"), F.col("_end")).otherwise(F.col("_end") + 1 - F.row_number().over(down))
     steps = placed.withColumn("_raw", F.col(p) * F.col("_m") / k).withColumn("_low", F.min("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0)))

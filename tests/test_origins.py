@@ -116,3 +116,28 @@ def test_part_quantiles(spark):
         own = [s for k, s, _ in rows if k == g]
         known = [s for s in own if s is not None]
         assert got[g][0] == len(own) and (abs(got[g][1] - np.quantile(known, 0.9)) < 1e-12 if known else got[g][1] is None)
+
+
+def test_planes_of_spans(spark, versions, table, monkeypatch):
+    """Rows held by many origins are written once, not for each of them; their planes are those of exploded rows, and the check loss is that of many more reweightings."""
+    written, write = [], origins.cut
+    monkeypatch.setattr(origins, "cut", lambda df, name: written.append((name, out := write(df, name))) or out)
+    tested = origins.backtest(versions, 0.4)
+    planes = [x.count() for name, x in written if name == "plane"]
+    assert tested.count() and planes and sum(planes) <= len(table)
+    rows = versions.withColumns({"_a": F.month("day") - 1, "_z": F.month("day") + F.col("model") % 4})
+    groups = spark.createDataFrame([(k, a) for k in "ab" for a in range(2, 10)], "kind string, at int")
+    check, mean = origins.span_planes(rows, ["kind"], [0.9, None], groups)
+    long = rows.withColumn("at", F.explode(F.sequence("_a", "_z"))).join(groups, ["kind", "at"])
+    coefficients = lambda df: {(r["kind"], r["at"]): np.array([r["b0"], r["b_size"], r["b_t"]]) for r in df.collect()}
+    got, own, squares = coefficients(check), long.toPandas(), coefficients(mean)
+    assert got.keys() == squares.keys() == {(r["kind"], r["at"]) for r in groups.collect()}
+    for key, part in own.groupby(["kind", "at"]):
+        z, x = logit(part.score.to_numpy()), np.column_stack([np.ones(len(part)), part.log_n, part.t])
+        assert np.allclose(squares[key], np.linalg.lstsq(x, z, rcond=None)[0], atol=1e-7)
+        loss = lambda b: float(np.where(z - x @ b > 0, 0.9, -0.1) @ (z - x @ b))
+        best = squares[key]
+        for _ in range(400):
+            w = np.where(z - x @ best > 0, 0.9, 0.1) / np.maximum(np.abs(z - x @ best), 1e-3)
+            best = np.linalg.solve(x.T @ (x * w[:, None]), x.T @ (w * z))
+        assert loss(got[key]) <= loss(best) * 1.002
