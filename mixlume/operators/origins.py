@@ -174,21 +174,24 @@ def span_planes(x: DataFrame, by: list[str], qs: list[float | None], groups: Dat
 
 
 class _Plane:
-    """A group's plane on its way to the least check loss: beta is to be tried, best is the best one tried, with its loss and the next by reweighting (swept)."""
+    """A group's plane on its way to the least check loss: beta is to be tried, best is the best one tried, with its loss and the next by reweighting (swept).
+    ready: the last step was small beside window, the residual within which about CLOSE of the group's rows lie."""
 
     def __init__(self, beta: np.ndarray, g: list[float], near: float):
         m = moments.matrix(g, 4)
         left = m[3, 3] - m[3, :3] @ beta
-        self.beta, self.near, self.width = beta, near, max(near, float(np.sqrt(max(left, 0.0) / m[0, 0])))
+        self.beta, self.near, self.n, self.width = beta, near, m[0, 0], max(near, float(np.sqrt(max(left, 0.0) / m[0, 0])))
         self.mean = m[:3, :3] / m[0, 0]  # of products, for the mean change of the fitted values
-        self.best, self.least, self.swept, self.done = beta, np.inf, beta, False
+        self.best, self.least, self.swept, self.done, self.ready, self.window = beta, np.inf, beta, False, self.n <= CLOSE, np.inf
+        self.finished, self.inner = 0, False  # times of _finished(), and whether beta is its least loss inside the window
 
     def took(self, s: np.ndarray, q: float, moved: float, rows: int = 50) -> None:
         """s: the sums of _check_sums() at beta."""
-        if not s[0] <= self.least:  # a step too far: from the best one by reweighting, which never raises the loss
-            self.beta = self.swept
+        fallen = self.least - s[0]
+        if not fallen >= 0:  # a step too far: from the best one by reweighting, which never raises the loss
+            self.beta, self.ready = self.swept, self.n <= CLOSE
         else:
-            self.best, self.least = self.beta, s[0]
+            self.best, self.least, self.ready = self.beta, s[0], self.n <= CLOSE
             try:
                 self.beta = self.swept = self.best + np.linalg.solve(moments.matrix(list(s[4:10]), 3), s[1:4])
                 within = s[10] * self.width / max(q, 1 - q)  # so many rows at least
@@ -196,35 +199,103 @@ class _Plane:
                     change = np.linalg.solve(moments.matrix(list(s[10:16]), 3), s[1:4])
                     self.beta = self.best + change
                     size = float(np.sqrt(max(change @ self.mean @ change, 0.0)))
+                    if self.n > CLOSE:
+                        self.window = max(20 * self.near, self.width * CLOSE / within)
+                        self.ready = 8 * size <= self.window
                     self.width = max(self.near, min(self.width, size), self.width * rows / within)
             except np.linalg.LinAlgError:
                 pass
-        self.done = not np.abs(self.beta - self.best).max() >= moved
+        still = not np.abs(self.beta - self.best).max() >= moved
+        whole = self.n > CLOSE and not np.isfinite(self.window)  # never to be gathered
+        self.done = still and whole or self.inner and fallen >= 0 and (still or self.finished > 1 and fallen <= 1e-7 * s[0])
+        self.ready, self.inner = not whole and (self.ready or still), False
+
+
+#: About so many of a group's rows, those next to its plane, are gathered to finish it.
+CLOSE = 1500
 
 
 def _check_planes(data: DataFrame, by: list[str], fit: DataFrame, sums: DataFrame, q: float, passes: int, near: float, moved: float = 1e-4) -> DataFrame:
     """The fits of fit moved to the least check loss, residuals of less than near counting by their square.
 
-    Each pass is one read of data for all groups that still move by ``moved`` or more. It gives a step by reweighting, which lowers the loss but little, and Newton's step for a loss that is smooth
-    over a width; widths shrink to near as steps do. Newton's step needs rows within the width, and is taken back if the loss has risen.
+    Each pass is one read of data for all groups that still move by ``moved`` or more. It gives a step by reweighting, which lowers the loss but little, and a Newton step, whose matrix is from the
+    rows within a width that shrinks with the steps; that step is taken back if the loss has risen. Once steps are small, _finished() gathers the rows next to the planes and moves the planes among
+    them; the next pass, over all rows again, tells whether that is the least loss.
     """
     names = [*by, "at"]
     planes = {tuple(r[c] for c in names): _Plane(np.array([r["b0"], r["b_size"], r["b_t"]]), list(r["g"]), near) for r in fit.join(sums, names).collect()}  # a few numbers for each group
-    for _ in range(passes):
-        lines: dict[tuple, list] = {}
-        for key, p in planes.items():
-            if not p.done:
-                lines.setdefault(key[:-1], []).append((key[-1], *p.beta, p.width))
-        if not lines:
+
+    def lines(some: dict[tuple, _Plane], width: str) -> dict[tuple, np.ndarray]:
+        found: dict[tuple, list] = {}
+        for key, p in some.items():
+            found.setdefault(key[:-1], []).append((key[-1], *p.beta, getattr(p, width)))
+        return {k: np.array(sorted(v)).T for k, v in found.items()}
+
+    for k in range(passes):
+        left = {key: p for key, p in planes.items() if not p.done}
+        if not left:
             break
-        found = _check_sums(data, by, {k: np.array(sorted(v)).T for k, v in lines.items()}, q, near)
-        for r in found.collect():
+        ready = {key: p for key, p in left.items() if p.ready}
+        if ready and (len(ready) == len(left) or k % 8 == 7):
+            for r in _finished(data, by, lines(ready, "window"), q, near).collect():
+                p = planes[tuple(r[c] for c in names)]
+                p.beta, p.finished, p.inner = np.array(r["b"]), p.finished + 1, r["inner"]
+        for r in _check_sums(data, by, lines(left, "width"), q, near).collect():
             planes[tuple(r[c] for c in names)].took(np.array(r["s"]), q, moved)
     kinds = dict(fit.dtypes)
     out = [(*key, *map(float, p.beta if p.done else p.best)) for key, p in planes.items()]
     return data.sparkSession.createDataFrame(out, ", ".join(f"{c} {kinds[c]}" for c in names) + ", b0 double, b_size double, b_t double")
 
 
+def _finished(data: DataFrame, by: list[str], lines: dict[tuple, np.ndarray], q: float, near: float) -> DataFrame:
+    """by, at, b, inner: planes of least check loss as long as no row beyond a group's window changes its side: such rows are summed (their gradient), only the rows within are gathered by group. Steps end at the window (not inner)."""
+    kinds = ", ".join(f"{c} {k}" for c, k in data.select(*by).dtypes)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        beyond = {k: np.zeros((3, v.shape[1])) for k, v in lines.items()}
+        for batch in batches:
+            for key, own in batch.groupby(by, sort=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in lines:
+                    continue
+                a, z, u, v, y = (batch[c].to_numpy()[own] for c in ("_a", "_z", "log_n", "t", "z"))
+                x, ats, window = np.array([np.ones(len(a)), u, v]), lines[key][0], lines[key][4]
+                for i in range(len(ats)):
+                    held = (a <= ats[i]) & (z >= ats[i])
+                    r = y - lines[key][1:4, i] @ x
+                    far = held & (np.abs(r) > window[i])
+                    beyond[key][:, i] += x[:, far] @ np.where(r[far] > 0, q, q - 1)
+                    close = held & ~far
+                    if close.any():
+                        yield pd.DataFrame({c: k for c, k in zip(by, key)} | {"at": int(ats[i]), "far": False, "u": u[close], "v": v[close], "y": y[close]})
+        for key, s in beyond.items():
+            yield pd.DataFrame({c: k for c, k in zip(by, key)} | {"at": lines[key][0].astype(int), "far": True, "u": s[0], "v": s[1], "y": s[2]})
+
+    def solved(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        line = lines[tuple(key[:-1])]
+        start = line[1:4, list(line[0]).index(key[-1])]
+        g = rows.loc[rows.far, ["u", "v", "y"]].to_numpy().sum(0)
+        own = rows[~rows.far]
+        x, y = np.array([np.ones(len(own)), own.u, own.v]), own.y.to_numpy()
+        m = np.vstack([x, y]) @ np.vstack([x, y]).T
+        p = _Plane(start, list(m[np.triu_indices(4)]), near) if len(own) else None
+        span = np.zeros(len(own), dtype=int)
+        for _ in range(600 if p else 0):
+            s = np.zeros((16, 1))
+            _add_sums(s, np.array([[0.0], *[[b] for b in p.beta], [p.width]]), q, near, span, span, x[1], x[2], y)
+            s[0] -= g @ (p.beta - start)
+            s[1:4, 0] += g
+            p.took(s[:, 0], q, 1e-7, 12)
+            if p.done:
+                break
+        step = (p.best if p else start) - start
+        share = line[4, list(line[0]).index(key[-1])] / max(np.abs(step @ x).max(initial=0.0), 1e-300)  # of the step that stays within the window
+        return pd.DataFrame([(*key, (start + min(1.0, share) * step).tolist(), bool(share > 1))], columns=[*by, "at", "b", "inner"])
+
+    close = data.mapInPandas(part, kinds + ", at int, far boolean, u double, v double, y double")
+    return close.groupBy(*by, "at").applyInPandas(solved, kinds + ", at int, b array<double>, inner boolean")
+
+
 def _check_sums(data: DataFrame, by: list[str], lines: dict[tuple, np.ndarray], q: float, near: float) -> DataFrame:
     """by, at, s: over the rows of each at the check loss (within near by squares), its gradient, and the upper triangles of the matrices of a step by reweighting and of Newton's with its width.
     lines: for each by its sorted ats, their planes and widths, as rows."""

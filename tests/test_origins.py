@@ -141,3 +141,20 @@ def test_planes_of_spans(spark, versions, table, monkeypatch):
             w = np.where(z - x @ best > 0, 0.9, 0.1) / np.maximum(np.abs(z - x @ best), 1e-3)
             best = np.linalg.solve(x.T @ (x * w[:, None]), x.T @ (w * z))
         assert loss(got[key]) <= loss(best) * 1.002
+
+
+@pytest.mark.parametrize(("close", "groups"), [(300, 1), (1500, 3)])
+def test_quantile_planes_are_finished(versions, table, monkeypatch, close, groups):
+    """Planes are those that thousands of reweightings end at, whether a group's rows are gathered whole or only next to its plane."""
+    monkeypatch.setattr(origins, "CLOSE", close, raising=False)
+    for r in origins.plane_fits(versions.withColumn("part", F.col("model") % groups), ["part"], 0.9).collect():
+        part = table[table.model % groups == r["part"]]
+        z, x = logit(part.score.to_numpy()), np.column_stack([np.ones(len(part)), part.log_n, part.t])
+        best = np.linalg.lstsq(x, z, rcond=None)[0]
+        for _ in range(20000):
+            w = np.where(z - x @ best > 0, 0.9, 0.1) / np.maximum(np.abs(z - x @ best), 1e-3)
+            best = np.linalg.solve(x.T @ (x * w[:, None]), x.T @ (w * z))
+        got = np.array([r["b0"], r["b_size"], r["b_t"]])
+        cost = lambda b: (np.where(z - x @ b > 0, 0.9, 0.1) * np.where(np.abs(z - x @ b) > 1e-3, np.abs(z - x @ b) - 5e-4, (z - x @ b) ** 2 / 2e-3)).sum()
+        assert cost(got) <= cost(best) * (1 + 1e-6), (got, best, cost(got) / cost(best))
+        assert groups == 1 or np.allclose(got, best, atol=5e-4)
